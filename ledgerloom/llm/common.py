@@ -59,22 +59,23 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
 
-def running_start(df: DataFrame, keys: list[str], order: list[Column], amount: str, out: str, chunk: Column, n_chunks: int) -> DataFrame:
-    """Adds `out`: the sum of `amount` over the rows before this one, within `keys`.
+def chunk_count(rows: int, each: int = 2000, most: int = 100_000) -> int:
+    """Chunks for running_start: about `each` rows a chunk, and no more offsets than one window sorts with ease."""
+    return max(1, min(most, rows // each))
 
-    Rows are ordered by (chunk, order). No task holds a whole key: the sum inside a chunk is a window
-    over (keys, chunk), and each chunk's offset comes from one row per (key, chunk), at most n_chunks a key.
-    `chunk` must spread rows evenly over 0..n_chunks-1 and df must give the same rows each time it is read.
+
+def running_start(df: DataFrame, keys: list[str], order: list[str], amount: Column, out: str, spread: str, n_chunks: int) -> DataFrame:
+    """Adds `out`: the sum of `amount` over the rows before this one within `keys` (never null).
+
+    Rows are ordered by a hash of `spread` into n_chunks chunks, then by `order`. No task holds a whole key:
+    the sum inside a chunk is a window over (keys, chunk), and a chunk's offset comes from one row for each
+    key and chunk. df must give the same rows each time it is read (see cut).
     """
-    held = df.withColumn("__chunk", chunk)
+    held = df.withColumn("__chunk", F.pmod(F.xxhash64(spread, F.lit(7)), F.lit(n_chunks))).withColumn("__amount", amount)
     inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = held.groupBy(*keys, "__chunk").agg(F.sum(amount).alias("__sum"))
-    offsets = sums.withColumn("__off", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
-    offsets = offsets.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__chunk").alias("__c"), "__off")
-    same = F.col("__chunk") == F.col("__c")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    inner = held.withColumn("__in", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    joined = inner.join(offsets, same, "left")
-    return joined.withColumn(out, F.col("__in") + F.col("__off")).drop("__chunk", "__in", "__c", "__off", *[f"__k_{k}" for k in keys])
+    sums = held.groupBy(*keys, "__chunk").agg(F.sum("__amount").alias("__sum"))
+    offsets = sums.select(*keys, "__chunk", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__off"))
+    inner = held.withColumn("__in", F.coalesce(F.sum("__amount").over(inside), F.lit(0)))
+    joined = inner.join(offsets, [*keys, "__chunk"])
+    return joined.withColumn(out, F.col("__in") + F.col("__off")).drop("__chunk", "__amount", "__in", "__off")

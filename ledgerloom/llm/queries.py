@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack
+from .tokens import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +18,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048)
+
+
+def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), "byte_bpe_50k", capacity=2048)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op10_harmonic_packing": op10_harmonic_packing,
 }
