@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .pii import find_pii, span_digest
 from .tokens import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(find_pii(table(spark, sf_dir, "documents")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048)
 
@@ -28,6 +33,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_pii": op2_pii,
     "op4_token_counts": op4_token_counts,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
