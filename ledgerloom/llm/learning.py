@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +24,30 @@ def bounded_sample(labelled: DataFrame, label: str, most: int) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def linear_svm(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size: int, cost: float = 10.0, epochs: int = 12, seed: int = 3) -> np.ndarray:
+    """Weights of a linear support vector machine by dual coordinate descent; each row is (indices, values)."""
+    weights, alphas, rng = np.zeros(size), np.zeros(len(rows)), np.random.default_rng(seed)
+    norms = np.array([max(float(v @ v), 1e-12) for _, v in rows])
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)):
+            at, values = rows[i]
+            step = min(max(alphas[i] - (signs[i] * float(weights[at] @ values) - 1) / norms[i], 0.0), cost) - alphas[i]
+            if step:
+                alphas[i] += step
+                weights[at] += step * signs[i] * values
+    return weights
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
+    """Weights of a logistic regression with an intercept last, by Newton's method."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w, keep = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + keep, x.T @ (p - y) / len(x) + keep @ w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .language import identify_language
+from .language import train as train_language
 from .packing import pack
 from .pii import find_pii, span_digest
 from .tokens import count_tokens
@@ -27,6 +29,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify_language(docs, train_language(docs))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "byte_bpe_50k", capacity=2048)
 
@@ -35,5 +42,6 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
     "op4_token_counts": op4_token_counts,
+    "op5_language": op5_language,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
