@@ -13,6 +13,8 @@ from .language import train as train_language
 from .packing import pack
 from .pii import find_pii, span_digest
 from .tokens import count_tokens
+from .toxicity import score_toxicity
+from .toxicity import train as train_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +27,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048)
 
@@ -41,6 +48,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
     "op10_harmonic_packing": op10_harmonic_packing,
