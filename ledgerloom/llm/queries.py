@@ -12,6 +12,7 @@ from .language import identify_language
 from .language import train as train_language
 from .packing import pack
 from .pii import find_pii, span_digest
+from .quality import quality
 from .tokens import count_tokens
 from .toxicity import score_toxicity
 from .toxicity import train as train_toxicity
@@ -41,6 +42,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, train_language(docs))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "byte_bpe_50k", capacity=2048)
 
@@ -51,5 +56,6 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
+    "op8_quality": op8_quality,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
