@@ -10,6 +10,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .language import identify_language
 from .language import train as train_language
+from .mixing import mix
 from .packing import pack
 from .pii import find_pii, span_digest
 from .quality import quality
@@ -42,6 +43,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, train_language(docs))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
+    "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
