@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .language import identify_language
 from .language import train as train_language
 from .mixing import mix
@@ -51,6 +52,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "byte_bpe_50k", capacity=2048)
 
@@ -63,5 +68,6 @@ QUERIES: dict[str, Query] = {
     "op5_language": op5_language,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
+    "op9_html_text": op9_html_text,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
