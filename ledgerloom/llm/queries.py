@@ -12,6 +12,7 @@ from .html_text import extract_text
 from .language import identify_language
 from .language import train as train_language
 from .mixing import mix
+from .near_dup import near_duplicates
 from .packing import pack
 from .pii import find_pii, span_digest
 from .quality import quality
@@ -44,6 +45,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, train_language(docs))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_html_text": op9_html_text,
