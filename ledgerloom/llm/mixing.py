@@ -123,14 +123,14 @@ def block_draws(plan: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: i
     return numbered.mapInPandas(slots_of, "rank int, block long").groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, slots: int = SLOTS, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """Returns rid, doc_id, size, source_size, target, taken, spans (array of start, end, times: words taken).
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, slots: int = SLOTS, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, key: Column | None = None) -> DataFrame:
+    """Returns rid, key, doc_id, size, source_size, target, taken, spans (array of start, end, times: words taken).
 
-    One row per input row, rid numbering them. Null text has no words. Documents of no words take nothing;
+    One row per input row, rid numbering them; key is whatever the caller wants to know rows by. Null text has no words. Documents of no words take nothing;
     a null source is a source of its own. Rows that repeat a doc_id are documents of their own. An empty
     table gives an empty result. Reruns over the same files agree. Other columns are not read.
     """
-    sized = cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    sized = cut(docs.select(F.monotonically_increasing_id().alias("rid"), (F.lit(None).cast("string") if key is None else key).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     plan = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     if plan.count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -143,4 +143,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # A document's own blocks: as many as its length gives, pre-summed in each task.
     taken = got.groupBy("rid").agg(F.sum((F.col("span.end") - F.col("span.start")) * F.col("span.times")).alias("taken"), F.sort_array(F.collect_list("span")).alias("spans"))
     out = placed.join(taken, "rid", "left")
-    return out.select("rid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "spans")
+    return out.select("rid", "key", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "spans")

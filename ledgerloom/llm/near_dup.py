@@ -146,14 +146,15 @@ def prefix(hashes: np.ndarray, known: Frequencies) -> tuple[int, np.ndarray]:
 
 
 def _sets(docs: DataFrame, known: Frequencies, id_col: str, text_col: str) -> DataFrame:
-    """(rid, doc_id, n, digest, matches, prefix, shingles); the last two only where the prefix holds anything."""
+    """(rid, doc_id, text_sha256, n, digest, matches, prefix, shingles); the last two only where the prefix holds anything."""
     held = docs.sparkSession.sparkContext.broadcast(known)
-    names = ["rid", "doc_id", "n", "digest", "matches", "prefix", "shingles"]
+    names = ["rid", "doc_id", "text_sha256", "n", "digest", "matches", "prefix", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digests, matches, prefixes, blobs = [], [], [], [], []
-            for hashes in shingle_sets(batch.column(2).to_pylist()):
+            texts = [t or b"" for t in batch.column(2).to_pylist()]
+            for hashes in shingle_sets(texts):
                 few, own = prefix(hashes, held.value)
                 raw = hashes.astype("<u8").tobytes()
                 n.append(len(hashes))
@@ -161,10 +162,10 @@ def _sets(docs: DataFrame, known: Frequencies, id_col: str, text_col: str) -> Da
                 matches.append(few)
                 prefixes.append(own.view(np.int64).tolist())
                 blobs.append(raw if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].cast("long").alias("doc_id"), F.encode(docs[text_col], "UTF-8").alias("text"))
-    return rows.mapInArrow(run, "rid long, doc_id long, n long, digest binary, matches int, prefix array<long>, shingles binary")
+    return rows.mapInArrow(run, "rid long, doc_id long, text_sha256 string, n long, digest binary, matches int, prefix array<long>, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,7 +197,8 @@ _FITS = f"{TIMES} * least(n, other_n) >= {LEAST} * greatest(n, other_n)"
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns doc_id, n_shingles, component_id (the smallest doc_id of the class), one row per input row.
+    """Returns doc_id, n_shingles, component_id (the smallest doc_id of the class), kept (the one row of a class
+    that has it), text_sha256, one row per input row.
 
     Two documents link when TIMES * |intersection| >= LEAST * |union| of their sets of five-word shingles; a
     class is what links reach. Null and empty texts and those without words have no shingles and link with
@@ -212,12 +214,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = cut(same, "distinct-sets")
     rows = cut(sets.select("rid", "n", "matches", F.explode("prefix").alias("shingle")), "prefixes")
     classes = joined_classes(rows, sets)
-    member = every.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.min("rid").alias("rid"))
-    member = cut(member.join(classes.withColumnRenamed("node", "rid"), "rid", "left").select("digest", "least_id", F.coalesce("root", "rid").alias("root")), "members")
-    least = cut(member.groupBy("root").agg(F.min("least_id").alias("component_id")), "components")
-    member = cut(member.join(least, "root").select("digest", "component_id"), "membership")
-    out = every.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(member, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("rid").alias("keep")))
+    member = every.filter("n > 0").groupBy("digest").agg(smallest.alias("least"), F.min("rid").alias("rid"))
+    member = cut(member.join(classes.withColumnRenamed("node", "rid"), "rid", "left").select("digest", "least", F.coalesce("root", "rid").alias("root")), "members")
+    least = cut(member.groupBy("root").agg(F.min("least").alias("least")), "components")
+    member = cut(member.select("digest", "root").join(least, "root").select("digest", "least.doc_id", "least.keep"), "membership").withColumnRenamed("doc_id", "component_id")
+    out = every.select("rid", "doc_id", "text_sha256", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(member, "digest", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    kept = (F.col("n") == 0) | (F.col("rid") == F.col("keep"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "text_sha256")
 
 
 def joined_classes(rows: DataFrame, sets: DataFrame) -> DataFrame:
