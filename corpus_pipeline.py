@@ -1,11 +1,49 @@
-"""The corpus pipeline: stages are added as their operators are."""
+"""From raw documents to packed training sequences, as stages that each read what the one before has written."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerloom.llm.common import cut, table
+from ledgerloom.llm.packing import pack
+from ledgerloom.llm.stages import drop_copies, drop_near_copies, drop_toxic, take_mix
+from ledgerloom.llm.toxicity import train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the clause grammar, fitted on the labelled rows at hand, does not reject."""
+    return drop_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar ones."""
+    return drop_near_copies(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return take_mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of 2048."""
+    return pack(docs, "byte_bpe_50k", capacity=2048)
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+
+#: The toxicity model and the tokenizer are beyond SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; what each stage returns is written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
