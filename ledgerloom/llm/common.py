@@ -59,7 +59,7 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
 
-def chunk_count(rows: int, each: int = 2000, most: int = 100_000) -> int:
+def chunk_count(rows: int, each: int = 256, most: int = 100_000) -> int:
     """Chunks for running_start: about `each` rows a chunk, and no more offsets than one window sorts with ease."""
     return max(1, min(most, rows // each))
 
