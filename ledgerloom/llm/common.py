@@ -13,6 +13,19 @@ WHITE = r"[\x20\x09-\x0D]+"
 _RUNS: dict[str, list[str]] = {}
 
 
+#: Rows and bytes that pass to a Python worker at once: texts can be long.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Makes the session hand texts to Python workers in small batches; returns df."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

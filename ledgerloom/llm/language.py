@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .learning import bounded_sample, fold, linear_svm
 
 #: Families by language code; a code that is not listed is a family of its own.
@@ -125,7 +126,7 @@ def _examples(sample: DataFrame, text_col: str) -> pd.DataFrame:
                         out.append((lang, at.astype("<i4").tobytes(), n.astype("<i4").tobytes()))
             yield pd.DataFrame(out, columns=["lang", "at", "n"])
 
-    return sample.select("lang", F.col(text_col).alias("text")).mapInPandas(run, "lang string, at binary, n binary").toPandas()
+    return bounded_batches(sample).select("lang", F.col(text_col).alias("text")).mapInPandas(run, "lang string, at binary, n binary").toPandas()
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
@@ -163,5 +164,5 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
             langs, scores = held.value.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(fold(docs[id_col], 5) == 0, F.lit(False)).alias("held_out"), docs[text_col].alias("text"))
+    rows = bounded_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(fold(docs[id_col], 5) == 0, F.lit(False)).alias("held_out"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

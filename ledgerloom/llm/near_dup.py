@@ -7,7 +7,8 @@ document by estimated cost, so a document of frequent shingles takes a longer pr
 
 Only classes of similar documents are asked for, so the pairs of a class are not listed. Within the documents
 that share a prefix shingle, all are first compared with one of them; those found similar are one class from
-then on, and only pairs of different classes are left. When few are left they are all compared.
+then on, and only pairs of different classes are left. When leaders merge no more classes, the pairs left are all
+compared, but for those that sizes, unshared shingles or parity sketches show to be unlike.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_batches, cut
 from .graph import components
 from .shingles import shingle_sets
 
@@ -32,8 +33,10 @@ LEAST, TIMES = 80, 100
 #: ones apart, at most, as both go to every task. Beyond, only the frequencies from a higher count on are used.
 FREQUENT, MOST_FREQUENT, MOST_BITS = 32, 1_000_000, 28
 #: Shingles sorted together in a task.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 LADDER = (1, 2, 4, 8, 16)
+#: 64-bit words of a parity sketch: each shingle flips one of its bits.
+SKETCH = 16
 VERIFY_COST = 20.0
 
 
@@ -123,14 +126,16 @@ def document_frequencies(texts: DataFrame, n_docs: int) -> Frequencies:
     return Frequencies(bucket_bits, map_bits, bits, keys[order], df[order])
 
 
-def prefix(hashes: np.ndarray, known: Frequencies) -> tuple[int, np.ndarray]:
-    """(l, shingles): the multi-match prefix of a sorted set, without the shingles no other document has."""
+def prefix(hashes: np.ndarray, known: Frequencies) -> tuple[int, int, np.ndarray]:
+    """(l, own, shingles): the multi-match prefix of a sorted set, without the shingles no other document has,
+    of which there are `own`."""
     n = len(hashes)
     need = (LEAST * n + TIMES - 1) // TIMES
     others = hashes[known.shared(hashes)]
-    first = n - need + 1 - (n - len(others))  # of the prefix for one match, what single shingles do not take up
+    own = n - len(others)
+    first = n - need + 1 - own  # of the prefix for one match, what single shingles do not take up
     if first <= 0:
-        return 1, hashes[:0]
+        return 1, own, hashes[:0]
     df = known.of(others)
     others = others[np.lexsort((others, df))]
     cost = np.cumsum(np.maximum(np.sort(df), 2)).astype(float)
@@ -142,30 +147,38 @@ def prefix(hashes: np.ndarray, known: Frequencies) -> tuple[int, np.ndarray]:
         price = cost[taken - 1] * (1 + VERIFY_COST / matches)
         if best is None or price < best[0]:
             best = (price, matches, taken)
-    return (best[1], others[: best[2]]) if best else (1, others[:first])
+    return (best[1], own, others[: best[2]]) if best else (1, own, others[:first])
+
+
+def sketch(hashes: np.ndarray) -> list[int]:
+    """Parity of the shingles in each of 64 * SKETCH places: where two sketches differ, so do the sets."""
+    odd = np.bincount((hashes & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
 
 
 def _sets(docs: DataFrame, known: Frequencies, id_col: str, text_col: str) -> DataFrame:
-    """(rid, doc_id, text_sha256, n, digest, matches, prefix, shingles); the last two only where the prefix holds anything."""
+    """(rid, doc_id, text_sha256, n, digest, matches, own, sketch, prefix, shingles); sketch and shingles only where the prefix holds anything."""
     held = docs.sparkSession.sparkContext.broadcast(known)
-    names = ["rid", "doc_id", "text_sha256", "n", "digest", "matches", "prefix", "shingles"]
+    names = ["rid", "doc_id", "text_sha256", "n", "digest", "matches", "own", "sketch", "prefix", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digests, matches, prefixes, blobs = [], [], [], [], []
+            n, digests, matches, single, sketches, prefixes, blobs = [], [], [], [], [], [], []
             texts = [t or b"" for t in batch.column(2).to_pylist()]
             for hashes in shingle_sets(texts):
-                few, own = prefix(hashes, held.value)
+                few, alone, own = prefix(hashes, held.value)
                 raw = hashes.astype("<u8").tobytes()
                 n.append(len(hashes))
                 digests.append(hashlib.blake2b(raw, digest_size=16).digest())
                 matches.append(few)
+                single.append(alone)
+                sketches.append(sketch(hashes) if len(own) else None)
                 prefixes.append(own.view(np.int64).tolist())
                 blobs.append(raw if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(matches, pa.int32()), pa.array(single, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].cast("long").alias("doc_id"), F.encode(docs[text_col], "UTF-8").alias("text"))
-    return rows.mapInArrow(run, "rid long, doc_id long, text_sha256 string, n long, digest binary, matches int, prefix array<long>, shingles binary")
+    return rows.mapInArrow(run, "rid long, doc_id long, text_sha256 string, n long, digest binary, matches int, own int, sketch array<long>, prefix array<long>, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -191,9 +204,12 @@ def _enough(pairs: DataFrame) -> DataFrame:
     return counted.filter("n >= least").select("a", "b")
 
 
-#: Two sets can be similar only if neither is much smaller, and must share the lesser number of matches.
 _PAIR = "least(matches, other_matches) as least"
-_FITS = f"{TIMES} * least(n, other_n) >= {LEAST} * greatest(n, other_n)"
+#: Similar sets are of like size, and what they share is at most what either has that is not its own alone.
+_FITS = f"""{TIMES} * least(n, other_n) >= {LEAST} * greatest(n, other_n) and
+  {TIMES} * least(n - own, other_n - other_own) >= {LEAST} * (n + other_n - least(n - own, other_n - other_own))"""
+#: And their sketches differ in at most as many places as the sets may differ in shingles.
+_ALIKE = f"{TIMES + LEAST} * ({' + '.join(f'bit_count(sketch[{i}] ^ other_sketch[{i}])' for i in range(SKETCH))}) <= {TIMES - LEAST} * (n + other_n)"
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,13 +222,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id is passed over in the smallest of a class. An empty table gives an empty result. Other columns are
     not read.
     """
-    known = document_frequencies(docs.select(F.encode(F.col(text_col), "UTF-8").alias("text")), docs.count())
+    known = document_frequencies(bounded_batches(docs).select(F.encode(F.col(text_col), "UTF-8").alias("text")), docs.count())
     every = cut(_sets(docs, known, id_col, text_col), "sets")
     # Documents of the same set are one from here on.
-    first = F.min_by(F.struct("rid", "n", "matches", "prefix", "shingles"), "rid")
+    first = F.min_by(F.struct("rid", "n", "matches", "own", "sketch", "prefix", "shingles"), "rid")
     same = every.filter("n > 0 and size(prefix) > 0").groupBy("digest").agg(first.alias("x")).select("x.*")
     sets = cut(same, "distinct-sets")
-    rows = cut(sets.select("rid", "n", "matches", F.explode("prefix").alias("shingle")), "prefixes")
+    rows = cut(sets.select("rid", "n", "matches", "own", F.explode("prefix").alias("shingle")), "prefixes")
     classes = joined_classes(rows, sets)
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("rid").alias("keep")))
     member = every.filter("n > 0").groupBy("digest").agg(smallest.alias("least"), F.min("rid").alias("rid"))
@@ -227,31 +243,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def joined_classes(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, root) of the documents with links, from prefix rows (rid, n, matches, shingle) and their sets."""
-    total = rows.count()
     classes = cut(rows.select(F.col("rid").alias("node"), F.col("rid").alias("root")).distinct(), "classes")
-    turn, before = 0, float("inf")
+    before = float("inf")
+    led = None
     while True:
         placed = rows.join(classes.withColumnRenamed("node", "rid"), "rid")
-        # Shingles that documents of different classes share; those of one class have nothing left to tell.
-        seen = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("rid", "n", "matches", "root"), F.xxhash64("rid", F.lit(turn))).alias("lead"))
+        placed = placed.withColumn("led", F.lit(0)) if led is None else placed.join(led, "rid", "left").withColumn("led", F.coalesce("led", F.lit(0)))
+        # Shingles that documents of different classes share; those of one class have nothing left to tell. Of the
+        # documents of a shingle the one with the least of its own is most like what the others were copied from.
+        central = F.struct("led", F.col("own") / F.col("n"), F.xxhash64("rid"))
+        seen = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("rid", "n", "matches", "own", "root"), central).alias("lead"))
         open_ = cut(seen.filter("lo != hi").select("shingle", "lead"), "open-shingles")
         placed = cut(placed.join(open_.select("shingle"), "shingle", "left_semi"), "open-rows")
         each = placed.groupBy("shingle", "root").agg(F.count(F.lit(1)).cast("double").alias("k"))
         left = each.groupBy("shingle").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0.0
-        # Few enough, or comparing with leaders no longer merges classes: the rest is compared pair by pair.
-        if left <= max(1000, total) or left > 0.8 * before:
+        # Comparing with leaders no longer merges classes: the rest is compared pair by pair.
+        if left > 0.8 * before or left == 0:
             break
         before = left
-        # All others of a shingle against its leader of this turn.
         lead = placed.join(open_, "shingle").filter("root != lead.root")
-        lead = lead.select("rid", "n", "matches", F.col("lead.rid").alias("other"), F.col("lead.n").alias("other_n"), F.col("lead.matches").alias("other_matches")).filter(_FITS)
+        lead = lead.select("rid", "n", "matches", "own", *[F.col(f"lead.{c}").alias(f"other_{c}" if c != "rid" else "other") for c in ("rid", "n", "matches", "own")]).filter(_FITS)
         pairs = lead.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b"), F.expr(_PAIR))
         links = _verified(cut(_enough(pairs), "pairs"), sets)
+        leaders = open_.select(F.col("lead.rid").alias("rid"), F.lit(1).alias("led"))
+        led = cut((leaders if led is None else leaders.unionByName(led)).distinct(), "leaders")
         classes = _merged(classes, links)
-        turn += 1
-    a = placed.select("shingle", "rid", "n", "matches", "root")
-    b = placed.select("shingle", F.col("rid").alias("other"), F.col("n").alias("other_n"), F.col("matches").alias("other_matches"), F.col("root").alias("other_root"))
-    rest = a.join(b, "shingle").filter("rid < other and root != other_root").filter(_FITS)
+    placed = placed.join(sets.select("rid", "sketch"), "rid")
+    a = placed.select("shingle", "rid", "n", "matches", "own", "root", "sketch")
+    b = placed.select("shingle", F.col("rid").alias("other"), *[F.col(c).alias(f"other_{c}") for c in ("n", "matches", "own", "root", "sketch")])
+    rest = a.join(b, "shingle").filter("rid < other and root != other_root").filter(_FITS).filter(_ALIKE)
     pairs = rest.select(F.col("rid").alias("a"), F.col("other").alias("b"), F.expr(_PAIR))
     return _merged(classes, _verified(cut(_enough(pairs), "pairs"), sets))
 

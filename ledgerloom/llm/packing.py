@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunk_count, cut, running_start
+from .common import bounded_batches, chunk_count, cut, running_start
 from .tokens import byte_encoder
 
 CAPACITY = 2048
@@ -55,7 +55,7 @@ def _pieces(docs: DataFrame, vocabulary: str, capacity: int, smallest: int, id_c
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = bounded_batches(docs).select(F.monotonically_increasing_id().alias("rid"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, "rid long, doc_id long, doc_tokens long, start long, length long, ids_crc32 long")
 
 

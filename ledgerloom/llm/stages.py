@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .exact_dedup import exact_dedup, normalised
 from .mixing import mix
 from .near_dup import near_duplicates
@@ -43,7 +44,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
         for batch in batches:
             yield batch.filter(pa.array([own.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,4 +94,4 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
                 columns[length] = pa.array(map(len, texts), columns[length].type)
             yield pa.RecordBatch.from_arrays(columns, schema=out.schema)
 
-    return joined.mapInArrow(run, docs.schema)
+    return bounded_batches(joined).mapInArrow(run, docs.schema)

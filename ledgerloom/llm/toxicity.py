@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_batches, cut
 from .learning import bounded_sample, fold, logistic
 
 #: Words of the fixed transducers.
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             got = [model.features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[k] for g in got], pa.float64()) for k in range(3))], ["toxic", "x0", "x1", "x2"])
 
-    got = rows.mapInArrow(run, "toxic int, x0 double, x1 double, x2 double").toPandas().sort_values(["toxic", "x0", "x1", "x2"])
+    got = bounded_batches(rows).mapInArrow(run, "toxic int, x0 double, x1 double, x2 double").toPandas().sort_values(["toxic", "x0", "x1", "x2"])
     model.calibration = logistic(got[["x0", "x1", "x2"]].to_numpy(), got["toxic"].to_numpy(float))
     return model
 
@@ -169,5 +169,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             scores = [own.score(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(fold(docs[id_col], 3) == 1, F.lit(False)).alias("held_out"), docs[text_col].alias("text"))
+    rows = bounded_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(fold(docs[id_col], 3) == 1, F.lit(False)).alias("held_out"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
