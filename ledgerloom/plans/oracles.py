@@ -378,3 +378,28 @@ ORACLES |= {
     "completeness_matrix": f"WITH {VIEWS.strip()},{_COMPONENTS}SELECT * FROM matrix",
     "completeness_counts": f"WITH {VIEWS.strip()},{_COMPONENTS}SELECT status, count(*) AS components FROM matrix GROUP BY 1",
 }
+ORACLES |= {
+    "equity_points_streaming": ORACLES["equity_points_5m"],
+    "price_graph": """
+WITH RECURSIVE r AS (
+  SELECT n_nationkey AS token, 1.0::DOUBLE AS price FROM nation WHERE n_nationkey = 0
+  UNION ALL SELECT n.n_nationkey, r.price * (1 + n.n_regionkey / 4.0::DOUBLE) FROM nation n JOIN r ON n.n_nationkey > 0 AND n.n_nationkey // 2 = r.token)
+SELECT token, round(price, 9) AS price FROM r""",
+    "leverage_inference": _sql("""
+SELECT leverage, count(*) AS positions FROM (
+  SELECT p.account_id, p.id, CASE WHEN min(o.leverage // 4) = max(o.leverage // 4) THEN min(o.leverage // 4) END AS leverage
+  FROM (SELECT DISTINCT account_id, symbol, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS id, open_time, close_time FROM trades WHERE close_time >= open_time) p
+  LEFT JOIN (SELECT * FROM trades WHERE close_time >= open_time) o
+    ON o.account_id = p.account_id AND o.symbol = p.symbol AND o.open_time >= p.open_time - INTERVAL 300 SECOND AND o.open_time <= p.close_time
+  GROUP BY ALL) GROUP BY 1"""),
+    "translation_queue": _sql("""
+SELECT job_id AS item_id, CASE status WHEN 'RUNNING' THEN 'PENDING' ELSE status END AS status, job_id % 8 AS attempts, started_at AS created_at
+FROM jobs WHERE job_id % 8 < 5 AND (status = 'RUNNING' OR (status = 'FAILED' AND started_at < TIMESTAMP '2024-01-20 15:59:59.999999' - INTERVAL 15 MINUTE)) ORDER BY started_at, job_id LIMIT 100"""),
+    "content_changes": """
+SELECT p_partkey, p_name, CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) ELSE p_type END AS p_type FROM part
+WHERE p_partkey % 5 = 0 OR (p_partkey % 3 = 0 AND lower(p_type) <> p_type)""",
+    "position_reductions": _sql("""
+SELECT account_id, symbol, side, CAST(b AS DOUBLE) AS before, CAST(coalesce(a, 0) AS DOUBLE) AS after
+FROM (SELECT account_id, symbol, side, sum(abs(size)) FILTER (l_linenumber <= 3) AS b, sum(abs(size)) FILTER (l_linenumber > 3) AS a FROM closed GROUP BY 1, 2, 3)
+WHERE b IS NOT NULL AND coalesce(a, 0) < b"""),
+}

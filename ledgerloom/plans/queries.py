@@ -467,3 +467,66 @@ def combo_mark_price(spark: SparkSession, d: str) -> DataFrame:
     leg = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("s"), F.when(F.expr("l_linenumber = 7 and l_partkey % 5 = 0"), None).otherwise(F.col("l_discount") * 10).alias("price"), F.when(F.expr("l_partkey % 2 = 0"), "NO").otherwise("YES").alias("side"))
     combos = views.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(leg)).alias("legs"), F.count(F.lit(1)).alias("n_legs"))
     return combos.select("l_orderkey", "n_legs", F.round(combo_mark(F.col("legs"), F.lit(0.5)), 9).alias("mark_price"))
+
+
+@query
+def equity_points_streaming(spark: SparkSession, d: str) -> DataFrame:
+    from ..streaming.equity import replayed_points
+
+    return _point_columns(replayed_points(spark, d))
+
+
+@query
+def price_graph(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.venues import propagated_prices
+
+    nation = views.read(spark, d, "nation")
+    pairs = nation.filter("n_nationkey > 0").select(F.col("n_nationkey").alias("base"), F.expr("n_nationkey div 2").cast("int").alias("quote"), (1 + F.col("n_regionkey") / 4).alias("rate"))
+    known = nation.filter("n_nationkey = 0").select(F.col("n_nationkey").alias("token"), F.lit(1.0).alias("price"))
+    return propagated_prices(known, pairs).withColumn("price", F.round("price", 9))
+
+
+@query
+def leverage_inference(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.venues import inferred_leverage
+
+    rows = _active_trades(spark, d).filter("close_time >= open_time")
+    held = rows.select("account_id", "symbol", F.concat_ws(":", *KEYS).alias("source_record_id"), "open_time", "close_time").distinct()
+    orders = rows.select("account_id", "symbol", F.col("open_time").alias("ordered_at"), F.expr("leverage div 4").alias("leverage"))
+    out = inferred_leverage(held, orders)
+    return out.groupBy("leverage").agg(F.count(F.lit(1)).alias("positions"))
+
+
+@query
+def error_dedup(spark: SparkSession, d: str) -> DataFrame:
+    jobs = views.sync_jobs(spark, d).filter("status = 'FAILED'")
+    errors = jobs.select("account_id", F.lit("SYNC").alias("error_type"), F.lit("failed").alias("message"), F.col("started_at").alias("occurred_at"))
+    return ops.error_runs(errors, hours=24).select("account_id", "occurred_at")
+
+
+@query
+def status_sticky(spark: SparkSession, d: str) -> DataFrame:
+    jobs = views.sync_jobs(spark, d)
+    updates = jobs.select("account_id", F.col("started_at").alias("at"), "job_id", F.when(F.col("status") == "FAILED", "PARTIAL").otherwise("COMPLETE").alias("status"), (F.col("job_id") % 7 == 0).alias("authoritative"))
+    return reconcile.sticky_fold(updates, ["account_id"], ["at", "job_id"])
+
+
+@query
+def translation_queue(spark: SparkSession, d: str) -> DataFrame:
+    items = views.sync_jobs(spark, d).select(F.col("job_id").alias("item_id"), F.when(F.col("status") == "RUNNING", "PENDING").otherwise(F.col("status")).alias("status"), (F.col("job_id") % 8).alias("attempts"), F.col("started_at").alias("created_at"), F.col("started_at").alias("updated_at"))
+    return incremental.work_queue(items, F.lit(DAYS[1]).cast("timestamp_ntz"), 100).select("item_id", "status", "attempts", "created_at")
+
+
+@query
+def content_changes(spark: SparkSession, d: str) -> DataFrame:
+    part = views.read(spark, d, "part").select("p_partkey", "p_name", "p_type")
+    stored = part.filter("p_partkey % 5 != 0")
+    incoming = part.withColumn("p_type", F.when(F.expr("p_partkey % 3 = 0"), F.lower("p_type")).otherwise(F.col("p_type")))
+    return incremental.changed_content(stored, incoming, ["p_partkey"], ["p_name", "p_type"])
+
+
+@query
+def position_reductions(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.closed_positions(spark, d).select("account_id", "symbol", "side", "size", "l_linenumber")
+    found = positions.reduced(rows.filter("l_linenumber <= 3"), rows.filter("l_linenumber > 3"), ["account_id", "symbol", "side"])
+    return found.select("account_id", "symbol", "side", F.col("before").cast("double").alias("before"), F.col("after").cast("double").alias("after"))

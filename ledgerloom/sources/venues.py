@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ratios import clamp, ratio
 from ..functions.text import normalize_side, normalize_symbol
+from .shared import fresh_path, staged
 
 #: Coins taken at parity, and per venue the bill types that make each kind of record.
 PARITY = ("USDT", "USDC", "FDUSD", "BUSD", "USD")
@@ -192,13 +193,14 @@ def propagated_prices(known: DataFrame, pairs: DataFrame, rounds: int = 8) -> Da
     """Prices (token, price) reached from known ones over pairs (base, quote, rate: quote per base), nearest first.
 
     Each round prices the tokens one pair further; it stops when none is new. Of several ways the smallest price
-    by (round, price) is taken. The frontier stays a DataFrame; only whether it is empty comes back.
+    by (round, price) is taken. Each round is written, so lineage does not grow; only whether it is empty comes back.
     """
     both = pairs.select(F.col("base").alias("a"), F.col("quote").alias("b"), F.col("rate").alias("r")).unionByName(pairs.filter("rate != 0").select(F.col("quote").alias("a"), F.col("base").alias("b"), (1 / F.col("rate")).alias("r")))
-    out = known.select("token", "price")
+    spark = known.sparkSession
+    both, out = staged(both, fresh_path(spark, "pairs")), staged(known.select("token", "price"), fresh_path(spark, "prices"))
     for _ in range(rounds):
         reached = both.join(out.withColumnRenamed("token", "b"), "b").select(F.col("a").alias("token"), (F.col("r") * F.col("price")).alias("price"))
-        fresh = reached.join(out.select("token"), "token", "left_anti").groupBy("token").agg(F.min("price").alias("price"))
+        fresh = staged(reached.join(out.select("token"), "token", "left_anti").groupBy("token").agg(F.min("price").alias("price")), fresh_path(spark, "prices"))
         if fresh.isEmpty():
             break
         out = out.unionByName(fresh)
