@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from math import ceil, log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +32,7 @@ LEAST, TIMES = 80, 100
 #: ones apart, at most, as both go to every task. Beyond, only the frequencies from a higher count on are used.
 FREQUENT, MOST_FREQUENT, MOST_BITS = 32, 1_000_000, 28
 #: Shingles sorted together in a task.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 LADDER = (1, 2, 4, 8, 16)
 #: 64-bit words of a parity sketch: each shingle flips one of its bits.
 SKETCH = 16
@@ -99,17 +98,18 @@ def document_frequencies(texts: DataFrame, n_docs: int) -> Frequencies:
         if size:
             yield send()
 
-    def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(key[0])
-        values, n = np.unique(np.concatenate([_unpacked(b) for b in group["packed"]]), return_counts=True)
+    def count(key: tuple, group: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        values, n = np.unique(np.concatenate([_unpacked(b) for b in group["packed"].to_pylist()]), return_counts=True)
         bits = np.zeros(1 << (map_bits - bucket_bits), bool)
         bits[values[n > 1] >> np.uint32(32 - (map_bits - bucket_bits))] = True
         often = n >= FREQUENT
         keys = (np.uint64(bucket) << np.uint64(32)) | values[often].astype(np.uint64)
-        return pd.DataFrame({"bucket": [bucket], "bits": [np.packbits(bits).tobytes()], "keys": [keys.astype(np.int64)], "df": [n[often].astype(np.int64)]})
+        columns = [pa.array([bucket], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([keys.astype(np.int64)], pa.list_(pa.int64())), pa.array([n[often].astype(np.int64)], pa.list_(pa.int64()))]
+        return pa.Table.from_arrays(columns, ["bucket", "bits", "keys", "df"])
 
     sorted_ = texts.select("text").mapInArrow(sort, "bucket int, packed binary")
-    counted = cut(sorted_.groupBy("bucket").applyInPandas(count, "bucket int, bits binary, keys array<long>, df array<long>"), "frequencies")
+    counted = cut(sorted_.groupBy("bucket").applyInArrow(count, "bucket int, bits binary, keys array<long>, df array<long>"), "frequencies")
     least = FREQUENT
     while (counted.agg(F.sum(F.expr(f"size(filter(df, n -> n >= {least}))"))).first()[0] or 0) > MOST_FREQUENT:
         least *= 2

@@ -32,6 +32,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 12000
 #: How sure a learned word must be (twice the log likelihood ratio) and how many there are at most.
 SURE, MOST_TERMS, STEMS = 28.0, 4000, (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
+#: Words whose symbol a worker remembers at most.
+REMEMBERED = 100_000
 
 _WORD = r"[^\W\d_]+(?:'[^\W\d_]+)?"
 _TAPE = re.compile(_WORD + r"|[.!?;\n]")
@@ -90,7 +92,7 @@ class ToxicityModel:
         if got == 0:
             weight = max([self.terms.get(word, 0.0), *(self.terms.get(word[:n] + "*", 0.0) for n in STEMS if len(word) > n)])
             got = ("insult", weight) if weight > 0 else self.fixed.get(word)
-            if len(self.known) < 400_000:
+            if len(self.known) < REMEMBERED:
                 self.known[word] = got
         return got
 
