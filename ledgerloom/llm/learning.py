@@ -20,7 +20,7 @@ def bounded_sample(labelled: DataFrame, label: str, most: int) -> DataFrame:
     """
     kinds = [r[0] for r in labelled.select(label).distinct().limit(256).collect()]
     parts = [labelled.filter(F.col(label) == k).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most) for k in sorted(kinds)]
-    out = parts[0]
+    out = parts[0] if parts else labelled.limit(0)
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
