@@ -44,10 +44,10 @@ def with_assets(balances: DataFrame, assets: DataFrame) -> DataFrame:
 
 def dashboard_totals(balances: DataFrame, unvalued_assets: DataFrame, todays_return: DataFrame) -> DataFrame:
     """Equity, account count, unvalued assets and today's return over all accounts, one row."""
-    totals = balances.agg(F.coalesce(F.sum("equity"), F.lit(0)).cast("double").alias("total_equity"), F.count(F.lit(1)).alias("accounts")).withColumn("one", F.lit(1))
-    missing = unvalued_assets.agg(F.count(F.lit(1)).alias("unvalued_assets")).withColumn("one", F.lit(1))
-    today = todays_return.agg(F.coalesce(F.sum("investment_return"), F.lit(0)).cast("double").alias("today_return")).withColumn("one", F.lit(1))
-    return totals.join(missing, "one").join(today, "one").drop("one")
+    totals = balances.agg(F.coalesce(F.sum("equity"), F.lit(0)).cast("double").alias("total_equity"), F.count(F.lit(1)).alias("accounts"))
+    missing = unvalued_assets.agg(F.count(F.lit(1))).scalar()
+    today = todays_return.agg(F.coalesce(F.sum("investment_return"), F.lit(0)).cast("double")).scalar()
+    return totals.select("total_equity", "accounts", missing.alias("unvalued_assets"), today.alias("today_return"))
 
 
 def cny(amount: Column, rate: Column | float) -> Column:

@@ -78,10 +78,10 @@ def summary(records: DataFrame, closed: DataFrame, record_type: str | None = Non
         _sum_of(("TRADING_FEE",), "amount_usd").alias("trading_fee"),
         F.coalesce(F.sum(F.when(F.col("record_type").isin("DEPOSIT"), F.col("amount_usd"))), F.lit(0)).alias("deposits"),
         _sum_of(OUTGOING, "amount_usd").alias("withdrawals"),
-    ).withColumn("one", F.lit(1))
+    )
     asked = record_type is None or record_type.upper() == "REALIZED_PNL"
-    realized = closed.agg((F.coalesce(F.sum("realized_pnl"), F.lit(0)) if asked else F.lit(0)).alias("realized_pnl")).withColumn("one", F.lit(1))
-    return _derived(totals.join(realized, "one"))
+    realized = closed.agg(F.coalesce(F.sum("realized_pnl"), F.lit(0))).scalar() if asked else F.lit(0)
+    return _derived(totals.withColumn("realized_pnl", realized))
 
 
 def daily(ledger: DataFrame, closed: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -15,17 +15,15 @@ MEDIUM = {"drawdown": 15, "concentration": 35, "margin": 50, "liquidation": 20}
 def concentration(balances: DataFrame) -> DataFrame:
     """Equity of each exchange and its share of all in percent (0 without equity)."""
     by_exchange = balances.groupBy("exchange").agg(F.sum("equity").alias("equity"))
-    total = by_exchange.agg(F.sum("equity").alias("total"))
-    # One row beside a handful: the total is added without a key.
-    joined = by_exchange.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
-    return joined.select("exchange", F.col("equity").cast("double").alias("equity"), percent(F.col("equity"), F.col("total"), 0.0).alias("share_percent"))
+    total = balances.agg(F.sum("equity")).scalar()
+    return by_exchange.select("exchange", F.col("equity").cast("double").alias("equity"), percent(F.col("equity"), total, 0.0).alias("share_percent"))
 
 
 def exposures(positions: DataFrame, total_equity: DataFrame, most: int = 10) -> DataFrame:
     """The symbols of most absolute value: value, PnL, exchanges in order, and percent of equity (0 without equity)."""
     by_symbol = positions.groupBy("symbol").agg(F.sum(F.abs("value_usd")).alias("value"), F.sum("net_pnl").alias("pnl"), F.array_join(F.sort_array(F.collect_set("exchange")), ",").alias("exchanges"))
-    joined = by_symbol.withColumn("one", F.lit(1)).join(total_equity.withColumn("one", F.lit(1)), "one")
-    out = joined.select("symbol", F.col("value").cast("double").alias("value_usd"), F.col("pnl").cast("double").alias("pnl"), "exchanges", percent(F.col("value"), F.col("total"), 0.0).alias("equity_percent"))
+    total = total_equity.select("total").scalar()
+    out = by_symbol.select("symbol", F.col("value").cast("double").alias("value_usd"), F.col("pnl").cast("double").alias("pnl"), "exchanges", percent(F.col("value"), total, 0.0).alias("equity_percent"))
     return out.orderBy(F.desc("value_usd"), "symbol").limit(most)
 
 
@@ -59,13 +57,10 @@ def level(drawdown: Column, concentrated: Column, margin: Column, distance: Colu
 
 def summary(drawdown: DataFrame, shares: DataFrame, utilization: DataFrame, nearest: DataFrame) -> DataFrame:
     """One row: drawdown, largest share (0 without any), margin utilization, nearest liquidation (NULL) and level."""
-    parts = [
-        drawdown.select("max_drawdown"),
-        shares.agg(F.coalesce(F.max("share_percent"), F.lit(0.0)).alias("largest_share")),
-        utilization.select("margin_utilization"),
-        nearest.agg(F.min("distance_percent").alias("nearest_liquidation")),
-    ]
-    out = parts[0].withColumn("one", F.lit(1))
-    for part in parts[1:]:
-        out = out.join(part.withColumn("one", F.lit(1)), "one")
-    return out.drop("one").withColumn("risk_level", level(F.col("max_drawdown"), F.col("largest_share"), F.col("margin_utilization"), F.col("nearest_liquidation")))
+    out = drawdown.select(
+        "max_drawdown",
+        shares.agg(F.coalesce(F.max("share_percent"), F.lit(0.0))).scalar().alias("largest_share"),
+        utilization.select("margin_utilization").scalar().alias("margin_utilization"),
+        nearest.agg(F.min("distance_percent")).scalar().alias("nearest_liquidation"),
+    )
+    return out.withColumn("risk_level", level(F.col("max_drawdown"), F.col("largest_share"), F.col("margin_utilization"), F.col("nearest_liquidation")))

@@ -391,7 +391,7 @@ SELECT leverage, count(*) AS positions FROM (
   FROM (SELECT DISTINCT account_id, symbol, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS id, open_time, close_time FROM trades WHERE close_time >= open_time) p
   LEFT JOIN (SELECT * FROM trades WHERE close_time >= open_time) o
     ON o.account_id = p.account_id AND o.symbol = p.symbol AND o.open_time >= p.open_time - INTERVAL 300 SECOND AND o.open_time <= p.close_time
-  GROUP BY ALL) GROUP BY 1"""),
+  GROUP BY p.account_id, p.id, p.open_time, p.close_time) GROUP BY 1"""),
     "translation_queue": _sql("""
 SELECT job_id AS item_id, CASE status WHEN 'RUNNING' THEN 'PENDING' ELSE status END AS status, job_id % 8 AS attempts, started_at AS created_at
 FROM jobs WHERE job_id % 8 < 5 AND (status = 'RUNNING' OR (status = 'FAILED' AND started_at < TIMESTAMP '2024-01-20 15:59:59.999999' - INTERVAL 15 MINUTE)) ORDER BY started_at, job_id LIMIT 100"""),

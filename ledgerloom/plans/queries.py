@@ -491,7 +491,7 @@ def leverage_inference(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.venues import inferred_leverage
 
     rows = _active_trades(spark, d).filter("close_time >= open_time")
-    held = rows.select("account_id", "symbol", F.concat_ws(":", *KEYS).alias("source_record_id"), "open_time", "close_time").distinct()
+    held = rows.select("account_id", "symbol", F.concat_ws(":", *KEYS, F.col("close_time").cast("string")).alias("source_record_id"), "open_time", "close_time").distinct()
     orders = rows.select("account_id", "symbol", F.col("open_time").alias("ordered_at"), F.expr("leverage div 4").alias("leverage"))
     out = inferred_leverage(held, orders)
     return out.groupBy("leverage").agg(F.count(F.lit(1)).alias("positions"))
