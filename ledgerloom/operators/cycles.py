@@ -120,3 +120,46 @@ def hedge_cycles(fills: DataFrame) -> DataFrame:
     entry = ratio(F.col("open_notional"), F.col("open_quantity"))
     exit_ = ratio(F.col("close_notional"), F.col("close_quantity"))
     return out.select(*keys, "open_time", "close_time", "max_size", entry.alias("entry_price"), exit_.alias("exit_price"), F.when(F.col("complete"), (exit_ - entry) * F.col("close_quantity") * direction).alias("realized_pnl"), F.when(F.col("complete"), "COMPLETE").otherwise("PARTIAL").alias("data_completeness"))
+
+
+def cycles_from_start_positions(fills: DataFrame) -> DataFrame:
+    """Cycles where the venue states the position before each fill (start_position), by account and symbol.
+
+    No running sum is needed: what a fill closes and opens follows from its own row, and cycles are numbered by
+    the ends before. A cycle whose first fill found a position is partial and its entry inferred from the PnL the
+    venue reports (closed_pnl); fees go pro rata to what a fill closes and opens.
+    """
+    start, size = F.col("start_position"), F.col("quantity")
+    delta = F.when(F.col("side") == "BUY", size).otherwise(-size)
+    rows = fills.withColumn("end_position", start + delta)
+    against = start * delta < 0
+    rows = rows.withColumn("closes", F.when(against, F.least(F.abs(start), size)).otherwise(F.lit(0).cast("decimal(18,0)")))
+    ends = against & ((F.col("end_position") == 0) | (F.col("end_position") * start < 0))
+    rows = rows.withColumn("ends", ends.cast("int"))
+    rows = running_sums(rows, KEYS, F.to_date("time"), ["time", "fill_id"], {"ended": F.col("ends")})
+    close = F.struct(F.lit("close").alias("leg"), (F.col("ended") - F.col("ends")).alias("cycle"), F.col("closes").alias("q"))
+    open_ = F.struct(F.lit("open").alias("leg"), F.col("ended").alias("cycle"), (size - F.col("closes")).cast("decimal(18,0)").alias("q"))
+    legs_ = rows.withColumn("x", F.explode(F.array(close, open_))).filter("x.q > 0").select("*", "x.*").drop("x")
+    opening, closing = F.col("leg") == "open", F.col("leg") == "close"
+    price, q = F.col("price"), F.col("q")
+    long = F.when(opening, F.col("end_position") > 0).otherwise(start > 0)
+    inferred = price * q - F.when(long, F.col("closed_pnl")).otherwise(-F.col("closed_pnl"))
+    first = F.struct("time", "fill_id")
+    grouped = legs_.groupBy(*KEYS, "cycle").agg(
+        F.min_by(F.when(long, "LONG").otherwise("SHORT"), first).alias("side"),
+        F.min_by(F.when(opening, start == 0).otherwise(F.lit(False)) | (opening & (F.col("closes") > 0)), first).alias("complete"),
+        F.min(F.when(opening, F.col("time"))).alias("open_time"),
+        F.max(F.when(closing & (F.col("ends") == 1), F.col("time"))).alias("close_time"),
+        F.sum(F.when(opening, q)).alias("oq"),
+        F.sum(F.when(opening, price * q)).alias("o_n"),
+        F.sum(F.when(closing, q)).alias("cq"),
+        F.sum(F.when(closing, price * q)).alias("c_n"),
+        F.sum(F.when(closing, inferred)).alias("i_n"),
+        F.sum(F.when(closing, F.col("closed_pnl"))).alias("pnl"),
+        F.max(F.greatest(F.when(closing, F.abs(start)), F.when(opening, F.abs("end_position")))).alias("max_size"),
+        F.sum((F.col("fee").cast("double") * q.cast("double") / size.cast("double")).cast("decimal(24,8)")).alias("fee"),
+    )
+    done = grouped.filter("close_time is not null")
+    entry = F.when(F.col("complete"), ratio(F.col("o_n"), F.col("oq"))).otherwise(ratio(F.col("i_n"), F.col("cq")))
+    realized, fee = F.col("pnl").cast("double"), F.col("fee").cast("double")
+    return done.select(*KEYS, "cycle", "side", "open_time", "close_time", entry.alias("entry_price"), ratio(F.col("c_n"), F.col("cq")).alias("exit_price"), F.col("max_size").cast("double").alias("max_size"), realized.alias("realized_pnl"), fee.alias("trading_fee"), (realized - fee).alias("net_pnl"), F.when(F.col("complete"), "COMPLETE").otherwise("PARTIAL").alias("data_completeness"))

@@ -403,3 +403,64 @@ SELECT account_id, symbol, side, CAST(b AS DOUBLE) AS before, CAST(coalesce(a, 0
 FROM (SELECT account_id, symbol, side, sum(abs(size)) FILTER (l_linenumber <= 3) AS b, sum(abs(size)) FILTER (l_linenumber > 3) AS a FROM closed GROUP BY 1, 2, 3)
 WHERE b IS NOT NULL AND coalesce(a, 0) < b"""),
 }
+_STATED = """
+stated AS (
+  SELECT *, sum(d) OVER w - d + 3 AS start_position, CAST(price - 50 AS DECIMAL(18,2)) AS closed_pnl
+  FROM (SELECT *, CASE side WHEN 'BUY' THEN quantity ELSE -quantity END AS d FROM fills)
+  WINDOW w AS (PARTITION BY account_id, symbol ORDER BY time, fill_id ROWS UNBOUNDED PRECEDING)),
+sized AS (SELECT *, start_position + d AS end_position, CASE WHEN start_position * d < 0 THEN least(abs(start_position), quantity) ELSE 0 END AS closes FROM stated),
+ended AS (
+  SELECT *, sum(ends) OVER (PARTITION BY account_id, symbol ORDER BY time, fill_id ROWS UNBOUNDED PRECEDING) AS ended
+  FROM (SELECT *, CASE WHEN closes > 0 AND (end_position = 0 OR end_position * start_position < 0) THEN 1 ELSE 0 END AS ends FROM sized)),
+parts AS (
+  SELECT *, 'close' AS leg, ended - ends AS cycle, closes AS q, start_position > 0 AS long, false AS fresh FROM ended WHERE closes > 0
+  UNION ALL SELECT *, 'open', ended, quantity - closes, end_position > 0, start_position = 0 OR closes > 0 FROM ended WHERE quantity > closes),
+cyc AS (
+  SELECT account_id, symbol, CAST(cycle AS BIGINT) AS cycle, arg_min(CASE WHEN long THEN 'LONG' ELSE 'SHORT' END, (time, fill_id)) AS side, arg_min(fresh, (time, fill_id)) AS complete,
+         min(time) FILTER (leg = 'open') AS open_time, max(time) FILTER (leg = 'close' AND ends = 1) AS close_time,
+         sum(q) FILTER (leg = 'open') AS oq, sum(price * q) FILTER (leg = 'open') AS o_n, sum(q) FILTER (leg = 'close') AS cq, sum(price * q) FILTER (leg = 'close') AS c_n,
+         sum(price * q - CASE WHEN long THEN closed_pnl ELSE -closed_pnl END) FILTER (leg = 'close') AS i_n, sum(closed_pnl) FILTER (leg = 'close') AS pnl,
+         max(CASE leg WHEN 'close' THEN abs(start_position) ELSE abs(end_position) END) AS max_size,
+         CAST(sum(CAST(CAST(fee AS DOUBLE) * CAST(q AS DOUBLE) / CAST(quantity AS DOUBLE) AS DECIMAL(24,8))) AS DOUBLE) AS fee
+  FROM parts GROUP BY 1, 2, 3)
+"""
+_REBUILD = """
+src AS (SELECT l_orderkey || ':' || l_linenumber AS base_id, symbol, side, open_time, l_partkey, l_suppkey, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS id FROM closed),
+wanted AS (SELECT DISTINCT CASE WHEN l_partkey % 5 = 0 THEN id ELSE 'new:' || id END AS source_record_id, base_id, symbol, side, open_time FROM src WHERE l_suppkey % 3 <> 0),
+legacy AS (SELECT * FROM src WHERE l_partkey % 2 = 0),
+planned AS (
+  SELECT w.*, (SELECT count(*) FROM legacy l WHERE l.base_id = w.base_id AND l.symbol = w.symbol AND l.side = w.side AND l.open_time = w.open_time) AS n,
+         EXISTS (SELECT 1 FROM src s WHERE s.id = w.source_record_id) AS there FROM wanted w)
+"""
+ORACLES |= {
+    "active_accounts": _sql("SELECT account_id, exchange, connection_name, CAST(initial_equity AS DOUBLE) AS initial_equity FROM accounts WHERE is_active"),
+    "realized_income_first": _sql("""
+SELECT d.account_id, d.snapshot_date, CAST(coalesce(CASE WHEN i.n > 0 THEN i.s ELSE c.s END, 0) AS DOUBLE) AS realized_pnl
+FROM account_days d
+LEFT JOIN (SELECT account_id, CAST(record_time + INTERVAL 8 HOUR AS DATE) AS day, count(*) AS n, sum(amount_usd) AS s FROM ledger WHERE record_type = 'REALIZED_PNL' GROUP BY 1, 2) i ON i.account_id = d.account_id AND i.day = d.snapshot_date
+LEFT JOIN (SELECT account_id, CAST(time + INTERVAL 8 HOUR AS DATE) AS day, sum(price) AS s FROM fills GROUP BY 1, 2) c ON c.account_id = d.account_id AND c.day = d.snapshot_date"""),
+    "duplicate_cleanup_plan": _sql("""
+SELECT account_id, count(*) AS to_delete, CAST(sum(value_usd) AS DOUBLE) AS value_usd FROM (
+  SELECT *, row_number() OVER (PARTITION BY account_id, l_orderkey, l_linenumber ORDER BY close_time DESC, value_usd DESC, l_partkey DESC, l_suppkey DESC) AS rn
+  FROM (SELECT DISTINCT account_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, close_time, value_usd FROM closed)) WHERE rn > 1 GROUP BY 1"""),
+    "fragment_cleanup_plan": _sql("""
+SELECT account_id, symbol, side, order_id, stored_rows, matches, CASE WHEN matches = 1 THEN keep END AS keep_source_record_id, matches = 1 AS resolved, CASE WHEN matches = 1 THEN stored_rows - 1 ELSE 0 END AS to_delete
+FROM (SELECT account_id, symbol, side, fill_id // 500 AS order_id, count(*) AS stored_rows, count(*) FILTER (fill_id % 7 = 0) AS matches, max('fill:' || fill_id) FILTER (fill_id % 7 = 0) AS keep FROM fills GROUP BY 1, 2, 3, 4)
+WHERE stored_rows > 1"""),
+    "cycle_rebuild_plan": f"WITH {VIEWS.strip()},{_REBUILD}" + """
+SELECT CASE WHEN there THEN 'KEEP' WHEN n > 0 THEN 'MIGRATE' ELSE 'INSERT' END AS action, count(*) AS cycles, CAST(sum(CASE WHEN there THEN n ELSE greatest(n - 1, 0) END) AS BIGINT) AS legacy_to_delete
+FROM planned GROUP BY 1""",
+    "cycle_rebuild_unresolved": f"WITH {VIEWS.strip()},{_REBUILD}" + """
+SELECT symbol, side, count(*) AS unresolved FROM legacy l
+WHERE NOT EXISTS (SELECT 1 FROM wanted w WHERE w.base_id = l.base_id AND w.symbol = l.symbol AND w.side = l.side AND w.open_time = l.open_time) GROUP BY 1, 2""",
+    "previous_leverage": _sql("""
+SELECT side, count(coalesce(own, CASE WHEN same THEN lev END)) AS with_leverage, count(CASE WHEN same THEN margin END) AS with_margin, CAST(sum(CAST(CASE WHEN same THEN margin END AS DECIMAL(28,2))) AS DOUBLE) AS margin_used
+FROM (SELECT c.side, CASE WHEN c.l_suppkey % 4 = 0 THEN c.leverage END AS own, p.lev, p.margin,
+             coalesce(abs(epoch_us(c.open_time) - epoch_us(p.opened)) < 2000000, false) OR abs(epoch_us(TIMESTAMP '1998-06-01 00:02:00') - epoch_us(c.close_time)) < 300000000 AS same
+      FROM closed c LEFT JOIN (SELECT account_id, symbol, side, min(open_time) AS opened, max(leverage) AS lev, max(value_usd) AS margin FROM closed WHERE l_linenumber >= 4 GROUP BY 1, 2, 3) p USING (account_id, symbol, side)
+      WHERE c.l_linenumber < 4) GROUP BY 1"""),
+    "trade_cycles_start_position": f"WITH {VIEWS.strip()},{_STATED}" + """
+SELECT account_id, symbol, cycle, side, open_time, close_time, CASE WHEN complete THEN CAST(o_n AS DOUBLE) / CAST(oq AS DOUBLE) ELSE CAST(i_n AS DOUBLE) / CAST(cq AS DOUBLE) END AS entry_price,
+       CAST(c_n AS DOUBLE) / CAST(cq AS DOUBLE) AS exit_price, CAST(max_size AS DOUBLE) AS max_size, CAST(pnl AS DOUBLE) AS realized_pnl, fee AS trading_fee, CAST(pnl AS DOUBLE) - fee AS net_pnl,
+       CASE WHEN complete THEN 'COMPLETE' ELSE 'PARTIAL' END AS data_completeness FROM cyc WHERE close_time IS NOT NULL""",
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.calendar import reporting_day
-from ..operators import balances, cycles, equity, incremental, ledger, ops, pnl, positions, quality, reconcile, risk, trades
+from ..operators import balances, cycles, equity, incremental, ledger, maintenance, ops, pnl, positions, quality, reconcile, risk, trades
 from ..sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -530,3 +530,75 @@ def position_reductions(spark: SparkSession, d: str) -> DataFrame:
     rows = views.closed_positions(spark, d).select("account_id", "symbol", "side", "size", "l_linenumber")
     found = positions.reduced(rows.filter("l_linenumber <= 3"), rows.filter("l_linenumber > 3"), ["account_id", "symbol", "side"])
     return found.select("account_id", "symbol", "side", F.col("before").cast("double").alias("before"), F.col("after").cast("double").alias("after"))
+
+
+@query
+def active_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """As listed: by connection name within exchange."""
+    return views.accounts(spark, d).filter("is_active").select("account_id", "exchange", "connection_name", F.col("initial_equity").cast("double").alias("initial_equity")).orderBy("exchange", "connection_name")
+
+
+@query
+def realized_income_first(spark: SparkSession, d: str) -> DataFrame:
+    parts = views.ledger_parts(spark, d)
+    closed = views.fills(spark, d).select("account_id", F.col("time").alias("close_time"), F.col("price").alias("realized_pnl"))
+    days = _daily_rows(spark, d).select("account_id", "snapshot_date")
+    out = maintenance.realized_by_day(parts["income"], closed, days, reporting_day(F.col("record_time")), reporting_day(F.col("close_time")))
+    return out.withColumn("realized_pnl", F.col("realized_pnl").cast("double"))
+
+
+@query
+def duplicate_cleanup_plan(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.closed_positions(spark, d).select("account_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "close_time", "value_usd").distinct()
+    order = [F.desc("close_time"), F.desc("value_usd"), F.desc("l_partkey"), F.desc("l_suppkey")]
+    gone = maintenance.duplicate_plan(rows, ["account_id", "l_orderkey", "l_linenumber"], order, [*KEYS, "close_time", "value_usd"])
+    return gone.groupBy("account_id").agg(F.count(F.lit(1)).alias("to_delete"), F.sum("value_usd").cast("double").alias("value_usd"))
+
+
+@query
+def fragment_cleanup_plan(spark: SparkSession, d: str) -> DataFrame:
+    fills = views.fills(spark, d)
+    stored = fills.select("account_id", "symbol", "side", F.col("fill_id").alias("trade_id"), F.concat(F.lit("fill:"), "fill_id").alias("source_record_id"))
+    orders = fills.select(F.col("fill_id").alias("trade_id"), F.expr("fill_id div 500").alias("order_id"))
+    normalized = stored.filter("trade_id % 7 = 0").select("source_record_id")
+    return maintenance.fragment_plan(stored, orders, normalized)
+
+
+def _rebuild(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = views.closed_positions(spark, d).select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("base_id"), "symbol", "side", "open_time", *KEYS)
+    stored = rows.select("base_id", "symbol", "side", "open_time", F.concat_ws(":", *[F.col(k) for k in KEYS]).alias("source_record_id"), F.expr("l_partkey % 2 = 0").alias("is_legacy"))
+    wanted = rows.filter("l_suppkey % 3 != 0").select(F.when(F.expr("l_partkey % 5 = 0"), F.concat_ws(":", *[F.col(k) for k in KEYS])).otherwise(F.concat(F.lit("new:"), F.concat_ws(":", *[F.col(k) for k in KEYS]))).alias("source_record_id"), "base_id", "symbol", "side", "open_time").distinct()
+    return maintenance.rebuild_plan(stored, wanted)
+
+
+@query
+def cycle_rebuild_plan(spark: SparkSession, d: str) -> DataFrame:
+    planned, _ = _rebuild(spark, d)
+    return planned.groupBy("action").agg(F.count(F.lit(1)).alias("cycles"), F.sum("legacy_to_delete").alias("legacy_to_delete"))
+
+
+@query
+def cycle_rebuild_unresolved(spark: SparkSession, d: str) -> DataFrame:
+    _, unresolved = _rebuild(spark, d)
+    return unresolved.groupBy("symbol", "side").agg(F.count(F.lit(1)).alias("unresolved"))
+
+
+@query
+def previous_leverage(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.closed_positions(spark, d)
+    closed = rows.filter("l_linenumber < 4").select("account_id", "symbol", "side", "open_time", "close_time", *KEYS, F.when(F.expr("l_suppkey % 4 = 0"), F.col("leverage")).alias("leverage"), F.lit(None).cast("double").alias("margin_used"))
+    previous = rows.filter("l_linenumber >= 4").groupBy("account_id", "symbol", "side").agg(F.min("open_time").alias("open_time"), F.max("leverage").alias("leverage"), F.max("value_usd").cast("double").alias("margin_used"))
+    out = maintenance.with_previous_leverage(closed, previous, F.lit("1998-06-01 00:02:00").cast("timestamp_ntz"))
+    return out.groupBy("side").agg(F.count("leverage").alias("with_leverage"), F.count("margin_used").alias("with_margin"), F.sum(F.col("margin_used").cast("decimal(28,2)")).cast("double").alias("margin_used"))
+
+
+@query
+def trade_cycles_start_position(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.running import running_sums
+
+    fills = views.fills(spark, d)
+    signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
+    # The venue states the position; here it is a running sum that starts at 3, so first cycles are partial.
+    stated = running_sums(fills, cycles.KEYS, F.to_date("time"), ["time", "fill_id"], {"after": signed}).withColumn("start_position", (F.col("after") - signed + 3).cast("decimal(18,0)")).drop("after")
+    stated = stated.withColumn("closed_pnl", (F.col("price") - 50).cast("decimal(18,2)"))
+    return cycles.cycles_from_start_positions(stated)
