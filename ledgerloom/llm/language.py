@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .learning import bounded_sample, fold, linear_svm
+from .learning import bounded_sample, fold, linear_svm, texts_of
 
 #: Families by language code; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -135,7 +135,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = known.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold(F.col("doc_id"), 5) != 0))
     if known.isEmpty():
         return LanguageModel([], [], [], np.zeros((0, BUCKETS)))
-    got = _examples(bounded_sample(known, "lang", sample), "text").sort_values(["lang", "at", "n"])
+    chosen = bounded_sample(known.select("doc_id", "lang"), "lang", sample)
+    got = _examples(texts_of(chosen, known.select("doc_id", "text")), "text").sort_values(["lang", "at", "n"])
     rows = []
     for at, n in zip(got["at"], got["n"], strict=True):
         counts = np.frombuffer(n, "<i4").astype(float)

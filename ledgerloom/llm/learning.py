@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n."""
@@ -13,17 +15,25 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def bounded_sample(labelled: DataFrame, label: str, most: int) -> DataFrame:
-    """At most `most` rows of each label: those with the least hash of doc_id, the same on every run.
+    """(doc_id, label) of at most `most` rows of each label: those with the least hash of doc_id, the same on every
+    run. A doc_id that several rows have is passed over, so that a sample of ids bounds the rows they stand for.
 
-    Each label's bound is reached by a global sort with a limit, which keeps `most` rows a task, so no task
-    gathers a label.
+    Only ids are sorted, each task keeping `most`; texts are joined to the sample afterwards (see texts_of).
     """
-    kinds = [r[0] for r in labelled.select(label).distinct().limit(256).collect()]
-    parts = [labelled.filter(F.col(label) == k).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most) for k in sorted(kinds)]
-    out = parts[0] if parts else labelled.limit(0)
+    single = labelled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first(label).alias(label)).filter("n = 1").drop("n")
+    kinds = sorted(r[0] for r in single.select(label).distinct().limit(256).collect())
+    parts = [single.filter(F.col(label) == k).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most) for k in kinds]
+    out = parts[0] if parts else single.limit(0)
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return cut(out, "sample")
+
+
+def texts_of(sample: DataFrame, docs: DataFrame) -> DataFrame:
+    """The sample (doc_id, label) with the text of its documents (doc_id, text), without ids that several of them have."""
+    found = docs.select("doc_id").join(F.broadcast(sample), "doc_id")  # bounded by the sample's size
+    single = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("doc_id"), "sample-ids")
+    return docs.join(F.broadcast(sample.join(single, "doc_id")), "doc_id")
 
 
 def linear_svm(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size: int, cost: float = 10.0, epochs: int = 12, seed: int = 3) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut
-from .learning import bounded_sample, fold, logistic
+from .learning import bounded_sample, fold, logistic, texts_of
 
 #: Words of the fixed transducers.
 THREATS = "kill hurt destroy beat punch stab shoot burn attack die töten umbringen schlagen tuer frapper matar golpear"
@@ -139,8 +139,8 @@ def _learned_terms(sample: DataFrame) -> dict[str, float]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", sample: tuple[int, int] = (SAMPLE_TOXIC, SAMPLE_CLEAN)) -> ToxicityModel:
     """Fits on labelled rows with crc32(doc_id) mod 3 other than 1, at most `sample` toxic and clean ones."""
     seen = labels.select(F.col(id_col).alias("doc_id"), F.col(toxic_col).cast("int").alias("toxic")).filter((fold(F.col("doc_id"), 3) != 1) & F.col("toxic").isin(0, 1))
-    chosen = cut(bounded_sample(seen.filter("toxic = 1"), "toxic", sample[0]).unionByName(bounded_sample(seen.filter("toxic = 0"), "toxic", sample[1])), "labelled") if not seen.isEmpty() else seen
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    chosen = bounded_sample(seen.filter("toxic = 1"), "toxic", sample[0]).unionByName(bounded_sample(seen.filter("toxic = 0"), "toxic", sample[1]))
+    rows = texts_of(chosen, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     rows = cut(rows.select("toxic", "text"), "labelled-texts")
     terms = _learned_terms(rows)
     model = ToxicityModel(terms, np.array([0.0, 0.0, 0.0, -3.0]))
