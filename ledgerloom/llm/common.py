@@ -53,9 +53,12 @@ def _drop_runs(app: str) -> None:
         return
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, parts: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, so lost executors repeat
-    no earlier stage, and ids given inside df are the same for every later reader."""
+    no earlier stage, and ids given inside df are the same for every later reader.
+
+    `parts` bounds the number of files of a table that is small for its number of partitions (see few_parts).
+    """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/ledgerloom-{label}-{uuid.uuid4().hex}"
@@ -63,10 +66,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
         _RUNS[app] = []
         atexit.register(_drop_runs, app)
     _RUNS[app].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    held = df if parts is None else df.repartition(parts)
+    held.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_parts(rows: int, each: int = 50_000) -> int:
+    """Files for a table of about one short row for each of so many documents."""
+    return max(2, rows // each)
+
+
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of text, in order; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, few_parts
 from .graph import components
 from .shingles import shingle_sets
 
@@ -109,7 +109,7 @@ def document_frequencies(texts: DataFrame, n_docs: int) -> Frequencies:
         return pa.Table.from_arrays(columns, ["bucket", "bits", "keys", "df"])
 
     sorted_ = texts.select("text").mapInArrow(sort, "bucket int, packed binary")
-    counted = cut(sorted_.groupBy("bucket").applyInArrow(count, "bucket int, bits binary, keys array<long>, df array<long>"), "frequencies")
+    counted = cut(sorted_.groupBy("bucket").applyInArrow(count, "bucket int, bits binary, keys array<long>, df array<long>"), "frequencies", few_parts(n_docs))
     least = FREQUENT
     while (counted.agg(F.sum(F.expr(f"size(filter(df, n -> n >= {least}))"))).first()[0] or 0) > MOST_FREQUENT:
         least *= 2
@@ -181,7 +181,7 @@ def _sets(docs: DataFrame, known: Frequencies, id_col: str, text_col: str) -> Da
     return rows.mapInArrow(run, "rid long, doc_id long, text_sha256 string, n long, digest binary, matches int, own int, sketch array<long>, prefix array<long>, shingles binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """Of the pairs (a, b) those whose sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +195,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     side = lambda name: sets.select(F.col("rid").alias(name), F.col("shingles").alias(f"{name}_set"))
     with_sets = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
-    return cut(with_sets.mapInArrow(run, "a long, b long"), "similar")
+    return cut(with_sets.mapInArrow(run, "a long, b long"), "similar", parts)
 
 
 def _enough(pairs: DataFrame) -> DataFrame:
@@ -222,28 +222,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id is passed over in the smallest of a class. An empty table gives an empty result. Other columns are
     not read.
     """
-    known = document_frequencies(bounded_batches(docs).select(F.encode(F.col(text_col), "UTF-8").alias("text")), docs.count())
+    n_docs = docs.count()
+    parts = few_parts(n_docs)
+    known = document_frequencies(bounded_batches(docs).select(F.encode(F.col(text_col), "UTF-8").alias("text")), n_docs)
     every = cut(_sets(docs, known, id_col, text_col), "sets")
     # Documents of the same set are one from here on.
     first = F.min_by(F.struct("rid", "n", "matches", "own", "sketch", "prefix", "shingles"), "rid")
     same = every.filter("n > 0 and size(prefix) > 0").groupBy("digest").agg(first.alias("x")).select("x.*")
-    sets = cut(same, "distinct-sets")
-    rows = cut(sets.select("rid", "n", "matches", "own", F.explode("prefix").alias("shingle")), "prefixes")
-    classes = joined_classes(rows, sets)
+    sets = cut(same, "distinct-sets", 4 * parts)
+    rows = cut(sets.select("rid", "n", "matches", "own", F.explode("prefix").alias("shingle")), "prefixes", 2 * parts)
+    classes = joined_classes(rows, sets, parts)
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("rid").alias("keep")))
     member = every.filter("n > 0").groupBy("digest").agg(smallest.alias("least"), F.min("rid").alias("rid"))
-    member = cut(member.join(classes.withColumnRenamed("node", "rid"), "rid", "left").select("digest", "least", F.coalesce("root", "rid").alias("root")), "members")
-    least = cut(member.groupBy("root").agg(F.min("least").alias("least")), "components")
-    member = cut(member.select("digest", "root").join(least, "root").select("digest", "least.doc_id", "least.keep"), "membership").withColumnRenamed("doc_id", "component_id")
+    member = cut(member.join(classes.withColumnRenamed("node", "rid"), "rid", "left").select("digest", "least", F.coalesce("root", "rid").alias("root")), "members", parts)
+    least = cut(member.groupBy("root").agg(F.min("least").alias("least")), "components", parts)
+    member = cut(member.select("digest", "root").join(least, "root").select("digest", "least.doc_id", "least.keep"), "membership", parts).withColumnRenamed("doc_id", "component_id")
     out = every.select("rid", "doc_id", "text_sha256", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(member, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     kept = (F.col("n") == 0) | (F.col("rid") == F.col("keep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "text_sha256")
 
 
-def joined_classes(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def joined_classes(rows: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """(node, root) of the documents with links, from prefix rows (rid, n, matches, shingle) and their sets."""
-    classes = cut(rows.select(F.col("rid").alias("node"), F.col("rid").alias("root")).distinct(), "classes")
+    classes = cut(rows.select(F.col("rid").alias("node"), F.col("rid").alias("root")).distinct(), "classes", parts)
     before = float("inf")
     led = None
     while True:
@@ -253,8 +255,8 @@ def joined_classes(rows: DataFrame, sets: DataFrame) -> DataFrame:
         # documents of a shingle the one with the least of its own is most like what the others were copied from.
         central = F.struct("led", F.col("own") / F.col("n"), F.xxhash64("rid"))
         seen = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("rid", "n", "matches", "own", "root"), central).alias("lead"))
-        open_ = cut(seen.filter("lo != hi").select("shingle", "lead"), "open-shingles")
-        placed = cut(placed.join(open_.select("shingle"), "shingle", "left_semi"), "open-rows")
+        open_ = cut(seen.filter("lo != hi").select("shingle", "lead"), "open-shingles", parts)
+        placed = cut(placed.join(open_.select("shingle"), "shingle", "left_semi"), "open-rows", 2 * parts)
         each = placed.groupBy("shingle", "root").agg(F.count(F.lit(1)).cast("double").alias("k"))
         left = each.groupBy("shingle").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0.0
         # Comparing with leaders no longer merges classes: the rest is compared pair by pair.
@@ -264,21 +266,21 @@ def joined_classes(rows: DataFrame, sets: DataFrame) -> DataFrame:
         lead = placed.join(open_, "shingle").filter("root != lead.root")
         lead = lead.select("rid", "n", "matches", "own", *[F.col(f"lead.{c}").alias(f"other_{c}" if c != "rid" else "other") for c in ("rid", "n", "matches", "own")]).filter(_FITS)
         pairs = lead.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b"), F.expr(_PAIR))
-        links = _verified(cut(_enough(pairs), "pairs"), sets)
+        links = _verified(_enough(pairs), sets, parts)
         leaders = open_.select(F.col("lead.rid").alias("rid"), F.lit(1).alias("led"))
-        led = cut((leaders if led is None else leaders.unionByName(led)).distinct(), "leaders")
-        classes = _merged(classes, links)
+        led = cut((leaders if led is None else leaders.unionByName(led)).distinct(), "leaders", parts)
+        classes = _merged(classes, links, parts)
     placed = placed.join(sets.select("rid", "sketch"), "rid")
     a = placed.select("shingle", "rid", "n", "matches", "own", "root", "sketch")
     b = placed.select("shingle", F.col("rid").alias("other"), *[F.col(c).alias(f"other_{c}") for c in ("n", "matches", "own", "root", "sketch")])
     rest = a.join(b, "shingle").filter("rid < other and root != other_root").filter(_FITS).filter(_ALIKE)
     pairs = rest.select(F.col("rid").alias("a"), F.col("other").alias("b"), F.expr(_PAIR))
-    return _merged(classes, _verified(cut(_enough(pairs), "pairs"), sets))
+    return _merged(classes, _verified(_enough(pairs), sets, parts), parts)
 
 
-def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(classes: DataFrame, links: DataFrame, parts: int) -> DataFrame:
     """The classes after links (a, b) between documents."""
     at = lambda name: classes.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     between = links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-    found = components(between).select(F.col("node").alias("root"), F.col("root").alias("onward"))
-    return cut(classes.join(found, "root", "left").select("node", F.coalesce("onward", "root").alias("root")), "classes")
+    found = components(between, parts).select(F.col("node").alias("root"), F.col("root").alias("onward"))
+    return cut(classes.join(found, "root", "left").select("node", F.coalesce("onward", "root").alias("root")), "classes", parts)
