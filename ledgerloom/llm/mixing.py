@@ -22,6 +22,8 @@ PASSES = 3
 BLOCK, SLOTS, MOST_SHARDS, SEED = 32, 1024, 65536, 20
 #: Sources are a dimension: one row of each is held by the driver and in every task, and more are refused.
 MOST_SOURCES = 100_000
+#: Slots mapped by one task, such tasks at most, and slots mapped at once.
+TASK_SLOTS, MOST_TASKS, STEP_SLOTS = 200_000, 50_000, 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -110,17 +112,24 @@ def block_draws(plan: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: i
     before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # MOST_SHARDS rows at most
     numbered = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
     blocks = dict(zip(own["rank"].tolist(), own["blocks"].tolist(), strict=True))
+    # The window leaves a source's shards together; its slots are many, so they are dealt out by source and shard.
+    tasks = int(max(1, min(MOST_TASKS, own["slots"].sum() // TASK_SLOTS)))
 
     def slots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard, rank, n, first in batch[["shard", "rank", "n", "first"]].itertuples(index=False):
-                size = blocks[rank]
-                k = np.arange(first, min(first + n, passes * size), dtype=np.int64)  # the last pass ends all
-                turn = k // size
-                key = (turn + 1) * 1_000_003 + rank * 7_919 + seed
-                yield pd.DataFrame({"rank": np.int32(rank), "block": _permuted(k % size, np.full(len(k), size), key)})
-
-    return numbered.mapInPandas(slots_of, "rank int, block long").groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+            rank, first, n = (batch[c].to_numpy(np.int64) for c in ("rank", "first", "n"))
+            size = np.array([blocks[r] for r in rank.tolist()], np.int64)
+            n = np.clip(passes * size - first, 0, n)  # the last pass ends all
+            ends = np.cumsum(n)
+            for start in range(0, int(n.sum()), STEP_SLOTS):
+                at = np.arange(start, min(start + STEP_SLOTS, int(ends[-1])), dtype=np.int64)
+                row = np.searchsorted(ends, at, side="right")
+                k = first[row] + at - (ends[row] - n[row])
+                key = (k // size[row] + 1) * 1_000_003 + rank[row] * 7_919 + seed
+                yield pd.DataFrame({"rank": rank[row].astype(np.int32), "block": _permuted(k % size[row], size[row], key)})
+
+    dealt = numbered.repartition(tasks, "rank", "shard")
+    return dealt.mapInPandas(slots_of, "rank int, block long").groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, slots: int = SLOTS, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, key: Column | None = None) -> DataFrame:
