@@ -64,3 +64,13 @@ def with_previous_leverage(closed: DataFrame, previous: DataFrame, now: Column,
     same = F.coalesce(seconds(F.col("open_time"), F.col("__opened")) < open_seconds, F.lit(False)) | (seconds(now, F.col("close_time")) < close_seconds)
     out = joined.withColumn("leverage", F.coalesce("leverage", F.when(same, F.col("__leverage")))).withColumn("margin_used", F.coalesce("margin_used", F.when(same, F.col("__margin"))))
     return out.select(*closed.columns)
+
+
+def with_wider_coverage(initial: DataFrame, excluded: DataFrame, version: int = 2) -> DataFrame:
+    """Baselines (account_id, coverage_version and measures) plus what coverage left out before (account_id and the
+    same measures), once: accounts at `version` or later stay as they are."""
+    measures = [c for c in excluded.columns if c != "account_id"]
+    joined = initial.join(excluded.select("account_id", *[F.col(m).alias(f"__{m}") for m in measures]), "account_id", "left")
+    old = F.coalesce("coverage_version", F.lit(0)) < version
+    added = {m: F.when(old, F.col(m) + F.coalesce(f"__{m}", F.lit(0))).otherwise(F.col(m)) for m in measures}
+    return joined.withColumns(added).withColumn("coverage_version", F.greatest(F.coalesce("coverage_version", F.lit(0)), F.lit(version))).select(*initial.columns)

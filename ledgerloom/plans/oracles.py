@@ -328,9 +328,11 @@ SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, 'okx:' || l_orderkey || ':'
        'poly-closed:' || l_orderkey || ':' || l_partkey AS market_id FROM lineitem""",
     "snapshot_ids": _sql("SELECT snapshot_id, 'asset-daily-' || strftime(recorded_at, '%Y%m%d%H%M%S') || '-' || substr(sha256(account_id || ':' || asset), 1, 20) AS source_record_id FROM snapshots"),
     "combo_mark_price": """
-SELECT l_orderkey, count(*) AS n_legs, round(CASE WHEN bool_or(price IS NULL) THEN 0.5 ELSE product(least(greatest(p, 0), 1)) END, 9) AS mark_price
-FROM (SELECT *, CASE WHEN l_partkey % 2 = 0 THEN 1 - price ELSE price END AS p
-      FROM (SELECT *, CASE WHEN l_linenumber = 7 AND l_partkey % 5 = 0 THEN NULL ELSE l_discount * 10 END AS price FROM lineitem)) GROUP BY 1""",
+SELECT l_orderkey, count(*) AS n_legs,
+       round(CASE WHEN bool_or(missing) THEN 0.5 WHEN l_orderkey % 3 = 0 THEN 1 - product(least(greatest(p, 0), 1)) ELSE product(least(greatest(p, 0), 1)) END, 9) AS mark_price
+FROM (SELECT l_orderkey, CASE WHEN l_partkey % 11 = 0 THEN 1.0 WHEN l_partkey % 13 = 0 THEN 0.0 ELSE coalesce(price, 0) END AS p,
+             l_partkey % 11 <> 0 AND l_partkey % 13 <> 0 AND coalesce(price, 0) <= 0 AS missing
+      FROM (SELECT *, CASE WHEN l_linenumber = 7 AND l_partkey % 5 = 0 THEN NULL ELSE l_discount * 10 END AS price FROM lineitem)) GROUP BY l_orderkey""",
     "reconciliation": _sql("SELECT * FROM rec"),
     "reconciliation_totals": _sql("SELECT 1"),
     "completeness_matrix": _sql("SELECT 1"),
@@ -464,3 +466,39 @@ SELECT account_id, symbol, cycle, side, open_time, close_time, CASE WHEN complet
        CAST(c_n AS DOUBLE) / CAST(cq AS DOUBLE) AS exit_price, CAST(max_size AS DOUBLE) AS max_size, CAST(pnl AS DOUBLE) AS realized_pnl, fee AS trading_fee, CAST(pnl AS DOUBLE) - fee AS net_pnl,
        CASE WHEN complete THEN 'COMPLETE' ELSE 'PARTIAL' END AS data_completeness FROM cyc WHERE close_time IS NOT NULL""",
 }
+
+
+_PAYLOADS = """
+WITH p AS (SELECT user_id AS account_id, event_id, event_type, CASE WHEN event_id % 4 = 0 THEN 'BNB' ELSE 'USDT' END AS asset, make_timestamp_ms(epoch_ms(ts)) AS record_time,
+                  CAST(CASE WHEN event_id % 3 = 0 THEN -CAST(value AS DECIMAL(18,2)) ELSE CAST(value AS DECIMAL(18,2)) END AS DOUBLE) AS v FROM events)
+"""
+ORACLES |= {
+    "venue_income_records": _PAYLOADS + """
+SELECT account_id, CAST(event_id AS VARCHAR) AS source_record_id, asset, record_time,
+       CASE event_type WHEN 'purchase' THEN 'REALIZED_PNL' WHEN 'view' THEN 'FUNDING_FEE' WHEN 'click' THEN 'TRADING_FEE' ELSE CASE WHEN v >= 0 THEN 'DEPOSIT' ELSE 'WITHDRAWAL' END END AS record_type,
+       CASE WHEN event_type = 'click' THEN -v WHEN event_type = 'signup' THEN abs(v) ELSE v END AS amount_usd, asset = 'USDT' AS supported
+FROM p WHERE event_type IN ('purchase', 'view', 'click', 'signup')""",
+    "venue_bill_records": _PAYLOADS + """
+SELECT account_id, asset, record_time, 'b' || event_id || ':' || suffix AS source_record_id, record_type, amount_usd FROM (
+  SELECT *, 'funding' AS suffix, 'FUNDING_FEE' AS record_type, v AS amount_usd FROM p WHERE event_type = 'view'
+  UNION ALL SELECT *, 'pnl', 'REALIZED_PNL', v FROM p WHERE event_type = 'purchase' AND v <> 0
+  UNION ALL SELECT *, 'fee', 'TRADING_FEE', -v FROM p WHERE event_type IN ('purchase', 'click') AND v <> 0
+  UNION ALL SELECT *, CASE WHEN v > 0 THEN 'deposit' ELSE 'withdrawal' END, CASE WHEN v > 0 THEN 'DEPOSIT' ELSE 'WITHDRAWAL' END, abs(v)
+            FROM p WHERE v <> 0 AND event_type NOT IN ('view', 'purchase', 'click') AND NOT (event_type = 'signup' AND event_id % 5 = 0))""",
+    "venue_transaction_records": _PAYLOADS + """
+SELECT account_id, asset, record_time, event_id || ':' || suffix AS source_record_id, record_type, amount_usd FROM (
+  SELECT *, 'pnl' AS suffix, 'REALIZED_PNL' AS record_type, v AS amount_usd FROM p WHERE event_type = 'purchase'
+  UNION ALL SELECT *, 'funding', 'FUNDING_FEE', v FROM p WHERE event_type = 'view'
+  UNION ALL SELECT *, 'fee', 'TRADING_FEE', v FROM p WHERE event_type = 'click'
+  UNION ALL SELECT *, 'cash', CASE WHEN v > 0 THEN 'DEPOSIT' ELSE 'WITHDRAWAL' END, abs(v) FROM p WHERE event_type IN ('signup', 'error')) WHERE amount_usd <> 0""",
+    "venue_category_positions": """
+SELECT side, margin_mode, category, count(DISTINCT id) AS positions, CAST(sum(CAST(round(value, 4) AS DECIMAL(28,4))) AS DOUBLE) AS position_value_usd
+FROM (SELECT CASE WHEN l_linestatus = 'O' THEN 'LONG' ELSE 'SHORT' END AS side, CASE WHEN l_suppkey % 2 = 0 THEN 'ISOLATED' ELSE 'CROSS' END AS margin_mode,
+             CASE WHEN l_partkey % 4 = 0 THEN 'inverse' ELSE 'linear' END AS category, concat_ws('-', l_partkey, l_orderkey, l_linenumber) AS id, l_suppkey,
+             max(abs(l_extendedprice)) AS value
+      FROM lineitem WHERE l_linenumber <= 3 AND l_quantity <> 0 GROUP BY ALL) GROUP BY 1, 2, 3""",
+}
+
+#: Days are ISO text on both sides.
+_DAYS = {"ledger_daily_preagg": "record_date", "pnl_account_days": "snapshot_date", "pnl_daily": "snapshot_date", "pnl_weekly": "period_start", "pnl_monthly": "period_start", "latest_asset_batch": "batch_day", "first_of_day_snapshots": "day", "affected_days_incremental": "record_date", "realized_income_first": "snapshot_date"}
+ORACLES |= {name: f"SELECT * REPLACE (CAST({day} AS VARCHAR) AS {day}) FROM ({ORACLES[name]})" for name, day in _DAYS.items()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,15 @@ KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    """Registers a query; its dates are returned as ISO text, which every reader compares alike."""
+
+    @wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = f(spark, d)
+        dates = [c for c, kind in out.dtypes if kind == "date"]
+        return out.withColumns({c: F.col(c).cast("string") for c in dates}) if dates else out
+
+    QUERIES[f.__name__] = run
     return f
 
 
@@ -464,9 +473,11 @@ def snapshot_ids(spark: SparkSession, d: str) -> DataFrame:
 def combo_mark_price(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.venues import combo_mark
 
-    leg = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("s"), F.when(F.expr("l_linenumber = 7 and l_partkey % 5 = 0"), None).otherwise(F.col("l_discount") * 10).alias("price"), F.when(F.expr("l_partkey % 2 = 0"), "NO").otherwise("YES").alias("side"))
+    status = F.when(F.expr("l_partkey % 11 = 0"), "RESOLVED_WIN").when(F.expr("l_partkey % 13 = 0"), "RESOLVED_LOSS").otherwise("OPEN")
+    leg = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("s"), F.when(F.expr("l_linenumber = 7 and l_partkey % 5 = 0"), None).otherwise(F.col("l_discount") * 10).alias("price"), status.alias("status"))
     combos = views.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(leg)).alias("legs"), F.count(F.lit(1)).alias("n_legs"))
-    return combos.select("l_orderkey", "n_legs", F.round(combo_mark(F.col("legs"), F.lit(0.5)), 9).alias("mark_price"))
+    side = F.when(F.expr("l_orderkey % 3 = 0"), "NO").otherwise("YES")
+    return combos.select("l_orderkey", "n_legs", F.round(combo_mark(F.col("legs"), side, F.lit(0.5)), 9).alias("mark_price"))
 
 
 @query
@@ -602,3 +613,53 @@ def trade_cycles_start_position(spark: SparkSession, d: str) -> DataFrame:
     stated = running_sums(fills, cycles.KEYS, F.to_date("time"), ["time", "fill_id"], {"after": signed}).withColumn("start_position", (F.col("after") - signed + 3).cast("decimal(18,0)")).drop("after")
     stated = stated.withColumn("closed_pnl", (F.col("price") - 50).cast("decimal(18,2)"))
     return cycles.cycles_from_start_positions(stated)
+
+
+def _payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Events as venue payloads: an id, a coin, a signed amount as text, and epoch milliseconds."""
+    signed = F.concat(F.when(F.expr("event_id % 3 = 0"), "-").otherwise(""), F.col("value").cast("decimal(18,2)").cast("string"))
+    return views.read(spark, d, "events").select(F.col("user_id").alias("account_id"), "event_id", "event_type", F.when(F.expr("event_id % 4 = 0"), "BNB").otherwise("USDT").alias("coin"), signed.alias("amount"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+
+
+def _by_type(**names: str):
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("event_type")]
+
+
+@query
+def venue_income_records(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.venues import income_records
+
+    kind = _by_type(purchase="REALIZED_PNL", view="FUNDING_FEE", click="COMMISSION", signup="TRANSFER", error="NEW_KIND")
+    return income_records(_payloads(spark, d).select("account_id", F.col("event_id").alias("tranId"), F.col("coin").alias("asset"), F.col("amount").alias("income"), kind.alias("incomeType"), F.col("ms").alias("time")))
+
+
+@query
+def venue_bill_records(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.venues import bill_records
+
+    only = lambda *kinds: F.when(F.col("event_type").isin(*kinds), F.col("amount")).otherwise("0")
+    sub = F.when(F.col("event_type") == "view", "173").when(F.expr("event_type = 'signup' and event_id % 5 = 0"), "318").otherwise("1")
+    return bill_records(_payloads(spark, d).select("account_id", F.concat(F.lit("b"), "event_id").alias("billId"), F.col("coin").alias("ccy"), only("purchase").alias("pnl"), only("purchase", "click").alias("fee"), F.col("amount").alias("balChg"), sub.alias("subType"), F.col("ms").alias("ts")))
+
+
+@query
+def venue_transaction_records(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.venues import transaction_records
+
+    kind = F.coalesce(_by_type(purchase="TRADE", signup="TRANSFER_IN", error="TRANSFER_OUT"), F.lit("SETTLEMENT"))
+    only = lambda name: F.when(F.col("event_type") == name, F.col("amount")).otherwise("")
+    return transaction_records(_payloads(spark, d).select("account_id", F.col("event_id").cast("string").alias("id"), F.col("ms").alias("transactionTime"), kind.alias("type"), F.col("coin").alias("currency"), F.col("amount").alias("cashFlow"), only("view").alias("funding"), only("click").alias("fee")))
+
+
+@query
+def venue_category_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as positions of linear and inverse contracts."""
+    from ..sources.venue_states import category_positions
+
+    text_of = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+    line = views.read(spark, d, "lineitem").filter("l_linenumber <= 3")
+    inverse = F.when(F.expr("l_partkey % 4 = 0"), "inverse").otherwise("linear")
+    raw = line.select(F.col("l_suppkey").alias("account_id"), inverse.alias("category"), F.concat(F.lit("P"), "l_partkey", F.lit("USDT")).alias("symbol"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("positionIdx"), F.when(F.col("l_linestatus") == "O", "Buy").otherwise("Sell").alias("side"), text_of("l_quantity").alias("size"), text_of("l_tax").alias("markPrice"), text_of("l_discount").alias("avgPrice"), text_of("l_extendedprice").alias("positionValue"), F.col("l_linenumber").cast("string").alias("leverage"), F.when(F.expr("l_partkey % 3 = 0"), "").otherwise(text_of("l_quantity")).alias("positionIMByMp"), F.lit("0").alias("positionIM"), text_of("l_discount").alias("unrealisedPnl"), F.lit("0").alias("liqPrice"), F.when(F.expr("l_suppkey % 2 = 0"), "ISOLATED_MARGIN").alias("marginMode"), F.lit("0").alias("createdTime"))
+    out = category_positions(raw)
+    exact = lambda c: F.sum(F.round(c, 4).cast("decimal(28,4)")).cast("double").alias(c)
+    return out.groupBy("side", "margin_mode", F.split("source_record_id", ":")[1].alias("category")).agg(F.countDistinct("source_record_id").alias("positions"), exact("position_value_usd"))

@@ -172,11 +172,14 @@ def wallet_updates(raw: DataFrame, wallet: Column) -> DataFrame:
     return raw.select("account_id", F.col("hash").alias("source_record_id"), moment("time").alias("record_time"), kind.alias("record_type"), amount.alias("amount_usd")).filter("record_type is not null")
 
 
-def combo_mark(legs: Column, entry: Column) -> Column:
-    """Product over the legs (price, side) of the chance of each, a NO side being one less the price; the entry
-    price if any leg has no price."""
-    chance = F.aggregate(legs, F.lit(1.0), lambda p, leg: p * clamp(F.when(F.upper(leg["side"]) == "NO", 1.0 - leg["price"]).otherwise(leg["price"]), 0.0, 1.0))
-    return F.when(F.exists(legs, lambda leg: leg["price"].isNull()), entry).otherwise(chance)
+def combo_mark(legs: Column, side: Column, entry: Column) -> Column:
+    """Product over the legs (status, price) of the chance of each: 1 and 0 for those won and lost, else the price;
+    one less that for the NO side; the entry price if any open leg has no price above 0."""
+    status = lambda leg: F.coalesce(F.upper(leg["status"]), F.lit(""))
+    price = lambda leg: F.when(status(leg) == "RESOLVED_WIN", 1.0).when(status(leg) == "RESOLVED_LOSS", 0.0).otherwise(F.coalesce(leg["price"], F.lit(0.0)))
+    chance = F.aggregate(legs, F.lit(1.0), lambda p, leg: p * clamp(price(leg), 0.0, 1.0))
+    missing = F.exists(legs, lambda leg: ~status(leg).isin("RESOLVED_WIN", "RESOLVED_LOSS") & (price(leg) <= 0))
+    return F.when(missing, entry).when(F.upper(side) == "NO", 1.0 - chance).otherwise(chance)
 
 
 def combo_size(current: Column, gross_cost: Column, fees: Column, entry: Column) -> Column:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.queries import QUERIES
-from ledgerloom.sources import files, paged, sinks, venues
+from ledgerloom.operators import maintenance
+from ledgerloom.sources import files, paged, sinks, venue_states, venues
 from ledgerloom.streaming.equity import deduplicated_errors, replayed_points
 
 SF = "/root/testdata/sf0.001"
@@ -74,8 +75,8 @@ def test_balances_and_combos(spark):
     got = {r.asset: (r.value_usd, r.price_source) for r in venues.valued_balances(held, prices).collect()}
     assert got == {"USDT": (6, "STABLECOIN_PARITY"), "BTC": (200, "EXCHANGE_PRICE"), "ODD": (None, "UNAVAILABLE")}
     assert venues.account_summary(venues.valued_balances(held, prices)).first().asDict() == {"account_id": 1, "total_equity_usd": 206, "unvalued_asset_count": 1}
-    legs = spark.createDataFrame([([(1.0, "YES"), (0.8, "YES")],), ([(0.25, "NO"), (2.0, "YES")],), ([(None, "YES")],)], "legs array<struct<price: double, side: string>>")
-    assert [r[0] for r in legs.select(venues.combo_mark(F.col("legs"), F.lit(0.5))).collect()] == [0.8, 0.75, 0.5]
+    legs = spark.createDataFrame([([("RESOLVED_WIN", None), ("OPEN", 0.8)], "YES"), ([("OPEN", 0.25), ("OPEN", 2.0)], "NO"), ([("RESOLVED_LOSS", None), (None, None)], "YES")], "legs array<struct<status: string, price: double>>, side string")
+    assert [r[0] for r in legs.select(venues.combo_mark(F.col("legs"), F.col("side"), F.lit(0.5))).collect()] == [0.8, 0.75, 0.5]
     delta = "account_id int, hash string, time long, delta struct<type: string, user: string, destination: string, amount: string, usdc: string>"
     moves = [(1, "a", 0, ("send", "0xME", "0xyou", "5", None)), (1, "b", 0, ("send", "0xyou", "0xme", "6", None)), (1, "c", 0, ("other", "x", "y", "1", None)), (1, "d", 0, ("deposit", None, None, None, "7"))]
     got = venues.wallet_updates(spark.createDataFrame(moves, delta), F.lit("0xMe")).collect()
@@ -116,3 +117,71 @@ def test_error_stream(spark, tmp_path):
     stream = spark.readStream.schema("account_id int, error_type string, message string, occurred_at timestamp").parquet(str(tmp_path / "in"))
     deduplicated_errors(stream).writeStream.format("memory").queryName("kept_errors").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("kept_errors").count() == 2
+
+
+def test_contract_and_product_positions(spark):
+    columns = "account_id int, posId string, instId string, posSide string, pos string, markPx string, avgPx string, lever string, notionalUsd string, margin string, liqPx string, mgnMode string, upl string"
+    rows = [(1, "", "BTC-USDT-SWAP", "net", "-3", "50", "40", "4", "100", "", "0", "cross", "1"), (1, "p", "ETH-USDT-SWAP", "long", "0", "1", "1", "1", "1", "1", "1", "cross", "1")]
+    p = venue_states.contract_positions(spark.createDataFrame(rows, columns)).collect()
+    assert [(x.source_record_id, x.side, x.position_size, x.position_value_usd, x.margin_used, x.liquidation_price) for x in p] == [("BTC-USDT-SWAP:net", "SHORT", 2, 100, 20, None)]
+    wallet = spark.createDataFrame([(1, "10", [("BTC", "1", "2", "3", "4", "5"), ("USDT", "1", None, "x", "", "6")])], "account_id int, totalEq string, details array<struct<ccy: string, availEq: string, availBal: string, frozenBal: string, upl: string, eqUsd: string>>")
+    s = venue_states.detail_summary(wallet).first()
+    assert (s.total_equity_usd, s.available_balance_usd, s.margin_balance_usd, s.unrealized_pnl_usd) == (10, 2, 3, 4)
+    assert sorted((b.asset, b.available, b.locked, b.value_usd) for b in venue_states.detail_balances(wallet).collect()) == [("BTC", 2, 3, 5), ("USDT", 0, 0, 6)]
+
+
+def test_ticker_holdings(spark):
+    tickers = spark.createDataFrame([("btcusdt", "100"), ("ODDUSDT", "0")], "symbol string, lastPr string")
+    spot = spark.createDataFrame([(1, "btc", "1", "0.5", "0.5", ""), (1, "usdt", "5", "0", "0", None), (1, "odd", "1", "0", "0", None), (1, "x", "2", "0", "0", "8")], "account_id int, coin string, available string, frozen string, locked string, usdtValue string")
+    valued = venue_states.spot_holdings(spot, tickers)
+    assert {r.asset: (r.value_usd, r.price_usd, r.price_source) for r in valued.collect()} == {"BTC": (200, 100, "SPOT_TICKER"), "USDT": (5, 1, "STABLECOIN_PARITY"), "ODD": (None, None, "SPOT_TICKER"), "X": (8, 4, "USDT_VALUE")}
+    raw = spark.createDataFrame([(1, "USDT_FUTURES", "USDT", "10", "4", "10", "1", "1", "2"), (1, "USDC_FUTURES", "USDC", "7", "9", "", "0", "3", "1")], "account_id int, account_type string, marginCoin string, accountEquity string, available string, usdtEquity string, isolatedMargin string, crossedMargin string, unrealizedPL string")
+    futures = venue_states.futures_holdings(raw, tickers)
+    assert {r.asset: (r.locked, r.value_usd, r.price_source) for r in futures.collect()} == {"USDT": (6, 10, "USDT_EQUITY"), "USDC": (0, 7, "STABLECOIN_PARITY")}
+    s = venue_states.holdings_summary(valued, futures, raw).first()
+    assert (s.total_equity_usd, s.available_balance_usd, s.margin_balance_usd, s.unvalued_asset_count) == (230, 13 + 100 + 5 + 8, 5, 1)
+    assert (s.legacy_excluded_equity_usd, s.legacy_excluded_margin_usd, s.legacy_excluded_unrealized_pnl_usd) == (220, 3, 1)
+    initial = spark.createDataFrame([(1, 100.0, None), (2, 100.0, 2)], "account_id int, equity double, coverage_version int")
+    excluded = spark.createDataFrame([(1, 20.0), (2, 20.0)], "account_id int, equity double")
+    wider = maintenance.with_wider_coverage(initial, excluded)
+    assert sorted(tuple(r) for r in maintenance.with_wider_coverage(wider, excluded).collect()) == [(1, 120.0, 2), (2, 100.0, 2)]
+
+
+def test_wallets_and_perpetuals(spark):
+    wallet = spark.createDataFrame([(1, "9", "8", "7", "6", [("btc", "10", "1", "2", "3", "5"), ("eth", "1", "1", "1", "1", " ")])], "account_id int, totalEquity string, totalAvailableBalance string, totalInitialMargin string, totalPerpUPL string, coins array<struct<coin: string, walletBalance: string, locked: string, totalOrderIM: string, totalPositionIM: string, usdValue: string>>")
+    assert tuple(venue_states.wallet_summary(wallet).first()) == (1, 9, 8, 7, 6, 1)
+    assert sorted((b.asset, b.available, b.locked) for b in venue_states.wallet_balances(wallet).collect()) == [("BTC", 4, 6), ("ETH", 0, 3)]
+    columns = "account_id int, category string, symbol string, positionIdx string, side string, size string, markPrice string, avgPrice string, positionValue string, leverage string, positionIMByMp string, positionIM string, unrealisedPnl string, liqPrice string, marginMode string, createdTime string"
+    row = (1, "inverse", "BTCUSD", "0", "Sell", "3", "50", "40", "150", "5", "", "0.1", "0.2", "0", "REGULAR_MARGIN", "0")
+    p = venue_states.category_positions(spark.createDataFrame([row, row], columns)).collect()
+    assert [(x.side, x.margin_used, x.unrealized_pnl, x.margin_mode) for x in p] == [("SHORT", 5, 10, "CROSS")]
+    spot = venue_states.spot_balances(spark.createDataFrame([(1, 0, "USDC", "10", "4"), (1, 3, "HYPE", "2", "0"), (1, 9, "ODD", "1", "0"), (2, 0, "USDC", "5", "0")], "account_id int, token int, coin string, total string, hold string"), spark.createDataFrame([(3, 20.0)], "token int, price double"))
+    position = "struct<coin: string, szi: string, entryPx: string, positionValue: string, liquidationPx: string, marginUsed: string, unrealizedPnl: string, leverage: struct<type: string, value: string>>"
+    perps = spark.createDataFrame([(n, "", "100", "30", None, [(("xyz:BTC", "-2", "40", "100", None, "30", "7", ("cross", "3")),)]) for n in (1, 2)], f"account_id int, dex string, accountValue string, totalMarginUsed string, withdrawable string, positions array<struct<position: {position}>>")
+    accounts = spark.createDataFrame([(1, "unifiedAccount"), (2, None)], "account_id int, abstraction string")
+    got = {r.account_id: (r.total_equity_usd, r.available_balance_usd, r.margin_balance_usd, r.unrealized_pnl_usd, r.unvalued_asset_count) for r in venue_states.onchain_summary(spot, perps, accounts).collect()}
+    assert got == {1: (50, 46, 30, 7, 1), 2: (105, 75, 30, 7, 0)}
+    p = venue_states.perp_positions(perps).first()
+    assert (p.source_record_id, p.side, p.mark_price, p.normalized_symbol, p.margin_mode) == ("xyz:BTC:SHORT", "SHORT", 50, "BTC-USDC-PERP", "CROSS")
+
+
+def test_predictions_and_bundles(spark):
+    columns = "account_id int, asset string, conditionId string, outcomeIndex int, title string, outcome string, size string, currentValue string, avgPrice string, curPrice string, initialValue string, cashPnl string, realizedPnl string, timestamp long, totalBought string"
+    tokens = spark.createDataFrame([(1, "a" * 20, "0x" + "c" * 40, 1, " Rain ", "Yes", "4", "3", "0.5", "0.75", "2", "1", "2", 100, "10"), (1, "a" * 20, "0x" + "c" * 40, 1, " Rain ", "Yes", "0", "3", "0.5", "1", "2", "1", "3", 200, "10")], columns)
+    p = venue_states.prediction_positions(tokens).collect()
+    assert [(x.symbol, x.normalized_symbol, x.position_value_usd) for x in p] == [("Rain · Yes", "POLY-" + "c" * 16 + "-1-" + "a" * 12, 3)]
+    combo = "account_id int, combo_position_id string, combo_condition_id string, side string, shares_balance double, entry_avg_price_usdc double, gross_entry_cost_usdc double, entry_fees_usdc double, realized_payout_usdc double, first_entry_at string, resolved_at string, legs array<struct<status: string, leg_current_price: double, market: struct<title: string, outcome: string>>>"
+    legs = [("RESOLVED_WIN", None, ("A", "x")), ("OPEN", 0.8, ("B", "y"))]
+    rows = spark.createDataFrame([(1, "held", "c", "YES", 10.0, 0.48, 5.0, 0.2, None, "2026-07-01T00:00:00Z", None, legs), (1, "done", "c", "YES", 0.0, 0.48, 5.0, 0.2, 10.0, "2026-07-01T00:00:00Z", "2026-07-02T00:00:00Z", legs)], combo)
+    c = venue_states.combo_positions(rows).collect()
+    assert [(x.symbol, round(x.mark_price, 9), round(x.position_value_usd, 9), round(x.unrealized_pnl, 9)) for x in c] == [("Combo: A — x + B — y · Yes", 0.8, 8, 3)]
+    moments = [F.lit(t).cast("timestamp_ntz") for t in ("1970-01-01 00:00:00", "2026-07-03 00:00:00")]
+    s = {x.source_record_id: x for x in venue_states.settled_predictions(tokens, rows, *moments).collect()}
+    assert set(s) == {"poly-closed:" + "a" * 20, "poly-closed:done"} and s["poly-closed:" + "a" * 20].net_pnl == 3
+    done = s["poly-closed:done"]
+    assert (round(done.realized_pnl, 9), done.trading_fee, done.net_pnl, round(done.max_position_size, 9)) == (5.2, 0.2, 5, 10)
+    part = spark.createDataFrame([(1, 2.0)], "account_id int, amount_usd double")
+    bundle, supported = venue_states.history_bundle({"income": part, "fees": part})
+    assert supported and sorted(r.stream for r in bundle.collect()) == ["fees", "income"]
+    with pytest.raises(ValueError, match="unknown streams"):
+        venue_states.history_bundle({"other": part})
