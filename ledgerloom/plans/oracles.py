@@ -469,7 +469,7 @@ SELECT account_id, symbol, cycle, side, open_time, close_time, CASE WHEN complet
 
 
 _PAYLOADS = """
-WITH p AS (SELECT user_id AS account_id, event_id, event_type, CASE WHEN event_id % 4 = 0 THEN 'BNB' ELSE 'USDT' END AS asset, make_timestamp_ms(epoch_ms(ts)) AS record_time,
+WITH p AS (SELECT user_id AS account_id, event_id, event_type, CASE WHEN event_id % 4 = 0 THEN 'BNB' ELSE 'USDT' END AS asset, make_timestamp_ms(epoch_us(ts) // 1000) AS record_time,
                   CAST(CASE WHEN event_id % 3 = 0 THEN -CAST(value AS DECIMAL(18,2)) ELSE CAST(value AS DECIMAL(18,2)) END AS DOUBLE) AS v FROM events)
 """
 ORACLES |= {
