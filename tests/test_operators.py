@@ -193,3 +193,10 @@ def test_incremental(spark):
     assert {(r.k, r.i): r.s for r in sums.collect()} == {(k, i): i * (i + 1) // 2 for k in (1, 2) for i in range(10)}
     queue = spark.createDataFrame([(1, "PENDING", 0, T, T), (2, "FAILED", 1, T - MIN, T - 20 * MIN), (3, "FAILED", 1, T, T - MIN), (4, "PENDING", 5, T, T)], "item_id int, status string, attempts int, created_at timestamp_ntz, updated_at timestamp_ntz")
     assert [r.item_id for r in incremental.work_queue(queue, F.lit(T).cast("timestamp_ntz"), 10).collect()] == [2, 1]
+
+
+def test_error_runs(spark):
+    at = [T, T + 30 * MIN, T + 60 * MIN, T + 61 * MIN, T + 90 * MIN, T + 122 * MIN]
+    rows = [(1, "NET", "down", t) for t in at] + [(1, "NET", "up", T + MIN), (2, "NET", "down", T + MIN)]
+    kept = ops.error_runs(spark.createDataFrame(rows, "account_id int, error_type string, message string, occurred_at timestamp_ntz")).collect()
+    assert sorted((r.account_id, r.message, r.occurred_at) for r in kept) == [(1, "down", T), (1, "down", T + 61 * MIN), (1, "down", T + 122 * MIN), (1, "up", T + MIN), (2, "down", T + MIN)]
