@@ -310,8 +310,8 @@ def equity_change(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def equity_backfill_asof(spark: SparkSession, d: str) -> DataFrame:
-    few = views.accounts(spark, d).filter("account_id < 2")
-    filled = equity.backfilled(views.balance_snapshots(spark, d).filter("account_id < 2"), few.withColumn("is_active", F.lit(True)))
+    accounts = views.accounts(spark, d).withColumn("is_active", F.lit(True))
+    filled = equity.backfilled(views.balance_snapshots(spark, d), accounts)
     return filled.select("bucket_time", F.col("total_equity").cast("double").alias("total_equity"), "account_count", "stale_account_count", "source_latest_at")
 
 
