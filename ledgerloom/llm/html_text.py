@@ -30,7 +30,8 @@ BLOCKS = frozenset("address article aside blockquote body caption dd details dia
 RAW = frozenset("script style textarea title noscript iframe template".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute, its value consumed with it, so that no name is looked for inside a value.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 _SPACE = re.compile(r"\s+")
 #: How a line stands: inside an article, inside a main element, elsewhere in the body, or inside furniture.
 ARTICLE, MAIN, BODY, FURNITURE = 0, 1, 2, 3
