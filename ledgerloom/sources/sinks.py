@@ -25,9 +25,11 @@ def stored(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def upsert(incoming: DataFrame, path: str, keys: list[str], version: list[str], partition: str) -> None:
+def upsert(incoming: DataFrame, path: str, keys: list[str], version: list[str], partition: str, latest: bool = False) -> None:
     """Puts rows into a table partitioned by `partition` (part of every key), rewriting only the partitions touched.
 
+    An incoming row replaces the stored one; with `latest` the greater version of the two stays.
+
     The new partitions are written aside first: a job that is lost half way leaves the table as it was, and the
     same batch again gives the same table.
     """
@@ -37,7 +39,8 @@ def upsert(incoming: DataFrame, path: str, keys: list[str], version: list[str],
     if not days:
         return
     old = stored(spark, path, incoming.schema).filter(F.col(partition).isin(days))
-    new = staged(upserted(old, touched, keys, version), fresh_path(spark, "merged"))
+    merged = upserted(old.limit(0), old.unionByName(touched), keys, version) if latest else upserted(old, touched, keys, version)
+    new = staged(merged, fresh_path(spark, "merged"))
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
