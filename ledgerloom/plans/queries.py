@@ -421,20 +421,22 @@ def retention_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def affected_days_incremental(spark: SparkSession, d: str) -> DataFrame:
-    accounts, closed = views.accounts(spark, d), views.closed_positions(spark, d).limit(0)
+    names = ["account_id", "record_date"]
+    accounts, closed = views.accounts(spark, d), views.closed_positions(spark, d).withColumn("record_date", reporting_day(F.col("close_time")))
+    is_late = F.col("close_time") >= F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")
     records = _ledger(spark, d).withColumn("record_date", reporting_day(F.col("record_time")))
     early = records.filter(F.col("record_time") < F.lit(DAYS[1]).cast("timestamp_ntz"))
     late = records.filter(F.col("record_time") >= F.lit(DAYS[1]).cast("timestamp_ntz"))
-    compute = lambda rows: ledger.daily(rows, closed, accounts)
-    keys = incremental.affected([late], ["account_id", "record_date"])
-    rebuilt = incremental.rebuilt(compute(early), records, keys, ["account_id", "record_date"], compute)
+    keys = incremental.affected([late, closed.filter(is_late)], names)
+    compute = lambda rows: ledger.daily(rows, closed.join(keys, names, "left_semi"), accounts)
+    rebuilt = incremental.rebuilt(ledger.daily(early, closed.filter(~is_late), accounts), records, keys, names, compute)
     return rebuilt.withColumn("amount_usd", F.col("amount_usd").cast("double"))
 
 
 @query
 def ledger_upsert(spark: SparkSession, d: str) -> DataFrame:
     records = _ledger(spark, d).select("account_id", "record_type", "record_id", "record_time", F.col("amount_usd").cast("double").alias("amount_usd"))
-    stored = records.filter("record_id % 2 = 0")
+    stored = records
     incoming = records.filter("record_id % 3 = 0").withColumn("amount_usd", F.col("amount_usd") + 1)
     return incremental.upserted(stored, incoming.unionByName(incoming), ["account_id", "record_type", "record_id"], ["record_time"])
 
@@ -657,7 +659,7 @@ def venue_category_positions(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.venue_states import category_positions
 
     text_of = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
-    line = views.read(spark, d, "lineitem").filter("l_linenumber <= 3")
+    line = views.read(spark, d, "lineitem")
     inverse = F.when(F.expr("l_partkey % 4 = 0"), "inverse").otherwise("linear")
     raw = line.select(F.col("l_suppkey").alias("account_id"), inverse.alias("category"), F.concat(F.lit("P"), "l_partkey", F.lit("USDT")).alias("symbol"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("positionIdx"), F.when(F.col("l_linestatus") == "O", "Buy").otherwise("Sell").alias("side"), text_of("l_quantity").alias("size"), text_of("l_tax").alias("markPrice"), text_of("l_discount").alias("avgPrice"), text_of("l_extendedprice").alias("positionValue"), F.col("l_linenumber").cast("string").alias("leverage"), F.when(F.expr("l_partkey % 3 = 0"), "").otherwise(text_of("l_quantity")).alias("positionIMByMp"), F.lit("0").alias("positionIM"), text_of("l_discount").alias("unrealisedPnl"), F.lit("0").alias("liqPrice"), F.when(F.expr("l_suppkey % 2 = 0"), "ISOLATED_MARGIN").alias("marginMode"), F.lit("0").alias("createdTime"))
     out = category_positions(raw)
