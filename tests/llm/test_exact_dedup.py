@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.exact_dedup import exact_dedup
+from ledgerloom.llm.exact_dedup import exact_dedup, name_documents
 
 SCHEMA = "doc_id long, text string, kept string, name long"
 
@@ -64,3 +64,22 @@ def test_plan_is_native(spark):
     df = exact_dedup(spark.createDataFrame([(1, "a", "", 0)], SCHEMA))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_names_follow_contents_and_not_partitions(spark, rows, weak):
+    key = (lambda b: F.length(b).cast("long")) if weak else None
+    df = spark.createDataFrame(rows, SCHEMA)
+    names = [
+        sorted({(r.text_sha256, r.n_blocks, r.name) for r in name_documents(df.repartition(n, "kept", "text"), block_chars=4, key=key).collect()})
+        for n in (1, 7)
+    ]
+    assert names[0] == names[1]
+    assert len({x[1:] for x in names[0]}) == len({x[0] for x in names[0]}) == len({norm(r[1]) for r in rows})
+
+
+def test_names_of_single_blocks_are_in_key_order(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(300)], "doc_id long, text string")
+    named = name_documents(df).join(df.select("doc_id", F.xxhash64("text").alias("key")), "doc_id").collect()
+    unsigned = sorted((r.key & (2**64 - 1), r.name) for r in named)
+    assert [n for _, n in unsigned] == sorted(n for _, n in unsigned) and all(n > 0 for _, n in unsigned)
