@@ -6,9 +6,10 @@ n - ceil(t n) + l of one and the first m - ceil(t m) + l of the other have l in
 document by estimated cost, so a document of frequent shingles takes a longer prefix and needs more matches.
 
 Only classes of similar documents are asked for, so the pairs of a class are not listed. Within the documents
-that share a prefix shingle, all are first compared with one of them; those found similar are one class from
-then on, and only pairs of different classes are left. When leaders merge no more classes, the pairs left are all
-compared, but for those that sizes, unshared shingles or parity sketches show to be unlike.
+that share a prefix shingle, all are first compared with one of them, its leader; those found similar are one
+class from then on, and only pairs of different classes are left. When leaders close no more shingles, the pairs
+left are all compared, but for those that sizes, unshared shingles or parity sketches show to be unlike. Shingles
+of many documents are then dealt out in cells of CELL by CELL documents of like size.
 """
 
 from __future__ import annotations
@@ -19,24 +20,31 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, few_parts
-from .graph import components
+from .graph import components, onward
 from .shingles import shingle_sets
 
 #: Similarity as a ratio: TIMES * intersection >= LEAST * union.
 LEAST, TIMES = 80, 100
 #: Documents that make a shingle frequent; their number of frequent shingles, and the bits that tell single
 #: ones apart, at most, as both go to every task. Beyond, only the frequencies from a higher count on are used.
-FREQUENT, MOST_FREQUENT, MOST_BITS = 32, 1_000_000, 28
+FREQUENT, MOST_FREQUENT, MOST_BITS = 32, 500_000, 27
+#: Counts from which shingles may be left out: FREQUENT, doubled so often.
+DOUBLINGS = 40
 #: Shingles sorted together in a task.
 FLUSH = 1_000_000
 LADDER = (1, 2, 4, 8, 16)
 #: 64-bit words of a parity sketch: each shingle flips one of its bits.
 SKETCH = 16
 VERIFY_COST = 20.0
+#: Documents of one shingle that are compared with so many others in one task.
+CELL = 512
+#: Leaders go on while they close a fifth of what is open.
+WORTH = 0.8
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -103,24 +111,25 @@ def document_frequencies(texts: DataFrame, n_docs: int) -> Frequencies:
         values, n = np.unique(np.concatenate([_unpacked(b) for b in group["packed"].to_pylist()]), return_counts=True)
         bits = np.zeros(1 << (map_bits - bucket_bits), bool)
         bits[values[n > 1] >> np.uint32(32 - (map_bits - bucket_bits))] = True
-        often = n >= FREQUENT
-        keys = (np.uint64(bucket) << np.uint64(32)) | values[often].astype(np.uint64)
-        columns = [pa.array([bucket], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([keys.astype(np.int64)], pa.list_(pa.int64())), pa.array([n[often].astype(np.int64)], pa.list_(pa.int64()))]
-        return pa.Table.from_arrays(columns, ["bucket", "bits", "keys", "df"])
+        often = np.flatnonzero(n >= FREQUENT)
+        often = often[np.argsort(-n[often], kind="stable")]  # the most frequent first, so any of them can be left out
+        keys, df = values[often].astype("<u4"), n[often].astype("<u8")
+        above = [int((df >= FREQUENT << k).sum()) for k in range(DOUBLINGS)]
+        columns = [pa.array([bucket], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([keys.tobytes()], pa.binary()), pa.array([df.tobytes()], pa.binary()), pa.array([above], pa.list_(pa.int64()))]
+        return pa.Table.from_arrays(columns, ["bucket", "bits", "keys", "df", "above"])
 
     sorted_ = texts.select("text").mapInArrow(sort, "bucket int, packed binary")
-    counted = cut(sorted_.groupBy("bucket").applyInArrow(count, "bucket int, bits binary, keys array<long>, df array<long>"), "frequencies", few_parts(n_docs))
-    least = FREQUENT
-    while (counted.agg(F.sum(F.expr(f"size(filter(df, n -> n >= {least}))"))).first()[0] or 0) > MOST_FREQUENT:
-        least *= 2
+    counted = sorted_.groupBy("bucket").applyInArrow(count, "bucket int, bits binary, keys binary, df binary, above array<long>")
+    counted = cut(counted, "frequencies", few_parts(n_docs))
+    totals = counted.agg(*[F.sum(F.col("above")[k]).alias(f"n{k}") for k in range(DOUBLINGS)]).first()
+    doubling = next(k for k in range(DOUBLINGS) if (totals[k] or 0) <= MOST_FREQUENT or k == DOUBLINGS - 1)
     step = 1 << (map_bits - bucket_bits - 3)
     bits = np.zeros(1 << (map_bits - 3), np.uint8)
     keys, df = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    kept = F.expr(f"filter(arrays_zip(keys, df), x -> x.df >= {least})")
-    for row in counted.select("bucket", "bits", kept.alias("kept")).select("bucket", "bits", "kept.keys", "kept.df").toLocalIterator():
+    for row in counted.select("bucket", "bits", F.expr(f"substring(keys, 1, int(4 * above[{doubling}]))").alias("keys"), F.expr(f"substring(df, 1, int(8 * above[{doubling}]))").alias("df")).toLocalIterator():
         bits[row["bucket"] * step : (row["bucket"] + 1) * step] = np.frombuffer(row["bits"], np.uint8)
-        keys.append(np.array(row["keys"], np.int64).view(np.uint64))
-        df.append(np.array(row["df"], np.int64))
+        keys.append((np.uint64(row["bucket"]) << np.uint64(32)) | np.frombuffer(row["keys"], "<u4").astype(np.uint64))
+        df.append(np.frombuffer(row["df"], "<u8").astype(np.int64))
     keys, df = np.concatenate(keys), np.concatenate(df)
     order = np.argsort(keys)
     return Frequencies(bucket_bits, map_bits, bits, keys[order], df[order])
@@ -156,9 +165,8 @@ def sketch(hashes: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(bool)).view(np.int64).tolist()
 
 
-def _sets(docs: DataFrame, known: Frequencies, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, held: Broadcast[Frequencies], id_col: str, text_col: str) -> DataFrame:
     """(rid, doc_id, text_sha256, n, digest, matches, own, sketch, prefix, shingles); sketch and shingles only where the prefix holds anything."""
-    held = docs.sparkSession.sparkContext.broadcast(known)
     names = ["rid", "doc_id", "text_sha256", "n", "digest", "matches", "own", "sketch", "prefix", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,29 +190,38 @@ def _sets(docs: DataFrame, known: Frequencies, id_col: str, text_col: str) -> Da
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sets are similar."""
+    """Of the pairs (a, b, ...) those whose sets are similar."""
+    columns, at = pairs.columns, len(pairs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(TIMES * both >= LEAST * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(list(range(at))).filter(pa.array(keep, pa.bool_()))
 
     side = lambda name: sets.select(F.col("rid").alias(name), F.col("shingles").alias(f"{name}_set"))
-    with_sets = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
-    return cut(with_sets.mapInArrow(run, "a long, b long"), "similar", parts)
+    with_sets = pairs.join(side("a"), "a").join(side("b"), "b").select(*columns, "a_set", "b_set")
+    return cut(with_sets.mapInArrow(run, pairs.schema), "similar", parts)
 
 
 def _enough(pairs: DataFrame) -> DataFrame:
-    """Of pairs listed once for each shared prefix shingle, those with enough of them."""
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"))
-    return counted.filter("n >= least").select("a", "b")
+    """Of pairs (a, b, least, ...) listed once for each shared prefix shingle, those with enough of them."""
+    more = [c for c in pairs.columns if c not in ("a", "b", "least")]
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("__n"), F.max("least").alias("least"), *[F.max(c).alias(c) for c in more])
+    return counted.filter("__n >= least").select("a", "b", *more)
+
+
+def _ordered(a: Column, b: Column, more: dict[str, tuple[Column, Column]]) -> list[Column]:
+    """a and b with the smaller first, a's and b's other values as a_name and b_name, and how many shingles they need."""
+    turned = a > b
+    both = {"": (a, b), **{f"_{k}": v for k, v in more.items()}}
+    sides = [F.when(turned, v[1 - at]).otherwise(v[at]).alias("ab"[at] + name) for name, v in both.items() for at in (0, 1)]
+    return [*sides, F.least("matches", "other_matches").alias("least")]
 
 
-_PAIR = "least(matches, other_matches) as least"
 #: Similar sets are of like size, and what they share is at most what either has that is not its own alone.
 _FITS = f"""{TIMES} * least(n, other_n) >= {LEAST} * greatest(n, other_n) and
   {TIMES} * least(n - own, other_n - other_own) >= {LEAST} * (n + other_n - least(n - own, other_n - other_own))"""
@@ -225,13 +242,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_docs = docs.count()
     parts = few_parts(n_docs)
     known = document_frequencies(bounded_batches(docs).select(F.encode(F.col(text_col), "UTF-8").alias("text")), n_docs)
-    every = cut(_sets(docs, known, id_col, text_col), "sets")
+    held = docs.sparkSession.sparkContext.broadcast(known)
+    del known
+    every = cut(_sets(docs, held, id_col, text_col), "sets")
+    held.destroy()
     # Documents of the same set are one from here on.
     first = F.min_by(F.struct("rid", "n", "matches", "own", "sketch", "prefix", "shingles"), "rid")
     same = every.filter("n > 0 and size(prefix) > 0").groupBy("digest").agg(first.alias("x")).select("x.*")
     sets = cut(same, "distinct-sets", 4 * parts)
-    rows = cut(sets.select("rid", "n", "matches", "own", F.explode("prefix").alias("shingle")), "prefixes", 2 * parts)
-    classes = joined_classes(rows, sets, parts)
+    classes = joined_classes(sets, parts)
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("rid").alias("keep")))
     member = every.filter("n > 0").groupBy("digest").agg(smallest.alias("least"), F.min("rid").alias("rid"))
     member = cut(member.join(classes.withColumnRenamed("node", "rid"), "rid", "left").select("digest", "least", F.coalesce("root", "rid").alias("root")), "members", parts)
@@ -243,44 +262,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "text_sha256")
 
 
-def joined_classes(rows: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """(node, root) of the documents with links, from prefix rows (rid, n, matches, shingle) and their sets."""
-    classes = cut(rows.select(F.col("rid").alias("node"), F.col("rid").alias("root")).distinct(), "classes", parts)
-    before = float("inf")
-    led = None
+_ROW = ["shingle", "rid", "n", "matches", "own", "root"]
+_OTHER = ["rid", "n", "matches", "own", "root"]
+
+
+def _open_rows(rows: DataFrame, turn: int, parts: int) -> DataFrame:
+    """Of rows (rid, n, matches, own, root, shingle) those of shingles that documents of different classes share,
+    with the shingle's leader and its number of rows. Of the documents of a shingle the one with the least of its
+    own is most like what the others were copied from; on later turns any other leads."""
+    central = F.struct(F.col("own") / F.col("n") if turn == 0 else F.lit(0.0), F.xxhash64("rid", F.lit(turn)))
+    lead = F.min_by(F.struct(*_OTHER), central)
+    seen = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"), lead.alias("lead"))
+    return cut(rows.join(seen.filter("lo != hi").select("shingle", "k", "lead"), "shingle").select(*_ROW, "k", "lead"), "open-rows", 2 * parts)
+
+
+def _led(open_: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b, a_root, b_root, a_leads, b_leads) of documents with leaders of theirs."""
+    pairs = open_.filter("root != lead.root").select(*_OTHER, *[F.col(f"lead.{c}").alias("other" if c == "rid" else f"other_{c}") for c in _OTHER]).filter(_FITS)
+    pairs = pairs.select(*_ordered(F.col("rid"), F.col("other"), {"root": (F.col("root"), F.col("other_root")), "leads": (F.lit(0), F.lit(1))}))
+    return _verified(_enough(pairs), sets, parts)
+
+
+def _followed(links: DataFrame) -> DataFrame:
+    """(node, root): of each class with links the one that it joins, leaders before others, then by hash. Whether a
+    class leads is asked of each link, which is never more than it does at all, so no circle can arise."""
+    place = lambda leads, root: F.struct((1 - F.col(leads)).alias("f"), F.xxhash64(root).alias("h"), F.col(root).alias("v"))
+    view = lambda own, other: links.select(F.col(f"{own}_root").alias("node"), place(f"{own}_leads", f"{own}_root").alias("own"), place(f"{other}_leads", f"{other}_root").alias("to"))
+    ends = view("a", "b").unionByName(view("b", "a")).groupBy("node").agg(F.min(F.least("own", "to")).alias("to"))
+    points = ends.select("node", F.col("to.v").alias("root"))
+    further = points.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return points.join(further, "root").select("node", F.col("next").alias("root"))
+
+
+def _unlike_classes(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs (a, b, least) of documents of different classes for each shingle they share, but for those that
+    cannot be similar. The rows of a shingle with many are parted by size and by hash, and each part meets the
+    parts that hold documents similar to its own in a cell of its own."""
+    sized = open_.select(*_ROW, "k").join(sets.select("rid", "sketch"), "rid")
+    # Sizes of similar sets lie in the same band or in neighbouring ones.
+    sized = sized.withColumn("chunks", F.expr(f"int((k + {CELL - 1}) div {CELL})"))
+    sized = sized.withColumn("band", F.expr(f"if(chunks = 1, 0, int(floor(ln(n) / ln({TIMES} / {LEAST} * 1.0001))))"))
+    sized = sized.withColumn("chunk", F.expr("int(pmod(xxhash64(rid, 5), chunks))"))
+    every = "transform(sequence(0, chunks - 1), x -> named_struct('lb', {lb}, 'l', {l}, 'rb', {rb}, 'r', {r}))"
+    within = "transform(sequence({lo}, {hi}), x -> named_struct('lb', band, 'l', {l}, 'rb', band, 'r', {r}))"
+    lower = within.format(lo="chunk", hi="chunks - 1", l="chunk", r="x")
+    upper = within.format(lo="0", hi="chunk", l="x", r="chunk")
+    next_up = every.format(lb="band", l="chunk", rb="band + 1", r="x")
+    next_down = every.format(lb="band - 1", l="x", rb="band", r="chunk")
+    cells = lambda own, next_: F.explode(F.expr(f"if(chunks = 1, {own}, concat({own}, {next_}))")).alias("cell")
+    carried = ["rid", "n", "matches", "own", "root", "sketch"]
+    a = sized.select("shingle", cells(lower, next_up), *carried)
+    b = sized.select("shingle", cells(upper, next_down), *[F.col(c).alias("other" if c == "rid" else f"other_{c}") for c in carried])
+    met = a.join(b, ["shingle", "cell"]).filter("root != other_root and (rid < other or cell.lb != cell.rb or cell.l != cell.r)")
+    return met.filter(_FITS).filter(_ALIKE).select(*_ordered(F.col("rid"), F.col("other"), {}))
+
+
+def joined_classes(sets: DataFrame, parts: int) -> DataFrame:
+    """(node, root) of all documents of sets, by their prefixes; documents of a class share a root."""
+    classes = sets.select(F.col("rid").alias("node"), F.col("rid").alias("root"))
+    rows = sets.select("rid", "n", "matches", "own", F.col("rid").alias("root"), F.explode("prefix").alias("shingle"))
+    links, before, turn = None, float("inf"), 0
     while True:
-        placed = rows.join(classes.withColumnRenamed("node", "rid"), "rid")
-        placed = placed.withColumn("led", F.lit(0)) if led is None else placed.join(led, "rid", "left").withColumn("led", F.coalesce("led", F.lit(0)))
-        # Shingles that documents of different classes share; those of one class have nothing left to tell. Of the
-        # documents of a shingle the one with the least of its own is most like what the others were copied from.
-        central = F.struct("led", F.col("own") / F.col("n"), F.xxhash64("rid"))
-        seen = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("rid", "n", "matches", "own", "root"), central).alias("lead"))
-        open_ = cut(seen.filter("lo != hi").select("shingle", "lead"), "open-shingles", parts)
-        placed = cut(placed.join(open_.select("shingle"), "shingle", "left_semi"), "open-rows", 2 * parts)
-        each = placed.groupBy("shingle", "root").agg(F.count(F.lit(1)).cast("double").alias("k"))
-        left = each.groupBy("shingle").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0.0
-        # Comparing with leaders no longer merges classes: the rest is compared pair by pair.
-        if left > 0.8 * before or left == 0:
+        open_ = _open_rows(rows, turn, parts)
+        size = open_.count()
+        # Comparing with leaders no longer closes shingles: the rest is compared pair by pair.
+        if size == 0 or size > WORTH * before:
             break
-        before = left
-        lead = placed.join(open_, "shingle").filter("root != lead.root")
-        lead = lead.select("rid", "n", "matches", "own", *[F.col(f"lead.{c}").alias(f"other_{c}" if c != "rid" else "other") for c in ("rid", "n", "matches", "own")]).filter(_FITS)
-        pairs = lead.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b"), F.expr(_PAIR))
-        links = _verified(_enough(pairs), sets, parts)
-        leaders = open_.select(F.col("lead.rid").alias("rid"), F.lit(1).alias("led"))
-        led = cut((leaders if led is None else leaders.unionByName(led)).distinct(), "leaders", parts)
-        classes = _merged(classes, links, parts)
-    placed = placed.join(sets.select("rid", "sketch"), "rid")
-    a = placed.select("shingle", "rid", "n", "matches", "own", "root", "sketch")
-    b = placed.select("shingle", F.col("rid").alias("other"), *[F.col(c).alias(f"other_{c}") for c in ("n", "matches", "own", "root", "sketch")])
-    rest = a.join(b, "shingle").filter("rid < other and root != other_root").filter(_FITS).filter(_ALIKE)
-    pairs = rest.select(F.col("rid").alias("a"), F.col("other").alias("b"), F.expr(_PAIR))
-    return _merged(classes, _verified(_enough(pairs), sets, parts), parts)
-
-
-def _merged(classes: DataFrame, links: DataFrame, parts: int) -> DataFrame:
-    """The classes after links (a, b) between documents."""
-    at = lambda name: classes.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    between = links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-    found = components(between, parts).select(F.col("node").alias("root"), F.col("root").alias("onward"))
-    return cut(classes.join(found, "root", "left").select("node", F.coalesce("onward", "root").alias("root")), "classes", parts)
+        found = _led(open_, sets, parts)
+        between = found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        links = between if links is None else links.unionByName(between)
+        classes = cut(onward(classes, _followed(found)), "classes", parts)
+        rows = open_.select(*_ROW).drop("root").join(classes.withColumnRenamed("node", "rid"), "rid")
+        before, turn = size, turn + 1
+    if size:
+        rest = _verified(_enough(_unlike_classes(open_, sets)), sets, parts)
+        links = rest if links is None else links.unionByName(rest)
+    return classes if links is None else components(links, parts, classes)

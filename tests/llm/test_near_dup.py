@@ -75,6 +75,14 @@ def test_against_brute_force_when_all_is_frequent(spark, rows, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("worth", [0.0, 1.0])
+def test_against_brute_force_when_shingles_are_dealt_in_cells(spark, rows, monkeypatch, worth):
+    monkeypatch.setattr(near_dup, "CELL", 3)
+    monkeypatch.setattr(near_dup, "WORTH", worth)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()), key=str) == brute(rows)
+
+
 def test_prefixes_of_similar_sets_share_enough():
     rng = np.random.default_rng(5)
     for _ in range(300):
@@ -106,6 +114,13 @@ def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_components_of_classes(spark):
+    classes = spark.createDataFrame([(i, i // 3 * 3) for i in range(30)], "node long, root long")
+    got = {r.node: r.root for r in components(spark.createDataFrame([(1, 5), (10, 3), (20, 20)], "a long, b long"), classes=classes).collect()}
+    assert sorted(got) == list(range(30)) and len({got[i] for i in (0, 1, 2, 3, 4, 5, 9, 10, 11)}) == 1
+    assert got[20] == got[18] and len(set(got.values())) == 8
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
