@@ -6,16 +6,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ratios import ratio
-from .running import running_sums
+from .running import running_least, running_sums
 
 KEYS = ["account_id", "symbol"]
 
 
 def merged_orders(fills: DataFrame) -> DataFrame:
-    """Fills of one order as one: sums, volume-weighted price, time and id of the last."""
-    groups = ["account_id", "symbol", "side", "order_id"]
-    merged = fills.groupBy(*groups).agg(F.sum("quantity").alias("quantity"), F.sum("fee").alias("fee"), F.sum(F.col("price") * F.col("quantity")).alias("notional"), F.max(F.struct("time", "fill_id")).alias("last"), F.count(F.lit(1)).alias("fills"))
-    return merged.select(*groups, "quantity", "fee", ratio(F.col("notional"), F.col("quantity")).alias("average_price"), F.col("last.time").alias("time"), F.col("last.fill_id").alias("last_fill_id"), "fills")
+    """Fills of one order, position side and fee asset as one: sums, volume-weighted price, time and id of the last.
+
+    A fill without an order id is an order of its own; one of no quantity is passed over. Fills may lack
+    position_side (BOTH), fee_asset (USDT) and realized_pnl (0).
+    """
+    given = lambda name, other: F.col(name) if name in fills.columns else F.lit(None).cast(other)
+    groups = ["account_id", "symbol", "position_side", "side", "order_key", "fee_asset"]
+    order = F.when(F.col("order_id").isNull() | (F.col("order_id").cast("string") == ""), F.concat(F.lit("trade:"), F.col("fill_id").cast("string"))).otherwise(F.col("order_id").cast("string"))
+    keyed = fills.filter("quantity != 0").select(
+        "account_id",
+        "symbol",
+        F.upper(F.coalesce(given("position_side", "string"), F.lit("BOTH"))).alias("position_side"),
+        "side",
+        order.alias("order_key"),
+        F.upper(F.coalesce(given("fee_asset", "string"), F.lit("USDT"))).alias("fee_asset"),
+        F.abs("quantity").alias("quantity"),
+        "price",
+        "fee",
+        F.coalesce(given("realized_pnl", "decimal(18,2)"), F.lit(0)).alias("realized_pnl"),
+        "time",
+        "fill_id",
+        "order_id",
+    )
+    merged = keyed.groupBy(*groups).agg(
+        F.sum("quantity").alias("quantity"),
+        F.sum("fee").alias("fee"),
+        F.sum("realized_pnl").alias("realized_pnl"),
+        F.sum(F.col("price") * F.col("quantity")).alias("notional"),
+        F.max(F.struct("time", "fill_id", "order_id")).alias("last"),
+        F.count(F.lit(1)).alias("fills"),
+    )
+    return merged.select(*groups, "quantity", "fee", "realized_pnl", ratio(F.col("notional"), F.col("quantity")).alias("average_price"), F.col("last.time").alias("time"), F.col("last.fill_id").alias("last_fill_id"), F.col("last.order_id").alias("order_id"), "fills")
 
 
 def legs(fills: DataFrame) -> DataFrame:
@@ -84,42 +112,44 @@ def with_funding(cycles: DataFrame, funding: DataFrame, keys: list[str]) -> Data
 def hedge_cycles(fills: DataFrame) -> DataFrame:
     """Cycles of accounts that hold both sides at once: (account, symbol, position_side) by itself.
 
-    A close takes at most what is open, so each step depends on the one before; the fold runs over the sorted
-    fills of one position. A close of nothing is a cycle of its own, closed at once and partial.
+    A close takes at most what is open, so the open size is a running sum that stops at 0: the sum itself less its
+    least value so far, if that is below 0. A close of nothing is a cycle of its own, closed at once and partial.
     """
-    keys = [*KEYS, "position_side"]
-    item = F.struct("time", "fill_id", "side", F.col("quantity").cast("decimal(28,8)").alias("quantity"), F.col("price").cast("decimal(28,8)").alias("price"))
-    ordered = fills.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("fills"))
-    cycle = "struct<open_time: timestamp_ntz, close_time: timestamp_ntz, size: double, max_size: double, open_quantity: double, open_notional: double, close_quantity: double, close_notional: double, complete: boolean>"
-    start = F.expr(f"cast(named_struct('now', cast(null as {cycle}), 'done', cast(array() as array<{cycle}>)) as struct<now: {cycle}, done: array<{cycle}>>)")
-
-    def step(state: Column, fill: Column) -> Column:
-        now, q, p = state["now"], fill["quantity"].cast("double"), fill["price"].cast("double")
-        opens = fill["opens"]
-
-        def built(open_time, close_time, size, largest, oq, on, cq, cn, complete) -> Column:
-            return F.struct(open_time.alias("open_time"), close_time.alias("close_time"), size.alias("size"), largest.alias("max_size"), oq.alias("open_quantity"), on.alias("open_notional"), cq.alias("close_quantity"), cn.alias("close_notional"), complete.alias("complete")).cast(cycle)
-
-        none, nil = F.lit(None).cast("timestamp_ntz"), F.lit(0.0)
-        fresh = built(fill["time"], none, q, q, q, q * p, nil, nil, F.lit(True))
-        grown = built(now["open_time"], none, now["size"] + q, F.greatest(now["max_size"], now["size"] + q), now["open_quantity"] + q, now["open_notional"] + q * p, now["close_quantity"], now["close_notional"], now["complete"])
-        orphan = built(fill["time"], fill["time"], nil, q, nil, nil, q, q * p, F.lit(False))
-        taken = F.least(q, now["size"])
-        left = now["size"] - taken
-        shrunk = built(now["open_time"], F.when(left <= 1e-12, fill["time"]), left, now["max_size"], now["open_quantity"], now["open_notional"], now["close_quantity"] + taken, now["close_notional"] + taken * p, now["complete"])
-        empty = F.lit(None).cast(cycle)
-        one = lambda c: F.concat(state["done"], F.array(c))
-        out = lambda c, d: F.struct(c.alias("now"), d.alias("done"))
-        closes = F.when(now.isNull(), out(empty, one(orphan))).when(left <= 1e-12, out(empty, one(shrunk))).otherwise(out(shrunk, state["done"]))
-        return F.when(opens, F.when(now.isNull(), out(fresh, state["done"])).otherwise(out(grown, state["done"]))).otherwise(closes)
-
-    opens = F.expr("transform(fills, f -> named_struct('time', f.time, 'fill_id', f.fill_id, 'quantity', f.quantity, 'price', f.price, 'opens', (position_side = 'LONG') = (f.side = 'BUY')))")
-    folded = ordered.select(*keys, F.aggregate(opens, start, step)["done"].alias("done"))
-    out = folded.select(*keys, F.explode("done").alias("c")).select(*keys, "c.*")
+    keys, order, day = [*KEYS, "position_side"], ["time", "fill_id"], F.to_date("time")
+    quantity = F.col("quantity").cast("decimal(18,8)")
+    opens = (F.col("position_side") == "LONG") == (F.col("side") == "BUY")
+    rows = fills.select(*keys, "time", "fill_id", quantity.alias("quantity"), F.col("price").cast("decimal(18,8)").alias("price"), opens.alias("opens"))
+    signed = F.when(F.col("opens"), F.col("quantity")).otherwise(-F.col("quantity"))
+    rows = running_sums(rows, keys, day, order, {"total": signed})
+    rows = running_least(rows, keys, day, order, {"least": F.col("total"), "least_before": F.col("total") - signed})
+    # The least value before a row is that of the sums before it; both count from 0.
+    size = lambda total, least: total - F.least(least, F.lit(0).cast("decimal(28,8)"))
+    rows = rows.withColumn("after", size(F.col("total"), F.col("least"))).withColumn("before", size(F.col("total") - signed, F.col("least_before")))
+    orphan = ~F.col("opens") & (F.col("before") == 0)
+    ends = ~F.col("opens") & (F.col("before") > 0) & (F.col("after") == 0)
+    rows = rows.withColumn("orphan", F.when(orphan, F.col("fill_id"))).withColumn("ends", ends.cast("int"))
+    rows = running_sums(rows, keys, day, order, {"ended": F.col("ends")}).withColumn("cycle", F.col("ended") - F.col("ends"))
+    taken = F.when(F.col("orphan").isNotNull(), F.col("quantity")).when(~F.col("opens"), F.col("before") - F.col("after"))
+    added = F.when(F.col("opens"), F.col("quantity"))
+    exact = lambda c: F.coalesce(F.sum(c.cast("decimal(38,12)")), F.lit(0)).cast("double")
+    grouped = rows.groupBy(*keys, "cycle", "orphan").agg(
+        F.min("time").alias("open_time"),
+        F.max("time").alias("close_time"),
+        F.max(F.greatest("before", "after")).alias("largest"),
+        F.max("quantity").alias("quantity"),
+        exact(added).alias("open_quantity"),
+        exact(added * F.col("price")).alias("open_notional"),
+        exact(taken).alias("close_quantity"),
+        exact(taken * F.col("price")).alias("close_notional"),
+        F.max("ends").alias("ends"),
+    )
+    done = grouped.filter("orphan is not null or ends = 1").withColumn("complete", F.col("orphan").isNull())
+    done = done.withColumn("max_size", F.when(F.col("complete"), F.col("largest")).otherwise(F.col("quantity")).cast("double"))
     direction = F.when(F.col("position_side") == "LONG", 1.0).otherwise(-1.0)
-    entry = ratio(F.col("open_notional"), F.col("open_quantity"))
-    exit_ = ratio(F.col("close_notional"), F.col("close_quantity"))
-    return out.select(*keys, "open_time", "close_time", "max_size", entry.alias("entry_price"), exit_.alias("exit_price"), F.when(F.col("complete"), (exit_ - entry) * F.col("close_quantity") * direction).alias("realized_pnl"), F.when(F.col("complete"), "COMPLETE").otherwise("PARTIAL").alias("data_completeness"))
+    entry, exit_ = ratio(F.col("open_notional"), F.col("open_quantity")), ratio(F.col("close_notional"), F.col("close_quantity"))
+    realized = F.when(F.col("complete"), (exit_ - entry) * F.col("close_quantity") * direction)
+    completeness = F.when(F.col("complete"), "COMPLETE").otherwise("PARTIAL")
+    return done.select(*keys, "open_time", "close_time", "max_size", entry.alias("entry_price"), exit_.alias("exit_price"), realized.alias("realized_pnl"), completeness.alias("data_completeness"))
 
 
 def cycles_from_start_positions(fills: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import bucket
+from .running import running_sums
 
 #: Fixed values in minutes: the width of a point, how far back a point may look, and when a value is stale.
 WIDTH, BACK, STALE = 5, 15, 3
@@ -42,8 +43,13 @@ def curve(five_minutes: DataFrame, range_: str) -> DataFrame:
 
 
 def backfilled(snapshots: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Points filled from the past: in a bucket b each account's latest snapshot of [b - BACK, b + WIDTH), kept
-    only where every account tracked by then has one; with the number of accounts whose value is stale.
+    """Points filled from the past that are whole: where every account tracked by then has a value."""
+    return coverage(snapshots, accounts).filter("account_count = expected").drop("expected")
+
+
+def coverage(snapshots: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Points filled from the past: in a bucket b each account's latest snapshot of [b - BACK, b + WIDTH); with the
+    number of accounts whose value is stale, and of all accounts tracked by then (expected).
 
     A snapshot is a candidate of the few buckets it can fill, so the as-of join is a join on equal buckets.
     """
@@ -58,7 +64,9 @@ def backfilled(snapshots: DataFrame, accounts: DataFrame) -> DataFrame:
     last = candidates.groupBy("bucket_time", "account_id").agg(F.max_by("equity", F.struct("recorded_at", "snapshot_id")).alias("equity"), F.max("recorded_at").alias("recorded_at"))
     stale = F.col("recorded_at") < F.col("bucket_time") - F.expr(f"INTERVAL {STALE} MINUTES")
     filled = last.groupBy("bucket_time").agg(F.sum("equity").alias("total_equity"), F.count(F.lit(1)).alias("account_count"), F.count_if(stale).alias("stale_account_count"), F.max("recorded_at").alias("source_latest_at"))
-    # Accounts tracked by a bucket's end: a step function of the few start times, joined by comparison.
-    starts = active.groupBy("tracking_started_at").agg(F.count(F.lit(1)).alias("n"))
-    expected = spine.join(F.broadcast(starts), F.col("tracking_started_at") < until).groupBy("bucket_time").agg(F.sum("n").alias("expected"))
-    return filled.join(expected, "bucket_time").filter("account_count = expected").drop("expected")
+    # Accounts tracked before a bucket's end: a running count over starts and ends in the order of time.
+    starts = active.groupBy(F.col("tracking_started_at").alias("at")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(1))
+    marks = starts.unionByName(spine.select(until.alias("at"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("kind"))).filter("at is not null")
+    counted = running_sums(marks, [], F.to_date("at"), ["at", "kind"], {"expected": F.col("n")}).filter("kind = 0")
+    expected = counted.select((F.col("at") - F.expr(f"INTERVAL {WIDTH} MINUTES")).alias("bucket_time"), "expected")
+    return filled.join(expected, "bucket_time")

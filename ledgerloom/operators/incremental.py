@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical_bitget_id, canonical_okx_id
+
 
 def affected(changed: list[DataFrame], keys: list[str]) -> DataFrame:
     """The distinct keys of all rows that changed."""
@@ -31,6 +33,35 @@ def upserted(stored: DataFrame, incoming: DataFrame, keys: list[str], version: l
     return best.select(*keys, "x.*").select(*stored.columns)
 
 
+def migrated(rows: DataFrame, id_col: str = "source_record_id") -> DataFrame:
+    """Rows of closed positions under the ids that stay the same whichever fill a cycle was read from."""
+    return rows.withColumn(id_col, canonical_bitget_id(canonical_okx_id(F.col(id_col))))
+
+
+def upserted_closed(stored: DataFrame, incoming: DataFrame, version: list[str]) -> DataFrame:
+    """Closed positions after a batch: rows of one account and canonical id are one, also where the stored ones still
+    have the ids of former times, several of which may stand for one position."""
+    keys = ["account_id", "source_record_id"]
+    old = migrated(stored)
+    return upserted(upserted(old.limit(0), old, keys, version), migrated(incoming), keys, version)
+
+
+def upserted_present(stored: DataFrame, incoming: DataFrame, keys: list[str], version: list[str], group: str) -> DataFrame:
+    """As upserted, without stored rows of groups (exchanges) that the incoming rows no longer have."""
+    present = incoming.select(group).distinct()
+    return upserted(stored.join(present, group, "left_semi").select(*stored.columns), incoming, keys, version)
+
+
+def stream_time(details: Column, key: str, fallback: Column) -> Column:
+    """When a stream was last read, by ISO text in an account's details; the fallback where that is missing or no time."""
+    return F.coalesce(F.try_to_timestamp(F.try_element_at(details, F.lit(key))).cast("timestamp_ntz"), fallback)
+
+
+def oldest_streams(accounts: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """One row: for each name the oldest time at which an account's stream of that key was read."""
+    return accounts.agg(*[F.min(stream_time(F.col("details"), key, F.col("last_synced_at"))).alias(name) for name, key in keys.items()])
+
+
 def within_period(rows: DataFrame, periods: DataFrame, now: Column) -> DataFrame:
     """Rows of an active tracking period, from its start to now."""
     active = periods.filter("is_active").select("account_id", "started_at")

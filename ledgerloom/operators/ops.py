@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratios import ratio
+from .running import spaced
 
 #: Fixed value: seconds after which an account is stale at least.
 STALE_SECONDS = 120
@@ -59,31 +60,16 @@ def panel(jobs: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     return totals.withColumn("success_rate", ratio(F.col("successful") * 100, F.col("jobs"), 0.0))
 
 
-def thinned(jobs: DataFrame, keep_seconds: int = 60) -> DataFrame:
-    """Success runs without those that follow a kept one of the account within so many seconds.
-
-    The fold is over the sorted runs of one account and hour chain; it depends on what was kept before, so it
-    is an aggregate over the account's own runs.
-    """
-    ordered = jobs.filter("status = 'SUCCESS'").groupBy("account_id").agg(F.sort_array(F.collect_list(F.struct("started_at", "job_id"))).alias("runs"))
-    start = F.expr("cast(array() as array<struct<started_at: timestamp_ntz, job_id: bigint>>)")
-
-    def step(kept: Column, run: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)["started_at"]
-        near = F.coalesce(F.unix_seconds(run["started_at"].cast("timestamp")) - F.unix_seconds(last.cast("timestamp")) < keep_seconds, F.lit(False))
-        return F.when(near, kept).otherwise(F.concat(kept, F.array(run)))
-
-    return ordered.select("account_id", F.explode(F.aggregate("runs", start, step)).alias("run")).select("account_id", "run.started_at", "run.job_id")
+def thinned(jobs: DataFrame, keep_seconds: int = 60, job_type: str = "POSITIONS") -> DataFrame:
+    """Successful runs; of those of `job_type` (all, if jobs have no such column) none that starts less than so many
+    seconds after a kept one of its account."""
+    typed = jobs if "job_type" in jobs.columns else jobs.withColumn("job_type", F.lit(job_type))
+    done = typed.filter("status = 'SUCCESS'")
+    kept = spaced(done.filter(F.col("job_type") == job_type), ["account_id"], "started_at", ["job_id"], keep_seconds * 1_000_000 - 1)
+    return kept.unionByName(done.filter(~F.col("job_type").eqNullSafe(job_type))).select("account_id", "job_type", "started_at", "job_id")
 
 
 def error_runs(errors: DataFrame, hours: int = 1) -> DataFrame:
     """Errors without those that repeat a kept one of the same account, type and message within so many hours."""
     keys = ["account_id", "error_type", "message"]
-    ordered = errors.groupBy(*keys).agg(F.sort_array(F.collect_list("occurred_at")).alias("times"))
-    start = F.expr("cast(array() as array<timestamp_ntz>)")
-
-    def step(kept: Column, at: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)
-        return F.when(F.coalesce(at - F.expr(f"INTERVAL {hours} HOURS") <= last, F.lit(False)), kept).otherwise(F.concat(kept, F.array(at)))
-
-    return ordered.select(*keys, F.explode(F.aggregate("times", start, step)).alias("occurred_at"))
+    return spaced(errors, keys, "occurred_at", keys, hours * 3_600_000_000).select(*keys, "occurred_at")

@@ -34,10 +34,10 @@ def liquidation_distance(side: Column, mark: Column, liquidation: Column) -> Col
     return F.when((m > 0) & (q > 0), F.greatest(gap / m * 100, F.lit(0.0)))
 
 
-def nearest_liquidations(positions: DataFrame, most: int = 10) -> DataFrame:
-    """Positions with a distance, nearest first; ties by account, symbol and side."""
+def nearest_liquidations(positions: DataFrame, most: int = 10, ties: list[str] | None = None) -> DataFrame:
+    """Positions with a distance, nearest first, to nine digits; ties by account, symbol and side, then by `ties`."""
     d = liquidation_distance(F.col("side"), F.col("mark_price"), F.col("liquidation_price"))
-    return positions.withColumn("distance_percent", d).filter("distance_percent is not null").orderBy("distance_percent", "account_id", "symbol", "side").limit(most)
+    return positions.withColumn("distance_percent", d).filter("distance_percent is not null").orderBy(F.round("distance_percent", 9), "account_id", "symbol", "side", *(ties or [])).limit(most)
 
 
 def margin_utilization(margin: Column, equity: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Running sums over long histories without one task per key."""
+"""Running sums, least values and spaced rows over long histories without one task per key."""
 
 from __future__ import annotations
 
@@ -21,3 +21,53 @@ def running_sums(rows: DataFrame, keys: list[str], chunk: Column, order: list[st
     inner = held.withColumns({f"__i_{n}": F.sum(f"__a_{n}").over(inside) for n in amounts})
     joined = inner.join(offsets, [*keys, "__chunk"])
     return joined.withColumns({n: F.col(f"__i_{n}") + F.col(f"__o_{n}") for n in amounts}).select(*rows.columns, *amounts)
+
+
+def running_least(rows: DataFrame, keys: list[str], chunk: Column, order: list[str], amounts: dict[str, Column]) -> DataFrame:
+    """Adds for each name the least of its amount up to and with this row, as running_sums adds sums."""
+    held = rows.withColumn("__chunk", chunk).withColumns({f"__a_{n}": c for n, c in amounts.items()})
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    least = held.groupBy(*keys, "__chunk").agg(*[F.min(f"__a_{n}").alias(f"__m_{n}") for n in amounts])
+    offsets = least.select(*keys, "__chunk", *[F.min(f"__m_{n}").over(before).alias(f"__o_{n}") for n in amounts])
+    inner = held.withColumns({f"__i_{n}": F.min(f"__a_{n}").over(inside) for n in amounts})
+    joined = inner.join(offsets, [*keys, "__chunk"])
+    return joined.withColumns({n: F.least(f"__i_{n}", f"__o_{n}") for n in amounts}).select(*rows.columns, *amounts)
+
+
+def spaced(rows: DataFrame, keys: list[str], at: str, tie: list[str], micros: int) -> DataFrame:
+    """The rows of each key that are kept when, in the order of `at` (a timestamp) and `tie`, a row is passed over
+    that comes within so many microseconds, bounds included, of the last one kept. Rows without a time are left out.
+
+    What is kept hangs on all before it, yet no task holds a whole key. Its time is cut into spans of a day or more,
+    far longer than that. Of each span it is told for every row that can be the first kept there which one is
+    the last then; that goes from span to span of a key, and then each span is gone through by itself.
+    """
+    apart, span = micros, max(86_400_000_000, 50 * micros)
+    named = [f"__k{i}" for i in range(len(keys))]
+    # Null keys are keys of their own.
+    held = rows.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for n, k in zip(named, keys, strict=True)})
+    held = held.withColumn("__t", F.unix_micros(F.col(at).cast("timestamp"))).filter("__t is not null")
+    held = held.withColumn("__span", F.floor(F.col("__t") / span))
+    # Copies of a moment go before the shuffle.
+    spans = held.groupBy(*named, "__span", "__t").agg(F.count(F.lit(1)).alias("n")).groupBy(*named, "__span").agg(F.sort_array(F.collect_list("__t")).alias("ts"))
+    spans = spans.withColumn("first", F.expr(f"slice(ts, 1, size(filter(ts, t -> t <= __span * {span} + {apart})) + 1)"))
+    spans = spans.withColumn("last", F.expr(f"transform(first, f -> aggregate(ts, f, (last, t) -> if(t > last + {apart}, t, last)))"))
+    item = F.struct("__span", "first", "last")
+    after = f"""
+      transform(array(filter(sequence(1, size(x.first)), i -> s.last is null or x.first[i - 1] > s.last + {apart})),
+                able -> if(size(able) = 0, s.last, x.last[able[0] - 1]))[0]"""
+    entered = F.expr(f"""
+      aggregate(spans, named_struct('last', cast(null as bigint), 'out', cast(array() as array<struct<__span: bigint, entry: bigint>>)),
+                (s, x) -> named_struct('last', {after}, 'out', concat(s.out, array(named_struct('__span', x.__span, 'entry', s.last)))),
+                s -> s.out)""")
+    entries = spans.groupBy(*named).agg(F.sort_array(F.collect_list(item)).alias("spans")).select(*named, F.explode(entered).alias("x")).select(*named, "x.*")
+    kept = f"""
+      aggregate(ts, named_struct('last', entry, 'kept', cast(array() as array<bigint>)),
+                (s, t) -> if(s.last is null or t > s.last + {apart}, named_struct('last', t, 'kept', concat(s.kept, array(t))), s),
+                s -> s.kept)"""
+    chosen = spans.select(*named, "__span", "ts").join(entries, [*named, "__span"]).select(*named, "__span", F.explode(F.expr(kept)).alias("__t"))
+    # Of rows of one moment the first by `tie`.
+    place = [F.struct(F.col(c).isNull(), F.col(c)) for c in tie]
+    first = held.groupBy(*named, "__span", "__t").agg(F.min(F.struct(*place, F.struct(*[F.col(c) for c in rows.columns]).alias("row"))).alias("x"))
+    return chosen.join(first, [*named, "__span", "__t"]).select("x.row.*")

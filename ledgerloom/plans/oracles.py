@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .payload_oracles import ORACLES as _PAYLOAD_ORACLES
+
 VIEWS = """
 accounts AS (
   SELECT c_custkey AS account_id, r_name AS exchange, c_name AS connection_name, c_acctbal >= 0 AS is_active,
@@ -14,6 +16,7 @@ closed AS (
          CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS realized_pnl,
          CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2)) AS trading_fee,
          CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) - CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2)) AS net_pnl,
+         CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2)) * CAST(-0.25 AS DECIMAL(3,2)) AS funding_fee,
          l_linenumber AS leverage, CAST(l_quantity AS DECIMAL(18,2)) AS size, l_orderkey, l_linenumber, l_partkey, l_suppkey
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 trades AS (SELECT c.*, a.exchange, a.connection_name, a.tracking_started_at FROM closed c JOIN accounts a USING (account_id) WHERE a.is_active),
@@ -94,6 +97,19 @@ def _sql(body: str) -> str:
     return f"WITH {VIEWS.strip()}\n{body.strip()}\n"
 
 
+_FILLED = """
+, spine AS (SELECT DISTINCT time_bucket(INTERVAL 5 MINUTE, recorded_at, TIMESTAMP '1970-01-01') AS bucket_time FROM snapshots),
+expected AS (SELECT bucket_time, (SELECT count(*) FROM accounts a WHERE a.tracking_started_at < bucket_time + INTERVAL 5 MINUTE) AS n FROM spine),
+near AS (
+  SELECT s.bucket_time, x.account_id, x.equity, x.recorded_at, x.snapshot_id
+  FROM (SELECT *, unnest([0, 5, 10, 15]) AS later FROM snapshots) x JOIN accounts a USING (account_id)
+  JOIN spine s ON s.bucket_time = time_bucket(INTERVAL 5 MINUTE, x.recorded_at, TIMESTAMP '1970-01-01') + to_minutes(CAST(later AS BIGINT))
+  WHERE x.recorded_at >= s.bucket_time - INTERVAL 15 MINUTE AND a.tracking_started_at < s.bucket_time + INTERVAL 5 MINUTE
+  QUALIFY row_number() OVER (PARTITION BY s.bucket_time, x.account_id ORDER BY x.recorded_at DESC, x.snapshot_id DESC) = 1),
+filled AS (
+  SELECT bucket_time, CAST(sum(equity) AS DOUBLE) AS total_equity, count(*) AS account_count, count(*) FILTER (recorded_at < bucket_time - INTERVAL 3 MINUTE) AS stale_account_count, max(recorded_at) AS source_latest_at
+  FROM near GROUP BY 1)
+"""
 _QUALITY = """
   count(*) AS trade_count, CAST(coalesce(sum(net_pnl), 0) AS DOUBLE) AS net_pnl,
   CASE WHEN count(*) > 0 THEN CAST(sum(net_pnl) AS DOUBLE) / count(*) ELSE 0 END AS average_net,
@@ -230,7 +246,10 @@ FROM held GROUP BY 1"""),
 SELECT symbol, CAST(sum(abs(value_usd)) AS DOUBLE) AS value_usd, CAST(sum(net_pnl) AS DOUBLE) AS pnl, array_to_string(list_sort(list(DISTINCT exchange)), ',') AS exchanges,
        CAST(sum(abs(value_usd)) AS DOUBLE) / (SELECT CAST(sum(equity) AS DOUBLE) FROM held) * 100 AS equity_percent
 FROM trades GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""),
-    "nearest_liquidations": _sql("SELECT symbol, side, round(min(distance_percent), 6) AS distance_percent, count(distance_percent) AS positions FROM liq GROUP BY 1, 2"),
+    "nearest_liquidations": _sql("""
+SELECT account_id, symbol, side, round(distance_percent, 6) AS distance_percent, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM liq
+WHERE liq.distance_percent IS NOT NULL ORDER BY round(liq.distance_percent, 9), account_id, symbol, side, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 10"""),
+    "liquidation_distances": _sql("SELECT symbol, side, round(min(distance_percent), 6) AS distance_percent, count(distance_percent) AS positions FROM liq GROUP BY 1, 2"),
     "risk_summary": _sql("""
 SELECT *, CASE WHEN max_drawdown >= 25 OR largest_share >= 50 OR margin_utilization >= 80 OR nearest_liquidation <= 10 THEN 'HIGH'
                WHEN max_drawdown >= 15 OR largest_share >= 35 OR margin_utilization >= 50 OR nearest_liquidation <= 20 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level
@@ -248,16 +267,8 @@ FROM (SELECT (SELECT coalesce(max(CASE WHEN peak > 0 THEN (peak - e) / peak * 10
     "equity_change": _sql("""
 SELECT first, last, last - first AS change_amount, CASE WHEN first <> 0 THEN (last - first) / first * 100 END AS change_percent
 FROM (SELECT CAST(arg_min(total_equity, bucket_time) AS DOUBLE) AS first, CAST(arg_max(total_equity, bucket_time) AS DOUBLE) AS last FROM five)"""),
-    "equity_backfill_asof": _sql("""
-, few AS (SELECT account_id, tracking_started_at FROM accounts WHERE account_id < 2),
-spine AS (SELECT DISTINCT time_bucket(INTERVAL 5 MINUTE, recorded_at, TIMESTAMP '1970-01-01') AS bucket_time FROM snapshots WHERE account_id < 2),
-expected AS (SELECT bucket_time, count(*) AS n FROM spine JOIN few ON tracking_started_at < bucket_time + INTERVAL 5 MINUTE GROUP BY 1),
-filled AS (
-  SELECT s.bucket_time, f.account_id, x.equity, x.recorded_at FROM spine s JOIN few f ON f.tracking_started_at < s.bucket_time + INTERVAL 5 MINUTE,
-  LATERAL (SELECT equity, recorded_at FROM snapshots b WHERE b.account_id = f.account_id AND b.recorded_at >= s.bucket_time - INTERVAL 15 MINUTE AND b.recorded_at < s.bucket_time + INTERVAL 5 MINUTE
-           ORDER BY recorded_at DESC, snapshot_id DESC LIMIT 1) x)
-SELECT bucket_time, CAST(sum(equity) AS DOUBLE) AS total_equity, count(*) AS account_count, count(*) FILTER (recorded_at < bucket_time - INTERVAL 3 MINUTE) AS stale_account_count, max(recorded_at) AS source_latest_at
-FROM filled JOIN expected USING (bucket_time) GROUP BY bucket_time, n HAVING count(*) = n""").replace(")\n, few AS", "),\nfew AS"),
+    "equity_backfill_asof": _sql(_FILLED + "SELECT bucket_time, total_equity, account_count, stale_account_count, source_latest_at FROM filled JOIN expected USING (bucket_time) WHERE account_count = n").replace(")\n, spine AS", "),\nspine AS"),
+    "equity_backfill_coverage": _sql(_FILLED + "SELECT bucket_time, total_equity, account_count, stale_account_count, source_latest_at, n AS expected FROM filled JOIN expected USING (bucket_time)").replace(")\n, spine AS", "),\nspine AS"),
     "positions_filtered_page": _sql("""
 SELECT account_id, symbol, side, close_time, CAST(value_usd AS DOUBLE) AS value_usd, CAST(net_pnl AS DOUBLE) AS net_pnl, l_orderkey, l_linenumber, l_partkey, l_suppkey
 FROM trades WHERE close_time >= tracking_started_at AND exchange = 'EUROPE' AND side = 'LONG' AND net_pnl > 0 AND (symbol ILIKE '%brand#1%' OR title ILIKE '%brand#1%')
@@ -272,9 +283,11 @@ FROM trades ORDER BY abs(trades.value_usd) DESC, exchange, symbol, side, l_order
 SELECT symbol, count(*) AS positions, CAST(sum(net_pnl) AS DOUBLE) AS net_pnl FROM closed c
 WHERE symbol ILIKE '%ring%' OR EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = c.l_partkey AND p.p_name ILIKE '%ring%') GROUP BY 1"""),
     "order_fill_merge": _sql("""
-SELECT account_id, symbol, side, order_id, CAST(sum(quantity) AS DOUBLE) AS quantity, CAST(sum(fee) AS DOUBLE) AS fee,
+SELECT account_id, symbol, CASE WHEN fill_id % 2 = 0 THEN 'LONG' ELSE 'BOTH' END AS position_side, side,
+       CASE WHEN fill_id % 11 = 0 THEN 'trade:' || fill_id ELSE CAST(order_id AS VARCHAR) END AS order_key, CASE WHEN fill_id % 4 = 0 THEN 'BNB' ELSE 'USDT' END AS fee_asset,
+       CAST(sum(quantity) AS DOUBLE) AS quantity, CAST(sum(fee) AS DOUBLE) AS fee, CAST(sum(price - 50) AS DOUBLE) AS realized_pnl,
        CAST(sum(price * quantity) AS DOUBLE) / CAST(sum(quantity) AS DOUBLE) AS average_price, max(time) AS time, arg_max(fill_id, (time, fill_id)) AS last_fill_id, count(*) AS fills
-FROM fills GROUP BY 1, 2, 3, 4"""),
+FROM fills GROUP BY ALL"""),
     "trade_cycles_one_way": f"WITH {VIEWS.strip()},{_CYCLES}" + """
 SELECT *, realized_pnl - trading_fee AS net_pnl, CASE WHEN entry_price * max_size <> 0 THEN realized_pnl / (entry_price * max_size) * 100 ELSE 0 END AS return_percent FROM cycles
 """,
@@ -309,11 +322,10 @@ SELECT s.account_id, count(*) AS expired, max(recorded_at) AS latest_expired FRO
 WHERE recorded_at < TIMESTAMP '2024-01-21' AND EXISTS (SELECT 1 FROM account_days d WHERE d.account_id = s.account_id AND d.snapshot_date = CAST(s.recorded_at + INTERVAL 8 HOUR AS DATE) AND d.account_id % 3 <> 0)
 GROUP BY 1"""),
     "affected_days_incremental": _sql("""
-SELECT exchange, account_id, CAST(record_time + INTERVAL 8 HOUR AS DATE) AS record_date, record_type, CAST(sum(amount_usd) AS DOUBLE) AS amount_usd, count(*) AS record_count
-FROM records WHERE record_type <> 'REALIZED_PNL' GROUP BY ALL"""),
+SELECT exchange, account_id, record_date, record_type, CAST(amount_usd AS DOUBLE) AS amount_usd, record_count FROM preagg"""),
     "ledger_upsert": _sql("""
 SELECT account_id, record_type, record_id, record_time, CASE WHEN record_id % 3 = 0 THEN CAST(amount_usd AS DOUBLE) + 1 ELSE CAST(amount_usd AS DOUBLE) END AS amount_usd
-FROM ledger WHERE record_id % 2 = 0 OR record_id % 3 = 0"""),
+FROM ledger"""),
     "symbol_normalize": """
 SELECT p_partkey, CASE n WHEN 3 THEN upper(b) || '-USDC-PERP' WHEN 4 THEN upper(b) || 'B-USD-PERP' ELSE upper(b) || '-USDT-PERP' END AS symbol,
        CASE WHEN n < 2 THEN 'LONG' WHEN n < 4 THEN 'SHORT' WHEN p_size - 25 < 0 THEN 'SHORT' ELSE 'LONG' END AS side,
@@ -343,10 +355,10 @@ amounts AS (
   SELECT account_id, sum(amount_usd) FILTER (record_type NOT IN ('REALIZED_PNL', 'FUNDING_FEE', 'TRADING_FEE', 'WITHDRAWAL')) AS dep, sum(amount_usd) FILTER (record_type = 'WITHDRAWAL') AS wd,
          count(*) FILTER (record_type = 'FUNDING_FEE') AS nf, sum(amount_usd) FILTER (record_type = 'FUNDING_FEE') AS ff,
          count(*) FILTER (record_type = 'TRADING_FEE') AS nt, sum(amount_usd) FILTER (record_type = 'TRADING_FEE') AS tf FROM ledger GROUP BY 1),
-pos AS (SELECT account_id, sum(realized_pnl) AS r, sum(net_pnl) AS n, sum(abs(trading_fee)) AS f FROM closed GROUP BY 1),
+pos AS (SELECT account_id, sum(realized_pnl) AS r, sum(net_pnl) AS n, sum(abs(trading_fee)) AS f, sum(funding_fee) AS cf FROM closed GROUP BY 1),
 base AS (
   SELECT a.account_id, a.exchange, coalesce(CAST(a.initial_equity AS DOUBLE), 0) AS initial_equity, coalesce(CAST(l.equity AS DOUBLE), 0) AS current_equity, coalesce(CAST(dep AS DOUBLE), 0) AS deposits,
-         coalesce(CAST(wd AS DOUBLE), 0) AS withdrawals, coalesce(CAST(pos.r AS DOUBLE), 0) AS realized_pnl, CASE WHEN coalesce(nf, 0) > 0 THEN coalesce(CAST(ff AS DOUBLE), 0) ELSE 0 END AS funding_fee,
+         coalesce(CAST(wd AS DOUBLE), 0) AS withdrawals, coalesce(CAST(pos.r AS DOUBLE), 0) AS realized_pnl, CASE WHEN coalesce(nf, 0) > 0 THEN coalesce(CAST(ff AS DOUBLE), 0) ELSE coalesce(CAST(pos.cf AS DOUBLE), 0) END AS funding_fee,
          CASE WHEN coalesce(nt, 0) > 0 THEN coalesce(CAST(tf AS DOUBLE), 0) ELSE coalesce(CAST(pos.f AS DOUBLE), 0) END AS trading_fee, coalesce(CAST(pos.n AS DOUBLE), 0) AS net_realized_pnl
   FROM accounts a LEFT JOIN latest l USING (account_id) LEFT JOIN amounts USING (account_id) LEFT JOIN pos USING (account_id) WHERE a.is_active),
 rec AS (
@@ -355,22 +367,32 @@ rec AS (
   FROM (SELECT *, deposits - withdrawals AS net_cash_flow, current_equity - initial_equity - (deposits - withdrawals) AS equity_return, net_realized_pnl AS component_return FROM base))
 """
 _COMPONENTS = """
+reads_ AS (SELECT account_id, max(started_at) FILTER (status = 'SUCCESS') AS synced, arg_max(started_at, (started_at, job_id)) AS full_synced FROM jobs GROUP BY 1),
 eq AS (SELECT account_id, count(*) AS n, max(recorded_at) AS t FROM snapshots GROUP BY 1),
+ba AS (SELECT account_id, count(*) AS n, max(recorded_at) AS t FROM snapshots WHERE asset IN ('purchase', 'view') GROUP BY 1),
+po AS (SELECT account_id, count(*) AS n, max(open_time) AS t FROM closed WHERE side = 'LONG' GROUP BY 1),
 cl AS (SELECT account_id, count(*) AS n, max(close_time) AS t FROM closed GROUP BY 1),
 kinds AS (SELECT account_id, CASE record_type WHEN 'REALIZED_PNL' THEN 'realized_pnl' WHEN 'FUNDING_FEE' THEN 'funding_fee' WHEN 'TRADING_FEE' THEN 'trading_fee' ELSE 'cash_flow' END AS component,
                  count(*) AS n, max(record_time) AS t FROM ledger GROUP BY 1, 2),
-names AS (SELECT unnest(['equity', 'closed_positions', 'realized_pnl', 'funding_fee', 'trading_fee', 'cash_flow']) AS component),
+found AS (
+  SELECT account_id, 'equity' AS component, n, t FROM eq UNION ALL SELECT account_id, 'balances', n, t FROM ba UNION ALL SELECT account_id, 'positions', n, t FROM po
+  UNION ALL SELECT account_id, 'closed_positions', n, t FROM cl UNION ALL SELECT account_id, component, n, t FROM kinds),
+names AS (SELECT unnest(['equity', 'positions', 'balances', 'closed_positions', 'realized_pnl', 'funding_fee', 'trading_fee', 'cash_flow']) AS component),
 stats AS (
-  SELECT a.account_id, a.exchange, n.component, CASE n.component WHEN 'equity' THEN eq.n WHEN 'closed_positions' THEN cl.n ELSE k.n END AS n,
-         CASE n.component WHEN 'equity' THEN eq.t WHEN 'closed_positions' THEN cl.t ELSE k.t END AS t, cl.n AS closed_n, cl.t AS closed_t
-  FROM accounts a CROSS JOIN names n LEFT JOIN eq ON eq.account_id = a.account_id LEFT JOIN cl ON cl.account_id = a.account_id LEFT JOIN kinds k ON k.account_id = a.account_id AND k.component = n.component
-  WHERE a.is_active),
+  SELECT a.account_id, a.exchange, n.component, coalesce(f.n, 0) AS n, f.t, r.synced, r.full_synced, coalesce(c.n, 0) AS closed_n, c.t AS closed_t, a.exchange = 'AFRICA' AS bare,
+         CASE WHEN a.account_id % 9 <> 0 AND r.synced IS NOT NULL THEN 'COMPLETE' ELSE 'PARTIAL' END AS own
+  FROM accounts a CROSS JOIN names n LEFT JOIN found f ON f.account_id = a.account_id AND f.component = n.component
+  LEFT JOIN reads_ r ON r.account_id = a.account_id LEFT JOIN cl c ON c.account_id = a.account_id WHERE a.is_active),
 matrix AS (
   SELECT account_id, exchange, component,
-         CASE WHEN exchange = 'AFRICA' AND component = 'realized_pnl' THEN 'PARTIAL' WHEN exchange = 'AFRICA' AND component IN ('funding_fee', 'trading_fee', 'cash_flow') THEN 'UNSUPPORTED'
-              WHEN coalesce(n, 0) > 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS status,
-         CASE WHEN exchange = 'AFRICA' AND component = 'realized_pnl' THEN coalesce(closed_n, 0) WHEN exchange = 'AFRICA' AND component IN ('funding_fee', 'trading_fee', 'cash_flow') THEN 0 ELSE coalesce(n, 0) END AS record_count,
-         CASE WHEN exchange = 'AFRICA' AND component = 'realized_pnl' THEN closed_t WHEN exchange = 'AFRICA' AND component IN ('funding_fee', 'trading_fee', 'cash_flow') THEN NULL ELSE t END AS latest_record_at
+         CASE WHEN bare AND component = 'realized_pnl' THEN 'PARTIAL' WHEN bare AND component IN ('funding_fee', 'trading_fee', 'cash_flow') THEN 'UNSUPPORTED'
+              WHEN component IN ('equity', 'positions') THEN own
+              WHEN component = 'balances' THEN CASE WHEN account_id % 7 = 0 OR n = 0 THEN 'PARTIAL' ELSE own END
+              WHEN component = 'closed_positions' AND account_id % 5 = 0 OR component = 'realized_pnl' AND account_id % 2 = 0 OR component = 'funding_fee' AND account_id % 3 = 0 THEN 'COMPLETE'
+              WHEN component = 'cash_flow' AND account_id % 4 = 0 THEN 'FAILED' ELSE 'PARTIAL' END AS status,
+         CASE WHEN component IN ('equity', 'positions', 'balances', 'closed_positions') OR bare AND component = 'realized_pnl' THEN synced WHEN bare THEN NULL ELSE full_synced END AS last_synced_at,
+         CASE WHEN bare AND component = 'realized_pnl' THEN closed_n WHEN bare AND component IN ('funding_fee', 'trading_fee', 'cash_flow') THEN 0 ELSE n END AS record_count,
+         CASE WHEN bare AND component = 'realized_pnl' THEN closed_t WHEN bare AND component IN ('funding_fee', 'trading_fee', 'cash_flow') THEN NULL ELSE t END AS latest_record_at
   FROM stats)
 """
 _MEASURES = "initial_equity current_equity deposits withdrawals net_cash_flow equity_return realized_pnl funding_fee trading_fee net_realized_pnl component_return variance".split()
@@ -388,12 +410,15 @@ WITH RECURSIVE r AS (
   UNION ALL SELECT n.n_nationkey, r.price * (1 + n.n_regionkey / 4.0::DOUBLE) FROM nation n JOIN r ON n.n_nationkey > 0 AND n.n_nationkey // 2 = r.token)
 SELECT token, round(price, 9) AS price FROM r""",
     "leverage_inference": _sql("""
+, timed AS (SELECT * FROM trades WHERE close_time >= open_time),
+opened AS (
+  SELECT account_id, symbol, side, leverage // 2 AS lev, open_time AS at FROM timed
+  WHERE leverage // 2 > 0 AND (l_partkey % 5 = 1 OR l_partkey % 5 <> 2))
 SELECT leverage, count(*) AS positions FROM (
-  SELECT p.account_id, p.id, CASE WHEN min(o.leverage // 4) = max(o.leverage // 4) THEN min(o.leverage // 4) END AS leverage
-  FROM (SELECT DISTINCT account_id, symbol, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS id, open_time, close_time FROM trades WHERE close_time >= open_time) p
-  LEFT JOIN (SELECT * FROM trades WHERE close_time >= open_time) o
-    ON o.account_id = p.account_id AND o.symbol = p.symbol AND o.open_time >= p.open_time - INTERVAL 300 SECOND AND o.open_time <= p.close_time
-  GROUP BY p.account_id, p.id, p.open_time, p.close_time) GROUP BY 1"""),
+  SELECT p.account_id, p.id, CASE WHEN min(o.lev) = max(o.lev) THEN min(o.lev) END AS leverage
+  FROM (SELECT DISTINCT account_id, symbol, side, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS id, open_time, close_time FROM timed) p
+  LEFT JOIN opened o ON o.account_id = p.account_id AND o.symbol = p.symbol AND o.side = p.side AND o.at >= p.open_time - INTERVAL 300 SECOND AND o.at <= p.close_time
+  GROUP BY p.account_id, p.id, p.open_time, p.close_time) GROUP BY 1""").replace(")\n, timed AS", "),\ntimed AS"),
     "translation_queue": _sql("""
 SELECT job_id AS item_id, CASE status WHEN 'RUNNING' THEN 'PENDING' ELSE status END AS status, job_id % 8 AS attempts, started_at AS created_at
 FROM jobs WHERE job_id % 8 < 5 AND (status = 'RUNNING' OR (status = 'FAILED' AND started_at < TIMESTAMP '2024-01-20 15:59:59.999999' - INTERVAL 15 MINUTE)) ORDER BY started_at, job_id LIMIT 100"""),
@@ -495,10 +520,57 @@ SELECT account_id, asset, record_time, event_id || ':' || suffix AS source_recor
 SELECT side, margin_mode, category, count(DISTINCT id) AS positions, CAST(sum(CAST(round(value, 4) AS DECIMAL(28,4))) AS DOUBLE) AS position_value_usd
 FROM (SELECT CASE WHEN l_linestatus = 'O' THEN 'LONG' ELSE 'SHORT' END AS side, CASE WHEN l_suppkey % 2 = 0 THEN 'ISOLATED' ELSE 'CROSS' END AS margin_mode,
              CASE WHEN l_partkey % 4 = 0 THEN 'inverse' ELSE 'linear' END AS category, concat_ws('-', l_partkey, l_orderkey, l_linenumber) AS id, l_suppkey,
-             max(abs(l_extendedprice)) AS value
-      FROM lineitem WHERE l_linenumber <= 3 AND l_quantity <> 0 GROUP BY ALL) GROUP BY 1, 2, 3""",
+             abs(l_extendedprice) AS value
+      FROM lineitem WHERE l_quantity <> 0
+      QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey, l_orderkey, l_linenumber ORDER BY abs(l_extendedprice) DESC, l_linestatus) = 1) GROUP BY 1, 2, 3""",
 }
 
 #: Days are ISO text on both sides.
 _DAYS = {"ledger_daily_preagg": "record_date", "pnl_account_days": "snapshot_date", "pnl_daily": "snapshot_date", "pnl_weekly": "period_start", "pnl_monthly": "period_start", "latest_asset_batch": "batch_day", "first_of_day_snapshots": "day", "affected_days_incremental": "record_date", "realized_income_first": "snapshot_date"}
 ORACLES |= {name: f"SELECT * REPLACE (CAST({day} AS VARCHAR) AS {day}) FROM ({ORACLES[name]})" for name, day in _DAYS.items()}
+
+# What is kept hangs on what was kept before, so these follow each key from one kept row to the next.
+_KEPT = """
+WITH RECURSIVE {views},
+rows_ AS (SELECT account_id, t, min(id) AS id FROM ({rows}) GROUP BY 1, 2),
+kept AS (
+  SELECT account_id, min(t) AS t FROM rows_ GROUP BY 1
+  UNION ALL
+  SELECT k.account_id, min(r.t) FROM kept k JOIN rows_ r ON r.account_id = k.account_id AND r.t {after} k.t + INTERVAL {hours} HOUR GROUP BY k.account_id, k.t)
+"""
+ORACLES |= {
+    "job_thinning": _KEPT.format(views=VIEWS.strip().rstrip(","), hours=6, after=">=", rows="SELECT account_id, started_at AS t, job_id AS id FROM jobs WHERE status = 'SUCCESS' AND job_id % 5 <> 0")
+    + """
+SELECT account_id, 'POSITIONS' AS job_type, t AS started_at, id AS job_id FROM kept JOIN rows_ USING (account_id, t)
+UNION ALL SELECT account_id, 'FULL', started_at, job_id FROM jobs WHERE status = 'SUCCESS' AND job_id % 5 = 0""",
+    "error_dedup": _KEPT.format(views=VIEWS.strip().rstrip(","), hours=24, after=">", rows="SELECT account_id, started_at AS t, job_id AS id FROM jobs WHERE status = 'FAILED'") + "SELECT account_id, t AS occurred_at FROM kept",
+    "status_sticky": f"""
+WITH RECURSIVE {VIEWS.strip().rstrip(",")},
+steps AS (
+  SELECT account_id, CASE WHEN status = 'FAILED' THEN 'PARTIAL' ELSE 'COMPLETE' END AS status, job_id % 7 = 0 AS sure, row_number() OVER (PARTITION BY account_id ORDER BY started_at, job_id) AS n FROM jobs),
+walk AS (
+  SELECT account_id, n, status FROM steps WHERE n = 1
+  UNION ALL
+  SELECT s.account_id, s.n, CASE WHEN w.status = 'PARTIAL' AND s.status = 'COMPLETE' AND NOT s.sure THEN 'PARTIAL' ELSE s.status END FROM walk w JOIN steps s ON s.account_id = w.account_id AND s.n = w.n + 1)
+SELECT account_id, arg_max(status, n) AS status FROM walk GROUP BY 1""",
+    "trade_cycles_hedge": f"""
+WITH RECURSIVE {VIEWS.strip().rstrip(",")},
+steps AS (
+  SELECT account_id, symbol, p AS position_side, time, CAST(quantity AS DOUBLE) AS q, CAST(price AS DOUBLE) AS price, (p = 'LONG') = (side = 'BUY') AS opens,
+         row_number() OVER (PARTITION BY account_id, symbol, p ORDER BY time, fill_id) AS n
+  FROM (SELECT *, CASE WHEN fill_id % 3 = 0 THEN 'SHORT' ELSE 'LONG' END AS p FROM fills)),
+walk AS (
+  SELECT account_id, symbol, position_side, n, time, price, opens, q, 0.0::DOUBLE AS before, CASE WHEN opens THEN q ELSE 0 END AS after, 0 AS cycle FROM steps WHERE n = 1
+  UNION ALL
+  SELECT s.account_id, s.symbol, s.position_side, s.n, s.time, s.price, s.opens, s.q, w.after, CASE WHEN s.opens THEN w.after + s.q ELSE greatest(w.after - s.q, 0) END,
+         w.cycle + CASE WHEN w.before > 0 AND w.after = 0 THEN 1 ELSE 0 END
+  FROM walk w JOIN steps s ON s.account_id = w.account_id AND s.symbol = w.symbol AND s.position_side = w.position_side AND s.n = w.n + 1),
+cyc AS (
+  SELECT account_id, symbol, position_side, cycle, min(time) AS open_time, max(time) AS close_time, max(greatest(before, after)) AS max_size, sum(q) FILTER (opens) AS oq, sum(q * price) FILTER (opens) AS o_n,
+         sum(before - after) FILTER (NOT opens) AS cq, sum((before - after) * price) FILTER (NOT opens) AS c_n, bool_or(before > 0 AND after = 0) AS ended
+  FROM walk WHERE opens OR before > 0 GROUP BY 1, 2, 3, 4)
+SELECT account_id, symbol, position_side, open_time, close_time, max_size, o_n / oq AS entry_price, c_n / cq AS exit_price,
+       (c_n / cq - o_n / oq) * cq * CASE WHEN position_side = 'LONG' THEN 1 ELSE -1 END AS realized_pnl, 'COMPLETE' AS data_completeness FROM cyc WHERE ended
+UNION ALL SELECT account_id, symbol, position_side, time, time, q, NULL, price, NULL, 'PARTIAL' FROM walk WHERE NOT opens AND before = 0""",
+}
+ORACLES |= _PAYLOAD_ORACLES

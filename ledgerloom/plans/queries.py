@@ -205,7 +205,8 @@ def ops_panel(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def job_thinning(spark: SparkSession, d: str) -> DataFrame:
-    return ops.thinned(views.sync_jobs(spark, d), keep_seconds=6 * 3600)
+    kind = F.when(F.expr("job_id % 5 = 0"), "FULL").otherwise("POSITIONS")
+    return ops.thinned(views.sync_jobs(spark, d).withColumn("job_type", kind), keep_seconds=6 * 3600)
 
 
 def _active_balances(spark: SparkSession, d: str) -> DataFrame:
@@ -233,6 +234,12 @@ def _liquidations(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def nearest_liquidations(spark: SparkSession, d: str) -> DataFrame:
+    near = risk.nearest_liquidations(_liquidations(spark, d), ties=KEYS)
+    return near.select("account_id", "symbol", "side", F.round("distance_percent", 6).alias("distance_percent"), *KEYS)
+
+
+@query
+def liquidation_distances(spark: SparkSession, d: str) -> DataFrame:
     near = _liquidations(spark, d).withColumn("distance_percent", risk.liquidation_distance(F.col("side"), F.col("mark_price"), F.col("liquidation_price")))
     return near.groupBy("symbol", "side").agg(F.round(F.min("distance_percent"), 6).alias("distance_percent"), F.count("distance_percent").alias("positions"))
 
@@ -260,7 +267,16 @@ def reconciliation_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _components(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.completeness(views.accounts(spark, d), views.balance_snapshots(spark, d), views.closed_positions(spark, d), _ledger(spark, d), without_ledger="AFRICA")
+    """Accounts whose last success was their last reading; what their details state follows from their number."""
+    jobs, samples, closed = views.sync_jobs(spark, d), views.balance_snapshots(spark, d), views.closed_positions(spark, d)
+    read = ops.account_runs(jobs).select("account_id", F.col("last_success_at").alias("last_synced_at"), F.col("latest_started_at").alias("full_synced_at"))
+    parts = (("income", 2, "COMPLETE"), ("funding", 3, "COMPLETE"), ("cash_flows", 4, "FAILED"), ("closed_positions", 5, "COMPLETE"), ("balances", 7, "PARTIAL"))
+    stated = [F.when(F.col("account_id") % n == 0, F.struct(F.lit(k).alias("key"), F.lit(v).alias("value"))) for k, n, v in parts]
+    details = F.map_from_entries(F.filter(F.array(*stated), lambda x: x.isNotNull()))
+    accounts = views.accounts(spark, d).join(read, "account_id", "left").withColumn("details", details)
+    accounts = accounts.withColumn("connection_status", F.when(F.col("account_id") % 9 == 0, "ERROR").otherwise("CONNECTED"))
+    open_ = closed.filter("side = 'LONG'").withColumnRenamed("open_time", "updated_at")
+    return reconcile.completeness(accounts, samples, samples.filter("asset in ('purchase', 'view')"), open_, closed, _ledger(spark, d), without_ledger="AFRICA")
 
 
 @query
@@ -315,6 +331,13 @@ def equity_backfill_asof(spark: SparkSession, d: str) -> DataFrame:
     return filled.select("bucket_time", F.col("total_equity").cast("double").alias("total_equity"), "account_count", "stale_account_count", "source_latest_at")
 
 
+@query
+def equity_backfill_coverage(spark: SparkSession, d: str) -> DataFrame:
+    accounts = views.accounts(spark, d).withColumn("is_active", F.lit(True))
+    filled = equity.coverage(views.balance_snapshots(spark, d), accounts)
+    return filled.select("bucket_time", F.col("total_equity").cast("double").alias("total_equity"), "account_count", "stale_account_count", "source_latest_at", "expected")
+
+
 @query
 def positions_filtered_page(spark: SparkSession, d: str) -> DataFrame:
     rows = trades.filtered(_active_trades(spark, d), exchange="europe", side="long", result="profit", symbol="brand#1")
@@ -343,8 +366,12 @@ def symbol_search_exists(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def order_fill_merge(spark: SparkSession, d: str) -> DataFrame:
-    merged = cycles.merged_orders(views.fills(spark, d))
-    return merged.select("account_id", "symbol", "side", "order_id", F.col("quantity").cast("double").alias("quantity"), F.col("fee").cast("double").alias("fee"), "average_price", "time", "last_fill_id", "fills")
+    """Some fills without an order id, on two sides, with two fee assets and a PnL each."""
+    fills = views.fills(spark, d).withColumn("order_id", F.when(F.expr("fill_id % 11 != 0"), F.col("order_id")))
+    fills = fills.withColumn("position_side", F.when(F.expr("fill_id % 2 = 0"), "long")).withColumn("fee_asset", F.when(F.expr("fill_id % 4 = 0"), "bnb").otherwise("USDT")).withColumn("realized_pnl", F.col("price") - 50)
+    merged = cycles.merged_orders(fills)
+    exact = [F.col(c).cast("double").alias(c) for c in ("quantity", "fee", "realized_pnl")]
+    return merged.select("account_id", "symbol", "position_side", "side", "order_key", "fee_asset", *exact, "average_price", "time", "last_fill_id", "fills")
 
 
 @query
@@ -504,8 +531,17 @@ def leverage_inference(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.venues import inferred_leverage
 
     rows = _active_trades(spark, d).filter("close_time >= open_time")
-    held = rows.select("account_id", "symbol", F.concat_ws(":", *KEYS, F.col("close_time").cast("string")).alias("source_record_id"), "open_time", "close_time").distinct()
-    orders = rows.select("account_id", "symbol", F.col("open_time").alias("ordered_at"), F.expr("leverage div 4").alias("leverage"))
+    held = rows.select("account_id", "symbol", F.concat_ws(":", *KEYS, F.col("close_time").cast("string")).alias("source_record_id"), "side", "open_time", "close_time").distinct()
+    orders = rows.select(
+        "account_id",
+        F.lower("symbol").alias("symbol"),
+        F.col("open_time").alias("ordered_at"),
+        F.expr("leverage div 2").alias("leverage"),
+        F.when(F.expr("l_partkey % 5 = 0"), "close").when(F.expr("l_partkey % 5 = 1"), "Open_long").alias("trade_side"),
+        F.when(F.expr("l_partkey % 5 = 2"), "YES").otherwise("no").alias("reduce_only"),
+        F.when(F.expr("l_suppkey % 3 = 0"), "net").otherwise(F.lower("side")).alias("pos_side"),
+        F.when(F.col("side") == "LONG", "buy").otherwise("sell").alias("side"),
+    )
     out = inferred_leverage(held, orders)
     return out.groupBy("leverage").agg(F.count(F.lit(1)).alias("positions"))
 
@@ -665,3 +701,6 @@ def venue_category_positions(spark: SparkSession, d: str) -> DataFrame:
     out = category_positions(raw)
     exact = lambda c: F.sum(F.round(c, 4).cast("decimal(28,4)")).cast("double").alias(c)
     return out.groupBy("side", "margin_mode", F.split("source_record_id", ":")[1].alias("category")).agg(F.countDistinct("source_record_id").alias("positions"), exact("position_value_usd"))
+
+
+from . import payloads  # noqa: E402, F401  registers the queries of venue payloads

@@ -37,16 +37,50 @@ def with_retries(call, tries: int = TRIES, wait: float = WAIT, sleep=time.sleep)
             sleep(wait * 2**n)
 
 
-def pages(fetch, part: Slice, most: int = PAGES, sleep=time.sleep) -> Iterator[dict]:
-    """Rows of a slice: fetch(start, end, cursor) gives (rows, next cursor or None); a cursor seen before ends it."""
-    cursor, seen = None, set()
+def pages(fetch, part: Slice, most: int = PAGES, sleep=time.sleep, size: int | None = None) -> Iterator[dict]:
+    """Rows of a slice: fetch(start, end, cursor) gives (rows, next cursor or None). A cursor seen before ends it, as
+    does a page of fewer than `size` rows, where that is given.
+
+    A slice of more than `most` pages is read again as two halves, and so on, so none of its rows is left out; a
+    slice of one millisecond that is still too long is an error.
+    """
+    cursor, seen, got = None, set(), []
     for _ in range(most):
         rows, following = with_retries(lambda at=cursor: fetch(part.start, part.end, at), sleep=sleep)
-        yield from rows
-        if following is None or following in seen:
+        got += rows
+        if following is None or following in seen or size is not None and len(rows) < size:
+            yield from got
             return
         seen.add(following)
         cursor = following
+    if part.start >= part.end:
+        raise ValueError(f"more than {most} pages of one millisecond at {part.start}")
+    middle = (part.start + part.end) // 2
+    yield from pages(fetch, Slice(part.start, middle), most, sleep, size)
+    yield from pages(fetch, Slice(middle + 1, part.end), most, sleep, size)
+
+
+def offset_pages(fetch_offset, size: int):
+    """A fetch for upstreams that count rows: fetch_offset(start, end, offset, size) gives rows, the last page fewer."""
+
+    def fetch(start: int, end: int, cursor) -> tuple[list[dict], int | None]:
+        offset = cursor or 0
+        rows = fetch_offset(start, end, offset, size)
+        return rows, offset + size if len(rows) == size else None
+
+    return fetch
+
+
+def tidied(rows: Iterator[dict], part: Slice, key: str | None = None, at: str | None = None) -> Iterator[dict]:
+    """Rows within the slice by their own time `at` (milliseconds), each `key` once, in the order of time and key."""
+    if key is None and at is None:
+        yield from rows
+        return
+    seen: dict = {}
+    for n, row in enumerate(rows):
+        if at is None or part.start <= int(row[at]) <= part.end:
+            seen.setdefault(n if key is None else row[key], row)
+    yield from sorted(seen.values(), key=lambda r: (0 if at is None else int(r[at]), "" if key is None else str(r[key]).rjust(32)))
 
 
 class PagedReader(DataSourceReader):
@@ -60,12 +94,17 @@ class PagedReader(DataSourceReader):
     def read(self, partition: Slice) -> Iterator[tuple]:
         module, _, name = self.options["fetch"].partition(":")
         fetch = getattr(importlib.import_module(module), name)
-        for row in pages(fetch, partition):
+        size = self.options.get("pageSize")
+        rows = pages(fetch, partition, int(self.options.get("maxPages", PAGES)), size=int(size) if size else None)
+        for row in tidied(rows, partition, self.options.get("key"), self.options.get("time")):
             yield tuple(row.get(n) for n in self.names)
 
 
 class PagedSource(DataSource):
-    """spark.read.format("paged").schema(...).option("fetch", "module:function").option("start", ms).option("end", ms)."""
+    """spark.read.format("paged").schema(...).option("fetch", "module:function").option("start", ms).option("end", ms).
+
+    Further options: sliceDays, maxPages, pageSize (a shorter page is the last), key (rows of one key are one), time
+    (rows outside the slice by that column are left out, the others are in its order)."""
 
     @classmethod
     def name(cls) -> str:

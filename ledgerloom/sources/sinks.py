@@ -35,10 +35,12 @@ def upsert(incoming: DataFrame, path: str, keys: list[str], version: list[str],
     """
     spark = incoming.sparkSession
     touched = staged(incoming, fresh_path(spark, "incoming"))
-    days = [r[0] for r in touched.select(partition).distinct().limit(10_000).collect()]  # partitions of one batch
-    if not days:
+    if touched.isEmpty():
         return
-    old = stored(spark, path, incoming.schema).filter(F.col(partition).isin(days))
+    # Every partition that is overwritten brings its stored rows, however many there are.
+    days = touched.select(F.col(partition).alias("__partition")).distinct()
+    old = stored(spark, path, incoming.schema)
+    old = old.join(days, F.col(partition).eqNullSafe(F.col("__partition")), "left_semi")
     merged = upserted(old.limit(0), old.unionByName(touched), keys, version) if latest else upserted(old, touched, keys, version)
     new = staged(merged, fresh_path(spark, "merged"))
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

@@ -132,7 +132,8 @@ def wallet_balances(wallets: DataFrame) -> DataFrame:
 
 def category_positions(raw: DataFrame) -> DataFrame:
     """Positions (category, symbol, positionIdx, side, size, markPrice, avgPrice, positionValue, leverage,
-    positionIMByMp, positionIM, unrealisedPnl, liqPrice, marginMode, createdTime), one for each id.
+    positionIMByMp, positionIM, unrealisedPnl, liqPrice, marginMode, createdTime), one for each id: the newest, of
+    those the one of most value.
 
     Inverse positions state margin and PnL in the coin, so both are taken times the mark price.
     """
@@ -143,7 +144,9 @@ def category_positions(raw: DataFrame) -> DataFrame:
     margin = F.when((stated == 0) & (lever != 0), ratio(value, lever)).otherwise(stated)
     name = F.concat_ws(":", F.lit("bybit"), "category", "symbol", F.coalesce("positionIdx", F.lit("0")))
     rows = raw.filter(size != 0).select("account_id", name.alias("source_record_id"), "symbol", normalize_symbol(F.col("symbol")).alias("normalized_symbol"), normalize_side(F.col("side")).alias("side"), size.alias("position_size"), F.when(value != 0, value).otherwise(size * mark).alias("position_value_usd"), number("avgPrice").alias("entry_price"), mark.alias("mark_price"), _or_none("liqPrice").alias("liquidation_price"), lever.alias("leverage"), F.when(F.col("marginMode") == "ISOLATED_MARGIN", "ISOLATED").otherwise("CROSS").alias("margin_mode"), margin.alias("margin_used"), (number("unrealisedPnl") * scale).alias("unrealized_pnl"), moment("createdTime").alias("open_time"))
-    return rows.dropDuplicates(["account_id", "source_record_id"])
+    others = [c for c in rows.columns if c not in ("account_id", "source_record_id")]
+    last = F.max_by(F.struct(*others), F.struct("open_time", "position_value_usd", "side", "margin_used", "unrealized_pnl"))
+    return rows.groupBy("account_id", "source_record_id").agg(last.alias("x")).select("account_id", "source_record_id", "x.*")
 
 
 # Spot tokens priced by a graph of markets, and perpetuals of several exchanges under one wallet.

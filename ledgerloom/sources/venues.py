@@ -18,6 +18,15 @@ PARITY = ("USDT", "USDC", "FDUSD", "BUSD", "USD")
 INCOME_FEES = ("COMMISSION", "INSURANCE_CLEAR", "API_REBATE", "COMMISSION_REBATE", "REFERRAL_KICKBACK")
 INCOME_TRANSFERS = ("TRANSFER", "INTERNAL_TRANSFER", "COIN_SWAP_DEPOSIT", "COIN_SWAP_WITHDRAW", "CROSS_COLLATERAL_TRANSFER")
 FUNDING_SUBTYPES, INTERNAL_SUBTYPES = ("173", "174"), ("318", "319")
+#: Business types that make records of realized PnL, funding, deposits and withdrawals, and their coins.
+BUSINESS_REALIZED = (
+    "close_long", "close_short", "force_close_long", "force_close_short", "force_buy", "force_sell", "burst_long_loss_query",
+    "burst_short_loss_query", "burst_buy", "burst_sell", "delivery_long", "delivery_short", "tracking_trader_income",
+)
+BUSINESS_FUNDING = "contract_settle_fee"
+BUSINESS_DEPOSITS = ("trans_from_exchange", "trans_from_contract", "trans_from_otc", "trans_from_cross", "trans_from_isolated")
+BUSINESS_WITHDRAWALS = ("trans_to_exchange", "trans_to_contract", "trans_to_otc", "trans_to_cross", "trans_to_isolated")
+BUSINESS_COINS = ("USD", "USDT", "USDC")
 
 
 def number(column: str | Column) -> Column:
@@ -84,15 +93,31 @@ def bill_records(raw: DataFrame) -> DataFrame:
     return held.select("account_id", "asset", "record_time", "x.*")
 
 
-def mapped_records(raw: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Bills (billId, coin, amount, fee, businessType, cTime) by a table of business types (businessType, record_type,
-    sign); a fee other than 0 is a record of its own."""
-    joined = raw.join(F.broadcast(mapping), "businessType", "left")  # a fixed list of types
-    entry = lambda suffix, kind, amount, when: F.when(when, F.struct(F.concat_ws(":", "billId", F.lit(suffix)).alias("source_record_id"), kind.alias("record_type"), amount.alias("amount_usd")))
-    main = entry("main", F.col("record_type"), number("amount") * F.col("sign"), F.col("record_type").isNotNull() & (number("amount") != 0))
-    fee = entry("fee", F.lit("TRADING_FEE"), -number("fee"), number("fee") != 0)
-    held = joined.select("account_id", F.col("coin").alias("asset"), moment("cTime").alias("record_time"), F.explode(F.filter(F.array(main, fee), lambda x: x.isNotNull())).alias("x"))
-    return held.select("account_id", "asset", "record_time", "x.*")
+def _business(raw: DataFrame) -> DataFrame:
+    kind, amount, fee = F.lower(F.coalesce(F.nullif("businessType", F.lit("")), F.lit("unknown"))), number("amount"), number("fee")
+    cash = kind.isin(*BUSINESS_DEPOSITS, *BUSINESS_WITHDRAWALS)
+    entry = lambda suffix, name, value, when: F.when(when, F.struct(F.concat_ws(":", F.coalesce(F.nullif("billId", F.lit("")), F.col("cTime").cast("string")), F.lit(suffix)).alias("source_record_id"), name.alias("record_type"), value.alias("amount_usd")))
+    entries = F.array(
+        entry("pnl", F.lit("REALIZED_PNL"), amount, kind.isin(*BUSINESS_REALIZED) & (amount != 0)),
+        entry("funding", F.lit("FUNDING_FEE"), amount, (kind == BUSINESS_FUNDING) & (amount != 0)),
+        entry("fee", F.lit("TRADING_FEE"), -fee, fee != 0),
+        entry("cash", F.when(kind.isin(*BUSINESS_DEPOSITS), "DEPOSIT").otherwise("WITHDRAWAL"), F.abs(amount), cash & (amount != 0)),
+    )
+    asset = F.upper(F.coalesce(F.nullif("coin", F.lit("")), F.lit("USD")))
+    rows = raw.withColumns({"asset": asset, "entries": F.filter(entries, lambda x: x.isNotNull())})
+    return rows.withColumn("told", F.col("asset").isin(*BUSINESS_COINS) & ((amount == 0) | (F.size("entries") > 0)))
+
+
+def business_records(raw: DataFrame) -> DataFrame:
+    """Bills (billId, coin, amount, fee, businessType, cTime) in dollar coins as up to two records each: realized PnL,
+    funding or a cash flow by the business type, and a fee."""
+    held = _business(raw).filter(F.col("asset").isin(*BUSINESS_COINS))
+    return held.select("account_id", "asset", moment("cTime").alias("record_time"), F.explode("entries").alias("x")).select("account_id", "asset", "record_time", "x.*")
+
+
+def business_complete(raw: DataFrame) -> DataFrame:
+    """Per account whether records tell all of its bills: none in other coins, and none of an unknown type."""
+    return _business(raw).groupBy("account_id").agg(F.bool_and("told").alias("complete"))
 
 
 def latest_states(raw: DataFrame, key: list[str], updated: str) -> DataFrame:
@@ -137,11 +162,22 @@ def closed_from_orders(raw: DataFrame) -> DataFrame:
     return raw.select("account_id", F.col("orderId").alias("source_record_id"), "symbol", normalize_symbol(F.col("symbol")).alias("normalized_symbol"), F.when(long, "LONG").otherwise("SHORT").alias("side"), moment("createdTime").alias("open_time"), moment("updatedTime").alias("close_time"), entry.alias("average_entry_price"), exit_.alias("average_exit_price"), size.alias("max_position_size"), gross.alias("realized_pnl"), (net - gross + fees).alias("funding_fee"), fees.alias("trading_fee"), net.alias("net_pnl"), margin.alias("margin_used"), (ratio(net, margin) * 100).alias("return_percent"))
 
 
-def inferred_leverage(positions: DataFrame, orders: DataFrame, before_seconds: int = 300) -> DataFrame:
-    """Positions with the leverage of the orders placed from shortly before opening to closing, if all have one."""
-    placed = orders.select("account_id", "symbol", F.col("leverage").alias("order_leverage"), "ordered_at")
-    near = positions.select("account_id", "symbol", "source_record_id", "open_time", "close_time").join(placed, ["account_id", "symbol"])
-    near = near.filter((F.col("ordered_at") >= F.col("open_time") - F.expr(f"INTERVAL {before_seconds} SECONDS")) & (F.col("ordered_at") <= F.col("close_time")))
+def inferred_leverage(positions: DataFrame, orders: DataFrame, before_seconds: int = 300, span_days: int = 30) -> DataFrame:
+    """Positions (side LONG or SHORT) with the leverage of the orders that opened them: placed from shortly before
+    opening to closing, on the same side, opening and not only reducing, with a leverage above 0; if all have one.
+
+    Orders (symbol, leverage, ordered_at, trade_side, reduce_only, pos_side, side): an order of pos_side "net" is on
+    the side that its buying or selling opens. Both sides meet by spans of days, so an order meets the positions of
+    its time only.
+    """
+    low = lambda name: F.lower(F.coalesce(F.col(name), F.lit("")))
+    opening = low("trade_side").contains("open") | (low("reduce_only") == "no")
+    side = F.when(low("pos_side") == "net", F.when(low("side") == "buy", "LONG").when(low("side") == "sell", "SHORT")).otherwise(F.upper("pos_side"))
+    span = lambda at: F.floor(F.unix_seconds(at.cast("timestamp")) / (span_days * 86400))
+    placed = orders.filter(opening & (F.col("leverage") > 0)).select("account_id", F.upper("symbol").alias("__symbol"), side.alias("__side"), F.col("leverage").alias("order_leverage"), "ordered_at", span(F.col("ordered_at")).alias("__span"))
+    first = F.col("open_time") - F.expr(f"INTERVAL {before_seconds} SECONDS")
+    held = positions.filter(F.col("close_time") >= first).select("account_id", F.upper("symbol").alias("__symbol"), F.col("side").alias("__side"), "source_record_id", "open_time", "close_time", F.explode(F.sequence(span(first), span(F.col("close_time")))).alias("__span"))
+    near = held.join(placed, ["account_id", "__symbol", "__side", "__span"]).filter((F.col("ordered_at") >= first) & (F.col("ordered_at") <= F.col("close_time")))
     found = near.groupBy("account_id", "source_record_id").agg(F.min("order_leverage").alias("lo"), F.max("order_leverage").alias("hi"))
     return positions.join(found, ["account_id", "source_record_id"], "left").withColumn("leverage", F.when(F.col("lo") == F.col("hi"), F.col("lo"))).drop("lo", "hi")
 
@@ -192,16 +228,17 @@ def last_equity(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, at).alias(value), F.max(at).alias(at))
 
 
-def propagated_prices(known: DataFrame, pairs: DataFrame, rounds: int = 8) -> DataFrame:
+def propagated_prices(known: DataFrame, pairs: DataFrame) -> DataFrame:
     """Prices (token, price) reached from known ones over pairs (base, quote, rate: quote per base), nearest first.
 
-    Each round prices the tokens one pair further; it stops when none is new. Of several ways the smallest price
-    by (round, price) is taken. Each round is written, so lineage does not grow; only whether it is empty comes back.
+    Each round prices the tokens one pair further; it stops when none is new, after as many rounds as there are
+    tokens at most. Of several ways the smallest price by (round, price) is taken. Each round is written, so lineage
+    does not grow; only whether it is empty comes back.
     """
     both = pairs.select(F.col("base").alias("a"), F.col("quote").alias("b"), F.col("rate").alias("r")).unionByName(pairs.filter("rate != 0").select(F.col("quote").alias("a"), F.col("base").alias("b"), (1 / F.col("rate")).alias("r")))
     spark = known.sparkSession
     both, out = staged(both, fresh_path(spark, "pairs")), staged(known.select("token", "price"), fresh_path(spark, "prices"))
-    for _ in range(rounds):
+    while True:
         reached = both.join(out.withColumnRenamed("token", "b"), "b").select(F.col("a").alias("token"), (F.col("r") * F.col("price")).alias("price"))
         fresh = staged(reached.join(out.select("token"), "token", "left_anti").groupBy("token").agg(F.min("price").alias("price")), fresh_path(spark, "prices"))
         if fresh.isEmpty():

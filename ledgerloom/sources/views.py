@@ -58,6 +58,7 @@ def closed_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (price * discount).alias("realized_pnl"),
         (price * tax).alias("trading_fee"),
         (price * discount - price * tax).alias("net_pnl"),
+        (price * tax * F.lit("-0.25").cast("decimal(3,2)")).alias("funding_fee"),
         F.col("l_linenumber").alias("leverage"),
         F.col("l_quantity").cast("decimal(18,2)").alias("size"),
         "l_orderkey",

@@ -59,7 +59,7 @@ def test_query(spark, duck, name):
     assert a == b
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"equity_backfill_asof", "equity_points_streaming", "price_graph"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"equity_points_streaming", "price_graph"}))
 def test_plans_stay_in_the_jvm(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Python|Pandas|ArrowEval|CartesianProduct|BroadcastNestedLoopJoin", plan)
