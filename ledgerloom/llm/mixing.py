@@ -1,8 +1,9 @@
 """Mixing sources to target weights.
 
 Each source's words, laid end to end, are cut into blocks of BLOCK words. Output shards of a fixed number of
-slots draw how many slots each source gets; a source's slots, numbered over all shards, are mapped through a
-pseudorandom permutation of its block numbers, one pass after the other, and joined with the blocks by number.
+slots draw how many slots each source gets, multinomially, given what each source gets in a bundle of shards; a
+source's slots, numbered over all shards, are mapped through a pseudorandom permutation of its block numbers,
+one pass after the other, and joined with the blocks by number.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITE, chunk_count, cut, running_start
@@ -19,17 +20,17 @@ from .common import WHITE, chunk_count, cut, running_start
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No document is taken more often than this, so no source's target exceeds this many times its size.
 PASSES = 3
-BLOCK, SLOTS, MOST_SHARDS, SEED = 32, 1024, 65536, 20
+BLOCK, SLOTS, SEED = 32, 1024, 20
+#: Shards that are drawn together, and tasks at most.
+BUNDLE, MOST_TASKS = 128, 50_000
 #: Sources are a dimension: one row of each is held by the driver and in every task, and more are refused.
 MOST_SOURCES = 100_000
-#: Slots mapped by one task, such tasks at most, and slots mapped at once.
-TASK_SLOTS, MOST_TASKS, STEP_SLOTS = 200_000, 50_000, 100_000
 
 
 def word_count(text: Column) -> Column:
     """Number of `[^\\x20\\x09-\\x0D]+` in text; 0 for null."""
-    plain = F.coalesce(text, F.lit(""))
-    return F.size(F.filter(F.split(plain, WHITE), lambda w: w != "")).cast("long")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, WHITE))).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
@@ -74,77 +75,83 @@ def _permuted(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def _draws(plan: pd.DataFrame, shards: int, seed: int, spark: SparkSession) -> DataFrame:
-    """(shard, rank, n): slots of each source in each shard, independent from shard to shard.
+def shard_counts(slots: np.ndarray, shards: int, seed: tuple[int, ...]) -> np.ndarray:
+    """How many slots each source gets in each of `shards` shards of like size: (shards, sources).
 
-    A shard's whole expected slots are given; the fractions that are left are drawn from a multinomial.
+    The shards' counts are multinomial draws by the sources' shares, given that they add up to `slots`: what is
+    left of each source is drawn from without replacement, shard by shard.
     """
-    ranks, share = plan["rank"].to_numpy(), (plan["slots"] / plan["slots"].sum()).to_numpy()
-    total = int(round(plan["slots"].sum()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for shard in batch["id"]:
-                m = total // shards + (shard < total % shards)
-                whole = np.floor(m * share).astype(np.int64)
-                rest = m * share - whole
-                left = int(m - whole.sum())
-                if left > 0:
-                    whole = whole + np.random.default_rng([seed, int(shard)]).multinomial(left, rest / rest.sum())
-                out.append(pd.DataFrame({"shard": shard, "rank": ranks, "n": whole}))
-            yield pd.concat(out, ignore_index=True)
-
-    return spark.range(0, shards, 1, max(1, min(shards // 64, 512))).mapInPandas(run, "shard long, rank int, n long").filter("n > 0")
+    rng, left, out = np.random.default_rng(seed), slots.copy(), []
+    total = int(slots.sum())
+    for shard in range(shards):
+        m = total // shards + (shard < total % shards)
+        drawn = rng.multivariate_hypergeometric(left, m, method="marginals")
+        left = left - drawn
+        out.append(drawn)
+    return np.array(out)
 
 
 def block_draws(plan: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED, passes: int = PASSES) -> DataFrame:
-    """(rank, block, times): how often each block is taken, from plan (rank, source_size, target)."""
+    """(rank, block, times): how often each block is taken, from plan (rank, source_size, target).
+
+    A task has bundles of shards, each of which knows by itself which of every source's slots are its own.
+    """
     spark = plan.sparkSession
     # One row per source; the shards' draws need every source's share.
     own = plan.filter("source_size > 0 and target > 0").select("rank", "source_size", "target").toPandas().sort_values("rank")
     if own.empty:
         return spark.createDataFrame([], "rank int, block long, times long")
-    own["blocks"] = -(-own["source_size"] // block)
-    own["slots"] = own["target"] * own["blocks"] / own["source_size"]
-    shards = int(min(MOST_SHARDS, max(1, own["slots"].sum() // slots)))
-    drawn = _draws(own, shards, seed, spark)
-    before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # MOST_SHARDS rows at most
-    numbered = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    blocks = dict(zip(own["rank"].tolist(), own["blocks"].tolist(), strict=True))
-    # The window leaves a source's shards together; its slots are many, so they are dealt out by source and shard.
-    tasks = int(max(1, min(MOST_TASKS, own["slots"].sum() // TASK_SLOTS)))
+    ranks, sizes = own["rank"].to_numpy(np.int64), own["source_size"].to_numpy(np.int64)
+    blocks = -(-sizes // block)
+    wanted = np.minimum(np.rint(own["target"].to_numpy() * blocks / sizes), passes * blocks).astype(np.int64)
+    total = int(wanted.sum())
+    bundles = max(1, -(-total // (slots * BUNDLE)))
+
+    def first_of(bundle: int) -> np.ndarray:
+        """Of each source the slots before this bundle's, without numbers over 64 bits."""
+        return wanted // bundles * bundle + wanted % bundles * bundle // bundles
 
     def slots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rank, first, n = (batch[c].to_numpy(np.int64) for c in ("rank", "first", "n"))
-            size = np.array([blocks[r] for r in rank.tolist()], np.int64)
-            n = np.clip(passes * size - first, 0, n)  # the last pass ends all
-            ends = np.cumsum(n)
-            for start in range(0, int(n.sum()), STEP_SLOTS):
-                at = np.arange(start, min(start + STEP_SLOTS, int(ends[-1])), dtype=np.int64)
-                row = np.searchsorted(ends, at, side="right")
-                k = first[row] + at - (ends[row] - n[row])
-                key = (k // size[row] + 1) * 1_000_003 + rank[row] * 7_919 + seed
-                yield pd.DataFrame({"rank": rank[row].astype(np.int32), "block": _permuted(k % size[row], size[row], key)})
-
-    dealt = numbered.repartition(tasks, "rank", "shard")
+            for bundle in batch["id"].tolist():
+                first = first_of(bundle)
+                count = first_of(bundle + 1) - first
+                shards = max(1, -(-int(count.sum()) // slots))
+                drawn = shard_counts(count, shards, (seed, bundle))
+                at = first + np.cumsum(drawn, axis=0) - drawn
+                shard, source = np.nonzero(drawn)
+                n = drawn[shard, source]
+                row = np.repeat(np.arange(len(n)), n)
+                k = at[shard, source][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                of, size = source[row], blocks[source[row]]
+                key = (k // size + 1) * 1_000_003 + ranks[of] * 7_919 + seed
+                yield pd.DataFrame({"rank": ranks[of].astype(np.int32), "block": _permuted(k % size, size, key)})
+
+    dealt = spark.range(0, bundles, 1, min(bundles, MOST_TASKS))
     return dealt.mapInPandas(slots_of, "rank int, block long").groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, slots: int = SLOTS, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, key: Column | None = None) -> DataFrame:
     """Returns rid, key, doc_id, size, source_size, target, taken, spans (array of start, end, times: words taken).
 
-    One row per input row, rid numbering them; key is whatever the caller wants to know rows by. Null text has no words. Documents of no words take nothing;
-    a null source is a source of its own. Rows that repeat a doc_id are documents of their own. An empty
-    table gives an empty result. Reruns over the same files agree. Other columns are not read.
+    One row per input row, rid numbering them; key is whatever the caller wants to know rows by. Null text has
+    no words. Documents of no words take nothing; a null source is a source of its own. Rows that repeat a doc_id
+    are documents of their own. An empty table gives an empty result. Other columns are not read.
+
+    Documents lie in their source in the order of a hash of doc_id and text, so what is taken hangs on the rows
+    alone, not on files or partitions; of rows equal in both, which are alike in all that is returned, any is first.
     """
-    sized = cut(docs.select(F.monotonically_increasing_id().alias("rid"), (F.lit(None).cast("string") if key is None else key).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    place = [F.xxhash64(F.col(id_col).cast("long"), text).alias("place"), F.xxhash64(text, F.col(id_col).cast("long"), F.lit(1)).alias("place2")]
+    named = F.lit(None).cast("string") if key is None else key
+    sized = docs.select(F.monotonically_increasing_id().alias("rid"), named.alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *place)
+    sized = cut(sized, "sizes")
     plan = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     if plan.count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    rows = sized.join(F.broadcast(plan.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    placed = cut(running_start(rows.drop("source"), ["rank"], ["rid"], F.col("size"), "first", "rid", chunk_count(sized.count())), "places")
+    rows = sized.join(F.broadcast(plan.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "source")
+    placed = running_start(rows, ["rank"], ["place", "place2"], F.col("size"), "first", "place", chunk_count(sized.count()))
+    placed = cut(placed.drop("place", "place2"), "places")
     pieces = placed.filter("size > 0").select("rid", "rank", "first", "size", F.explode(F.expr(f"sequence(first div {block}, (first + size - 1) div {block})")).alias("block"))
     drawn = cut(block_draws(plan, block, slots, seed), "draws")
     start, end = F.greatest(F.col("block") * block - F.col("first"), F.lit(0)), F.least((F.col("block") + 1) * block - F.col("first"), F.col("size"))

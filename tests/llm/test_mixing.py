@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.mixing import _permuted, mix, targets
+from ledgerloom.llm.mixing import _permuted, block_draws, mix, shard_counts, targets
 
 
 def filled(sizes, weights=(5, 2, 1)):
@@ -74,3 +74,32 @@ def test_no_words_and_no_rows(spark):
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [(r["size"], r.taken) for r in mix(blank).collect()] == [(0, 0), (0, 0)]
     assert mix(blank.withColumn("source", F.lit(None).cast("string"))).count() == 2
+
+
+def test_shards_draw_whole_counts():
+    slots = np.array([9000, 900, 90, 10])
+    drawn = shard_counts(slots, 100, (1, 2))
+    assert (drawn.sum(axis=0) == slots).all() and (drawn.sum(axis=1) == 100).all() and (drawn >= 0).all()
+    # Of the spread of multinomial counts: the first source's has a deviation of 3, a quota would have none.
+    assert 2 < drawn[:, 0].std() < 4 and drawn[:, 1].std() > 2
+    assert (shard_counts(slots, 100, (1, 2)) == drawn).all() and (shard_counts(slots, 100, (1, 3)) != drawn).any()
+
+
+@pytest.mark.parametrize("slots", [4, 1024])
+def test_draws_against_targets(spark, slots):
+    plan = spark.createDataFrame([(0, 1000, 3000.0), (1, 640, 100.0), (2, 5, 5.0), (3, 0, 0.0), (4, 33, 60.0)], "rank int, source_size long, target double")
+    drawn = block_draws(plan, block=8, slots=slots).collect()
+    times = {}
+    for r in drawn:
+        times.setdefault(r.rank, {})[r.block] = r.times
+    assert times[0] == dict.fromkeys(range(125), 3)
+    assert len(times[1]) == sum(times[1].values()) == round(100 / 8) and set(times[1]) <= set(range(80))
+    assert times[2] == {0: 1} and 3 not in times
+    assert sum(times[4].values()) == round(60 * 5 / 33) and set(times[4].values()) <= {1, 2} and len(times[4]) == 5
+
+
+def test_reruns_agree_for_any_split_of_the_rows(spark, docs):
+    rows = [(i % 90, f"w{i % 7} " * (i % 50), f"s{i % 4}") for i in range(400)] + [(5, "same " * 40, "s1")] * 3
+    make = lambda order, n: spark.createDataFrame(order, "doc_id long, text string, source string").repartition(n)
+    seen = [sorted(map(tuple, mix(make(order, n)).select("doc_id", "size", "target", "taken").collect())) for order, n in ((rows, 1), (rows[::-1], 5), (rows[200:] + rows[:200], 3))]
+    assert seen[0] == seen[1] == seen[2] and sum(r[3] for r in seen[0]) > 0
