@@ -1,18 +1,21 @@
 """Main text of web pages, by differencing each page with its nearest neighbour by URL.
 
 A page becomes lines: its text blocks in page order. Within each host, pages are sorted by URL path and each
-is paired with the neighbour that shares the longer part of its path; the two lists of lines are aligned by
-longest common subsequence, and the lines of a page that its neighbour has too are furniture. Where the markup
-itself tells article from furniture (article and main elements, nav, footer, adverts and the like) the
-markup decides, since a copied article is shared as well and furniture may differ from page to page.
+is paired with the neighbour that shares the longer part of its path (with the other one if the first has the
+same lines all through). Their lines are aligned by longest common subsequence, and what a page shares with its
+neighbour is deleted. Markup is further evidence: what nav, footer, adverts and the like hold is furniture though
+no neighbour has it, and paragraphs of an article stay though a neighbour has them, as passages are copied too.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+import struct
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,8 +26,12 @@ from .common import bounded_batches, cut
 #: Elements whose content is never text of the article.
 DROPPED = frozenset("head nav header footer aside form script style noscript template svg iframe button select textarea dialog object audio video canvas menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Words of class and id names that mark furniture.
-NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer header masthead cookie cookies consent notice popup modal newsletter subscribe signup social share sharing related recommended comment comments disqus pagination pager".split())
+#: Words of class and id names that mark furniture: these always, those below unless the name also speaks of content.
+NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar cookie cookies consent popup modal newsletter subscribe signup social share sharing comment comments disqus pagination pager".split())
+WEAK_NAMES = frozenset("promotion banner widget footer header masthead notice related recommended".split())
+CONTENT_NAMES = frozenset("article post entry content story body main text title work".split())
+#: Elements whose text is an article's own; other text inside an article, such as that of a bare div, may be furniture.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul title option".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
@@ -37,9 +44,17 @@ _SPACE = re.compile(r"\s+")
 ARTICLE, MAIN, BODY, FURNITURE = 0, 1, 2, 3
 
 
-def _furniture(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether it is the main element by its role."""
-    if tag in DROPPED:
+def _named_furniture(names: str) -> bool:
+    for name in names.split():
+        words = set(re.split(r"[_-]+", name))
+        if words & NAMES or words & WEAK_NAMES and not words & CONTENT_NAMES:
+            return True
+    return False
+
+
+def _furniture(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether it is the main element by its role. An article's own header is not."""
+    if tag in DROPPED and not (tag == "header" and in_article):
         return True, False
     main = False
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
@@ -50,12 +65,18 @@ def _furniture(tag: str, attributes: str) -> tuple[bool, bool]:
             if value in ROLES:
                 return True, False
             main = value == "main"
-        elif name in ("class", "id") and tag not in ("body", "html", "article", "main") and NAMES & set(re.split(r"[\s_-]+", value)):
+        elif name in ("class", "id") and tag not in ("body", "html", "article", "main") and _named_furniture(value):
             return True, False
     return False, main
 
 
-def lines_of(page: str | None) -> list[tuple[str, int]]:
+class Line(NamedTuple):
+    text: str
+    stands: int
+    prose: bool
+
+
+def lines_of(page: str | None) -> list[Line]:
     """Text blocks in page order, with white space inside made one space, and how each stands."""
     page = page or ""
     out, text, stack, at = [], [], [], 0
@@ -65,7 +86,8 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
         line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         text.clear()
         if line:
-            out.append((line, FURNITURE if dropped else ARTICLE if articles else MAIN if mains else BODY))
+            block = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
+            out.append(Line(line, FURNITURE if dropped else ARTICLE if articles else MAIN if mains else BODY, block in PROSE))
 
     while at < len(page):
         token = _TOKEN.search(page, at)
@@ -83,7 +105,7 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
         if not token[1]:
             if tag in VOID or token[3].endswith("/") and tag not in BLOCKS:
                 continue
-            furniture, main = _furniture(tag, token[3])
+            furniture, main = _furniture(tag, token[3], articles > 0)
             if furniture and not dropped:
                 flush()
             kind = 1 if furniture else 2 if tag == "article" else 3 if tag == "main" or main else 0
@@ -168,18 +190,38 @@ def _split(own: Sequence, other: Sequence) -> set[int]:
     return _aligned(own[:half], other[:k]) | {half + i for i in _aligned(own[half:], other[k:])}
 
 
-def settled(lines: list[tuple[str, int]]) -> str | None:
-    """The text of the article or main element, or None if the markup has neither."""
-    for place in (ARTICLE, MAIN):
-        if any(stands == place for _, stands in lines):
-            return "\n".join(line for line, stands in lines if stands == place)
-    return None
+def candidates(stands: Sequence[int]) -> list[int]:
+    """Positions of the lines that can be main text by markup: those of articles, else of main elements, else of the
+    body outside furniture."""
+    place = next((p for p in (ARTICLE, MAIN) if p in stands), BODY)
+    return [i for i, s in enumerate(stands) if s == place]
+
+
+def deleted(stands: Sequence[int], prose: Sequence[bool], same: set[int]) -> list[int]:
+    """Positions, among the candidates, of the lines that go since a neighbour has them too: all of `same` but for an
+    article's own paragraphs. A page that would lose all is a copy and loses none."""
+    able = candidates(stands)
+    gone = [k for k, i in enumerate(able) if i in same and not (stands[i] != BODY and prose[i])]
+    return gone if len(gone) < len(able) else []
+
 
+_MARK = struct.Struct("<QB")
 
-def differing(body: list[str], neighbour: list[str] | None) -> str:
-    """The lines of the body that the neighbour lacks, or all of them if it has all."""
-    same = shared(body, neighbour or [])
-    return "\n".join([line for i, line in enumerate(body) if i not in same] or body)
+
+def marks_of(lines: list[Line]) -> bytes:
+    """Of each line a 64-bit digest of its text and how it stands, which is all that a comparison needs."""
+    return b"".join(_MARK.pack(int.from_bytes(hashlib.blake2b(x.text.encode("utf-8", "replace"), digest_size=8).digest(), "little"), x.stands | 4 * x.prose) for x in lines)
+
+
+def compare(own: bytes, *others: bytes | None) -> tuple[int, int, list[int]]:
+    """(lines, lines shared, candidates deleted) of a page's marks against the first neighbour that has other lines."""
+    lines = list(_MARK.iter_unpack(own))
+    digests, same = [d for d, _ in lines], set()
+    for other in others:
+        if other is not None and other != own:
+            same = shared(digests, [d for d, _ in _MARK.iter_unpack(other)])
+            break
+    return len(lines), len(same), deleted([f & 3 for _, f in lines], [bool(f & 4) for _, f in lines], same)
 
 
 def _host(url: Column) -> Column:
@@ -191,7 +233,8 @@ def _path(url: Column) -> Column:
 
 
 def neighbours(pages: DataFrame, n_ranges: int) -> DataFrame:
-    """(rid, near): of pages (rid, host, path) the neighbour in (host, path, rid) order that shares more of the path.
+    """(rid, near, far): of pages (rid, host, path) the neighbours of the same host in (host, path, rid) order, first
+    the one that shares more of the path, of both alike the one before; null where there is none.
 
     Pages are dealt by ranges of that order, so a host of many pages spans many tasks; only the ends of each
     range, two rows a task, meet to link the ranges. The links do not depend on the ranges.
@@ -212,39 +255,58 @@ def neighbours(pages: DataFrame, n_ranges: int) -> DataFrame:
         return F.when(F.col(f"{side}.host") == F.col("host"), same)
 
     linked = linked.withColumn("p", alike("prev")).withColumn("n", alike("next"))
-    near = F.when(F.col("p").isNull() | (F.col("n") > F.col("p")), F.when(F.col("n").isNotNull(), F.col("next.rid"))).otherwise(F.col("prev.rid"))
-    return linked.select("rid", near.alias("near"))
+    # p and n are null where there is no such neighbour.
+    turned = F.col("p").isNull() | (F.col("n") > F.col("p"))
+    before, after = F.when(F.col("p").isNotNull(), F.col("prev.rid")), F.when(F.col("n").isNotNull(), F.col("next.rid"))
+    return linked.select("rid", F.when(turned, after).otherwise(before).alias("near"), F.when(turned, before).otherwise(after).alias("far"))
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Returns page_id, url, text, n_chars (code points), one row per input row.
-
-    Null html counts as empty and gives empty text. A null url belongs to no host, so its page has no neighbour.
-    Pages that repeat an id or a url are pages of their own. An empty table gives an empty result. Other columns
-    are not read.
-    """
+def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(rid, page_id, url, text, marks): the text by markup alone, and the marks of all lines."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [lines_of(page) for page in batch.column(3).to_pylist()]
-            texts = pa.array(map(settled, found), pa.string())
-            body = pa.array([[line for line, stands in f if stands == BODY] for f in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), texts, body], ["rid", "page_id", "url", "text", "body"])
+            texts = ["\n".join(f[i].text for i in candidates([x.stands for x in f])) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(texts, pa.string()), pa.array(map(marks_of, found), pa.binary())], ["rid", "page_id", "url", "text", "marks"])
 
     rows = bounded_batches(pages).select(F.monotonically_increasing_id().alias("rid"), pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
-    parsed = cut(rows.mapInArrow(parse, "rid long, page_id long, url string, text string, body array<string>"), "page-lines")
-    places = parsed.filter("url is not null").select("rid", _host(F.col("url")).alias("host"), _path(F.col("url")).alias("path"))
-    near = cut(neighbours(places, max(1, min(2000, parsed.count() // 2000))).filter("near is not null"), "neighbours")
-    # Only pages whose markup does not settle it need their neighbour's lines.
-    open_ = parsed.filter("text is null").select("rid", "page_id", "url", "body")
-    others = parsed.filter("size(body) > 0").select(F.col("rid").alias("near"), F.col("body").alias("others"))
-    paired = open_.join(near, "rid", "left").join(others, "near", "left").select("page_id", "url", "body", "others")
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return cut(rows.mapInArrow(parse, "rid long, page_id long, url string, text string, marks binary"), "page-lines")
+
+
+def _compared(parsed: DataFrame) -> DataFrame:
+    """(rid, n_lines, n_shared, gone) of every page: lines, those a neighbour shares, and the candidates that go."""
+    places = parsed.select("rid", _host(F.col("url")).alias("host"), _path(F.col("url")).alias("path")).filter("host is not null")
+    links = cut(neighbours(places, max(1, min(2000, parsed.count() // 2000))).filter("near is not null"), "neighbours")
+    marks = lambda side: parsed.select(F.col("rid").alias(side), F.col("marks").alias(f"{side}_marks"))
+    paired = parsed.select("rid", "marks").join(links, "rid", "left").join(marks("near"), "near", "left").join(marks("far"), "far", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [differing(*x) for x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            got = [compare(*x) for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            columns = zip(*got, strict=True) if got else ([], [], [])
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["rid", "n_lines", "n_shared", "gone"])
+
+    return paired.select("rid", "marks", "near_marks", "far_marks").mapInArrow(run, "rid long, n_lines long, n_shared long, gone array<int>")
+
 
-    differenced = paired.mapInArrow(decide, "page_id long, url string, text string")
-    out = parsed.filter("text is not null").select("page_id", "url", "text").unionByName(differenced)
+def differences(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Returns page_id, n_lines, n_shared (with its neighbour), n_deleted (of what markup alone would keep)."""
+    parsed = _parsed(pages, id_col, url_col, html_col)
+    return _compared(parsed).join(parsed.select("rid", "page_id"), "rid").select("page_id", "n_lines", "n_shared", F.size("gone").cast("long").alias("n_deleted"))
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Returns page_id, url, text, n_chars (code points), one row per input row.
+
+    Null html counts as empty and gives empty text. A null url belongs to no host, so its page has no neighbour.
+    Pages that repeat an id or a url are pages of their own. Lines are compared by 64-bit digests. An empty table
+    gives an empty result. Other columns are not read.
+    """
+    parsed = _parsed(pages, id_col, url_col, html_col)
+    gone = cut(_compared(parsed).filter("size(gone) > 0").select("rid", "gone"), "page-differences")
+    lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    out = parsed.join(gone, "rid", "left").select("page_id", "url", text.alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -1,8 +1,10 @@
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.llm.html_text import BODY, differing, extract_text, lines_of, settled, shared
+from ledgerloom.llm.html_text import candidates, differences, extract_text, lines_of, neighbours, shared
 
 
 def lcs(a, b):
@@ -34,6 +36,8 @@ PAGES = {
     "<article>text <a href='x>y'>link</a> more<div id=comments><p>reader</p></div></article>": "text link more",
     "<ARTICLE><P>Upper</P></ARTICLE>": "Upper",
     "a < b and c > d": "a < b and c > d",
+    "<article><header><h1>Title</h1><nav>n</nav></header><div class='article-header related-work'>kept</div><div class='page-header'>not</div></article>": "Title\nkept",
+    "<div class='comment-body'>reader</div><div class='post-header'>kept</div><p id=related>no</p>": "kept",
     "": "",
     "<p></p>  ": "",
     "<article><p>end of tag <b": "end of tag",
@@ -43,8 +47,7 @@ PAGES = {
 @pytest.mark.parametrize("page", PAGES)
 def test_pages(page):
     lines = lines_of(page)
-    text = settled(lines)
-    assert (text if text is not None else differing([x for x, s in lines if s == BODY], None)) == PAGES[page]
+    assert "\n".join(lines[i].text for i in candidates([x.stands for x in lines])) == PAGES[page]
 
 
 def test_differencing_drops_what_the_neighbour_shares(spark):
@@ -62,5 +65,76 @@ def test_differencing_drops_what_the_neighbour_shares(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in extract_text(pages).collect()}
     assert got[2] == ("second story", 12) and got[3] == ("third story", 11)
     assert got[4] == got[4][:0] + ("Site name\nHome\nfourth story\nImprint", 35) and got[5][0].endswith("Imprint") and got[6] == ("", 0)
-    assert got[1][0] == got[7][0] == "Site name\nHome\nfirst story\nImprint"
+    # Pages 1 and 7 are copies: 7 is held against its other neighbour, 1 has no other and keeps all.
+    assert got[7] == ("first story", 11) and got[1][0] == "Site name\nHome\nfirst story\nImprint"
     assert extract_text(pages.limit(0)).count() == 0
+    assert sorted((r.page_id, r.n_lines, r.n_shared, r.n_deleted) for r in differences(pages).collect())[:4] == [(1, 4, 0, 0), (2, 4, 3, 3), (3, 4, 3, 3), (4, 4, 0, 0)]
+
+
+def test_paragraphs_of_articles_stay_and_bare_text_goes(spark):
+    page = "<article><h1>{0}</h1><p>a passage that was copied</p><p>{0} own</p><div>Share this</div></article>"
+    rows = [(i, f"http://h.example/a/{i}", page.format(f"t{i}")) for i in range(3)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"t{i}\na passage that was copied\nt{i} own" for i in range(3)}
+
+
+def paths_alike(a, b):
+    n = 0
+    for x, y in zip(a.split("/"), b.split("/")):  # noqa: B905
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def brute_neighbours(rows):
+    """(near, far) by rid of (rid, host, path) rows."""
+    rows = sorted(rows, key=lambda r: (r[1].encode(), r[2].encode(), r[0]))
+    out = {}
+    for k, (rid, host, path) in enumerate(rows):
+        sides = [rows[i] for i in (k - 1, k + 1) if 0 <= i < len(rows) and rows[i][1] == host]
+        sides.sort(key=lambda r: -paths_alike(r[2], path))
+        ids = [r[0] for r in sides]
+        out[rid] = (ids[0] if ids else None, ids[1] if len(ids) > 1 else None)
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 8])
+def test_neighbours_against_brute_force(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [(i, f"h{rng.randrange(6)}", "/" + "/".join(rng.choice("abc") for _ in range(rng.randrange(4)))) for i in range(200)] + [(200, "alone", "")]
+    df = spark.createDataFrame(rows, "rid long, host string, path string")
+    assert {r.rid: (r.near, r.far) for r in neighbours(df, ranges).collect()} == brute_neighbours(rows)
+
+
+def test_query_against_brute_force(spark):
+    """Pages without markup, whose text is what the next page by URL lacks."""
+    rng = random.Random(11)
+    furniture = [f"menu {i}" for i in range(6)]
+    rows = []
+    for i in range(120):
+        own = [f"story {i} line {k}" for k in range(rng.randrange(1, 6))]
+        lines = furniture[: rng.randrange(2, 7)] + own + rng.choice([[], ["imprint"]])
+        rows.append((i, f"https://h{i % 5}.example/{rng.choice('ab')}/{i:03d}.html", "<br>".join(f"<div>{x}</div>" for x in lines), lines))
+    near = brute_neighbours([(i, url.split("/")[2], "/" + url.split("/", 3)[3]) for i, url, _, _ in rows])
+    lines = {r[0]: r[3] for r in rows}
+    got = {r.page_id: (r.text, r.n_chars) for r in extract_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    for i, (a, b) in near.items():
+        other = next((lines[x] for x in (a, b) if x is not None and lines[x] != lines[i]), [])
+        kept = [x for k, x in enumerate(lines[i]) if k not in shared(lines[i], other)] or lines[i]
+        assert got[i] == ("\n".join(kept), len("\n".join(kept)))
+        assert lcs(lines[i], other) == len(shared(lines[i], other))
+
+
+def test_long_pages(spark):
+    long = "<article>" + "".join(f"<p>line {i}</p>" for i in range(30_000)) + "</article>"
+    rows = [(1, "http://h.example/1", long), (2, "http://h.example/2", long + "<div>x</div>"), (3, "http://h.example/3", "<p>" + "word " * 300_000)]
+    got = {r.page_id: r.n_chars for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: sum(len(f"line {i}") + 1 for i in range(30_000)) - 1, 2: sum(len(f"line {i}") + 1 for i in range(30_000)) - 1, 3: 5 * 300_000 - 1}
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/pages.parquet"), reason="needs the given tables")
+def test_lines_that_differencing_finds_on_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    lines, common = differences(pages).agg(F.sum("n_lines"), F.sum("n_shared")).first()
+    assert lines > 40_000 and common > 700
