@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 WHITE = r"[\x20\x09-\x0D]+"
 _RUNS: dict[str, list[str]] = {}
 
@@ -18,7 +19,8 @@ BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """Makes the session hand texts to Python workers in small batches; returns df."""
+    """Makes the session hand texts to Python workers in small batches, from now on, since plans that are run later
+    read the setting when they run; returns df."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, BATCH_ROWS + 1):
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -30,13 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a session without one (tests) gets a local one."""
-    got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, dealt out over all cores if its files make fewer tasks than that; else df itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _drop_runs(app: str) -> None:
@@ -45,14 +49,25 @@ def _drop_runs(app: str) -> None:
         spark = SparkSession.getActiveSession()
         if spark is None or spark.sparkContext.applicationId != app:
             return
-        jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in _RUNS.pop(app, []):
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(hadoop).delete(at, True)
+            _delete(spark, path)
     except Exception:  # noqa: BLE001  the session is gone, and with it the way to the store
         return
 
 
+def written(spark: SparkSession) -> int:
+    """How many tables have been cut so far."""
+    return len(_RUNS.get(spark.sparkContext.applicationId, []))
+
+
+def forget(spark: SparkSession, since: int) -> None:
+    """Deletes the tables cut since then (see written) but the last, which must not need them any more."""
+    runs = _RUNS.get(spark.sparkContext.applicationId, [])
+    for path in runs[since:-1]:
+        _delete(spark, path)
+    del runs[since:-1]
+
+
 def cut(df: DataFrame, label: str, parts: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, so lost executors repeat
     no earlier stage, and ids given inside df are the same for every later reader.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import spread, table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .language import identify_language
@@ -23,46 +23,60 @@ from .toxicity import train as train_toxicity
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    """Which documents are equal but for white space, and which one of each group stays."""
+    return exact_dedup(_documents(spark, sf_dir))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_digest(find_pii(table(spark, sf_dir, "documents")))
+    """Personal data in every document: counts and spans of the base kinds, further kinds and scores."""
+    return span_digest(find_pii(_documents(spark, sf_dir)))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Toxicity of every document, learned from the labelled rows that are not held out."""
+    docs = _documents(spark, sf_dir)
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048)
+    """Tokens of every document, and where 2048 of them end."""
+    return count_tokens(_documents(spark, sf_dir), "word_bpe_49k.json", limit=2048)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Language of every document, learned from the rows that are not held out."""
+    docs = _documents(spark, sf_dir)
     return identify_language(docs, train_language(docs))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    """Classes of documents whose five-word shingles agree by 0.8 or more."""
+    return near_duplicates(_documents(spark, sf_dir))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """How many words the mix takes of every document."""
+    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Rule counts, score and verdict of every document."""
+    return quality(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages"))
+    """Main text of every page."""
+    return extract_text(spread(table(spark, sf_dir, "pages")))
 
 
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), "byte_bpe_50k", capacity=2048)
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    return pack(_documents(spark, sf_dir), "byte_bpe_50k", capacity=2048)
 
 
 QUERIES: dict[str, Query] = {

@@ -27,16 +27,30 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many underscores before it as keep it apart from the columns of a caller's table."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def _one_of_each(docs: DataFrame, key: Column, name: str) -> DataFrame:
+    """docs with the column `name` = key and one row of each key; copies of a row go before the shuffle, so none is hot."""
+    turn = unused("turn", [*docs.columns, name])
+    numbered = F.row_number().over(Window.partitionBy(name).orderBy(name))
+    return docs.withColumn(name, key).withColumn(turn, numbered).filter(F.col(turn) == 1).drop(turn)
+
+
 def keep_rows(docs: DataFrame, digest: Column, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row of docs for each key in kept (column __key); copies of a row go before the shuffle, so none is hot."""
-    keyed = docs.withColumn("__key", row_key(F.col(id_col), digest))
-    turn = Window.partitionBy("__key").orderBy("__key")
-    one = keyed.withColumn("__turn", F.row_number().over(turn)).filter("__turn = 1").drop("__turn")
-    return one.join(kept, "__key", "left_semi").select(*docs.columns)
+    """One row of docs for each key in kept (column key)."""
+    name = unused("key", docs.columns)
+    one = _one_of_each(docs, row_key(F.col(id_col), digest), name)
+    return one.join(kept.select(F.col("key").alias(name)), name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows that the grammar scores below the threshold; null text stays."""
+    """Rows that the grammar scores below the threshold; null text stays, repeated rows stay or go together."""
     terms, calibration, at = model.terms, model.calibration, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,14 +62,15 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row that stays of each group of equal texts."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
+    """The row that stays of each group of equal texts: of the least doc_id, of rows alike in that too any one."""
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
     return keep_rows(docs, F.sha2(normalised(F.col(text_col)), 256), kept, id_col)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of the smallest doc_id of each class of similar ones, and all that link with nothing."""
-    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
+    """The document of the smallest doc_id of each class of similar ones, of rows that repeat it any one, and all that
+    link with nothing, of which rows alike in doc_id and text count once."""
+    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
     return keep_rows(docs, text_digest(F.col(text_col)), kept, id_col)
 
 
@@ -68,10 +83,9 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     # Rows that agree in doc_id, source and text have one text to give; their shares meet under one key.
     digest = F.sha2(F.concat_ws("\n", F.coalesce(F.col(source_col), F.lit("")), F.col(source_col).isNull().cast("string"), F.coalesce(F.col(text_col), F.lit(""))), 256)
     mixed = mix(docs, id_col, text_col, source_col, key=row_key(F.col(id_col), digest)).filter("taken > 0")
-    spans = mixed.groupBy("key").agg(F.collect_list("spans").alias("__spans")).withColumnRenamed("key", "__key")
-    keyed = docs.withColumn("__key", row_key(F.col(id_col), digest))
-    one = keyed.withColumn("__turn", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).filter("__turn = 1").drop("__turn")
-    joined = one.join(spans, "__key").select(*docs.columns, "__spans")
+    name, held = unused("key", docs.columns), unused("spans", docs.columns)
+    spans = mixed.groupBy(F.col("key").alias(name)).agg(F.collect_list("spans").alias(held))
+    joined = _one_of_each(docs, row_key(F.col(id_col), digest), name).join(spans, name).select(*[F.col(f"`{c}`") for c in docs.columns], held)
     names, at = docs.columns, docs.columns.index(text_col)
     length = names.index(length_col) if length_col in names else None
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from ledgerloom.llm import common, stages
 from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.toxicity import train
 
@@ -102,3 +103,29 @@ def test_empty_tables(spark, sf_dir, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """The stages' own columns give way to those of the table."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, t, "s", len(t or ""), f"k{i}", i, "x", i) for i, t in enumerate([text, text + " ", "other words", None, "other words"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, key string, turn int, _key string, spans int")
+    for stage, ids in ((stages.drop_copies, {0, 1, 2, 3}), (stages.drop_near_copies, {0, 2, 3}), (stages.take_mix, {0, 1, 2, 4})):
+        out = stage(docs).collect()
+        assert {r.doc_id for r in out} == ids
+        assert all((r.key, r.turn, r["_key"], r.spans) == (f"k{r.doc_id}", r.doc_id, "x", r.doc_id) for r in out)
+
+
+def test_small_tables_are_spread_and_stage_tables_forgotten(spark, sf_dir):
+    one = spark.range(0, 100, 1, 1)
+    assert common.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 100, 1, 64)
+    assert common.spread(many) is many
+    since = common.written(spark)
+    tables = [common.cut(one, "test") for _ in range(3)]
+    common.forget(spark, since)
+    assert common.written(spark) == since + 1 and tables[2].count() == 100
+    with pytest.raises(Exception, match="(?i)not.*exist|not_found"):
+        tables[0].count()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert common.table(spark, sf_dir, "documents").columns == docs.columns
