@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm.common import cut, table
+from ledgerloom.llm.common import cut, forget, spread, table, written
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.stages import drop_copies, drop_near_copies, drop_toxic, take_mix
 from ledgerloom.llm.toxicity import train
@@ -42,8 +42,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what each stage returns is written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir; what each stage returns is written to the shared folder, and what it
+    and the stages before have written there is then deleted."""
+    docs, since = spread(table(spark, sf_dir, "documents")), written(spark)
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(spark, since)
     return STAGES[-1][1](spark, docs, sf_dir)
