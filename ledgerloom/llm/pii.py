@@ -26,7 +26,7 @@ RAISING = {
     "national_id": "ssn social security national id ausweis sécurité dni passport",
 }
 LOWERING = {"ip": "version release build v", "card": "order invoice tracking isbn", "phone": "order invoice", "national_id": "part serial model order"}
-RAISE, LOWER, LEAST, NEAR = 0.2, 0.2, 0.5, 48
+RAISE, LOWER, LEAST, SURE, NEAR = 0.2, 0.2, 0.5, 0.8, 48
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -178,7 +178,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def span_digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, comma-joined)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, comma-joined), scores (of the spans,
+    likewise), n_sure (spans that score SURE or more)."""
     counts = [F.size(F.expr(f"filter(spans, x -> x.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     joined = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return found.select("doc_id", *counts, "base_sha256", joined.alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda x: x["score"].cast("string")), ",")
+    sure = F.size(F.filter("spans", lambda x: x["score"] >= SURE)).cast("long")
+    return found.select("doc_id", *counts, "base_sha256", joined.alias("spans"), scores.alias("scores"), sure.alias("n_sure"))
