@@ -19,7 +19,10 @@ def merged_orders(fills: DataFrame) -> DataFrame:
     """
     given = lambda name, other: F.col(name) if name in fills.columns else F.lit(None).cast(other)
     groups = ["account_id", "symbol", "position_side", "side", "order_key", "fee_asset"]
-    order = F.when(F.col("order_id").isNull() | (F.col("order_id").cast("string") == ""), F.concat(F.lit("trade:"), F.col("fill_id").cast("string"))).otherwise(F.col("order_id").cast("string"))
+    order = F.when(
+        F.col("order_id").isNull() | (F.col("order_id").cast("string") == ""),
+        F.concat(F.lit("trade:"), F.col("fill_id").cast("string")),
+    ).otherwise(F.col("order_id").cast("string"))
     keyed = fills.filter("quantity != 0").select(
         "account_id",
         "symbol",
@@ -43,7 +46,17 @@ def merged_orders(fills: DataFrame) -> DataFrame:
         F.max(F.struct("time", "fill_id", "order_id")).alias("last"),
         F.count(F.lit(1)).alias("fills"),
     )
-    return merged.select(*groups, "quantity", "fee", "realized_pnl", ratio(F.col("notional"), F.col("quantity")).alias("average_price"), F.col("last.time").alias("time"), F.col("last.fill_id").alias("last_fill_id"), F.col("last.order_id").alias("order_id"), "fills")
+    return merged.select(
+        *groups,
+        "quantity",
+        "fee",
+        "realized_pnl",
+        ratio(F.col("notional"), F.col("quantity")).alias("average_price"),
+        F.col("last.time").alias("time"),
+        F.col("last.fill_id").alias("last_fill_id"),
+        F.col("last.order_id").alias("order_id"),
+        "fills",
+    )
 
 
 def legs(fills: DataFrame) -> DataFrame:
@@ -91,7 +104,21 @@ def closed_cycles(fills: DataFrame) -> DataFrame:
     realized = ((F.col("close_notional") - F.col("open_notional")) * direction).cast("double")
     fee = F.col("fee").cast("double")
     entry, exit_ = ratio(F.col("open_notional"), F.col("open_quantity")), ratio(F.col("close_notional"), F.col("close_quantity"))
-    return done.select(*KEYS, "cycle", "side", "open_time", "close_time", "closing_fill_id", entry.alias("entry_price"), exit_.alias("exit_price"), F.col("max_size").cast("double").alias("max_size"), realized.alias("realized_pnl"), fee.alias("trading_fee"), (realized - fee).alias("net_pnl"), (ratio(realized, entry * F.col("max_size").cast("double"), 0.0) * 100).alias("return_percent"))
+    return done.select(
+        *KEYS,
+        "cycle",
+        "side",
+        "open_time",
+        "close_time",
+        "closing_fill_id",
+        entry.alias("entry_price"),
+        exit_.alias("exit_price"),
+        F.col("max_size").cast("double").alias("max_size"),
+        realized.alias("realized_pnl"),
+        fee.alias("trading_fee"),
+        (realized - fee).alias("net_pnl"),
+        (ratio(realized, entry * F.col("max_size").cast("double"), 0.0) * 100).alias("return_percent"),
+    )
 
 
 def with_funding(cycles: DataFrame, funding: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,7 +176,16 @@ def hedge_cycles(fills: DataFrame) -> DataFrame:
     entry, exit_ = ratio(F.col("open_notional"), F.col("open_quantity")), ratio(F.col("close_notional"), F.col("close_quantity"))
     realized = F.when(F.col("complete"), (exit_ - entry) * F.col("close_quantity") * direction)
     completeness = F.when(F.col("complete"), "COMPLETE").otherwise("PARTIAL")
-    return done.select(*keys, "open_time", "close_time", "max_size", entry.alias("entry_price"), exit_.alias("exit_price"), realized.alias("realized_pnl"), completeness.alias("data_completeness"))
+    return done.select(
+        *keys,
+        "open_time",
+        "close_time",
+        "max_size",
+        entry.alias("entry_price"),
+        exit_.alias("exit_price"),
+        realized.alias("realized_pnl"),
+        completeness.alias("data_completeness"),
+    )
 
 
 def cycles_from_start_positions(fills: DataFrame) -> DataFrame:
@@ -192,4 +228,17 @@ def cycles_from_start_positions(fills: DataFrame) -> DataFrame:
     done = grouped.filter("close_time is not null")
     entry = F.when(F.col("complete"), ratio(F.col("o_n"), F.col("oq"))).otherwise(ratio(F.col("i_n"), F.col("cq")))
     realized, fee = F.col("pnl").cast("double"), F.col("fee").cast("double")
-    return done.select(*KEYS, "cycle", "side", "open_time", "close_time", entry.alias("entry_price"), ratio(F.col("c_n"), F.col("cq")).alias("exit_price"), F.col("max_size").cast("double").alias("max_size"), realized.alias("realized_pnl"), fee.alias("trading_fee"), (realized - fee).alias("net_pnl"), F.when(F.col("complete"), "COMPLETE").otherwise("PARTIAL").alias("data_completeness"))
+    return done.select(
+        *KEYS,
+        "cycle",
+        "side",
+        "open_time",
+        "close_time",
+        entry.alias("entry_price"),
+        ratio(F.col("c_n"), F.col("cq")).alias("exit_price"),
+        F.col("max_size").cast("double").alias("max_size"),
+        realized.alias("realized_pnl"),
+        fee.alias("trading_fee"),
+        (realized - fee).alias("net_pnl"),
+        F.when(F.col("complete"), "COMPLETE").otherwise("PARTIAL").alias("data_completeness"),
+    )

@@ -17,14 +17,25 @@ RANGES = {"1d": 5, "1w": 30, "1m": 120, "6m": 360, "1y": 720}
 def points(snapshots: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per bucket: the last snapshot of each account that has one in it, summed over accounts."""
     held = snapshots.withColumn("bucket_time", bucket(F.col("recorded_at"), width))
-    last = held.groupBy("account_id", "bucket_time").agg(F.max_by("equity", F.struct("recorded_at", "snapshot_id")).alias("equity"), F.max("recorded_at").alias("recorded_at"))
-    return last.groupBy("bucket_time").agg(F.sum("equity").alias("total_equity"), F.count(F.lit(1)).alias("account_count"), F.max("recorded_at").alias("source_latest_at"))
+    last = held.groupBy("account_id", "bucket_time").agg(
+        F.max_by("equity", F.struct("recorded_at", "snapshot_id")).alias("equity"),
+        F.max("recorded_at").alias("recorded_at"),
+    )
+    return last.groupBy("bucket_time").agg(
+        F.sum("equity").alias("total_equity"),
+        F.count(F.lit(1)).alias("account_count"),
+        F.max("recorded_at").alias("source_latest_at"),
+    )
 
 
 def downsampled(five_minutes: DataFrame, minutes: int) -> DataFrame:
     """The last point of each wider bucket, under the bucket's start; source_latest_at is the latest of all."""
     held = five_minutes.withColumn("wide", bucket(F.col("bucket_time"), minutes))
-    last = held.groupBy("wide").agg(F.max_by("total_equity", "bucket_time").alias("total_equity"), F.max_by("account_count", "bucket_time").alias("account_count"), F.max("source_latest_at").alias("source_latest_at"))
+    last = held.groupBy("wide").agg(
+        F.max_by("total_equity", "bucket_time").alias("total_equity"),
+        F.max_by("account_count", "bucket_time").alias("account_count"),
+        F.max("source_latest_at").alias("source_latest_at"),
+    )
     return last.withColumnRenamed("wide", "bucket_time")
 
 
@@ -61,9 +72,17 @@ def coverage(snapshots: DataFrame, accounts: DataFrame) -> DataFrame:
     candidates = candidates.withColumn("bucket_time", F.col("own") + F.make_dt_interval(mins=F.col("k")))
     until = F.col("bucket_time") + F.expr(f"INTERVAL {WIDTH} MINUTES")
     candidates = candidates.join(spine, "bucket_time", "left_semi").filter((F.col("tracking_started_at") < until) & (F.col("recorded_at") >= F.col("bucket_time") - F.expr(f"INTERVAL {BACK} MINUTES")))
-    last = candidates.groupBy("bucket_time", "account_id").agg(F.max_by("equity", F.struct("recorded_at", "snapshot_id")).alias("equity"), F.max("recorded_at").alias("recorded_at"))
+    last = candidates.groupBy("bucket_time", "account_id").agg(
+        F.max_by("equity", F.struct("recorded_at", "snapshot_id")).alias("equity"),
+        F.max("recorded_at").alias("recorded_at"),
+    )
     stale = F.col("recorded_at") < F.col("bucket_time") - F.expr(f"INTERVAL {STALE} MINUTES")
-    filled = last.groupBy("bucket_time").agg(F.sum("equity").alias("total_equity"), F.count(F.lit(1)).alias("account_count"), F.count_if(stale).alias("stale_account_count"), F.max("recorded_at").alias("source_latest_at"))
+    filled = last.groupBy("bucket_time").agg(
+        F.sum("equity").alias("total_equity"),
+        F.count(F.lit(1)).alias("account_count"),
+        F.count_if(stale).alias("stale_account_count"),
+        F.max("recorded_at").alias("source_latest_at"),
+    )
     # Accounts tracked before a bucket's end: a running count over starts and ends in the order of time.
     starts = active.groupBy(F.col("tracking_started_at").alias("at")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(1))
     marks = starts.unionByName(spine.select(until.alias("at"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("kind"))).filter("at is not null")

@@ -33,7 +33,15 @@ def union(income: DataFrame, funding: DataFrame, fees: DataFrame, cash: DataFram
     )
 
 
-def filtered(ledger: DataFrame, accounts: DataFrame, exchange: str | None = None, account_id: int | None = None, record_type: str | None = None, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+def filtered(
+    ledger: DataFrame,
+    accounts: DataFrame,
+    exchange: str | None = None,
+    account_id: int | None = None,
+    record_type: str | None = None,
+    start: datetime | None = None,
+    end: datetime | None = None,
+) -> DataFrame:
     """Records of active accounts with exchange and connection name, under the filters that are given."""
     active = accounts.filter("is_active").select("account_id", "exchange", "connection_name")
     out = ledger.join(active, "account_id")
@@ -89,11 +97,31 @@ def daily(ledger: DataFrame, closed: DataFrame, accounts: DataFrame) -> DataFram
 
     WITHDRAW is WITHDRAWAL here, so cash of one day is one row a type."""
     kind = F.when(F.col("record_type").isin(*OUTGOING), "WITHDRAWAL").otherwise(F.col("record_type"))
-    records = ledger.filter("record_type != 'REALIZED_PNL'").select("account_id", reporting_day(F.col("record_time")).alias("record_date"), kind.alias("record_type"), F.col("amount_usd").cast("decimal(24,4)").alias("amount_usd"))
-    realized = closed.select("account_id", reporting_day(F.col("close_time")).alias("record_date"), F.lit("REALIZED_PNL").alias("record_type"), F.col("realized_pnl").cast("decimal(24,4)").alias("amount_usd"))
+    records = ledger.filter("record_type != 'REALIZED_PNL'").select(
+        "account_id",
+        reporting_day(F.col("record_time")).alias("record_date"),
+        kind.alias("record_type"),
+        F.col("amount_usd").cast("decimal(24,4)").alias("amount_usd"),
+    )
+    realized = closed.select(
+        "account_id",
+        reporting_day(F.col("close_time")).alias("record_date"),
+        F.lit("REALIZED_PNL").alias("record_type"),
+        F.col("realized_pnl").cast("decimal(24,4)").alias("amount_usd"),
+    )
     # Summed before the join, so the join carries one row for each account, day and type.
-    summed = records.unionByName(realized).groupBy("account_id", "record_date", "record_type").agg(F.sum("amount_usd").alias("amount_usd"), F.count(F.lit(1)).alias("record_count"))
-    return summed.join(accounts.filter("is_active").select("account_id", "exchange"), "account_id").select("exchange", "account_id", "record_date", "record_type", "amount_usd", "record_count")
+    summed = records.unionByName(realized).groupBy("account_id", "record_date", "record_type").agg(
+        F.sum("amount_usd").alias("amount_usd"),
+        F.count(F.lit(1)).alias("record_count"),
+    )
+    return summed.join(accounts.filter("is_active").select("account_id", "exchange"), "account_id").select(
+        "exchange",
+        "account_id",
+        "record_date",
+        "record_type",
+        "amount_usd",
+        "record_count",
+    )
 
 
 def daily_summary(preagg: DataFrame, first_day: Column | None = None, last_day: Column | None = None) -> DataFrame:

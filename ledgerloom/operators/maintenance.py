@@ -15,7 +15,10 @@ def realized_by_day(income: DataFrame, closed: DataFrame, days: DataFrame, incom
     """Realized PnL of the given (account_id, snapshot_date): the sum of income if there is any income record of
     that day, else of closed positions, else 0."""
     keys = ["account_id", "snapshot_date"]
-    earned = income.withColumn("snapshot_date", income_day).join(days, keys, "left_semi").groupBy(*keys).agg(F.sum("amount_usd").alias("earned"), F.count(F.lit(1)).alias("n"))
+    earned = income.withColumn("snapshot_date", income_day).join(days, keys, "left_semi").groupBy(*keys).agg(
+        F.sum("amount_usd").alias("earned"),
+        F.count(F.lit(1)).alias("n"),
+    )
     gained = closed.withColumn("snapshot_date", close_day).join(days, keys, "left_semi").groupBy(*keys).agg(F.sum("realized_pnl").alias("gained"))
     joined = days.select(*keys).distinct().join(earned, keys, "left").join(gained, keys, "left")
     realized = F.when(F.coalesce("n", F.lit(0)) > 0, F.col("earned")).otherwise(F.col("gained"))
@@ -34,9 +37,16 @@ def fragment_plan(stored: DataFrame, trade_orders: DataFrame, normalized: DataFr
     many normalised positions match them, and the row that stays. `resolved` is false unless exactly one matches;
     a group that is not resolved must not be touched."""
     known = stored.join(trade_orders, "trade_id").join(normalized.select("source_record_id", F.lit(1).alias("match")), "source_record_id", "left")
-    groups = known.groupBy("account_id", "symbol", "side", "order_id").agg(F.count(F.lit(1)).alias("stored_rows"), F.count("match").alias("matches"), F.max(F.when(F.col("match") == 1, F.col("source_record_id"))).alias("keep_source_record_id"))
+    groups = known.groupBy("account_id", "symbol", "side", "order_id").agg(
+        F.count(F.lit(1)).alias("stored_rows"),
+        F.count("match").alias("matches"),
+        F.max(F.when(F.col("match") == 1, F.col("source_record_id"))).alias("keep_source_record_id"),
+    )
     many = groups.filter("stored_rows > 1")
-    return many.withColumn("resolved", F.col("matches") == 1).withColumn("keep_source_record_id", F.when(F.col("matches") == 1, F.col("keep_source_record_id"))).withColumn("to_delete", F.when(F.col("resolved"), F.col("stored_rows") - 1).otherwise(0))
+    return many.withColumn("resolved", F.col("matches") == 1).withColumn(
+        "keep_source_record_id",
+        F.when(F.col("matches") == 1, F.col("keep_source_record_id")),
+    ).withColumn("to_delete", F.when(F.col("resolved"), F.col("stored_rows") - 1).otherwise(0))
 
 
 def rebuild_plan(legacy: DataFrame, normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +72,10 @@ def with_previous_leverage(closed: DataFrame, previous: DataFrame, now: Column,
     old = previous.select(*keys, F.col("open_time").alias("__opened"), F.col("leverage").alias("__leverage"), F.col("margin_used").alias("__margin"))
     joined = closed.join(old, keys, "left")
     same = F.coalesce(seconds(F.col("open_time"), F.col("__opened")) < open_seconds, F.lit(False)) | (seconds(now, F.col("close_time")) < close_seconds)
-    out = joined.withColumn("leverage", F.coalesce("leverage", F.when(same, F.col("__leverage")))).withColumn("margin_used", F.coalesce("margin_used", F.when(same, F.col("__margin"))))
+    out = joined.withColumn("leverage", F.coalesce("leverage", F.when(same, F.col("__leverage")))).withColumn(
+        "margin_used",
+        F.coalesce("margin_used", F.when(same, F.col("__margin"))),
+    )
     return out.select(*closed.columns)
 
 
@@ -73,4 +86,7 @@ def with_wider_coverage(initial: DataFrame, excluded: DataFrame, version: int =
     joined = initial.join(excluded.select("account_id", *[F.col(m).alias(f"__{m}") for m in measures]), "account_id", "left")
     old = F.coalesce("coverage_version", F.lit(0)) < version
     added = {m: F.when(old, F.col(m) + F.coalesce(f"__{m}", F.lit(0))).otherwise(F.col(m)) for m in measures}
-    return joined.withColumns(added).withColumn("coverage_version", F.greatest(F.coalesce("coverage_version", F.lit(0)), F.lit(version))).select(*initial.columns)
+    return joined.withColumns(added).withColumn(
+        "coverage_version",
+        F.greatest(F.coalesce("coverage_version", F.lit(0)), F.lit(version)),
+    ).select(*initial.columns)

@@ -21,7 +21,13 @@ def account_runs(jobs: DataFrame) -> DataFrame:
     since = failed.join(ends.select("account_id", "last_success_at"), "account_id").filter(F.col("last_success_at").isNull() | (F.col("failed_at") > F.col("last_success_at")))
     counts = since.groupBy("account_id").agg(F.count(F.lit(1)).alias("consecutive_failures"))
     joined = ends.join(counts, "account_id", "left")
-    return joined.select("account_id", F.col("last.status").alias("latest_status"), F.col("last.started_at").alias("latest_started_at"), "last_success_at", F.coalesce("consecutive_failures", F.lit(0)).alias("consecutive_failures"))
+    return joined.select(
+        "account_id",
+        F.col("last.status").alias("latest_status"),
+        F.col("last.started_at").alias("latest_started_at"),
+        "last_success_at",
+        F.coalesce("consecutive_failures", F.lit(0)).alias("consecutive_failures"),
+    )
 
 
 def sync_status(accounts: DataFrame, jobs: DataFrame, now: Column, stale_after: int = STALE_SECONDS) -> DataFrame:

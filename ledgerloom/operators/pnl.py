@@ -32,7 +32,17 @@ def daily_account_rows(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("account_id").orderBy("snapshot_date").rowsBetween(Window.unboundedPreceding, 0)
     running = by_day.withColumn("net_cash_flow", F.sum("day_cash").over(so_far)).withColumn("signed", F.sum("day_signed").over(so_far))
     joined = running.join(accounts.filter("is_active").select("account_id", "exchange", "initial_equity"), "account_id")
-    return joined.select("account_id", "exchange", "snapshot_date", "realized_pnl", "funding_fee", "trading_fee", F.col("net_cash_flow").cast("decimal(24,2)").alias("net_cash_flow"), (F.col("initial_equity") + F.col("signed")).cast("decimal(24,2)").alias("equity_usd"), (F.col("signed") - F.col("net_cash_flow")).cast("decimal(24,2)").alias("investment_return"))
+    return joined.select(
+        "account_id",
+        "exchange",
+        "snapshot_date",
+        "realized_pnl",
+        "funding_fee",
+        "trading_fee",
+        F.col("net_cash_flow").cast("decimal(24,2)").alias("net_cash_flow"),
+        (F.col("initial_equity") + F.col("signed")).cast("decimal(24,2)").alias("equity_usd"),
+        (F.col("signed") - F.col("net_cash_flow")).cast("decimal(24,2)").alias("investment_return"),
+    )
 
 
 def deltas(rows: DataFrame) -> DataFrame:
@@ -82,10 +92,25 @@ def day_stats(points: DataFrame) -> DataFrame:
     )
 
 
-def period_pnl(initial_equity: Column, current_equity: Column, deposits: Column, withdrawals: Column, realized: Column, funding: Column, fee: Column, initial_unrealized: Column, current_unrealized: Column) -> dict[str, Column]:
+def period_pnl(
+    initial_equity: Column,
+    current_equity: Column,
+    deposits: Column,
+    withdrawals: Column,
+    realized: Column,
+    funding: Column,
+    fee: Column,
+    initial_unrealized: Column,
+    current_unrealized: Column,
+) -> dict[str, Column]:
     """Cash flow, return, trading result and change of unrealized PnL of a tracking period."""
     cash = deposits - withdrawals
-    return {"net_cash_flow": cash, "investment_return": current_equity - initial_equity - cash, "trading_pnl": realized + funding - fee, "unrealized_change": current_unrealized - initial_unrealized}
+    return {
+        "net_cash_flow": cash,
+        "investment_return": current_equity - initial_equity - cash,
+        "trading_pnl": realized + funding - fee,
+        "unrealized_change": current_unrealized - initial_unrealized,
+    }
 
 
 def max_drawdown(points: DataFrame, order: str = "snapshot_date", equity: str = "equity_usd") -> DataFrame:

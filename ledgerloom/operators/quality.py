@@ -20,7 +20,11 @@ def open_position_issues(positions: DataFrame) -> DataFrame:
     """Of open positions with margin, leverage and stored return: three rules; NULL leverage counts as 0."""
     key, leverage, margin = ["symbol", "side"], F.coalesce("leverage", F.lit(0)), F.col("margin_used").cast("double")
     wrong = F.abs(F.col("unrealized_percent").cast("double") - percent(F.col("unrealized_pnl"), margin)) > MISMATCH
-    rules = (((leverage <= 0) | (leverage > MOST_LEVERAGE), "INVALID_LEVERAGE", "WARNING"), (margin <= 0, "NON_POSITIVE_MARGIN", "WARNING"), ((margin > 0) & wrong, "RETURN_MISMATCH", "ERROR"))
+    rules = (
+        ((leverage <= 0) | (leverage > MOST_LEVERAGE), "INVALID_LEVERAGE", "WARNING"),
+        (margin <= 0, "NON_POSITIVE_MARGIN", "WARNING"),
+        ((margin > 0) & wrong, "RETURN_MISMATCH", "ERROR"),
+    )
     out = [_issues(positions, *rule, key) for rule in rules]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
@@ -50,7 +54,11 @@ def duplicate_issues(positions: DataFrame) -> DataFrame:
 
 def summary(issues: DataFrame) -> DataFrame:
     """Number of findings, errors and warnings."""
-    return issues.agg(F.count(F.lit(1)).alias("issues"), F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(F.col("severity") == "WARNING").alias("warnings"))
+    return issues.agg(
+        F.count(F.lit(1)).alias("issues"),
+        F.count_if(F.col("severity") == "ERROR").alias("errors"),
+        F.count_if(F.col("severity") == "WARNING").alias("warnings"),
+    )
 
 
 def expired_snapshots(snapshots: DataFrame, summarised: DataFrame, day: Column, before: Column | None) -> DataFrame:

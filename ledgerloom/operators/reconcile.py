@@ -9,7 +9,20 @@ from ..functions.ratios import zero
 
 #: The least tolerance in USD, and the tolerance as a share of equity.
 TOLERANCE, SHARE = 1.0, 0.001
-MEASURES = ("initial_equity", "current_equity", "deposits", "withdrawals", "net_cash_flow", "equity_return", "realized_pnl", "funding_fee", "trading_fee", "net_realized_pnl", "component_return", "variance")
+MEASURES = (
+    "initial_equity",
+    "current_equity",
+    "deposits",
+    "withdrawals",
+    "net_cash_flow",
+    "equity_return",
+    "realized_pnl",
+    "funding_fee",
+    "trading_fee",
+    "net_realized_pnl",
+    "component_return",
+    "variance",
+)
 #: Components, the ledger types they are counted from, and what a venue without a ledger lacks.
 LEDGER_COMPONENTS = {"realized_pnl": "REALIZED_PNL", "funding_fee": "FUNDING_FEE", "trading_fee": "TRADING_FEE", "cash_flow": "DEPOSIT"}
 WITHOUT_LEDGER = "POLYMARKET"
@@ -37,7 +50,12 @@ def reconcile(accounts: DataFrame, latest: DataFrame, closed: DataFrame, ledger:
     (account_id, initial_unrealized, current_unrealized) may be left out, which counts as 0.
     """
     funding = F.sum("funding_fee") if "funding_fee" in closed.columns else F.lit(None).cast("double")
-    positions = closed.groupBy("account_id").agg(F.sum("realized_pnl").alias("realized"), F.sum("net_pnl").alias("net"), F.sum(F.abs("trading_fee")).alias("closed_fee"), funding.alias("closed_funding"))
+    positions = closed.groupBy("account_id").agg(
+        F.sum("realized_pnl").alias("realized"),
+        F.sum("net_pnl").alias("net"),
+        F.sum(F.abs("trading_fee")).alias("closed_fee"),
+        funding.alias("closed_funding"),
+    )
     out = accounts.filter("is_active").select("account_id", "exchange", "initial_equity")
     out = out.join(latest.select("account_id", F.col("equity").alias("current")), "account_id", "left")
     out = out.join(_amounts(ledger), "account_id", "left").join(positions, "account_id", "left")
@@ -74,14 +92,31 @@ def totals(reconciled: DataFrame) -> DataFrame:
 
 
 #: Components and the key of an account's details that states how complete each is.
-DETAILS = {"equity": "equity", "positions": "positions", "balances": "balances", "closed_positions": "closed_positions", "realized_pnl": "income", "funding_fee": "funding", "trading_fee": "fees", "cash_flow": "cash_flows"}
+DETAILS = {
+    "equity": "equity",
+    "positions": "positions",
+    "balances": "balances",
+    "closed_positions": "closed_positions",
+    "realized_pnl": "income",
+    "funding_fee": "funding",
+    "trading_fee": "fees",
+    "cash_flow": "cash_flows",
+}
 
 
 def _stats(rows: DataFrame, name: str, at: str) -> DataFrame:
     return rows.groupBy("account_id").agg(F.count(F.lit(1)).alias(f"{name}_n"), F.max(at).alias(f"{name}_at"))
 
 
-def completeness(accounts: DataFrame, balances: DataFrame, assets: DataFrame, positions: DataFrame, closed: DataFrame, ledger: DataFrame, without_ledger: str = WITHOUT_LEDGER) -> DataFrame:
+def completeness(
+    accounts: DataFrame,
+    balances: DataFrame,
+    assets: DataFrame,
+    positions: DataFrame,
+    closed: DataFrame,
+    ledger: DataFrame,
+    without_ledger: str = WITHOUT_LEDGER,
+) -> DataFrame:
     """One row per active account and component: status, when it was last read, records, latest record.
 
     accounts also has connection_status, last_synced_at, full_synced_at and details, a map that states the status of
@@ -90,7 +125,12 @@ def completeness(accounts: DataFrame, balances: DataFrame, assets: DataFrame, po
     neither funding, fees nor cash flows, and its realized PnL is partial and counted by closed positions.
     """
     out = accounts.filter("is_active").select("account_id", "exchange", "connection_status", "last_synced_at", "full_synced_at", "details")
-    for rows, name, at in ((balances, "equity", "recorded_at"), (assets, "balances", "recorded_at"), (positions, "positions", "updated_at"), (closed, "closed_positions", "close_time")):
+    for rows, name, at in (
+        (balances, "equity", "recorded_at"),
+        (assets, "balances", "recorded_at"),
+        (positions, "positions", "updated_at"),
+        (closed, "closed_positions", "close_time"),
+    ):
         out = out.join(_stats(rows, name, at), "account_id", "left")
     of_kind = lambda name, kind: F.col("record_type").isin(kind, *(("WITHDRAWAL",) if name == "cash_flow" else ()))
     kinds = [x for name, kind in LEDGER_COMPONENTS.items() for x in (F.count_if(of_kind(name, kind)).alias(f"{name}_n"), F.max(F.when(of_kind(name, kind), F.col("record_time"))).alias(f"{name}_at"))]
@@ -102,13 +142,28 @@ def completeness(accounts: DataFrame, balances: DataFrame, assets: DataFrame, po
     stated = lambda name: F.coalesce(F.try_element_at("details", F.lit(DETAILS[name])), unless_stated.get(name, F.lit("PARTIAL")))
 
     def entry(name: str, status: Column, read: Column, of: str) -> Column:
-        return F.struct(F.lit(name).alias("component"), status.alias("status"), read.alias("last_synced_at"), count(of).alias("record_count"), F.col(f"{of}_at").alias("latest_record_at"))
+        return F.struct(
+            F.lit(name).alias("component"),
+            status.alias("status"),
+            read.alias("last_synced_at"),
+            count(of).alias("record_count"),
+            F.col(f"{of}_at").alias("latest_record_at"),
+        )
 
     never, none = F.lit(None).cast("timestamp_ntz"), F.lit(0).cast("long")
-    unsupported = lambda name: F.struct(F.lit(name).alias("component"), F.lit("UNSUPPORTED").alias("status"), never.alias("last_synced_at"), none.alias("record_count"), never.alias("latest_record_at"))
+    unsupported = lambda name: F.struct(
+        F.lit(name).alias("component"),
+        F.lit("UNSUPPORTED").alias("status"),
+        never.alias("last_synced_at"),
+        none.alias("record_count"),
+        never.alias("latest_record_at"),
+    )
     own = [entry(name, stated(name), F.col("last_synced_at"), name) for name in ("equity", "positions", "balances", "closed_positions")]
     with_ledger = [entry(name, stated(name), F.col("full_synced_at"), name) for name in LEDGER_COMPONENTS]
-    without = [entry("realized_pnl", F.lit("PARTIAL"), F.col("last_synced_at"), "closed_positions"), *[unsupported(name) for name in LEDGER_COMPONENTS if name != "realized_pnl"]]
+    without = [
+        entry("realized_pnl", F.lit("PARTIAL"), F.col("last_synced_at"), "closed_positions"),
+        *[unsupported(name) for name in LEDGER_COMPONENTS if name != "realized_pnl"],
+    ]
     parts = F.concat(F.array(*own), F.when(has_ledger, F.array(*with_ledger)).otherwise(F.array(*without)))
     return out.select("account_id", "exchange", F.explode(parts).alias("x")).select("account_id", "exchange", "x.*")
 

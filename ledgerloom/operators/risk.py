@@ -21,9 +21,19 @@ def concentration(balances: DataFrame) -> DataFrame:
 
 def exposures(positions: DataFrame, total_equity: DataFrame, most: int = 10) -> DataFrame:
     """The symbols of most absolute value: value, PnL, exchanges in order, and percent of equity (0 without equity)."""
-    by_symbol = positions.groupBy("symbol").agg(F.sum(F.abs("value_usd")).alias("value"), F.sum("net_pnl").alias("pnl"), F.array_join(F.sort_array(F.collect_set("exchange")), ",").alias("exchanges"))
+    by_symbol = positions.groupBy("symbol").agg(
+        F.sum(F.abs("value_usd")).alias("value"),
+        F.sum("net_pnl").alias("pnl"),
+        F.array_join(F.sort_array(F.collect_set("exchange")), ",").alias("exchanges"),
+    )
     total = total_equity.select("total").scalar()
-    out = by_symbol.select("symbol", F.col("value").cast("double").alias("value_usd"), F.col("pnl").cast("double").alias("pnl"), "exchanges", percent(F.col("value"), total, 0.0).alias("equity_percent"))
+    out = by_symbol.select(
+        "symbol",
+        F.col("value").cast("double").alias("value_usd"),
+        F.col("pnl").cast("double").alias("pnl"),
+        "exchanges",
+        percent(F.col("value"), total, 0.0).alias("equity_percent"),
+    )
     return out.orderBy(F.desc("value_usd"), "symbol").limit(most)
 
 
@@ -37,7 +47,13 @@ def liquidation_distance(side: Column, mark: Column, liquidation: Column) -> Col
 def nearest_liquidations(positions: DataFrame, most: int = 10, ties: list[str] | None = None) -> DataFrame:
     """Positions with a distance, nearest first, to nine digits; ties by account, symbol and side, then by `ties`."""
     d = liquidation_distance(F.col("side"), F.col("mark_price"), F.col("liquidation_price"))
-    return positions.withColumn("distance_percent", d).filter("distance_percent is not null").orderBy(F.round("distance_percent", 9), "account_id", "symbol", "side", *(ties or [])).limit(most)
+    return positions.withColumn("distance_percent", d).filter("distance_percent is not null").orderBy(
+        F.round("distance_percent", 9),
+        "account_id",
+        "symbol",
+        "side",
+        *(ties or []),
+    ).limit(most)
 
 
 def margin_utilization(margin: Column, equity: Column) -> Column:

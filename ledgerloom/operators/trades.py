@@ -72,7 +72,16 @@ def result_class(net: Column) -> Column:
     return F.when(net > 0, "PROFIT").when(net < 0, "LOSS").otherwise("BREAKEVEN")
 
 
-def filtered(positions: DataFrame, exchange: str | None = None, account_id: int | None = None, symbol: str | None = None, side: str | None = None, result: str | None = None, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+def filtered(
+    positions: DataFrame,
+    exchange: str | None = None,
+    account_id: int | None = None,
+    symbol: str | None = None,
+    side: str | None = None,
+    result: str | None = None,
+    start: datetime | None = None,
+    end: datetime | None = None,
+) -> DataFrame:
     """Positions closed since tracking started, under the filters that are given; symbol is a part of either
     the symbol or the title, in any case."""
     tests = [F.col("close_time") >= F.col("tracking_started_at")]

@@ -77,7 +77,15 @@ def ledger_cash_flow_by_exchange(spark: SparkSession, d: str) -> DataFrame:
 @query
 def ledger_page(spark: SparkSession, d: str) -> DataFrame:
     records = ledger.filtered(_ledger(spark, d), views.accounts(spark, d))
-    return ledger.page(records, 2, 50).select("record_id", "account_id", "exchange", "connection_name", "record_time", "record_type", F.col("signed_amount_usd").cast("double").alias("signed_amount_usd"))
+    return ledger.page(records, 2, 50).select(
+        "record_id",
+        "account_id",
+        "exchange",
+        "connection_name",
+        "record_time",
+        "record_type",
+        F.col("signed_amount_usd").cast("double").alias("signed_amount_usd"),
+    )
 
 
 @query
@@ -163,7 +171,13 @@ def latest_balance_as_of(spark: SparkSession, d: str) -> DataFrame:
 @query
 def latest_asset_batch(spark: SparkSession, d: str) -> DataFrame:
     rows = views.balance_snapshots(spark, d).withColumn("batch_day", F.to_date("recorded_at"))
-    return balances.latest_batch(rows, ["account_id"], "batch_day").select("account_id", "batch_day", "asset", "snapshot_id", F.col("equity").cast("double").alias("equity"))
+    return balances.latest_batch(rows, ["account_id"], "batch_day").select(
+        "account_id",
+        "batch_day",
+        "asset",
+        "snapshot_id",
+        F.col("equity").cast("double").alias("equity"),
+    )
 
 
 @query
@@ -177,7 +191,11 @@ def first_of_day_snapshots(spark: SparkSession, d: str) -> DataFrame:
 def dashboard_summary(spark: SparkSession, d: str) -> DataFrame:
     active = views.accounts(spark, d).filter("is_active").select("account_id")
     newest = _latest(spark, d).join(active, "account_id", "left_semi")
-    assets = views.balance_snapshots(spark, d).join(active, "account_id", "left_semi").select(F.when(F.col("equity") >= 1, F.col("equity")).alias("value_usd"), F.col("equity").alias("available"), F.lit(0).alias("locked"))
+    assets = views.balance_snapshots(spark, d).join(active, "account_id", "left_semi").select(
+        F.when(F.col("equity") >= 1, F.col("equity")).alias("value_usd"),
+        F.col("equity").alias("available"),
+        F.lit(0).alias("locked"),
+    )
     points = pnl.daily_points(_daily_rows(spark, d))
     last = points.orderBy(F.desc("snapshot_date")).limit(1)
     return balances.dashboard_totals(newest, balances.unvalued(assets), last)
@@ -248,7 +266,10 @@ def liquidation_distances(spark: SparkSession, d: str) -> DataFrame:
 def risk_summary(spark: SparkSession, d: str) -> DataFrame:
     held = _active_balances(spark, d)
     used = held.agg(risk.margin_utilization(F.col("equity") / 4, F.col("equity")).alias("margin_utilization"))
-    near = _liquidations(spark, d).withColumn("distance_percent", F.round(risk.liquidation_distance(F.col("side"), F.col("mark_price"), F.col("liquidation_price")), 6))
+    near = _liquidations(spark, d).withColumn(
+        "distance_percent",
+        F.round(risk.liquidation_distance(F.col("side"), F.col("mark_price"), F.col("liquidation_price")), 6),
+    )
     return risk.summary(pnl.max_drawdown(pnl.daily_points(_daily_rows(spark, d))), risk.concentration(held), used, near)
 
 
@@ -270,7 +291,13 @@ def _components(spark: SparkSession, d: str) -> DataFrame:
     """Accounts whose last success was their last reading; what their details state follows from their number."""
     jobs, samples, closed = views.sync_jobs(spark, d), views.balance_snapshots(spark, d), views.closed_positions(spark, d)
     read = ops.account_runs(jobs).select("account_id", F.col("last_success_at").alias("last_synced_at"), F.col("latest_started_at").alias("full_synced_at"))
-    parts = (("income", 2, "COMPLETE"), ("funding", 3, "COMPLETE"), ("cash_flows", 4, "FAILED"), ("closed_positions", 5, "COMPLETE"), ("balances", 7, "PARTIAL"))
+    parts = (
+        ("income", 2, "COMPLETE"),
+        ("funding", 3, "COMPLETE"),
+        ("cash_flows", 4, "FAILED"),
+        ("closed_positions", 5, "COMPLETE"),
+        ("balances", 7, "PARTIAL"),
+    )
     stated = [F.when(F.col("account_id") % n == 0, F.struct(F.lit(k).alias("key"), F.lit(v).alias("value"))) for k, n, v in parts]
     details = F.map_from_entries(F.filter(F.array(*stated), lambda x: x.isNotNull()))
     accounts = views.accounts(spark, d).join(read, "account_id", "left").withColumn("details", details)
@@ -335,20 +362,38 @@ def equity_backfill_asof(spark: SparkSession, d: str) -> DataFrame:
 def equity_backfill_coverage(spark: SparkSession, d: str) -> DataFrame:
     accounts = views.accounts(spark, d).withColumn("is_active", F.lit(True))
     filled = equity.coverage(views.balance_snapshots(spark, d), accounts)
-    return filled.select("bucket_time", F.col("total_equity").cast("double").alias("total_equity"), "account_count", "stale_account_count", "source_latest_at", "expected")
+    return filled.select(
+        "bucket_time",
+        F.col("total_equity").cast("double").alias("total_equity"),
+        "account_count",
+        "stale_account_count",
+        "source_latest_at",
+        "expected",
+    )
 
 
 @query
 def positions_filtered_page(spark: SparkSession, d: str) -> DataFrame:
     rows = trades.filtered(_active_trades(spark, d), exchange="europe", side="long", result="profit", symbol="brand#1")
     shown = trades.page(rows, [F.desc("value_usd"), *KEYS, "account_id"], 2, 25)
-    return shown.select("account_id", "symbol", "side", "close_time", F.col("value_usd").cast("double").alias("value_usd"), F.col("net_pnl").cast("double").alias("net_pnl"), *KEYS)
+    return shown.select(
+        "account_id",
+        "symbol",
+        "side",
+        "close_time",
+        F.col("value_usd").cast("double").alias("value_usd"),
+        F.col("net_pnl").cast("double").alias("net_pnl"),
+        *KEYS,
+    )
 
 
 @query
 def history_result_class(spark: SparkSession, d: str) -> DataFrame:
     rows = _active_trades(spark, d).filter("close_time >= open_time")
-    return rows.groupBy(trades.result_class(F.col("net_pnl")).alias("result"), "exchange").agg(F.count(F.lit(1)).alias("positions"), F.sum("net_pnl").cast("double").alias("net_pnl"))
+    return rows.groupBy(trades.result_class(F.col("net_pnl")).alias("result"), "exchange").agg(
+        F.count(F.lit(1)).alias("positions"),
+        F.sum("net_pnl").cast("double").alias("net_pnl"),
+    )
 
 
 @query
@@ -368,7 +413,10 @@ def symbol_search_exists(spark: SparkSession, d: str) -> DataFrame:
 def order_fill_merge(spark: SparkSession, d: str) -> DataFrame:
     """Some fills without an order id, on two sides, with two fee assets and a PnL each."""
     fills = views.fills(spark, d).withColumn("order_id", F.when(F.expr("fill_id % 11 != 0"), F.col("order_id")))
-    fills = fills.withColumn("position_side", F.when(F.expr("fill_id % 2 = 0"), "long")).withColumn("fee_asset", F.when(F.expr("fill_id % 4 = 0"), "bnb").otherwise("USDT")).withColumn("realized_pnl", F.col("price") - 50)
+    fills = fills.withColumn("position_side", F.when(F.expr("fill_id % 2 = 0"), "long")).withColumn(
+        "fee_asset",
+        F.when(F.expr("fill_id % 4 = 0"), "bnb").otherwise("USDT"),
+    ).withColumn("realized_pnl", F.col("price") - 50)
     merged = cycles.merged_orders(fills)
     exact = [F.col(c).cast("double").alias(c) for c in ("quantity", "fee", "realized_pnl")]
     return merged.select("account_id", "symbol", "position_side", "side", "order_key", "fee_asset", *exact, "average_price", "time", "last_fill_id", "fills")
@@ -418,7 +466,11 @@ def _margins(spark: SparkSession, d: str) -> DataFrame:
 def position_margin(spark: SparkSession, d: str) -> DataFrame:
     rows = _margins(spark, d)
     exact = lambda c: F.sum(F.round(c, 4).cast("decimal(28,4)")).cast("double")
-    return rows.groupBy("side", "lev").agg(exact(F.col("margin_used")).alias("margin_used"), exact(positions.unrealized_percent(F.col("net_pnl"), F.col("margin_used"), F.lit(0.0))).alias("return_percent"), F.count(F.lit(1)).alias("positions"))
+    return rows.groupBy("side", "lev").agg(
+        exact(F.col("margin_used")).alias("margin_used"),
+        exact(positions.unrealized_percent(F.col("net_pnl"), F.col("margin_used"), F.lit(0.0))).alias("return_percent"),
+        F.count(F.lit(1)).alias("positions"),
+    )
 
 
 @query
@@ -433,7 +485,12 @@ def quality_rules(spark: SparkSession, d: str) -> DataFrame:
 def disappeared_positions(spark: SparkSession, d: str) -> DataFrame:
     rows = views.closed_positions(spark, d)
     before, now = rows.filter("l_linenumber = 1"), rows.filter("l_linenumber = 2")
-    gone = quality.disappeared(before.select("account_id", "symbol", "side").distinct(), now, rows.filter("l_linenumber = 3"), F.lit("1998-06-01 00:02:00").cast("timestamp_ntz"))
+    gone = quality.disappeared(
+        before.select("account_id", "symbol", "side").distinct(),
+        now,
+        rows.filter("l_linenumber = 3"),
+        F.lit("1998-06-01 00:02:00").cast("timestamp_ntz"),
+    )
     return gone.select("account_id", "code", "severity", "entity")
 
 
@@ -474,7 +531,12 @@ def symbol_normalize(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("p_partkey") % 6
     base = F.replace(F.replace(F.col("p_brand"), F.lit("#"), F.lit("")), F.lit(" "), F.lit(""))
     spelled = F.when(n == 0, F.concat(base, F.lit("USDT"))).when(n == 1, F.concat(base, F.lit("-USDT-SWAP"))).when(n == 2, F.concat(base, F.lit("/USDT:USDT"))).when(n == 3, F.concat(base, F.lit("_usdc"))).when(n == 4, F.concat(F.lit(" "), base, F.lit("busd "))).otherwise(base)
-    return part.select("p_partkey", text.normalize_symbol(spelled).alias("symbol"), text.normalize_side(F.when(n < 2, "Buy").when(n < 4, "SHORT"), F.col("p_size") - 25).alias("side"), text.normalize_margin_mode(F.when(n == 0, "crossed").when(n == 1, "Fixed")).alias("margin_mode"))
+    return part.select(
+        "p_partkey",
+        text.normalize_symbol(spelled).alias("symbol"),
+        text.normalize_side(F.when(n < 2, "Buy").when(n < 4, "SHORT"), F.col("p_size") - 25).alias("side"),
+        text.normalize_margin_mode(F.when(n == 0, "crossed").when(n == 1, "Fixed")).alias("margin_mode"),
+    )
 
 
 @query
@@ -488,14 +550,27 @@ def csv_guard(spark: SparkSession, d: str) -> DataFrame:
 def canonical_ids(spark: SparkSession, d: str) -> DataFrame:
     line = views.read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
     tail = F.concat_ws(":", "l_orderkey", "l_partkey", "l_linenumber")
-    okx, bitget = F.concat(F.lit("okx:"), tail), F.concat(F.lit("bitget:"), F.concat_ws(":", "l_orderkey", F.when(F.expr("l_partkey % 2 = 0"), "symbol").otherwise(F.col("l_partkey").cast("string")), "l_linenumber"))
-    return line.select("l_orderkey", "l_partkey", "l_linenumber", text.canonical_okx_id(okx).alias("okx_id"), text.canonical_bitget_id(bitget).alias("bitget_id"), text.canonical_market_id(tail).alias("market_id"))
+    okx, bitget = F.concat(F.lit("okx:"), tail), F.concat(
+        F.lit("bitget:"),
+        F.concat_ws(":", "l_orderkey", F.when(F.expr("l_partkey % 2 = 0"), "symbol").otherwise(F.col("l_partkey").cast("string")), "l_linenumber"),
+    )
+    return line.select(
+        "l_orderkey",
+        "l_partkey",
+        "l_linenumber",
+        text.canonical_okx_id(okx).alias("okx_id"),
+        text.canonical_bitget_id(bitget).alias("bitget_id"),
+        text.canonical_market_id(tail).alias("market_id"),
+    )
 
 
 @query
 def snapshot_ids(spark: SparkSession, d: str) -> DataFrame:
     rows = views.balance_snapshots(spark, d)
-    return rows.select("snapshot_id", text.snapshot_id("asset-daily", F.col("recorded_at"), F.col("account_id").cast("string"), F.col("asset")).alias("source_record_id"))
+    return rows.select(
+        "snapshot_id",
+        text.snapshot_id("asset-daily", F.col("recorded_at"), F.col("account_id").cast("string"), F.col("asset")).alias("source_record_id"),
+    )
 
 
 @query
@@ -503,7 +578,13 @@ def combo_mark_price(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.venues import combo_mark
 
     status = F.when(F.expr("l_partkey % 11 = 0"), "RESOLVED_WIN").when(F.expr("l_partkey % 13 = 0"), "RESOLVED_LOSS").otherwise("OPEN")
-    leg = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("s"), F.when(F.expr("l_linenumber = 7 and l_partkey % 5 = 0"), None).otherwise(F.col("l_discount") * 10).alias("price"), status.alias("status"))
+    leg = F.struct(
+        F.col("l_linenumber").alias("n"),
+        F.col("l_partkey").alias("k"),
+        F.col("l_suppkey").alias("s"),
+        F.when(F.expr("l_linenumber = 7 and l_partkey % 5 = 0"), None).otherwise(F.col("l_discount") * 10).alias("price"),
+        status.alias("status"),
+    )
     combos = views.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(leg)).alias("legs"), F.count(F.lit(1)).alias("n_legs"))
     side = F.when(F.expr("l_orderkey % 3 = 0"), "NO").otherwise("YES")
     return combos.select("l_orderkey", "n_legs", F.round(combo_mark(F.col("legs"), side, F.lit(0.5)), 9).alias("mark_price"))
@@ -521,7 +602,11 @@ def price_graph(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.venues import propagated_prices
 
     nation = views.read(spark, d, "nation")
-    pairs = nation.filter("n_nationkey > 0").select(F.col("n_nationkey").alias("base"), F.expr("n_nationkey div 2").cast("int").alias("quote"), (1 + F.col("n_regionkey") / 4).alias("rate"))
+    pairs = nation.filter("n_nationkey > 0").select(
+        F.col("n_nationkey").alias("base"),
+        F.expr("n_nationkey div 2").cast("int").alias("quote"),
+        (1 + F.col("n_regionkey") / 4).alias("rate"),
+    )
     known = nation.filter("n_nationkey = 0").select(F.col("n_nationkey").alias("token"), F.lit(1.0).alias("price"))
     return propagated_prices(known, pairs).withColumn("price", F.round("price", 9))
 
@@ -531,7 +616,14 @@ def leverage_inference(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.venues import inferred_leverage
 
     rows = _active_trades(spark, d).filter("close_time >= open_time")
-    held = rows.select("account_id", "symbol", F.concat_ws(":", *KEYS, F.col("close_time").cast("string")).alias("source_record_id"), "side", "open_time", "close_time").distinct()
+    held = rows.select(
+        "account_id",
+        "symbol",
+        F.concat_ws(":", *KEYS, F.col("close_time").cast("string")).alias("source_record_id"),
+        "side",
+        "open_time",
+        "close_time",
+    ).distinct()
     orders = rows.select(
         "account_id",
         F.lower("symbol").alias("symbol"),
@@ -556,13 +648,25 @@ def error_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query
 def status_sticky(spark: SparkSession, d: str) -> DataFrame:
     jobs = views.sync_jobs(spark, d)
-    updates = jobs.select("account_id", F.col("started_at").alias("at"), "job_id", F.when(F.col("status") == "FAILED", "PARTIAL").otherwise("COMPLETE").alias("status"), (F.col("job_id") % 7 == 0).alias("authoritative"))
+    updates = jobs.select(
+        "account_id",
+        F.col("started_at").alias("at"),
+        "job_id",
+        F.when(F.col("status") == "FAILED", "PARTIAL").otherwise("COMPLETE").alias("status"),
+        (F.col("job_id") % 7 == 0).alias("authoritative"),
+    )
     return reconcile.sticky_fold(updates, ["account_id"], ["at", "job_id"])
 
 
 @query
 def translation_queue(spark: SparkSession, d: str) -> DataFrame:
-    items = views.sync_jobs(spark, d).select(F.col("job_id").alias("item_id"), F.when(F.col("status") == "RUNNING", "PENDING").otherwise(F.col("status")).alias("status"), (F.col("job_id") % 8).alias("attempts"), F.col("started_at").alias("created_at"), F.col("started_at").alias("updated_at"))
+    items = views.sync_jobs(spark, d).select(
+        F.col("job_id").alias("item_id"),
+        F.when(F.col("status") == "RUNNING", "PENDING").otherwise(F.col("status")).alias("status"),
+        (F.col("job_id") % 8).alias("attempts"),
+        F.col("started_at").alias("created_at"),
+        F.col("started_at").alias("updated_at"),
+    )
     return incremental.work_queue(items, F.lit(DAYS[1]).cast("timestamp_ntz"), 100).select("item_id", "status", "attempts", "created_at")
 
 
@@ -584,7 +688,12 @@ def position_reductions(spark: SparkSession, d: str) -> DataFrame:
 @query
 def active_accounts(spark: SparkSession, d: str) -> DataFrame:
     """As listed: by connection name within exchange."""
-    return views.accounts(spark, d).filter("is_active").select("account_id", "exchange", "connection_name", F.col("initial_equity").cast("double").alias("initial_equity")).orderBy("exchange", "connection_name")
+    return views.accounts(spark, d).filter("is_active").select(
+        "account_id",
+        "exchange",
+        "connection_name",
+        F.col("initial_equity").cast("double").alias("initial_equity"),
+    ).orderBy("exchange", "connection_name")
 
 
 @query
@@ -615,8 +724,24 @@ def fragment_cleanup_plan(spark: SparkSession, d: str) -> DataFrame:
 
 def _rebuild(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = views.closed_positions(spark, d).select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("base_id"), "symbol", "side", "open_time", *KEYS)
-    stored = rows.select("base_id", "symbol", "side", "open_time", F.concat_ws(":", *[F.col(k) for k in KEYS]).alias("source_record_id"), F.expr("l_partkey % 2 = 0").alias("is_legacy"))
-    wanted = rows.filter("l_suppkey % 3 != 0").select(F.when(F.expr("l_partkey % 5 = 0"), F.concat_ws(":", *[F.col(k) for k in KEYS])).otherwise(F.concat(F.lit("new:"), F.concat_ws(":", *[F.col(k) for k in KEYS]))).alias("source_record_id"), "base_id", "symbol", "side", "open_time").distinct()
+    stored = rows.select(
+        "base_id",
+        "symbol",
+        "side",
+        "open_time",
+        F.concat_ws(":", *[F.col(k) for k in KEYS]).alias("source_record_id"),
+        F.expr("l_partkey % 2 = 0").alias("is_legacy"),
+    )
+    wanted = rows.filter("l_suppkey % 3 != 0").select(
+        F.when(
+            F.expr("l_partkey % 5 = 0"),
+            F.concat_ws(":", *[F.col(k) for k in KEYS]),
+        ).otherwise(F.concat(F.lit("new:"), F.concat_ws(":", *[F.col(k) for k in KEYS]))).alias("source_record_id"),
+        "base_id",
+        "symbol",
+        "side",
+        "open_time",
+    ).distinct()
     return maintenance.rebuild_plan(stored, wanted)
 
 
@@ -635,10 +760,27 @@ def cycle_rebuild_unresolved(spark: SparkSession, d: str) -> DataFrame:
 @query
 def previous_leverage(spark: SparkSession, d: str) -> DataFrame:
     rows = views.closed_positions(spark, d)
-    closed = rows.filter("l_linenumber < 4").select("account_id", "symbol", "side", "open_time", "close_time", *KEYS, F.when(F.expr("l_suppkey % 4 = 0"), F.col("leverage")).alias("leverage"), F.lit(None).cast("double").alias("margin_used"))
-    previous = rows.filter("l_linenumber >= 4").groupBy("account_id", "symbol", "side").agg(F.min("open_time").alias("open_time"), F.max("leverage").alias("leverage"), F.max("value_usd").cast("double").alias("margin_used"))
+    closed = rows.filter("l_linenumber < 4").select(
+        "account_id",
+        "symbol",
+        "side",
+        "open_time",
+        "close_time",
+        *KEYS,
+        F.when(F.expr("l_suppkey % 4 = 0"), F.col("leverage")).alias("leverage"),
+        F.lit(None).cast("double").alias("margin_used"),
+    )
+    previous = rows.filter("l_linenumber >= 4").groupBy("account_id", "symbol", "side").agg(
+        F.min("open_time").alias("open_time"),
+        F.max("leverage").alias("leverage"),
+        F.max("value_usd").cast("double").alias("margin_used"),
+    )
     out = maintenance.with_previous_leverage(closed, previous, F.lit("1998-06-01 00:02:00").cast("timestamp_ntz"))
-    return out.groupBy("side").agg(F.count("leverage").alias("with_leverage"), F.count("margin_used").alias("with_margin"), F.sum(F.col("margin_used").cast("decimal(28,2)")).cast("double").alias("margin_used"))
+    return out.groupBy("side").agg(
+        F.count("leverage").alias("with_leverage"),
+        F.count("margin_used").alias("with_margin"),
+        F.sum(F.col("margin_used").cast("decimal(28,2)")).cast("double").alias("margin_used"),
+    )
 
 
 @query
@@ -648,7 +790,13 @@ def trade_cycles_start_position(spark: SparkSession, d: str) -> DataFrame:
     fills = views.fills(spark, d)
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
     # The venue states the position; here it is a running sum that starts at 3, so first cycles are partial.
-    stated = running_sums(fills, cycles.KEYS, F.to_date("time"), ["time", "fill_id"], {"after": signed}).withColumn("start_position", (F.col("after") - signed + 3).cast("decimal(18,0)")).drop("after")
+    stated = running_sums(
+        fills,
+        cycles.KEYS,
+        F.to_date("time"),
+        ["time", "fill_id"],
+        {"after": signed},
+    ).withColumn("start_position", (F.col("after") - signed + 3).cast("decimal(18,0)")).drop("after")
     stated = stated.withColumn("closed_pnl", (F.col("price") - 50).cast("decimal(18,2)"))
     return cycles.cycles_from_start_positions(stated)
 
@@ -656,7 +804,14 @@ def trade_cycles_start_position(spark: SparkSession, d: str) -> DataFrame:
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
     """Events as venue payloads: an id, a coin, a signed amount as text, and epoch milliseconds."""
     signed = F.concat(F.when(F.expr("event_id % 3 = 0"), "-").otherwise(""), F.col("value").cast("decimal(18,2)").cast("string"))
-    return views.read(spark, d, "events").select(F.col("user_id").alias("account_id"), "event_id", "event_type", F.when(F.expr("event_id % 4 = 0"), "BNB").otherwise("USDT").alias("coin"), signed.alias("amount"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return views.read(spark, d, "events").select(
+        F.col("user_id").alias("account_id"),
+        "event_id",
+        "event_type",
+        F.when(F.expr("event_id % 4 = 0"), "BNB").otherwise("USDT").alias("coin"),
+        signed.alias("amount"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
+    )
 
 
 def _by_type(**names: str):
@@ -697,10 +852,30 @@ def venue_category_positions(spark: SparkSession, d: str) -> DataFrame:
     text_of = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
     line = views.read(spark, d, "lineitem")
     inverse = F.when(F.expr("l_partkey % 4 = 0"), "inverse").otherwise("linear")
-    raw = line.select(F.col("l_suppkey").alias("account_id"), inverse.alias("category"), F.concat(F.lit("P"), "l_partkey", F.lit("USDT")).alias("symbol"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("positionIdx"), F.when(F.col("l_linestatus") == "O", "Buy").otherwise("Sell").alias("side"), text_of("l_quantity").alias("size"), text_of("l_tax").alias("markPrice"), text_of("l_discount").alias("avgPrice"), text_of("l_extendedprice").alias("positionValue"), F.col("l_linenumber").cast("string").alias("leverage"), F.when(F.expr("l_partkey % 3 = 0"), "").otherwise(text_of("l_quantity")).alias("positionIMByMp"), F.lit("0").alias("positionIM"), text_of("l_discount").alias("unrealisedPnl"), F.lit("0").alias("liqPrice"), F.when(F.expr("l_suppkey % 2 = 0"), "ISOLATED_MARGIN").alias("marginMode"), F.lit("0").alias("createdTime"))
+    raw = line.select(
+        F.col("l_suppkey").alias("account_id"),
+        inverse.alias("category"),
+        F.concat(F.lit("P"), "l_partkey", F.lit("USDT")).alias("symbol"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("positionIdx"),
+        F.when(F.col("l_linestatus") == "O", "Buy").otherwise("Sell").alias("side"),
+        text_of("l_quantity").alias("size"),
+        text_of("l_tax").alias("markPrice"),
+        text_of("l_discount").alias("avgPrice"),
+        text_of("l_extendedprice").alias("positionValue"),
+        F.col("l_linenumber").cast("string").alias("leverage"),
+        F.when(F.expr("l_partkey % 3 = 0"), "").otherwise(text_of("l_quantity")).alias("positionIMByMp"),
+        F.lit("0").alias("positionIM"),
+        text_of("l_discount").alias("unrealisedPnl"),
+        F.lit("0").alias("liqPrice"),
+        F.when(F.expr("l_suppkey % 2 = 0"), "ISOLATED_MARGIN").alias("marginMode"),
+        F.lit("0").alias("createdTime"),
+    )
     out = category_positions(raw)
     exact = lambda c: F.sum(F.round(c, 4).cast("decimal(28,4)")).cast("double").alias(c)
-    return out.groupBy("side", "margin_mode", F.split("source_record_id", ":")[1].alias("category")).agg(F.countDistinct("source_record_id").alias("positions"), exact("position_value_usd"))
+    return out.groupBy("side", "margin_mode", F.split("source_record_id", ":")[1].alias("category")).agg(
+        F.countDistinct("source_record_id").alias("positions"),
+        exact("position_value_usd"),
+    )
 
 
 from . import payloads  # noqa: E402, F401  registers the queries of venue payloads

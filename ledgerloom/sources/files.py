@@ -39,4 +39,8 @@ def demo_book(spark: SparkSession, n_accounts: int = 4, days: int = 30) -> DataF
     grid = spark.range(n_accounts * days)
     account, day = F.expr(f"id div {days}"), (F.col("id") % days).cast("int")
     wave = F.sin(day / 3.0 + account) * 250 + F.cos(day / 5.0) * 120
-    return grid.select(account.alias("account_id"), F.date_add(F.lit("2024-01-01").cast("date"), day).alias("snapshot_date"), F.round(10_000 * (account + 1) + day * 40 + wave, 2).cast("decimal(18,2)").alias("equity_usd"))
+    return grid.select(
+        account.alias("account_id"),
+        F.date_add(F.lit("2024-01-01").cast("date"), day).alias("snapshot_date"),
+        F.round(10_000 * (account + 1) + day * 40 + wave, 2).cast("decimal(18,2)").alias("equity_usd"),
+    )

@@ -31,7 +31,11 @@ BUSINESS_COINS = ("USD", "USDT", "USDC")
 
 def number(column: str | Column) -> Column:
     """Text as double, 0 for NULL or what is no number."""
-    return F.coalesce(F.try_to_number((F.col(column) if isinstance(column, str) else column), F.lit("S99999999999999999999.999999999999")).cast("double"), (F.col(column) if isinstance(column, str) else column).try_cast("double"), F.lit(0.0))
+    return F.coalesce(
+        F.try_to_number((F.col(column) if isinstance(column, str) else column), F.lit("S99999999999999999999.999999999999")).cast("double"),
+        (F.col(column) if isinstance(column, str) else column).try_cast("double"),
+        F.lit(0.0),
+    )
 
 
 def moment(ms: str | Column) -> Column:
@@ -46,20 +50,41 @@ def valued_balances(balances: DataFrame, prices: DataFrame, quote: str = "USDT")
     amount = number("available") + number("locked")
     parity = F.col("asset").isin(*PARITY)
     source = F.when(parity, "STABLECOIN_PARITY").when(F.col("price").isNotNull(), "EXCHANGE_PRICE").otherwise("UNAVAILABLE")
-    return joined.select("account_id", "asset", number("available").alias("available"), number("locked").alias("locked"), F.when(parity, amount).otherwise(amount * F.col("price")).alias("value_usd"), source.alias("price_source"))
+    return joined.select(
+        "account_id",
+        "asset",
+        number("available").alias("available"),
+        number("locked").alias("locked"),
+        F.when(parity, amount).otherwise(amount * F.col("price")).alias("value_usd"),
+        source.alias("price_source"),
+    )
 
 
 def account_summary(valued: DataFrame) -> DataFrame:
     """Equity and what has no value, per account."""
     held = (F.col("available") != 0) | (F.col("locked") != 0)
-    return valued.groupBy("account_id").agg(F.sum("value_usd").alias("total_equity_usd"), F.count_if(F.col("value_usd").isNull() & held).alias("unvalued_asset_count"))
+    return valued.groupBy("account_id").agg(
+        F.sum("value_usd").alias("total_equity_usd"),
+        F.count_if(F.col("value_usd").isNull() & held).alias("unvalued_asset_count"),
+    )
 
 
 def open_positions(raw: DataFrame) -> DataFrame:
     """Position risk rows (symbol, positionAmt, entryPrice, markPrice, leverage, unRealizedProfit, marginType) of a
     size other than 0; the side is the sign of the size."""
     size = number("positionAmt")
-    return raw.filter(size != 0).select("account_id", "symbol", normalize_symbol(F.col("symbol")).alias("normalized_symbol"), F.when(size > 0, "LONG").otherwise("SHORT").alias("side"), F.abs(size).alias("position_size"), number("entryPrice").alias("entry_price"), number("markPrice").alias("mark_price"), (F.abs(size) * number("markPrice")).alias("position_value_usd"), number("leverage").alias("leverage"), number("unRealizedProfit").alias("unrealized_pnl"))
+    return raw.filter(size != 0).select(
+        "account_id",
+        "symbol",
+        normalize_symbol(F.col("symbol")).alias("normalized_symbol"),
+        F.when(size > 0, "LONG").otherwise("SHORT").alias("side"),
+        F.abs(size).alias("position_size"),
+        number("entryPrice").alias("entry_price"),
+        number("markPrice").alias("mark_price"),
+        (F.abs(size) * number("markPrice")).alias("position_value_usd"),
+        number("leverage").alias("leverage"),
+        number("unRealizedProfit").alias("unrealized_pnl"),
+    )
 
 
 def income_records(raw: DataFrame) -> DataFrame:
@@ -69,10 +94,21 @@ def income_records(raw: DataFrame) -> DataFrame:
     make no record. `supported` is false for known records in other than parity coins, which have no USD amount.
     """
     income, kind = number("income"), F.col("incomeType")
-    record = F.when(kind == "REALIZED_PNL", "REALIZED_PNL").when(kind == "FUNDING_FEE", "FUNDING_FEE").when(kind.isin(*INCOME_FEES), "TRADING_FEE").when(kind.isin(*INCOME_TRANSFERS), F.when(income >= 0, "DEPOSIT").otherwise("WITHDRAWAL"))
+    record = F.when(kind == "REALIZED_PNL", "REALIZED_PNL").when(kind == "FUNDING_FEE", "FUNDING_FEE").when(kind.isin(*INCOME_FEES), "TRADING_FEE").when(
+        kind.isin(*INCOME_TRANSFERS),
+        F.when(income >= 0, "DEPOSIT").otherwise("WITHDRAWAL"),
+    )
     amount = F.when(record == "TRADING_FEE", -income).when(record == "WITHDRAWAL", -income).otherwise(income)
     out = raw.withColumn("record_type", record).withColumn("amount_usd", amount).filter("record_type is not null")
-    return out.select("account_id", F.col("tranId").cast("string").alias("source_record_id"), "asset", moment("time").alias("record_time"), "record_type", "amount_usd", F.col("asset").isin(*PARITY).alias("supported"))
+    return out.select(
+        "account_id",
+        F.col("tranId").cast("string").alias("source_record_id"),
+        "asset",
+        moment("time").alias("record_time"),
+        "record_type",
+        "amount_usd",
+        F.col("asset").isin(*PARITY).alias("supported"),
+    )
 
 
 def bill_records(raw: DataFrame) -> DataFrame:
@@ -80,7 +116,10 @@ def bill_records(raw: DataFrame) -> DataFrame:
     or a deposit or withdrawal for a bill of none that is not internal."""
     pnl, fee, change = number("pnl"), number("fee"), number("balChg")
     funding, internal = F.col("subType").isin(*FUNDING_SUBTYPES), F.col("subType").isin(*INTERNAL_SUBTYPES)
-    entry = lambda suffix, kind, amount, when: F.when(when, F.struct(F.concat_ws(":", "billId", F.lit(suffix)).alias("source_record_id"), F.lit(kind).alias("record_type"), amount.alias("amount_usd")))
+    entry = lambda suffix, kind, amount, when: F.when(
+        when,
+        F.struct(F.concat_ws(":", "billId", F.lit(suffix)).alias("source_record_id"), F.lit(kind).alias("record_type"), amount.alias("amount_usd")),
+    )
     none = ~funding & (pnl == 0) & (fee == 0) & ~internal
     entries = F.array(
         entry("funding", "FUNDING_FEE", F.when(pnl != 0, pnl).otherwise(change), funding),
@@ -89,14 +128,26 @@ def bill_records(raw: DataFrame) -> DataFrame:
         entry("deposit", "DEPOSIT", change, none & (change > 0)),
         entry("withdrawal", "WITHDRAWAL", -change, none & (change < 0)),
     )
-    held = raw.select("account_id", F.col("ccy").alias("asset"), moment("ts").alias("record_time"), F.explode(F.filter(entries, lambda x: x.isNotNull())).alias("x"))
+    held = raw.select(
+        "account_id",
+        F.col("ccy").alias("asset"),
+        moment("ts").alias("record_time"),
+        F.explode(F.filter(entries, lambda x: x.isNotNull())).alias("x"),
+    )
     return held.select("account_id", "asset", "record_time", "x.*")
 
 
 def _business(raw: DataFrame) -> DataFrame:
     kind, amount, fee = F.lower(F.coalesce(F.nullif("businessType", F.lit("")), F.lit("unknown"))), number("amount"), number("fee")
     cash = kind.isin(*BUSINESS_DEPOSITS, *BUSINESS_WITHDRAWALS)
-    entry = lambda suffix, name, value, when: F.when(when, F.struct(F.concat_ws(":", F.coalesce(F.nullif("billId", F.lit("")), F.col("cTime").cast("string")), F.lit(suffix)).alias("source_record_id"), name.alias("record_type"), value.alias("amount_usd")))
+    entry = lambda suffix, name, value, when: F.when(
+        when,
+        F.struct(
+            F.concat_ws(":", F.coalesce(F.nullif("billId", F.lit("")), F.col("cTime").cast("string")), F.lit(suffix)).alias("source_record_id"),
+            name.alias("record_type"),
+            value.alias("amount_usd"),
+        ),
+    )
     entries = F.array(
         entry("pnl", F.lit("REALIZED_PNL"), amount, kind.isin(*BUSINESS_REALIZED) & (amount != 0)),
         entry("funding", F.lit("FUNDING_FEE"), amount, (kind == BUSINESS_FUNDING) & (amount != 0)),
@@ -112,7 +163,12 @@ def business_records(raw: DataFrame) -> DataFrame:
     """Bills (billId, coin, amount, fee, businessType, cTime) in dollar coins as up to two records each: realized PnL,
     funding or a cash flow by the business type, and a fee."""
     held = _business(raw).filter(F.col("asset").isin(*BUSINESS_COINS))
-    return held.select("account_id", "asset", moment("cTime").alias("record_time"), F.explode("entries").alias("x")).select("account_id", "asset", "record_time", "x.*")
+    return held.select(
+        "account_id",
+        "asset",
+        moment("cTime").alias("record_time"),
+        F.explode("entries").alias("x"),
+    ).select("account_id", "asset", "record_time", "x.*")
 
 
 def business_complete(raw: DataFrame) -> DataFrame:
@@ -159,7 +215,24 @@ def closed_from_orders(raw: DataFrame) -> DataFrame:
     fees = F.abs(number("openFee")) + F.abs(number("closeFee"))
     net = number("closedPnl")
     margin = ratio(entry * size, F.when(number("leverage") > 0, number("leverage")))
-    return raw.select("account_id", F.col("orderId").alias("source_record_id"), "symbol", normalize_symbol(F.col("symbol")).alias("normalized_symbol"), F.when(long, "LONG").otherwise("SHORT").alias("side"), moment("createdTime").alias("open_time"), moment("updatedTime").alias("close_time"), entry.alias("average_entry_price"), exit_.alias("average_exit_price"), size.alias("max_position_size"), gross.alias("realized_pnl"), (net - gross + fees).alias("funding_fee"), fees.alias("trading_fee"), net.alias("net_pnl"), margin.alias("margin_used"), (ratio(net, margin) * 100).alias("return_percent"))
+    return raw.select(
+        "account_id",
+        F.col("orderId").alias("source_record_id"),
+        "symbol",
+        normalize_symbol(F.col("symbol")).alias("normalized_symbol"),
+        F.when(long, "LONG").otherwise("SHORT").alias("side"),
+        moment("createdTime").alias("open_time"),
+        moment("updatedTime").alias("close_time"),
+        entry.alias("average_entry_price"),
+        exit_.alias("average_exit_price"),
+        size.alias("max_position_size"),
+        gross.alias("realized_pnl"),
+        (net - gross + fees).alias("funding_fee"),
+        fees.alias("trading_fee"),
+        net.alias("net_pnl"),
+        margin.alias("margin_used"),
+        (ratio(net, margin) * 100).alias("return_percent"),
+    )
 
 
 def inferred_leverage(positions: DataFrame, orders: DataFrame, before_seconds: int = 300, span_days: int = 30) -> DataFrame:
@@ -174,25 +247,51 @@ def inferred_leverage(positions: DataFrame, orders: DataFrame, before_seconds: i
     opening = low("trade_side").contains("open") | (low("reduce_only") == "no")
     side = F.when(low("pos_side") == "net", F.when(low("side") == "buy", "LONG").when(low("side") == "sell", "SHORT")).otherwise(F.upper("pos_side"))
     span = lambda at: F.floor(F.unix_seconds(at.cast("timestamp")) / (span_days * 86400))
-    placed = orders.filter(opening & (F.col("leverage") > 0)).select("account_id", F.upper("symbol").alias("__symbol"), side.alias("__side"), F.col("leverage").alias("order_leverage"), "ordered_at", span(F.col("ordered_at")).alias("__span"))
+    placed = orders.filter(opening & (F.col("leverage") > 0)).select(
+        "account_id",
+        F.upper("symbol").alias("__symbol"),
+        side.alias("__side"),
+        F.col("leverage").alias("order_leverage"),
+        "ordered_at",
+        span(F.col("ordered_at")).alias("__span"),
+    )
     first = F.col("open_time") - F.expr(f"INTERVAL {before_seconds} SECONDS")
-    held = positions.filter(F.col("close_time") >= first).select("account_id", F.upper("symbol").alias("__symbol"), F.col("side").alias("__side"), "source_record_id", "open_time", "close_time", F.explode(F.sequence(span(first), span(F.col("close_time")))).alias("__span"))
+    held = positions.filter(F.col("close_time") >= first).select(
+        "account_id",
+        F.upper("symbol").alias("__symbol"),
+        F.col("side").alias("__side"),
+        "source_record_id",
+        "open_time",
+        "close_time",
+        F.explode(F.sequence(span(first), span(F.col("close_time")))).alias("__span"),
+    )
     near = held.join(placed, ["account_id", "__symbol", "__side", "__span"]).filter((F.col("ordered_at") >= first) & (F.col("ordered_at") <= F.col("close_time")))
     found = near.groupBy("account_id", "source_record_id").agg(F.min("order_leverage").alias("lo"), F.max("order_leverage").alias("hi"))
-    return positions.join(found, ["account_id", "source_record_id"], "left").withColumn("leverage", F.when(F.col("lo") == F.col("hi"), F.col("lo"))).drop("lo", "hi")
+    return positions.join(found, ["account_id", "source_record_id"], "left").withColumn(
+        "leverage",
+        F.when(F.col("lo") == F.col("hi"), F.col("lo")),
+    ).drop("lo", "hi")
 
 
 def transaction_records(raw: DataFrame) -> DataFrame:
     """Transaction log (id, transactionTime, type, currency, cashFlow, funding, fee) as up to three records each."""
     cash, funding, fee, kind = number("cashFlow"), number("funding"), number("fee"), F.col("type")
-    entry = lambda suffix, name, amount, when: F.when(when, F.struct(F.concat_ws(":", "id", F.lit(suffix)).alias("source_record_id"), name.alias("record_type"), amount.alias("amount_usd")))
+    entry = lambda suffix, name, amount, when: F.when(
+        when,
+        F.struct(F.concat_ws(":", "id", F.lit(suffix)).alias("source_record_id"), name.alias("record_type"), amount.alias("amount_usd")),
+    )
     entries = F.array(
         entry("pnl", F.lit("REALIZED_PNL"), cash, kind.isin("TRADE", "LIQUIDATION", "DELIVERY") & (cash != 0)),
         entry("funding", F.lit("FUNDING_FEE"), funding, funding != 0),
         entry("fee", F.lit("TRADING_FEE"), fee, fee != 0),
         entry("cash", F.when(cash > 0, "DEPOSIT").otherwise("WITHDRAWAL"), F.abs(cash), kind.isin("TRANSFER_IN", "TRANSFER_OUT") & (cash != 0)),
     )
-    held = raw.select("account_id", F.col("currency").alias("asset"), moment("transactionTime").alias("record_time"), F.explode(F.filter(entries, lambda x: x.isNotNull())).alias("x"))
+    held = raw.select(
+        "account_id",
+        F.col("currency").alias("asset"),
+        moment("transactionTime").alias("record_time"),
+        F.explode(F.filter(entries, lambda x: x.isNotNull())).alias("x"),
+    )
     return held.select("account_id", "asset", "record_time", "x.*")
 
 
@@ -205,7 +304,13 @@ def wallet_updates(raw: DataFrame, wallet: Column) -> DataFrame:
     incoming = (delta["type"] == "deposit") | ((F.lower(delta["destination"]) == own) & (F.lower(delta["user"]) != own))
     outgoing = (delta["type"] == "withdraw") | ((F.lower(delta["user"]) == own) & (F.lower(delta["destination"]) != own))
     kind = F.when(incoming, "DEPOSIT").when(outgoing, "WITHDRAWAL")
-    return raw.select("account_id", F.col("hash").alias("source_record_id"), moment("time").alias("record_time"), kind.alias("record_type"), amount.alias("amount_usd")).filter("record_type is not null")
+    return raw.select(
+        "account_id",
+        F.col("hash").alias("source_record_id"),
+        moment("time").alias("record_time"),
+        kind.alias("record_type"),
+        amount.alias("amount_usd"),
+    ).filter("record_type is not null")
 
 
 def combo_mark(legs: Column, side: Column, entry: Column) -> Column:
@@ -235,7 +340,11 @@ def propagated_prices(known: DataFrame, pairs: DataFrame) -> DataFrame:
     tokens at most. Of several ways the smallest price by (round, price) is taken. Each round is written, so lineage
     does not grow; only whether it is empty comes back.
     """
-    both = pairs.select(F.col("base").alias("a"), F.col("quote").alias("b"), F.col("rate").alias("r")).unionByName(pairs.filter("rate != 0").select(F.col("quote").alias("a"), F.col("base").alias("b"), (1 / F.col("rate")).alias("r")))
+    both = pairs.select(
+        F.col("base").alias("a"),
+        F.col("quote").alias("b"),
+        F.col("rate").alias("r"),
+    ).unionByName(pairs.filter("rate != 0").select(F.col("quote").alias("a"), F.col("base").alias("b"), (1 / F.col("rate")).alias("r")))
     spark = known.sparkSession
     both, out = staged(both, fresh_path(spark, "pairs")), staged(known.select("token", "price"), fresh_path(spark, "prices"))
     while True:

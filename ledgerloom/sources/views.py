@@ -72,7 +72,13 @@ def ledger_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The four record frames of the ledger: income, funding, fees and cash flows."""
     events = read(spark, sf_dir, "events").filter(F.col("event_type").isin(*LEDGER_TYPES))
     kind = F.create_map(*[F.lit(x) for pair in LEDGER_TYPES.items() for x in pair])[F.col("event_type")]
-    base = events.select(F.col("event_id").alias("record_id"), F.col("user_id").alias("account_id"), F.col("ts").alias("record_time"), money("value").alias("amount_usd"), kind.alias("kind"))
+    base = events.select(
+        F.col("event_id").alias("record_id"),
+        F.col("user_id").alias("account_id"),
+        F.col("ts").alias("record_time"),
+        money("value").alias("amount_usd"),
+        kind.alias("kind"),
+    )
     income = base.filter("kind = 'REALIZED_PNL'").withColumnRenamed("kind", "income_type")
     funding = base.filter("kind = 'FUNDING_FEE'").drop("kind")
     fees = base.filter("kind = 'TRADING_FEE'").drop("kind")
@@ -83,14 +89,26 @@ def ledger_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def balance_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as equity samples: account_id, snapshot_id, asset, equity, recorded_at."""
     events = read(spark, sf_dir, "events")
-    return events.select(F.col("user_id").alias("account_id"), F.col("event_id").alias("snapshot_id"), F.col("event_type").alias("asset"), money("value").alias("equity"), F.col("ts").alias("recorded_at"))
+    return events.select(
+        F.col("user_id").alias("account_id"),
+        F.col("event_id").alias("snapshot_id"),
+        F.col("event_type").alias("asset"),
+        money("value").alias("equity"),
+        F.col("ts").alias("recorded_at"),
+    )
 
 
 def sync_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of three types as synchronisation runs: job_id, account_id, status, started_at, duration_ms."""
     events = read(spark, sf_dir, "events").filter(F.col("event_type").isin(*JOB_STATES))
     status = F.create_map(*[F.lit(x) for pair in JOB_STATES.items() for x in pair])[F.col("event_type")]
-    return events.select(F.col("event_id").alias("job_id"), F.col("user_id").alias("account_id"), status.alias("status"), F.col("ts").alias("started_at"), (money("value") * 100).cast("decimal(20,0)").cast("long").alias("duration_ms"))
+    return events.select(
+        F.col("event_id").alias("job_id"),
+        F.col("user_id").alias("account_id"),
+        status.alias("status"),
+        F.col("ts").alias("started_at"),
+        (money("value") * 100).cast("decimal(20,0)").cast("long").alias("duration_ms"),
+    )
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,12 @@ def snapshot_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 1) -> D
     """Balance snapshots as they arrive, none dropped for being late: repeats of an event fall together in the upsert."""
     # As a pattern, the path may be a single file as well as a folder of files.
     raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", per_trigger).parquet(f"{sf_dir}/events.parque[t]")
-    return raw.select(F.col("event_id").alias("snapshot_id"), F.col("user_id").alias("account_id"), F.col("value").cast("decimal(18,2)").alias("equity"), F.col("ts").cast("timestamp").alias("recorded_at"))
+    return raw.select(
+        F.col("event_id").alias("snapshot_id"),
+        F.col("user_id").alias("account_id"),
+        F.col("value").cast("decimal(18,2)").alias("equity"),
+        F.col("ts").cast("timestamp").alias("recorded_at"),
+    )
 
 
 def latest_in_buckets(snapshots: DataFrame) -> DataFrame:
@@ -45,7 +50,11 @@ def maintain(spark: SparkSession, sf_dir: str, table: str, checkpoint: str, **st
 
 def points_of(state: DataFrame) -> DataFrame:
     """Portfolio points from the table kept by maintain()."""
-    return state.groupBy("bucket_time").agg(F.sum("equity").alias("total_equity"), F.count(F.lit(1)).alias("account_count"), F.max("recorded_at").alias("source_latest_at"))
+    return state.groupBy("bucket_time").agg(
+        F.sum("equity").alias("total_equity"),
+        F.count(F.lit(1)).alias("account_count"),
+        F.max("recorded_at").alias("source_latest_at"),
+    )
 
 
 def replayed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +72,7 @@ def deduplicated_errors(errors: DataFrame, within: str = "1 hour") -> DataFrame:
 def windowed_last(points: DataFrame, minutes: int, lag: str) -> DataFrame:
     """A stream of points (bucket_time, total_equity, account_count) as wider buckets, refreshed one bucket late."""
     held = points.withWatermark("bucket_time", lag).groupBy(F.window("bucket_time", f"{minutes} minutes").alias("w"))
-    return held.agg(F.max_by("total_equity", "bucket_time").alias("total_equity"), F.max_by("account_count", "bucket_time").alias("account_count")).select(F.col("w.start").alias("bucket_time"), "total_equity", "account_count")
+    return held.agg(
+        F.max_by("total_equity", "bucket_time").alias("total_equity"),
+        F.max_by("account_count", "bucket_time").alias("account_count"),
+    ).select(F.col("w.start").alias("bucket_time"), "total_equity", "account_count")
