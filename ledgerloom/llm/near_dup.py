@@ -273,7 +273,9 @@ def _open_rows(rows: DataFrame, turn: int, parts: int) -> DataFrame:
     central = F.struct(F.col("own") / F.col("n") if turn == 0 else F.lit(0.0), F.xxhash64("rid", F.lit(turn)))
     lead = F.min_by(F.struct(*_OTHER), central)
     seen = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"), lead.alias("lead"))
-    return cut(rows.join(seen.filter("lo != hi").select("shingle", "k", "lead"), "shingle").select(*_ROW, "k", "lead"), "open-rows", 2 * parts)
+    # Written, so that the rows of a frequent shingle can be split in the join.
+    shared = cut(seen.filter("lo != hi").select("shingle", "k", "lead"), "open-shingles", parts)
+    return cut(rows.join(shared, "shingle").select(*_ROW, "k", "lead"), "open-rows", 2 * parts)
 
 
 def _led(open_: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
