@@ -1,17 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text is a tape of symbols: clause ends, and words that are insults, threats, targets (someone addressed),
-negations or reported speech; other words are left out. One small transducer reads each kind; their
-composition reads the tape once and scores every clause in which an insult, or a threat with a target,
-is matched, so a word alone weighs less than one aimed at somebody, and one that is denied or quoted less
-still. Which words are insults, and how heavy, is learned from labelled rows: whole words and word stems.
+negations or reported speech; other words are left out. Five transducers rewrite the tape, each reading what the
+one before has written, and weigh what they let pass: negation and reported speech weaken the insults and threats
+that follow them in their clause, repetition counts less than the first, and at the end of a clause its insults
+count in full only where someone is addressed, its threats only there at all. Their composition is one machine
+that reads a text once; a clause's score is what it writes. Which words are insults, and how heavy, is learned
+from labelled rows: whole words and word stems.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from math import log1p
 
 import numpy as np
@@ -23,7 +26,7 @@ from .common import bounded_batches, cut
 from .learning import bounded_sample, fold, logistic, texts_of
 
 #: Words of the fixed transducers.
-THREATS = "kill hurt destroy beat punch stab shoot burn attack die töten umbringen schlagen tuer frapper matar golpear"
+THREATS = "kill hurt destroy beat punch stab shoot burn attack töten umbringen schlagen tuer frapper matar golpear"
 TARGETS = "you your yours u ya they them he she him her du dich dir euch ihr sie tu te toi vous ton votre tú ti usted vosotros ustedes"
 NEGATIONS = "not never no isn't aren't wasn't don't nicht nie kein keine pas jamais aucun ni nunca jamás"
 REPORTING = "said says say wrote writes called claims claimed quoted reported told sagte schrieb nannte dit écrit appelé dijo escribió llamó"
@@ -39,38 +42,77 @@ _WORD = r"[^\W\d_]+(?:'[^\W\d_]+)?"
 _TAPE = re.compile(_WORD + r"|[.!?;\n]")
 
 
+#: What negation, reported speech, repetition and the lack of a target leave of a word's weight; a threat's weight.
+DENIED, REPORTED, REPEATED, UNAIMED, THREAT = 0.4, 0.5, 0.6, 0.7, 3.0
+SYMBOLS = ("insult", "threat", "target", "negation", "report", "end")
+
+Output = tuple[tuple[str, float], ...]
+
+
 class Transducer:
-    """States by name; arcs (state, symbol) -> state, with a factor for the clause; no arc keeps the state."""
+    """Arcs (state, symbol) -> (state, symbols written with their weights). Without an arc the state stays and the
+    symbol passes with weight 1."""
 
-    def __init__(self, start: str, arcs: dict[tuple[str, str], str], factor: dict[str, float]):
-        self.start, self.arcs, self.factor = start, arcs, factor
+    def __init__(self, start: str, arcs: dict[tuple[str, str], tuple[str, Output]]):
+        self.start, self.arcs = start, arcs
+
+    def step(self, state: str, symbol: str) -> tuple[str, Output]:
+        return self.arcs.get((state, symbol)) or (state, ((symbol, 1.0),))
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both read the same tape side by side; factors multiply."""
-        symbols = {s for _, s in self.arcs} | {s for _, s in other.arcs}
-        start = f"{self.start}|{other.start}"
-        arcs, factor, todo, seen = {}, {}, [(self.start, other.start)], set()
+        """The machine that has `other` read what this one writes; weights multiply."""
+        start, arcs, todo, seen = f"{self.start} {other.start}", {}, [(self.start, other.start)], set()
         while todo:
-            a, b = pair = todo.pop()
+            pair = todo.pop()
             if pair in seen:
                 continue
             seen.add(pair)
-            factor[f"{a}|{b}"] = self.factor.get(a, 1.0) * other.factor.get(b, 1.0)
-            for symbol in symbols:
-                to = (self.arcs.get((a, symbol), a), other.arcs.get((b, symbol), b))
-                if to != pair:
-                    arcs[f"{a}|{b}", symbol] = f"{to[0]}|{to[1]}"
-                    todo.append(to)
-        return Transducer(start, arcs, factor)
+            for symbol in SYMBOLS:
+                first, written = self.step(pair[0], symbol)
+                second, out = pair[1], []
+                for middle, weight in written:
+                    second, last = other.step(second, middle)
+                    out += [(name, weight * factor) for name, factor in last]
+                arcs[" ".join(pair), symbol] = (f"{first} {second}", tuple(out))
+                todo.append((first, second))
+        return Transducer(start, arcs)
+
+
+def _weakened(calm: str, cause: str, after: str, left: float) -> Transducer:
+    """From `cause` to the clause's end, insults and threats keep `left` of their weight; the cause is read away."""
+    return Transducer(calm, {(calm, cause): (after, ()), (after, cause): (after, ()), (after, "insult"): (after, (("insult", left),)), (after, "threat"): (after, (("threat", left),)), (after, "end"): (calm, (("end", 1.0),))})
+
+
+def _first_counts(calm: str, kind: str, after: str) -> Transducer:
+    """The first of a clause passes whole, each further one with REPEATED."""
+    return Transducer(calm, {(calm, kind): (after, ((kind, 1.0),)), (after, kind): (after, ((kind, REPEATED),)), (after, "end"): (calm, (("end", 1.0),))})
 
 
 def grammar() -> Transducer:
-    """The clause grammar; "end" closes a clause, so every part goes back to its start."""
-    insult = Transducer("calm", {("calm", "insult"): "insulting", ("insulting", "end"): "calm"}, {"calm": 0.0, "insulting": 1.0})
-    threat = Transducer("mild", {("mild", "threat"): "armed", ("mild", "target"): "facing", ("armed", "target"): "threatening", ("facing", "threat"): "threatening", ("armed", "end"): "mild", ("facing", "end"): "mild", ("threatening", "end"): "mild"}, {"mild": 1.0, "armed": 1.0, "facing": 1.3, "threatening": 1.6})
-    negation = Transducer("plain", {("plain", "negation"): "denied", ("denied", "end"): "plain"}, {"plain": 1.0, "denied": 0.6})
-    reported = Transducer("own", {("own", "report"): "quoted", ("quoted", "end"): "own"}, {"own": 1.0, "quoted": 0.6})
-    return insult.compose(threat).compose(negation).compose(reported)
+    """Writes insults and threats with their factors, and at a clause's end how much all of each count."""
+    target = Transducer("apart", {("apart", "target"): ("aimed", ()), ("aimed", "target"): ("aimed", ()), ("apart", "end"): ("apart", (("insults", UNAIMED),)), ("aimed", "end"): ("apart", (("insults", 1.0), ("threats", 1.0)))})
+    machine = _weakened("plain", "negation", "denied", DENIED).compose(_weakened("own", "report", "quoted", REPORTED))
+    return machine.compose(_first_counts("calm", "insult", "insulted")).compose(_first_counts("mild", "threat", "armed")).compose(target)
+
+
+def clause_scores(machine: Transducer, tape: Iterable[tuple[str, float]]) -> list[float]:
+    """Scores above 0 of the clauses of a tape of (symbol, weight); only insults and threats have a weight."""
+    arcs, state, scores = machine.arcs, machine.start, []
+    held, score = {"insults": 0.0, "threats": 0.0}, 0.0
+    for symbol, weight in chain(tape, [("end", 0.0)]):
+        state, written = arcs[state, symbol]
+        for name, factor in written:
+            if name == "insult":
+                held["insults"] += factor * weight
+            elif name == "threat":
+                held["threats"] += factor * weight
+            else:
+                score += factor * held[name]
+        if symbol == "end":
+            if score > 0:
+                scores.append(score)
+            held, score = {"insults": 0.0, "threats": 0.0}, 0.0
+    return scores
 
 
 @dataclass
@@ -82,7 +124,7 @@ class ToxicityModel:
 
     def __post_init__(self):
         fixed = ((THREATS, "threat"), (TARGETS, "target"), (NEGATIONS, "negation"), (REPORTING, "report"))
-        self.fixed = {w: (kind, 0.0) for words, kind in fixed for w in words.split()} | dict.fromkeys(".!?;\n", ("end", 0.0))
+        self.fixed = {w: (kind, THREAT * (kind == "threat")) for words, kind in fixed for w in words.split()} | dict.fromkeys(".!?;\n", ("end", 0.0))
         self.machine = grammar()
         self.known: dict[str, tuple[str, float] | None] = {}
 
@@ -98,22 +140,9 @@ class ToxicityModel:
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Of the whole text: log of 1 + the clauses' scores, the highest of them, and log of 1 + their number."""
-        arcs, factor, start = self.machine.arcs, self.machine.factor, self.machine.start
-        state, weight, threatened, total, top, n = start, 0.0, False, 0.0, 0.0, 0
-        for symbol, w in filter(None, map(self.symbol, _TAPE.findall((text or "").lower()))):
-            if symbol == "end":
-                if weight or threatened:
-                    score = max(weight, 1.0 * threatened) * (factor[state] or factor[state.replace("calm", "insulting", 1)])
-                    total, top, n = total + score, max(top, score), n + 1
-                state, weight, threatened = start, 0.0, False
-                continue
-            weight += w
-            state = arcs.get((state, symbol), state)
-            threatened = threatened or "threatening" in state
-        if weight or threatened:
-            score = max(weight, 1.0 * threatened) * (factor[state] or factor[state.replace("calm", "insulting", 1)])
-            total, top, n = total + score, max(top, score), n + 1
-        return log1p(total), top, log1p(n)
+        tape = filter(None, map(self.symbol, _TAPE.findall((text or "").lower())))
+        scores = clause_scores(self.machine, tape)
+        return log1p(sum(scores)), max(scores, default=0.0), log1p(len(scores))
 
     def score(self, text: str | None) -> float:
         z = float(np.dot(self.calibration[:-1], self.features(text)) + self.calibration[-1])
