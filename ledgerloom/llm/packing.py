@@ -1,10 +1,11 @@
 """Harmonic packing of token sequences into windows of a fixed capacity C.
 
 A piece of length n belongs to class k when C/(k+1) < n <= C/k, and a window of class k takes exactly k
-pieces, so workers fill windows without seeing each other's. Documents may be cut, which makes the waste
-small: whole windows first, then powers of two (class 2^j wastes nothing), and the rest, shorter than
-SMALLEST, goes to its own class and wastes less than 1/k of it. The fewer than k pieces that remain of
-each class, a bounded number, are laid end to end, longest first, into the last windows.
+pieces, so workers fill windows without seeing each other's. Documents may be cut, which makes the waste small:
+whole windows first; what is left stays whole where k of its like leave at most LOOSE of a window, else a piece of
+length C/(k+1), the largest of a class that wastes nothing, is cut off it, and so on. What is shorter than SMALLEST
+goes to its own class. The fewer than k pieces that remain of each class, a bounded number, are laid end to end,
+longest first, into the last windows.
 """
 
 from __future__ import annotations
@@ -22,20 +23,20 @@ from .common import bounded_batches, chunk_count, cut, running_start
 from .tokens import byte_encoder
 
 CAPACITY = 2048
-SMALLEST = 64
+SMALLEST, LOOSE = 64, 1 / 64
 END_ID = 1
 
 
-def cuts(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int]:
-    """Lengths of the pieces of a document of n tokens: whole windows, powers of two, and a small rest."""
+def cuts(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST, loose: float = LOOSE) -> list[int]:
+    """Lengths of the pieces of a document of n tokens: whole windows, lengths that fill a window, and a rest."""
     whole, rest = divmod(n, capacity)
-    pieces, part = [capacity] * whole, capacity // 2
-    while part >= smallest and rest:
-        if rest >= part:
-            pieces.append(part)
-            rest -= part
-        part //= 2
-    return [*pieces, rest] if rest else pieces
+    pieces = [capacity] * whole
+    while rest:
+        k = capacity // rest
+        part = rest if rest < smallest or capacity - k * rest <= loose * capacity else capacity // (k + 1)
+        pieces.append(part)
+        rest -= part
+    return pieces
 
 
 def _pieces(docs: DataFrame, vocabulary: str, capacity: int, smallest: int, id_col: str, text_col: str) -> DataFrame:
@@ -76,7 +77,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", capacity: int = CAPA
     full = ranked.filter("window < windows").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("window")).alias("sequence_id"), F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset"))
 
     def last_windows(rest: pd.DataFrame) -> pd.DataFrame:
-        """Longest first, end to end: powers of two never straddle a window, the small ones open the next."""
+        """Longest first, end to end; a piece that does not fit opens the next window."""
         rest = rest.sort_values(["length", "doc_id", "start"], ascending=[False, True, True])
         sequence, offset, at, used = [], [], int(rest["first_free"].iloc[0]), 0
         for n in rest["length"]:

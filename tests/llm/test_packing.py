@@ -15,7 +15,10 @@ BYTES = Tokenizer.from_file(path("byte_bpe_50k.json"))
 def test_cuts(n):
     pieces = cuts(n)
     assert sum(pieces) == n and all(0 < p <= 2048 for p in pieces)
-    assert all(p & (p - 1) == 0 for p in pieces[:-1])
+    # All but the last leave next to nothing of a window of their class.
+    assert all(2048 - 2048 // p * p <= 2048 // p for p in pieces[:-1])
+    assert pieces[-1] < 64 or 2048 - 2048 // pieces[-1] * pieces[-1] <= 32
+    assert len(pieces) <= n // 2048 + 4
 
 
 def test_round_trip(spark):
@@ -43,5 +46,13 @@ def test_round_trip(spark):
     assert waste <= 2048 + 64 * len(sequences)
 
 
+def test_pieces_of_a_very_long_text(spark):
+    text = "alpha beta Gamma, x1 é " * 60_000
+    ids = np.array([*BYTES.encode(text, add_special_tokens=False).ids, 1], "<u4")
+    rows = sorted(pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect(), key=lambda r: r.start)
+    assert [r.start for r in rows] == np.cumsum([0, *[r.length for r in rows[:-1]]]).tolist() and rows[-1].start + rows[-1].length == len(ids)
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids) for r in rows)
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
