@@ -82,3 +82,10 @@ def test_query_columns(spark):
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "to a@b.co now"), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in redact(docs).collect()} == {1: "to [email] now", 2: None}
+
+
+def test_context_words_show_in_the_digest(spark):
+    texts = ["call 555 at 10.0.0.1", "server 10.0.0.1", "release 10.0.0.1", "nothing", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_ip, r.scores, r.n_sure) for r in span_digest(find_pii(docs)).collect()}
+    assert got == {0: (1, "0.6", 0), 1: (1, "0.8", 1), 2: (1, "0.4", 0), 3: (0, "", 0), 4: (0, "", 0)}
