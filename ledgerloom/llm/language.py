@@ -3,7 +3,6 @@ between the languages of that family. Features are hashed n-grams of UTF-8 bytes
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -29,36 +28,48 @@ FAMILIES = {
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
-SAMPLE, WINDOW, GROUP = 1500, 48, 200_000
-_LETTER = re.compile(r"[^\W\d_]")
+#: Labelled rows of a language and of all together, at most; characters of a short example; bytes of text at once.
+SAMPLE, SAMPLE_ALL, WINDOW, GROUP = 1500, 24_000, 48, 400_000
 #: ASCII letters stay, lower-cased; other ASCII becomes a space; bytes of longer characters stay.
 _FOLDED = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint64)
 
 
-def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n: the bucket of every n-gram of the texts laid end to end, and how many each text has."""
-    blobs = [f" {t.lower()} ".encode("utf-8", "replace") for t in texts]
-    sizes = np.array([len(b) for b in blobs])
-    codes = _FOLDED[np.frombuffer(b"".join(blobs), np.uint8)]
-    owner = np.repeat(np.arange(len(texts)), sizes)
+def has_letter(text: str) -> bool:
+    """Whether any character is of Unicode's category L."""
+    return any(map(str.isalpha, text))
+
+
+def folded(text: str) -> bytes:
+    return f" {text.lower()} ".encode("utf-8", "replace")
+
+
+def grams(pieces: list[tuple[bytes, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of pieces (bytes, starts), for each n: the bucket of every n-gram that begins within the first `starts` bytes
+    of its piece, all pieces laid end to end, and how many each piece has."""
+    sizes = np.array([len(b) for b, _ in pieces])
+    codes = _FOLDED[np.frombuffer(b"".join(b for b, _ in pieces), np.uint8)]
+    owner = np.repeat(np.arange(len(pieces)), sizes)
+    begins = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat([n for _, n in pieces], sizes)
     key = np.zeros(len(codes), np.uint64)
     for n in ORDERS:
         key = key[: len(codes) - n + 1] * np.uint64(257) + codes[n - 1 :]
-        inside = owner[: len(key)] == owner[n - 1 :]
+        inside = (owner[: len(key)] == owner[n - 1 :]) & begins[: len(key)]
         inside &= (codes[: len(key)] != 32) | (codes[n - 1 :] != 32)
         buckets = ((key[inside] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(48)
-        yield buckets.astype(np.int64), np.bincount(owner[: len(key)][inside], minlength=len(texts))
+        yield buckets.astype(np.int64), np.bincount(owner[: len(key)][inside], minlength=len(pieces))
 
 
-def segments(texts: list[str | None], keep: list[int]) -> Iterator[list[tuple[int, str]]]:
-    """The kept texts in groups of about GROUP characters, whole but for cuts of very long ones: (index, part)."""
-    group, size = [], 0
+def segments(texts: list[str | None], keep: list[int], group_bytes: int = GROUP) -> Iterator[list[tuple[int, bytes, int]]]:
+    """The kept texts in groups of about group_bytes: (index, bytes, starts). A long text comes in several pieces, each
+    with what its last n-grams need of the next, so every n-gram of a text is there once however it is cut."""
+    group, size, over = [], 0, max(ORDERS) - 1
     for i in keep:
-        for start in range(0, len(texts[i]), GROUP):
-            part = texts[i][start : start + GROUP]
-            group.append((i, part))
-            size += len(part)
-            if size >= GROUP:
+        blob = folded(texts[i])
+        for start in range(0, len(blob), group_bytes):
+            piece = blob[start : start + group_bytes + over]
+            group.append((i, piece, min(group_bytes, len(blob) - start)))
+            size += len(piece)
+            if size >= group_bytes:
                 yield group
                 group, size = [], 0
     if group:
@@ -76,11 +87,11 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Languages and scores; `und` and 0 for null, for no letter, and where no language was learned."""
         out = [("und", 0.0)] * len(texts)
-        some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        some = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
         sums, counts = np.zeros((len(texts), len(self.weights))), np.zeros(len(texts))
         for group in segments(texts, some):
-            owners = np.array([i for i, _ in group])
-            for buckets, n in grams([part for _, part in group]):
+            owners = np.array([i for i, _, _ in group])
+            for buckets, n in grams([(piece, starts) for _, piece, starts in group]):
                 there = n > 0
                 starts = (np.cumsum(n) - n)[there]
                 np.add.at(counts, owners, n)
@@ -121,8 +132,9 @@ def _examples(sample: DataFrame, text_col: str) -> pd.DataFrame:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 middle = max(0, len(text) // 2 - WINDOW // 2)
                 for piece in dict.fromkeys((text, text[:WINDOW], text[middle : middle + WINDOW])):
-                    if _LETTER.search(piece):
-                        at, n = np.unique(np.concatenate([b for b, _ in grams([piece])]), return_counts=True)
+                    if has_letter(piece):
+                        blob = folded(piece)
+                        at, n = np.unique(np.concatenate([b for b, _ in grams([(blob, len(blob))])]), return_counts=True)
                         out.append((lang, at.astype("<i4").tobytes(), n.astype("<i4").tobytes()))
             yield pd.DataFrame(out, columns=["lang", "at", "n"])
 
@@ -130,11 +142,13 @@ def _examples(sample: DataFrame, text_col: str) -> pd.DataFrame:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Fits on at most `sample` rows of each language with lang not null and crc32(doc_id) mod 5 other than 0."""
+    """Fits on rows with lang not null and crc32(doc_id) mod 5 other than 0: at most `sample` of each language, and
+    of all languages alike so many that they are SAMPLE_ALL at most (20 of each at least)."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold(F.col("doc_id"), 5) != 0))
     if known.isEmpty():
         return LanguageModel([], [], [], np.zeros((0, BUCKETS)))
+    sample = min(sample, max(20, SAMPLE_ALL // known.select("lang").distinct().count()))
     chosen = bounded_sample(known.select("doc_id", "lang"), "lang", sample)
     got = _examples(texts_of(chosen, known.select("doc_id", "text")), "text").sort_values(["lang", "at", "n"])
     rows = []

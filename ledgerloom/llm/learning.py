@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -18,15 +18,15 @@ def bounded_sample(labelled: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, label) of at most `most` rows of each label: those with the least hash of doc_id, the same on every
     run. A doc_id that several rows have is passed over, so that a sample of ids bounds the rows they stand for.
 
-    Only ids are sorted, each task keeping `most`; texts are joined to the sample afterwards (see texts_of).
+    Only ids are sorted, and of each label a few times `most` of them: those whose hash is low enough for that many
+    by the label's count. Texts are joined to the sample afterwards (see texts_of).
     """
     single = labelled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first(label).alias(label)).filter("n = 1").drop("n")
-    kinds = sorted(r[0] for r in single.select(label).distinct().limit(256).collect())
-    parts = [single.filter(F.col(label) == k).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most) for k in kinds]
-    out = parts[0] if parts else single.limit(0)
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return cut(out, "sample")
+    placed = cut(single.withColumn("__at", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 1)), "labelled-ids")
+    counts = placed.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    low = placed.join(counts, label).filter(F.col("__at") / F.lit(2.0**63) <= F.lit(3.0 * most + 100) / F.col("__n"))
+    turn = Window.partitionBy(label).orderBy("__at", "doc_id")
+    return cut(low.withColumn("__turn", F.row_number().over(turn)).filter(F.col("__turn") <= most).select("doc_id", label), "sample")
 
 
 def texts_of(sample: DataFrame, docs: DataFrame) -> DataFrame:
