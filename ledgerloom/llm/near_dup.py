@@ -327,8 +327,9 @@ def joined_classes(sets: DataFrame, parts: int) -> DataFrame:
     while True:
         open_ = _open_rows(rows, turn, parts)
         size = open_.count()
-        # Comparing with leaders no longer closes shingles: the rest is compared pair by pair.
-        if size == 0 or size > WORTH * before:
+        # Comparing with leaders no longer closes shingles: the rest is compared pair by pair. A round that has closed
+        # none ends the loop whatever WORTH is.
+        if size == 0 or size > WORTH * before or size >= before:
             break
         found = _led(open_, sets, parts)
         between = found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
