@@ -19,6 +19,7 @@ from .quality import quality
 from .tokens import count_tokens
 from .toxicity import score_toxicity
 from .toxicity import train as train_toxicity
+from .whitening import whitened_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +80,11 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), "byte_bpe_50k", capacity=2048)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's first 32 whitened components."""
+    return whitened_rows(spread(table(spark, sf_dir, "embeddings")), components=32)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
@@ -90,4 +96,5 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_html_text": op9_html_text,
     "op10_harmonic_packing": op10_harmonic_packing,
+    "op11_whitening": op11_whitening,
 }
