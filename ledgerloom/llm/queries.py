@@ -13,6 +13,7 @@ from .language import identify_language
 from .language import train as train_language
 from .mixing import mix
 from .near_dup import near_duplicates
+from .order_minhash import fingerprint_edits
 from .packing import pack
 from .pii import find_pii, span_digest
 from .quality import quality
@@ -85,6 +86,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_rows(spread(table(spark, sf_dir, "embeddings")), components=32)
 
 
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and how like it is to that and to the next document's."""
+    return fingerprint_edits(table(spark, sf_dir, "documents"))  # dealt out by ranges of ids anyway
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
@@ -97,4 +103,5 @@ QUERIES: dict[str, Query] = {
     "op9_html_text": op9_html_text,
     "op10_harmonic_packing": op10_harmonic_packing,
     "op11_whitening": op11_whitening,
+    "op12_order_minhash": op12_order_minhash,
 }
