@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import spread, table
 from .exact_dedup import exact_dedup
+from .hard_negatives import mine
 from .html_text import extract_text
 from .language import identify_language
 from .language import train as train_language
@@ -91,6 +93,12 @@ def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))  # dealt out by ranges of ids anyway
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector: by id, labels of every seventh moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(spread(table(spark, sf_dir, "embeddings")).withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
@@ -104,4 +112,5 @@ QUERIES: dict[str, Query] = {
     "op10_harmonic_packing": op10_harmonic_packing,
     "op11_whitening": op11_whitening,
     "op12_order_minhash": op12_order_minhash,
+    "op13_hard_negatives": op13_hard_negatives,
 }
