@@ -1,10 +1,12 @@
 import os
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.html_text import candidates, differences, extract_text, lines_of, neighbours, shared
+from ledgerloom.llm.html_text import BLOCKS, ENDS_P, FURNITURE, P_SCOPE, candidates, differences, extract_text, lines_of, neighbours, shared
 
 
 def lcs(a, b):
@@ -41,6 +43,14 @@ PAGES = {
     "": "",
     "<p></p>  ": "",
     "<article><p>end of tag <b": "end of tag",
+    "<main><div class='content'><p>The real story.</p></div><article class='teaser related'><p>Read on</p></article></main>": "The real story.",
+    "<article><p>Text</p><article class='comment'><p>reader</p></article></article><article class=comment><p>another</p></article>": "Text",
+    "<body><p class='ad'>Buy now<p>Two.<p>Three.": "Two.\nThree.",
+    "<ul><li class=ad>x<li>one<ul><li>in<li class=promo>y</ul><li>two</ul><p>after": "one\nin\ntwo\nafter",
+    "<table><tr><td class=ad>x<td>a<tr><td>b<table><tr><td>in</table>c</table>d": "a\nb\nin\nc\nd",
+    "<dl><dt>a<dd class=sponsored>b<dt>c</dl>": "a\nc",
+    "<div>a<b>b</div>c</b>d<p>e</i></p></p>f": "ab\ncd\ne\nf",
+    "<article><div><p>in</div>out</article></article>": "in\nout",
 }
 
 
@@ -50,6 +60,69 @@ def test_pages(page):
     assert "\n".join(lines[i].text for i in candidates([x.stands for x in lines])) == PAGES[page]
 
 
+def test_the_longer_of_articles_and_main_counts_without_what_is_shared(spark):
+    page = "<main><p>{}</p><article><p>a card of another story</p></article><article><p>and of a third, with more words</p></article></main>"
+    rows = [(i, f"http://h.example/a/{i}", page.format(f"the story {i} in words")) for i in range(2)] + [(7, "http://alone.example/", page.format("short"))]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # Without a neighbour the articles are longer; with one, they are what every page has.
+    assert got == {0: "the story 0 in words", 1: "the story 1 in words", 7: "a card of another story\nand of a third, with more words"}
+
+
+def slow_lines(page):
+    """The rules once more, with the open elements searched each time."""
+    stack, out, text = [], [], []
+
+    def flush():
+        line = " ".join("".join(text).split())
+        text.clear()
+        if line:
+            out.append((line, "aside" in stack))
+
+    for token in re.findall(r"</?\w+>|[^<]+", page):
+        if token[0] != "<":
+            text.append(token)
+            continue
+        tag = token.strip("</>")
+        block = tag in BLOCKS
+        if block:
+            flush()
+        if token[1] == "/":
+            if tag in stack and (block or not any(t in BLOCKS for t in stack[len(stack) - stack[::-1].index(tag) :])):
+                at = len(stack) - 1 - stack[::-1].index(tag)
+                if "aside" in stack[at:]:
+                    flush()
+                del stack[at:]
+            continue
+        last = lambda names: max((i for i, t in enumerate(stack) if t in names), default=-1)
+        at = len(stack)
+        if tag == "li" and last(["li"]) > last(["ul", "ol", "menu"]):
+            at = last(["li"])
+        if (tag in ENDS_P) and last(["p"]) > last(P_SCOPE):
+            at = min(at, last(["p"]))
+        if "aside" in stack[at:]:
+            flush()
+        del stack[at:]
+        if tag == "aside":
+            flush()
+        stack.append(tag)
+    flush()
+    return out
+
+
+def test_malformed_pages_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(3000):
+        page = "".join(rng.choice(["<p>", "</p>", "<li>", "</li>", "<ul>", "</ul>", "<b>", "</b>", "<i>", "</i>", "<div>", "</div>", "<aside>", "</aside>", "x ", "y "]) for _ in range(rng.randrange(25)))
+        assert [(x.text, x.stands == FURNITURE) for x in lines_of(page)] == slow_lines(page), page
+
+
+def test_time_is_in_step_with_the_page():
+    for page in ("<p>x</b>" * 200_000, "<b><i>" * 100_000 + "</u>" * 100_000, "<li><b>" * 100_000, "<div>" * 100_000 + "x<p>" * 100_000):
+        began = time.perf_counter()
+        lines_of(page)
+        assert time.perf_counter() - began < 6
+
+
 def test_differencing_drops_what_the_neighbour_shares(spark):
     page = "<body><div>Site name</div><div>Home</div><p>{}</p><div>Imprint</div></body>"
     rows = [
