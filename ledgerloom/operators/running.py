@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_path, staged
+
 
 def running_sums(rows: DataFrame, keys: list[str], chunk: Column, order: list[str], amounts: dict[str, Column]) -> DataFrame:
     """Adds for each name the sum of its amount up to and with this row, within keys, by (chunk, order).
@@ -35,39 +37,55 @@ def running_least(rows: DataFrame, keys: list[str], chunk: Column, order: list[s
     return joined.withColumns({n: F.least(f"__i_{n}", f"__o_{n}") for n in amounts}).select(*rows.columns, *amounts)
 
 
+def following(moments: DataFrame, keys: list[str], at: str, micros: int, span: int) -> DataFrame:
+    """moments (keys, at in microseconds, distinct) with `to`: the first moment of the key more than so many
+    microseconds later, null if there is none.
+
+    Each moment asks at its time plus `micros`. Questions and moments meet in spans of time: within a span the least
+    moment after a question is a window of one key and span, and beyond it the first moment of the next span with any.
+    """
+    asked = F.col(at) + micros
+    held = moments.select(*keys, F.col(at).alias("__t"), F.lit(1).alias("__kind"), F.col(at).alias("__own"))
+    questions = moments.select(*keys, asked.alias("__t"), F.lit(0).alias("__kind"), F.col(at).alias("__own"))
+    both = held.unionByName(questions).withColumn("__span", F.floor(F.col("__t") / span))
+    later = Window.partitionBy(*keys, "__span").orderBy(F.desc("__t"), "__kind").rowsBetween(Window.unboundedPreceding, -1)
+    # Backwards in time, a question stands before a moment of its own time: strictly more is asked for.
+    near = both.withColumn("__to", F.min(F.when(F.col("__kind") == 1, F.col("__own"))).over(later))
+    near = near.filter("__kind = 0")
+    spans = held.groupBy(*keys, F.floor(F.col("__t") / span).alias("__span")).agg(F.min("__t").alias("__first"))
+    # Spans with questions only take their answer from the next one with moments.
+    marks = spans.unionByName(near.filter("__to is null").select(*keys, "__span", F.lit(None).cast("long").alias("__first")).distinct())
+    by_span = marks.groupBy(*keys, "__span").agg(F.min("__first").alias("__first"))
+    onward = Window.partitionBy(*keys).orderBy(F.desc("__span")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = by_span.select(*keys, "__span", F.min("__first").over(onward).alias("__beyond"))
+    found = near.join(beyond, [*keys, "__span"], "left")
+    return found.select(*keys, F.col("__own").alias(at), F.coalesce("__to", "__beyond").alias("to"))
+
+
 def spaced(rows: DataFrame, keys: list[str], at: str, tie: list[str], micros: int) -> DataFrame:
     """The rows of each key that are kept when, in the order of `at` (a timestamp) and `tie`, a row is passed over
     that comes within so many microseconds, bounds included, of the last one kept. Rows without a time are left out.
 
-    What is kept hangs on all before it, yet no task holds a whole key. Its time is cut into spans of a day or more,
-    far longer than that. Of each span it is told for every row that can be the first kept there which one is
-    the last then; that goes from span to span of a key, and then each span is gone through by itself.
+    What is kept hangs on all before it, yet no task holds a whole key, nor the moments of one in an array: each
+    moment points to the first that may follow it, pointers are doubled until none leads on, and from the first
+    moment of each key the longest pointers are followed first, then those of half the length, and so on. So the
+    number of joins grows with the logarithm of how many a key keeps. Each doubling is written.
     """
-    apart, span = micros, max(86_400_000_000, 50 * micros)
-    named = [f"__k{i}" for i in range(len(keys))]
+    named, spark = [f"__k{i}" for i in range(len(keys))], rows.sparkSession
     # Null keys are keys of their own.
     held = rows.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for n, k in zip(named, keys, strict=True)})
-    held = held.withColumn("__t", F.unix_micros(F.col(at).cast("timestamp"))).filter("__t is not null")
-    held = held.withColumn("__span", F.floor(F.col("__t") / span))
+    held = held.withColumn("__at", F.unix_micros(F.col(at).cast("timestamp"))).filter("__at is not null")
     # Copies of a moment go before the shuffle.
-    spans = held.groupBy(*named, "__span", "__t").agg(F.count(F.lit(1)).alias("n")).groupBy(*named, "__span").agg(F.sort_array(F.collect_list("__t")).alias("ts"))
-    spans = spans.withColumn("first", F.expr(f"slice(ts, 1, size(filter(ts, t -> t <= __span * {span} + {apart})) + 1)"))
-    spans = spans.withColumn("last", F.expr(f"transform(first, f -> aggregate(ts, f, (last, t) -> if(t > last + {apart}, t, last)))"))
-    item = F.struct("__span", "first", "last")
-    after = f"""
-      transform(array(filter(sequence(1, size(x.first)), i -> s.last is null or x.first[i - 1] > s.last + {apart})),
-                able -> if(size(able) = 0, s.last, x.last[able[0] - 1]))[0]"""
-    entered = F.expr(f"""
-      aggregate(spans, named_struct('last', cast(null as bigint), 'out', cast(array() as array<struct<__span: bigint, entry: bigint>>)),
-                (s, x) -> named_struct('last', {after}, 'out', concat(s.out, array(named_struct('__span', x.__span, 'entry', s.last)))),
-                s -> s.out)""")
-    entries = spans.groupBy(*named).agg(F.sort_array(F.collect_list(item)).alias("spans")).select(*named, F.explode(entered).alias("x")).select(*named, "x.*")
-    kept = f"""
-      aggregate(ts, named_struct('last', entry, 'kept', cast(array() as array<bigint>)),
-                (s, t) -> if(s.last is null or t > s.last + {apart}, named_struct('last', t, 'kept', concat(s.kept, array(t))), s),
-                s -> s.kept)"""
-    chosen = spans.select(*named, "__span", "ts").join(entries, [*named, "__span"]).select(*named, "__span", F.explode(F.expr(kept)).alias("__t"))
+    moments = staged(held.select(*named, "__at").distinct(), fresh_path(spark, "moments"))
+    span = max(86_400_000_000, micros + 1)
+    jumps = [staged(following(moments, named, "__at", micros, span).filter("to is not null"), fresh_path(spark, "jumps"))]
+    while not jumps[-1].isEmpty():
+        onward = jumps[-1].select(*named, F.col("__at").alias("to"), F.col("to").alias("__then"))
+        jumps.append(staged(jumps[-1].join(onward, [*named, "to"]).select(*named, "__at", F.col("__then").alias("to")), fresh_path(spark, "jumps")))
+    kept = moments.groupBy(*named).agg(F.min("__at").alias("__at"))
+    for jump in reversed(jumps[:-1]):
+        kept = staged(kept.unionByName(kept.join(jump, [*named, "__at"]).select(*named, F.col("to").alias("__at"))), fresh_path(spark, "kept"))
     # Of rows of one moment the first by `tie`.
     place = [F.struct(F.col(c).isNull(), F.col(c)) for c in tie]
-    first = held.groupBy(*named, "__span", "__t").agg(F.min(F.struct(*place, F.struct(*[F.col(c) for c in rows.columns]).alias("row"))).alias("x"))
-    return chosen.join(first, [*named, "__span", "__t"]).select("x.row.*")
+    first = held.groupBy(*named, "__at").agg(F.min(F.struct(*place, F.struct(*[F.col(c) for c in rows.columns]).alias("row"))).alias("x"))
+    return kept.join(first, [*named, "__at"]).select("x.row.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .payload_oracles import ORACLES as _PAYLOAD_ORACLES
+from .upkeep_oracles import upkeep_oracles
 
 VIEWS = """
 accounts AS (
@@ -574,3 +575,4 @@ SELECT account_id, symbol, position_side, open_time, close_time, max_size, o_n /
 UNION ALL SELECT account_id, symbol, position_side, time, time, q, NULL, price, NULL, 'PARTIAL' FROM walk WHERE NOT opens AND before = 0""",
 }
 ORACLES |= _PAYLOAD_ORACLES
+ORACLES |= upkeep_oracles(_sql, _FILLED, ORACLES)

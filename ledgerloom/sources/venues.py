@@ -6,11 +6,12 @@ is missing stays NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ratios import clamp, ratio
 from ..functions.text import normalize_side, normalize_symbol
+from ..operators.running import running_sums
 from .shared import fresh_path, staged
 
 #: Coins taken at parity, and per venue the bill types that make each kind of record.
@@ -235,42 +236,44 @@ def closed_from_orders(raw: DataFrame) -> DataFrame:
     )
 
 
-def inferred_leverage(positions: DataFrame, orders: DataFrame, before_seconds: int = 300, span_days: int = 30) -> DataFrame:
+def inferred_leverage(positions: DataFrame, orders: DataFrame, before_seconds: int = 300) -> DataFrame:
     """Positions (side LONG or SHORT) with the leverage of the orders that opened them: placed from shortly before
     opening to closing, on the same side, opening and not only reducing, with a leverage above 0; if all have one.
 
     Orders (symbol, leverage, ordered_at, trade_side, reduce_only, pos_side, side): an order of pos_side "net" is on
-    the side that its buying or selling opens. Both sides meet by spans of days, so an order meets the positions of
-    its time only.
+    the side that its buying or selling opens.
+
+    No order meets a position: both are swept along the time of their account, symbol and side, with running counts of
+    orders and of changes of leverage. The orders of a position have one leverage if none of them but the first is a
+    change, which the counts at its two ends and that first order tell. Rows of one account and id are one position.
     """
     low = lambda name: F.lower(F.coalesce(F.col(name), F.lit("")))
     opening = low("trade_side").contains("open") | (low("reduce_only") == "no")
     side = F.when(low("pos_side") == "net", F.when(low("side") == "buy", "LONG").when(low("side") == "sell", "SHORT")).otherwise(F.upper("pos_side"))
-    span = lambda at: F.floor(F.unix_seconds(at.cast("timestamp")) / (span_days * 86400))
-    placed = orders.filter(opening & (F.col("leverage") > 0)).select(
-        "account_id",
-        F.upper("symbol").alias("__symbol"),
-        side.alias("__side"),
-        F.col("leverage").alias("order_leverage"),
-        "ordered_at",
-        span(F.col("ordered_at")).alias("__span"),
-    )
+    keys, micros = ["account_id", "__symbol", "__side"], lambda at: F.unix_micros(at.cast("timestamp"))
+    day = F.floor(F.col("__t") / 86_400_000_000)
+    placed = orders.filter(opening & (F.col("leverage") > 0)).select("account_id", F.upper("symbol").alias("__symbol"), side.alias("__side"), micros(F.col("ordered_at")).alias("__t"), F.col("leverage").cast("long").alias("__lev"))
+    placed = placed.filter("__t is not null").groupBy(*keys, "__t", "__lev").agg(F.count(F.lit(1)).alias("__n")).withColumn("__day", day)
+    # A change is an order of another leverage than the one before: within its day, or the last of the last day that has any.
+    within = Window.partitionBy(*keys, "__day").orderBy("__t", "__lev")
+    lasts = placed.groupBy(*keys, "__day").agg(F.max_by("__lev", F.struct("__t", "__lev")).alias("__last"))
+    before = lasts.withColumn("__last", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__day")))
+    previous = F.coalesce(F.lag("__lev").over(within), "__last")
+    changed = placed.join(before, [*keys, "__day"]).withColumn("__changed", F.when(previous.eqNullSafe(F.col("__lev")), 0).otherwise(1).cast("long"))
     first = F.col("open_time") - F.expr(f"INTERVAL {before_seconds} SECONDS")
-    held = positions.filter(F.col("close_time") >= first).select(
-        "account_id",
-        F.upper("symbol").alias("__symbol"),
-        F.col("side").alias("__side"),
-        "source_record_id",
-        "open_time",
-        "close_time",
-        F.explode(F.sequence(span(first), span(F.col("close_time")))).alias("__span"),
-    )
-    near = held.join(placed, ["account_id", "__symbol", "__side", "__span"]).filter((F.col("ordered_at") >= first) & (F.col("ordered_at") <= F.col("close_time")))
-    found = near.groupBy("account_id", "source_record_id").agg(F.min("order_leverage").alias("lo"), F.max("order_leverage").alias("hi"))
-    return positions.join(found, ["account_id", "source_record_id"], "left").withColumn(
-        "leverage",
-        F.when(F.col("lo") == F.col("hi"), F.col("lo")),
-    ).drop("lo", "hi")
+    held = positions.filter(F.col("close_time") >= first).select("account_id", F.upper("symbol").alias("__symbol"), F.col("side").alias("__side"), "source_record_id", micros(first).alias("__lo"), micros(F.col("close_time")).alias("__hi"))
+    # Three kinds of marks at a moment, in this order: a position begins, an order, a position ends.
+    none, zero = lambda kind: F.lit(None).cast(kind), F.lit(0).cast("long")
+    end = lambda at, kind: held.select(*keys, "source_record_id", "__lo", "__hi", F.col(at).alias("__t"), F.lit(kind).alias("__kind"), none("long").alias("__lev"), zero.alias("__one"), zero.alias("__changed"))
+    marks = changed.select(*keys, none("string").alias("source_record_id"), none("long").alias("__lo"), none("long").alias("__hi"), "__t", F.lit(1).alias("__kind"), "__lev", F.lit(1).cast("long").alias("__one"), "__changed")
+    swept = running_sums(marks.unionByName(end("__lo", 0)).unionByName(end("__hi", 2)), keys, day, ["__t", "__kind", "__lev"], {"__orders": F.col("__one"), "__changes": F.col("__changed")})
+    own = [*keys, "source_record_id", "__lo", "__hi"]
+    ends = swept.filter("__kind != 1").groupBy(*own).agg(*[F.max(F.when(F.col("__kind") == kind, F.col(of))).alias(f"{of}{kind}") for of in ("__orders", "__changes") for kind in (0, 2)])
+    opened = swept.filter("__kind = 1").select(*keys, F.col("__orders").alias("__rank"), "__lev", F.col("__changed").alias("__first"))
+    some = ends.filter("__orders2 > __orders0").withColumn("__rank", F.col("__orders0") + 1).join(opened, [*keys, "__rank"])
+    one = some.groupBy("account_id", "source_record_id").agg(F.min("__lev").alias("lo"), F.max("__lev").alias("hi"), F.bool_and(F.expr("__changes2 - __changes0 = __first")).alias("same"))
+    leverage = F.when(F.col("same") & (F.col("lo") == F.col("hi")), F.col("lo")).cast(orders.schema["leverage"].dataType)
+    return positions.join(one, ["account_id", "source_record_id"], "left").withColumn("leverage", leverage).drop("lo", "hi", "same")
 
 
 def transaction_records(raw: DataFrame) -> DataFrame:

@@ -36,6 +36,13 @@ def test_spaced_rows(spark, seed):
     assert running.spaced(df.limit(0), ["k"], "at", ["id"], 5).count() == 0
 
 
+def test_one_key_of_many_moments(spark):
+    """Linear in the rows of a hot key: 400,000 moments of one key, of which every fifth is kept."""
+    df = spark.range(400_000).select(F.lit("a").alias("k"), F.col("id"), F.timestamp_seconds(1_700_000_000 + F.col("id")).cast("timestamp_ntz").alias("at"))
+    got = running.spaced(df, ["k"], "at", ["id"], 4_000_000).agg(F.count(F.lit(1)), F.sum(F.col("id") % 5), F.max("id")).first()
+    assert tuple(got) == (80_000, 0, 399_995)
+
+
 def test_only_runs_of_the_type_are_thinned(spark):
     rows = [(i, 1, "SUCCESS", kind, T + timedelta(seconds=s)) for i, (kind, s) in enumerate((("POSITIONS", 0), ("FULL", 5), ("POSITIONS", 10), ("FULL", 12), (None, 13), ("POSITIONS", 70)))] + [(9, 1, "FAILED", "POSITIONS", T)]
     jobs = spark.createDataFrame(rows, "job_id long, account_id int, status string, job_type string, started_at timestamp_ntz")

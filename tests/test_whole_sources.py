@@ -1,5 +1,6 @@
 """Sources and sinks that leave nothing out, however much there is."""
 
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -82,6 +83,22 @@ def test_leverage_is_that_of_opening_orders_of_the_side(spark):
     assert {r.source_record_id: r.leverage for r in venues.inferred_leverage(positions, placed.filter("leverage != 4")).collect()} == {"p0": 5, "p1": 3}
 
 
+def test_leverage_against_brute_force(spark):
+    rng = random.Random(3)
+    minute = timedelta(minutes=1)
+    held = [(rng.randrange(2), "btc", f"p{i}", "LONG", T + rng.randrange(9000) * minute, None) for i in range(120)]
+    held = [(*h[:5], h[4] + rng.choice([-10, 0, 3, 400, 4000]) * minute) for h in held]
+    placed = [(rng.randrange(2), "BTC", rng.choice([3, 3, 3, 5]), T + rng.randrange(9000) * minute, "open", None, "long", "buy") for _ in range(150)]
+    want = {}
+    for h in held:
+        near = {o[2] for o in placed if o[0] == h[0] and h[4] - 5 * minute <= o[3] <= h[5]}
+        want[h[2]] = near.pop() if len(near) == 1 else None
+    positions = spark.createDataFrame(held, "account_id int, symbol string, source_record_id string, side string, open_time timestamp_ntz, close_time timestamp_ntz")
+    orders = spark.createDataFrame(placed, "account_id int, symbol string, leverage int, ordered_at timestamp_ntz, trade_side string, reduce_only string, pos_side string, side string")
+    got = {r.source_record_id: r.leverage for r in venues.inferred_leverage(positions, orders).collect()}
+    assert got == want and len(set(want.values())) == 3
+
+
 def test_business_records(spark):
     rows = [("1", "usdt", "5", "0.1", "close_long"), ("2", "USDC", "-1", "0", "contract_settle_fee"), ("3", "", "-7", "", "trans_to_cross"), ("4", "USDT", "2", "0", "unheard_of"), ("5", "BTC", "1", "0", "close_long"), ("6", "USDT", "0", "0", "unheard_of"), ("", "USDT", "3", "0", "TRANS_FROM_OTC")]
     raw = spark.createDataFrame([(1 if r[0] not in "45" or not r[0] else 2, *r, 9) for r in rows], "account_id int, billId string, coin string, amount string, fee string, businessType string, cTime long")
