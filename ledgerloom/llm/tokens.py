@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
+from .prefixes import merges
 
-#: Words a worker remembers at most; past that it asks the tokenizer again. Of words up to LONG characters it keeps
-#: the counts of all prefixes, once any is asked for.
-REMEMBERED, LONG = 400_000, 256
+#: Words a worker remembers at most, and characters of words whose prefixes it does; past that it reckons again.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 20_000_000
+#: Prefixes that are asked of the library together.
+ASKED = 64
 #: Fixed value: the split pattern that belongs to the public vocabulary.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,27 +57,37 @@ def _counts(file: str) -> _Counts:
 
 
 class _Prefixes(dict):
-    """Token counts of all prefixes of a word, by their length from 0, asked of the library once."""
+    """Token counts of all prefixes of a word, by their length from 0: by dynamic programming over its pieces, or asked of
+    the library for words whose characters do not stay by themselves (see prefixes.settled)."""
 
     def __init__(self, file: str):
         super().__init__()
-        self.file = file
+        import public_tokenizers
+
+        self.file, self.merges, self.chars = file, merges(public_tokenizers.path(file)), 0
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        got = _library(self.file).encode_batch([word[:n] for n in range(1, len(word) + 1)], add_special_tokens=False)
-        counts = (0, *(len(x.ids) for x in got))
-        if len(self) < REMEMBERED:
-            self[word] = counts
+        counts = self.merges.prefixes(word, _library(self.file)) or (0, *self._asked(word, range(1, len(word) + 1)))
+        self.chars += len(word)
+        if self.chars > REMEMBERED_CHARS:
+            self.clear()
+            self.chars = len(word)
+        self[word] = counts
         return counts
 
+    def _asked(self, word: str, lengths: range) -> Iterator[int]:
+        for at in range(0, len(lengths), ASKED):
+            got = _library(self.file).encode_batch([word[:n] for n in lengths[at : at + ASKED]], add_special_tokens=False)
+            yield from (len(x.ids) for x in got)
+
     def at(self, word: str, n: int) -> int:
-        """Tokens of the first n characters of a word; a longer word than LONG is asked for this prefix alone."""
-        return self[word][n] if len(word) <= LONG else _counts(self.file)[word[:n].encode("utf-8")]
+        """Tokens of the first n characters of a word."""
+        return self[word][n]
 
     def fitting(self, word: str, budget: int) -> int:
-        """The longest prefix of at most budget tokens; of a longer word than LONG, of its first LONG characters."""
-        counts = self[word[:LONG]]
-        return max(n for n, c in enumerate(counts) if c <= budget)
+        """The longest prefix of at most budget tokens."""
+        counts = self[word]
+        return next(n for n in range(len(word), -1, -1) if counts[n] <= budget)
 
 
 @lru_cache(maxsize=4)
@@ -110,8 +122,7 @@ class PrefixCounts:
         return self.totals[k] + _prefixes(self.file).at(self.text[self.starts[k] : self.ends[k]], n_chars - self.starts[k])
 
     def fitting(self, budget: int) -> int:
-        """The longest prefix, in characters, of at most budget tokens; 0 for a budget below 0. The last word of it is
-        cut within its first LONG characters or not at all."""
+        """The longest prefix, in characters, of at most budget tokens; 0 for a budget below 0."""
         k = bisect_right(self.totals, budget) - 1
         if k < 0 or k == len(self.starts):
             return len(self.text) if k >= 0 else 0

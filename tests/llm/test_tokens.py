@@ -4,7 +4,7 @@ import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from ledgerloom.llm.tokens import PrefixCounts, byte_encoder, count_tokens
+from ledgerloom.llm.tokens import _SETTLED, PrefixCounts, byte_encoder, count_tokens
 
 WORDS = Tokenizer.from_file(path("word_bpe_49k.json"))
 BYTES = Tokenizer.from_file(path("byte_bpe_50k.json"))
@@ -48,6 +48,28 @@ def test_where_documents_end_that_are_too_long(spark):
         assert r.fit_chars == fits[-1], texts[r.doc_id]
 
 
+@pytest.mark.parametrize("made", ["letters", "mixed", "marks", "far"])
+def test_every_prefix_of_long_words(made):
+    rng = random.Random(made)
+    alphabet = {"letters": "abcdefghinorst", "mixed": ["Ab", "é", "1", "'s", "'", "ß", "!!", "x", "İ", "Σ", "ing", "'ll", "'v", "..."], "marks": ["e", "\u0301", "a", "\u0323", "b"], "far": ["日", "本", "語", "🙂", "д", "ж", "한"]}[made]
+    for size in (1, 2, 7, 40, 300):
+        word = "".join(rng.choice(alphabet) for _ in range(size))
+        counts = PrefixCounts(word)
+        assert [counts.at(n) for n in range(len(word) + 1)] == [tokens(WORDS, word[:n]) for n in range(len(word) + 1)]
+
+
+@pytest.mark.parametrize("size", [300, 3000, 9000, 50_000])
+def test_where_the_limit_falls_in_a_long_word(spark, size):
+    rng = random.Random(size)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+    (got,) = count_tokens(spark.createDataFrame([(1, "so " + word)], "doc_id long, text string"), limit=2048).collect()
+    fit = got.fit_chars
+    assert got.n_tokens == tokens(WORDS, "so " + word) and got.over_limit == (got.n_tokens > 2048)
+    assert tokens(WORDS, ("so " + word)[:fit]) <= 2048
+    assert fit == size + 3 or all(tokens(WORDS, ("so " + word)[:n]) > 2048 for n in range(fit + 1, min(size + 3, fit + 40)))
+    assert fit > 256
+
+
 def test_stored_prefixes(spark):
     docs = spark.createDataFrame([(1, " é don't stop"), (2, None)], "doc_id long, text string")
     rows = {r.doc_id: r for r in count_tokens(docs, keep_prefixes=True).collect()}
@@ -56,6 +78,18 @@ def test_stored_prefixes(spark):
     assert rows[2].word_ends == [] and rows[2].n_tokens == 0
 
 
+def test_byte_ids_of_all_settled_characters_are_the_library_s():
+    """Texts of every character that goes by the ranks, with contractions, runs of digits and odd white space."""
+    encode, rng = byte_encoder("byte_bpe_50k"), random.Random(8)
+    every = [chr(c) for c in range(0x2100) if not _SETTLED.search(chr(c))]
+    runs = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'S", "12345", "0" * 30, "  ", " " * 9, "\t", "\n", "\r\n", "\n\n\n", "\x0b", "\x0c", "\xa0", "\xa0\xa0 ", " \n ", "the", "ing", "don't"]
+    assert len(every) > 500
+    texts = ["".join(every[i : i + 7]) for i in range(0, len(every), 3)]
+    texts += ["".join(rng.choice(rng.choice([every, runs, "abc xyz"])) for _ in range(rng.randrange(60))) for _ in range(4000)]
+    for text in texts:
+        assert encode(text).tolist() == BYTES.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_byte_ids_are_the_library_s():
     encode = byte_encoder("byte_bpe_50k")
     for text in TEXTS:
