@@ -1,3 +1,4 @@
+import signal
 import sys
 from pathlib import Path
 
@@ -21,3 +22,19 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+#: Seconds after which a test fails, so that none can take the run with it.
+LIMIT = 400
+
+
+@pytest.fixture(autouse=True)
+def limited():
+    def end(*_):
+        raise TimeoutError(f"the test took more than {LIMIT} s")
+
+    before = signal.signal(signal.SIGALRM, end)
+    signal.alarm(LIMIT)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
