@@ -50,6 +50,14 @@ def dashboard_totals(balances: DataFrame, unvalued_assets: DataFrame, todays_ret
     return totals.select("total_equity", "accounts", missing.alias("unvalued_assets"), today.alias("today_return"))
 
 
+def unrealized_ends(snapshots: DataFrame, accounts: DataFrame, now: Column) -> DataFrame:
+    """(account_id, initial_unrealized, current_unrealized): the unrealised PnL of each account's first snapshot since
+    tracking started and of its last one by now, in one pass. A snapshot is all positions of one recorded_at."""
+    tracked = snapshots.join(accounts.select("account_id", "tracking_started_at"), "account_id").filter((F.col("recorded_at") >= F.col("tracking_started_at")) & (F.col("recorded_at") <= now))
+    each = tracked.groupBy("account_id", "recorded_at").agg(F.coalesce(F.sum("unrealized_pnl"), F.lit(0)).alias("total"))
+    return each.groupBy("account_id").agg(F.min_by("total", "recorded_at").alias("initial_unrealized"), F.max_by("total", "recorded_at").alias("current_unrealized"))
+
+
 def cny(amount: Column, rate: Column | float) -> Column:
     """A USD amount for display in CNY at a quoted rate; nothing stored is converted."""
     return amount.cast("double") * (F.lit(rate) if isinstance(rate, float) else rate)

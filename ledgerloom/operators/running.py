@@ -37,6 +37,28 @@ def running_least(rows: DataFrame, keys: list[str], chunk: Column, order: list[s
     return joined.withColumns({n: F.least(f"__i_{n}", f"__o_{n}") for n in amounts}).select(*rows.columns, *amounts)
 
 
+def latest_before(rows: DataFrame, facts: DataFrame, keys: list[str], at: str, fact_at: str, tie: list[str], chunk: str = "DAY") -> DataFrame:
+    """rows with `fact`: of the facts of its keys that are not later than it the last, by (fact_at, tie), as a struct of
+    all their other columns; null if there is none. Rows without a time have none.
+
+    Within a key and chunk of time (a unit of date_trunc) it is a window; what comes before a chunk is one row for each
+    key and chunk. So a key of very many rows and facts is spread over as many tasks as it has chunks.
+    """
+    others = [c for c in facts.columns if c not in keys]
+    told = facts.filter(F.col(fact_at).isNotNull()).select(*keys, F.col(fact_at).alias("__at"), F.struct(*others).alias("fact"), F.struct(F.col(fact_at), *tie).alias("__order"))
+    told = told.withColumn("__chunk", F.date_trunc(chunk, "__at"))
+    asked = rows.select(*keys, F.struct(*rows.columns).alias("__row"), F.col(at).alias("__at")).withColumn("__chunk", F.date_trunc(chunk, "__at"))
+    both = told.withColumn("__row", F.lit(None).cast(asked.schema["__row"].dataType)).withColumn("__kind", F.lit(0)).unionByName(asked.withColumns({"fact": F.lit(None).cast(told.schema["fact"].dataType), "__order": F.lit(None).cast(told.schema["__order"].dataType), "__kind": F.lit(1)}))
+    inside = Window.partitionBy(*keys, "__chunk").orderBy("__at", "__kind", "__order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("__near", F.last("fact", ignorenulls=True).over(inside)).filter("__kind = 1")
+    ends = both.groupBy(*keys, "__chunk").agg(F.max_by("fact", "__order").alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = ends.select(*keys, "__chunk", F.last("__end", ignorenulls=True).over(before).alias("__earlier"))
+    same = [found[k].eqNullSafe(earlier[k]) for k in [*keys, "__chunk"]]
+    fact = F.when(F.col("__at").isNotNull(), F.coalesce("__near", "__earlier"))
+    return found.join(earlier, same, "left").select("__row.*", fact.alias("fact"))
+
+
 def following(moments: DataFrame, keys: list[str], at: str, micros: int, span: int) -> DataFrame:
     """moments (keys, at in microseconds, distinct) with `to`: the first moment of the key more than so many
     microseconds later, null if there is none.

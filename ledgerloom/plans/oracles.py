@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .payload_oracles import ORACLES as _PAYLOAD_ORACLES
+from .records_oracles import records_oracles
 from .upkeep_oracles import upkeep_oracles
 
 VIEWS = """
@@ -576,3 +577,4 @@ UNION ALL SELECT account_id, symbol, position_side, time, time, q, NULL, price,
 }
 ORACLES |= _PAYLOAD_ORACLES
 ORACLES |= upkeep_oracles(_sql, _FILLED, ORACLES)
+ORACLES |= records_oracles(_sql, _RECONCILED.rstrip(), VIEWS)

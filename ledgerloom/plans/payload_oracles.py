@@ -29,7 +29,7 @@ FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 25.0 ELSE abs({_A}) END AS q, CA
 SELECT account_id, 'okx:' || k || ':' || k * 1000 AS source_record_id, 'BTC-USDT-SWAP' AS symbol, 'BTC-USDT-PERP' AS normalized_symbol, CASE WHEN k % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side,
        make_timestamp_ms(k * 1000) AS open_time, make_timestamp_ms(event_id * 1000) AS close_time, 10.0 AS average_entry_price, 11.0 AS average_exit_price, {_S} AS max_position_size, {_A} AS realized_pnl,
        0.25 AS funding_fee, 0.5 AS trading_fee, {_A} AS net_pnl, abs({_A} / 0.1) AS margin_used
-FROM (SELECT *, event_id // 3 AS k FROM e WHERE kind = 'view') QUALIFY row_number() OVER (PARTITION BY account_id, k ORDER BY event_id DESC) = 1""",
+FROM (SELECT *, event_id // 3 AS k FROM e) QUALIFY row_number() OVER (PARTITION BY account_id, k ORDER BY event_id DESC) = 1""",
     "venue_product_positions": _E + f"""
 SELECT account_id, p || ':' || coin || 'USDT:' || h AS source_record_id, coin || 'USDT' AS symbol, coin || '-USDT-PERP' AS normalized_symbol, upper(h) AS side, {_S} AS position_size, {_S} * 2 AS position_value_usd,
        1.5 AS entry_price, 2.0 AS mark_price, CASE WHEN event_id % 4 <> 0 THEN 1.0 END AS liquidation_price, 3.0 AS leverage, 'CROSS' AS margin_mode, 9.0 AS margin_used, {_A} AS unrealized_pnl
@@ -45,7 +45,7 @@ SELECT account_id, CASE WHEN event_id % 10 = 1 THEN 'USD' ELSE 'USDT' END AS ass
 SELECT account_id, CAST(event_id AS VARCHAR) AS source_record_id, 'ETHUSDC' AS symbol, 'ETH-USDC-PERP' AS normalized_symbol, CASE WHEN l THEN 'LONG' ELSE 'SHORT' END AS side, t - INTERVAL 1 SECOND AS open_time, t AS close_time,
        10.0 AS average_entry_price, 12.5 AS average_exit_price, 4.0 AS max_position_size, g AS realized_pnl, {_A} - g + 0.75 AS funding_fee, 0.75 AS trading_fee, {_A} AS net_pnl,
        CASE WHEN event_id % 3 <> 0 THEN 5.0 END AS margin_used, CASE WHEN event_id % 3 <> 0 THEN {_A} / 5 * 100 END AS return_percent
-FROM (SELECT *, event_id % 2 = 0 AS l, CASE WHEN event_id % 2 = 0 THEN 10.0 ELSE -10.0 END AS g FROM e WHERE kind = 'purchase')""",
+FROM (SELECT *, event_id % 2 = 0 AS l, CASE WHEN event_id % 2 = 0 THEN 10.0 ELSE -10.0 END AS g FROM e)""",
     "venue_wallet_updates": _E + f"""
 SELECT account_id, 'h' || event_id AS source_record_id, t AS record_time, record_type, abs({_S}) AS amount_usd FROM (
   SELECT *, CASE WHEN kind = 'signup' OR (event_id % 2 <> 0 AND kind <> 'click') THEN 'DEPOSIT' WHEN kind = 'error' OR event_id % 2 = 0 THEN 'WITHDRAWAL' END AS record_type FROM e) WHERE record_type IS NOT NULL""",
@@ -87,6 +87,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionke
 SELECT min(CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '2023-12-31 23:59:00' ELSE at_ END) AS last_updated_at, min(at_) AS positions_updated_at
 FROM (SELECT c_custkey, TIMESTAMP '2024-01-01' + to_minutes(CAST(c_custkey % 1000 AS BIGINT)) AS at_ FROM customer WHERE c_acctbal >= 0)""",
     "accounts_in_order": """
-SELECT c_custkey AS account_id, c_custkey % 10 = 0 AS is_demo, CAST(c_custkey % 97 AS INT) AS created_at, r_name AS exchange
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal >= 0 ORDER BY is_demo DESC, created_at, c_custkey LIMIT 50""",
+SELECT row_number() OVER (ORDER BY is_demo DESC, made, account_id) AS place, account_id, is_demo, CAST(made AS VARCHAR) AS created_at, exchange
+FROM (SELECT c_custkey AS account_id, c_custkey % 10 = 0 AS is_demo, CAST(DATE '2024-01-01' + CAST(c_custkey % 97 AS INTEGER) AS DATE) AS made, r_name AS exchange
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal >= 0) ORDER BY place""",
 }

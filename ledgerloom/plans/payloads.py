@@ -105,7 +105,7 @@ def venue_contract_positions(spark: SparkSession, d: str) -> DataFrame:
 @query
 def venue_closed_history(spark: SparkSession, d: str) -> DataFrame:
     """Each position id with several states, of which the last counts."""
-    raw = _events(spark, d).filter("kind = 'view'").select(
+    raw = _events(spark, d).select(
         "account_id",
         F.expr("string(event_id div 3)").alias("posId"),
         F.lit("BTC-USDT-SWAP").alias("instId"),
@@ -169,7 +169,7 @@ def venue_business_complete(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def venue_closed_orders(spark: SparkSession, d: str) -> DataFrame:
-    raw = _events(spark, d).filter("kind = 'purchase'").select(
+    raw = _events(spark, d).select(
         "account_id",
         F.col("event_id").cast("string").alias("orderId"),
         F.lit("ETHUSDC").alias("symbol"),
@@ -368,6 +368,7 @@ def oldest_streams(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def accounts_in_order(spark: SparkSession, d: str) -> DataFrame:
-    """As the pages list them: real accounts last, then by when they were made; here with their place."""
-    rows = views.accounts(spark, d).filter("is_active").withColumns({"is_demo": F.col("account_id") % 10 == 0, "created_at": F.expr("int(account_id % 97)")})
-    return rows.select("account_id", "is_demo", "created_at", "exchange").orderBy(F.desc("is_demo"), "created_at", "account_id").limit(50)
+    """As the pages list them: demo accounts first, then by when they were made, with their place."""
+    made = F.date_add(F.lit("2024-01-01").cast("date"), F.expr("int(account_id % 97)"))
+    rows = views.accounts(spark, d).withColumns({"is_demo": F.col("account_id") % 10 == 0, "created_at": made})
+    return views.in_order(rows).select("place", "account_id", "is_demo", "created_at", "exchange").orderBy("place")

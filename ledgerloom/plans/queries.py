@@ -878,4 +878,4 @@ def venue_category_positions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-from . import payloads, upkeep  # noqa: E402, F401  register the queries of venue payloads and of tables kept up to date
+from . import payloads, records, upkeep  # noqa: E402, F401  register the queries of venue payloads, records and tables kept up to date

@@ -105,6 +105,10 @@ class VersionedTable:
         """The newest version; 0 for a table that nothing was committed to."""
         return max(self.versions(), default=0)
 
+    def done(self, name: str, number: int = 0) -> bool:
+        """Whether a batch of a stream, or a change that is made once, is committed."""
+        return self._manifest()["batches"].get(name, -1) >= number
+
     def _manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         return json.loads(self.store.text(f"versions/{version}.json")) if version else {"version": 0, "parts": {}, "batches": {}}
@@ -161,7 +165,7 @@ class VersionedTable:
     def _commit(self, incoming: DataFrame, chosen: Column, whole: bool = False, batch: tuple[str, int] | None = None) -> Commit:
         """`batch` names a stream and its batch: one that is committed already is passed over."""
         base = self._manifest()
-        if batch and base["batches"].get(batch[0], -1) >= batch[1]:
+        if batch and self.done(*batch):
             return Commit(base["version"])
         part = F.coalesce(F.hex(F.col(self.partition).cast("string")), F.lit("none"))
         given = incoming.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])

@@ -236,6 +236,54 @@ def closed_from_orders(raw: DataFrame) -> DataFrame:
     )
 
 
+def closed_products(raw: DataFrame, orders: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Position history by product type (productType, positionId, symbol, holdSide, openAvgPrice, closeAvgPrice,
+    openTotalPos, closeTotalPos, pnl, netProfit, totalFunding, openFee, closeFee, ctime, utime) closed from start to end:
+    the last state of each position, whatever page or product it came with, and the leverage of its opening orders.
+
+    Orders (productType, symbol, posSide, side, tradeSide, reduceOnly, leverage, cTime) of another product do not
+    count. A position without an opening time opens at start, takes all orders given, and is PARTIAL. Net
+    profit is stated or the sum of its parts. Without a leverage the margin is 0 and the return is on the notional.
+    """
+    text = lambda name: F.trim(F.coalesce(F.col(name), F.lit("")))
+    closed = F.timestamp_millis(number("utime").cast("long")).cast("timestamp_ntz")
+    named = F.concat_ws(":", F.lit("bitget"), "productType", F.when(text("positionId") != "", text("positionId")).otherwise(F.concat_ws(":", F.lit("symbol"), F.when(text("symbol") != "", F.col("symbol")).otherwise("position"), number("utime").cast("long").cast("string"))))
+    held = raw.withColumn("source_record_id", named).filter((closed >= start) & (closed <= end))
+    last = held.groupBy("account_id", "source_record_id").agg(F.max_by(F.struct(*[c for c in raw.columns if c != "account_id"]), F.struct(number("utime"), number("netProfit"), number("pnl"))).alias("x")).select("account_id", "source_record_id", "x.*")
+    last = staged(last, fresh_path(raw.sparkSession, "closed-states"))
+    whole, ever = number("ctime") > 0, [F.lit(t).cast("timestamp_ntz") for t in ("1970-01-01", "2999-01-01")]
+    own = last.select("account_id", "source_record_id", F.concat_ws("|", "productType", "symbol").alias("symbol"), normalize_side(F.col("holdSide")).alias("side"), F.when(whole, moment("ctime")).otherwise(ever[0]).alias("open_time"), F.when(whole, closed).otherwise(ever[1]).alias("close_time"))
+    placed = orders.select("account_id", F.concat_ws("|", "productType", "symbol").alias("symbol"), number("leverage").alias("leverage"), moment("cTime").alias("ordered_at"), F.col("tradeSide").alias("trade_side"), F.col("reduceOnly").alias("reduce_only"), F.col("posSide").alias("pos_side"), "side")
+    # Leverage may have a fraction; it is swept as hundredths.
+    swept = inferred_leverage(own, placed.withColumn("leverage", F.round(F.col("leverage") * 100).cast("long"))).select("account_id", "source_record_id", (F.col("leverage") / 100).alias("leverage"))
+    size = F.abs(F.when(text("openTotalPos") != "", number("openTotalPos")).otherwise(number("closeTotalPos")))
+    entry, gross, funding, fees = number("openAvgPrice"), number("pnl"), number("totalFunding"), number("openFee") + number("closeFee")
+    net = F.when(text("netProfit") != "", number("netProfit")).otherwise(gross + funding + fees)
+    notional = entry * size
+    margin = F.when(F.col("leverage").isNotNull(), notional / F.col("leverage")).otherwise(0.0)
+    # A sign that says nothing: fees of 0 stay 0.
+    return last.join(swept, ["account_id", "source_record_id"], "left").select(
+        "account_id",
+        "source_record_id",
+        "symbol",
+        normalize_symbol(F.col("symbol")).alias("normalized_symbol"),
+        normalize_side(F.col("holdSide")).alias("side"),
+        F.when(whole, moment("ctime")).otherwise(start).alias("open_time"),
+        closed.alias("close_time"),
+        entry.alias("average_entry_price"),
+        number("closeAvgPrice").alias("average_exit_price"),
+        size.alias("max_position_size"),
+        gross.alias("realized_pnl"),
+        funding.alias("funding_fee"),
+        (0.0 - fees).alias("trading_fee"),
+        net.alias("net_pnl"),
+        "leverage",
+        margin.alias("margin_used"),
+        F.when(margin > 0, net / margin * 100).when(notional > 0, gross / notional * 100).otherwise(0.0).alias("return_percent"),
+        F.when(whole, "COMPLETE").otherwise("PARTIAL").alias("data_completeness"),
+    )
+
+
 def inferred_leverage(positions: DataFrame, orders: DataFrame, before_seconds: int = 300) -> DataFrame:
     """Positions (side LONG or SHORT) with the leverage of the orders that opened them: placed from shortly before
     opening to closing, on the same side, opening and not only reducing, with a leverage above 0; if all have one.

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.running import running_sums
+
 #: How event types stand for ledger records, and for job outcomes.
 LEDGER_TYPES = {"purchase": "REALIZED_PNL", "view": "FUNDING_FEE", "click": "TRADING_FEE", "signup": "DEPOSIT", "error": "WITHDRAWAL"}
 JOB_STATES = {"error": "FAILED", "purchase": "SUCCESS", "signup": "RUNNING"}
@@ -40,6 +42,14 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def in_order(accounts: DataFrame) -> DataFrame:
+    """Active accounts (is_demo, created_at) as the pages list them: demo accounts first, then by when they were made,
+    with `place` from 1. The place comes from counts of days, so no task holds all accounts."""
+    held = accounts.filter("is_active").withColumn("__demo", F.when(F.col("is_demo"), 0).otherwise(1))
+    placed = running_sums(held, [], F.col("__demo") * 1_000_000 + F.coalesce(F.datediff("created_at", F.lit("1970-01-01")), F.lit(-1)), ["__demo", "created_at", "account_id"], {"place": F.lit(1).cast("long")})
+    return placed.drop("__demo")
+
+
 def closed_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their order and part: one closed position each."""
     line = read(spark, sf_dir, "lineitem")
