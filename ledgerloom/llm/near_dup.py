@@ -56,6 +56,14 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(blob, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
 
 
+def counted_keys(hashes: np.ndarray, bucket_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading bits of hashes that tell shingles apart (those of the bucket and 32 more), each once and sorted, and
+    how often each comes."""
+    keys = np.sort(hashes) >> np.uint64(32 - bucket_bits)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(first, append=len(keys))
+
+
 class Frequencies:
     """Which shingles more than one document has, and how many have the frequent ones."""
 
@@ -80,8 +88,10 @@ class Frequencies:
 def document_frequencies(texts: DataFrame, n_docs: int) -> Frequencies:
     """Counts every shingle of every text (column text, binary).
 
-    Tasks sort their shingles and send them, packed, by the leading bits of their hash; one task counts each
-    such range, whose number grows with the documents. What comes back is bounded: MOST_BITS, MOST_FREQUENT.
+    Tasks sort and count their shingles and send them, packed, by the leading bits of their hash: each once, with how
+    often it came if that is more than once, so what is sent of a shingle grows with the tasks and not with the
+    documents that share it. One task sums each such range, whose number grows with the documents. What comes back is
+    bounded: MOST_BITS, MOST_FREQUENT.
     """
     bucket_bits = min(16, max(6, ceil(log2(n_docs + 1)) - 6))
     map_bits = min(MOST_BITS, max(bucket_bits + 3, ceil(log2(n_docs + 1)) + 11))
@@ -90,11 +100,14 @@ def document_frequencies(texts: DataFrame, n_docs: int) -> Frequencies:
         held, size = [], 0
 
         def send() -> pa.RecordBatch:
-            hashes = np.sort(np.concatenate(held))
-            bounds = np.searchsorted(hashes, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits))
-            parts = np.split((hashes >> np.uint64(32 - bucket_bits)).astype(np.uint32), bounds)
-            rows = [(i, _packed(p)) for i, p in enumerate(parts) if len(p)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "packed"])
+            hashes, n = counted_keys(np.concatenate(held), bucket_bits)
+            bounds = np.searchsorted(hashes, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(32))
+            rows = []
+            for i, (keys, times) in enumerate(zip(np.split(hashes.astype(np.uint32), bounds), np.split(n, bounds), strict=True)):
+                if len(keys):
+                    again = times > 1
+                    rows.append((i, _packed(keys), keys[again].astype("<u4").tobytes(), times[again].astype("<u4").tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), *[pa.binary()] * 3))], ["bucket", "packed", "again", "times"])
 
         for batch in batches:
             for hashes in shingle_sets(batch.column(0).to_pylist()):
@@ -109,6 +122,8 @@ def document_frequencies(texts: DataFrame, n_docs: int) -> Frequencies:
     def count(key: tuple, group: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         values, n = np.unique(np.concatenate([_unpacked(b) for b in group["packed"].to_pylist()]), return_counts=True)
+        again = np.frombuffer(b"".join(group["again"].to_pylist()), "<u4")
+        np.add.at(n, np.searchsorted(values, again), np.frombuffer(b"".join(group["times"].to_pylist()), "<u4").astype(np.int64) - 1)
         bits = np.zeros(1 << (map_bits - bucket_bits), bool)
         bits[values[n > 1] >> np.uint32(32 - (map_bits - bucket_bits))] = True
         often = np.flatnonzero(n >= FREQUENT)
@@ -118,7 +133,7 @@ def document_frequencies(texts: DataFrame, n_docs: int) -> Frequencies:
         columns = [pa.array([bucket], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([keys.tobytes()], pa.binary()), pa.array([df.tobytes()], pa.binary()), pa.array([above], pa.list_(pa.int64()))]
         return pa.Table.from_arrays(columns, ["bucket", "bits", "keys", "df", "above"])
 
-    sorted_ = texts.select("text").mapInArrow(sort, "bucket int, packed binary")
+    sorted_ = texts.select("text").mapInArrow(sort, "bucket int, packed binary, again binary, times binary")
     counted = sorted_.groupBy("bucket").applyInArrow(count, "bucket int, bits binary, keys binary, df binary, above array<long>")
     counted = cut(counted, "frequencies", few_parts(n_docs))
     totals = counted.agg(*[F.sum(F.col("above")[k]).alias(f"n{k}") for k in range(DOUBLINGS)]).first()

@@ -5,7 +5,7 @@ import pytest
 
 from ledgerloom.llm import near_dup
 from ledgerloom.llm.graph import components
-from ledgerloom.llm.near_dup import Frequencies, near_duplicates, prefix, sketch
+from ledgerloom.llm.near_dup import Frequencies, counted_keys, document_frequencies, near_duplicates, prefix, sketch
 from ledgerloom.llm.shingles import shingle_sets
 
 
@@ -83,6 +83,29 @@ def test_against_brute_force_when_shingles_are_dealt_in_cells(spark, rows, monke
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()), key=str) == brute(rows)
 
 
+def test_a_shingle_of_all_documents_is_sent_once():
+    rng = np.random.default_rng(2)
+    hot = np.uint64(12345678901234567890)
+    few, many = (np.concatenate([np.full(n, hot), rng.integers(0, 2**63, 50, dtype=np.uint64)]) for n in (10, 200_000))
+    for given in (few, many):
+        keys, n = counted_keys(given, 10)
+        assert len(keys) == 51 and n.sum() == len(given) and (np.diff(keys.astype(object)) > 0).all()
+        assert n[keys == hot >> np.uint64(22)].tolist() == [len(given) - 50]
+
+
+def test_frequencies_against_counters(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "FLUSH", 200)
+    monkeypatch.setattr(near_dup, "FREQUENT", 3)
+    rng = random.Random(1)
+    texts = ["to all of them common " + " ".join(rng.choice("abcdef") for _ in range(rng.randrange(12))) for _ in range(300)]
+    df = spark.createDataFrame([(t.encode(),) for t in texts], "text binary").repartition(3)
+    known = document_frequencies(df, len(texts))
+    every = np.concatenate(list(shingle_sets([t.encode() for t in texts])))
+    values, n = np.unique(every, return_counts=True)
+    assert n.max() == 300 and known.of(values).tolist() == np.where(n >= 3, n, 0).tolist()
+    assert known.shared(values[n > 1]).all()
+
+
 def test_prefixes_of_similar_sets_share_enough():
     rng = np.random.default_rng(5)
     for _ in range(300):
