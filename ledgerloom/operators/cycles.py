@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions.ratios import ratio
 from .running import running_least, running_sums
 
 KEYS = ["account_id", "symbol"]
+#: Assets in which a fee is taken as dollars.
+FEE_DOLLARS = ("USD", "USDT", "USDC", "FDUSD")
 
 
 def merged_orders(fills: DataFrame) -> DataFrame:
@@ -59,8 +63,8 @@ def merged_orders(fills: DataFrame) -> DataFrame:
     )
 
 
-def legs(fills: DataFrame) -> DataFrame:
-    """Each fill as the part that closes and the part that opens, with the number of its cycle.
+def legs(fills: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Each fill as the part that closes and the part that opens, with the number of its cycle, and the columns `more`.
 
     The position before a fill is a running sum; a fill against it closes up to its size and opens with what is
     left. A cycle ends where the position is flat or changes sign, so its number is a running count of ends.
@@ -77,7 +81,7 @@ def legs(fills: DataFrame) -> DataFrame:
     close = F.struct(F.lit("close").alias("leg"), (F.col("ended") - F.col("ends")).alias("cycle"), F.col("close_quantity").alias("leg_quantity"))
     open_ = F.struct(F.lit("open").alias("leg"), F.col("ended").alias("cycle"), (whole - F.col("close_quantity")).cast("decimal(18,0)").alias("leg_quantity"))
     exploded = counted.withColumn("x", F.explode(F.array(close, open_))).filter("x.leg_quantity > 0")
-    return exploded.select(*KEYS, "fill_id", "time", "side", "price", "fee", "quantity", "before", "after", "ends", "x.*")
+    return exploded.select(*KEYS, "fill_id", "time", "side", "price", "fee", "quantity", "before", "after", "ends", *more, "x.*")
 
 
 def closed_cycles(fills: DataFrame) -> DataFrame:
@@ -121,6 +125,56 @@ def closed_cycles(fills: DataFrame) -> DataFrame:
     )
 
 
+def stated_cycles(fills: DataFrame) -> DataFrame:
+    """Finished cycles as closed positions, from fills that state their PnL (realized_pnl) and their fee's asset
+    (fee_asset): the PnL is what the closing fills state, fees count where they are paid in dollars.
+
+    A cycle that paid a fee in another asset is incomplete. Its entry price is inferred from its closing fills, of
+    which each tells by its PnL at what price what it closes was opened; others have the mean price of the fills that
+    opened them. Either way the record is a reconstruction, so PARTIAL.
+    """
+    share = F.col("leg_quantity").cast("double") / F.col("quantity").cast("double")
+    opening, closing = F.col("leg") == "open", F.col("leg") == "close"
+    notional, size = F.col("price") * F.col("leg_quantity"), F.when(opening, F.abs("after")).otherwise(F.abs("before"))
+    dollars = F.upper(F.coalesce("fee_asset", F.lit("USDT"))).isin(*FEE_DOLLARS)
+    last = closing & (F.col("ends") == 1)
+    total = lambda test, value: F.sum(F.when(test, value))
+    grouped = legs(fills, ["realized_pnl", "fee_asset"]).groupBy(*KEYS, "cycle").agg(
+        F.min_by(F.when(F.col("side") == "BUY", "LONG").otherwise("SHORT"), F.struct("time", "fill_id")).alias("side"),
+        F.min(F.when(opening, F.col("time"))).alias("open_time"),
+        F.max(F.when(last, F.col("time"))).alias("close_time"),
+        F.max(F.when(last, F.col("fill_id"))).alias("closing_fill_id"),
+        total(opening, F.col("leg_quantity")).alias("open_quantity"),
+        total(opening, notional).alias("open_notional"),
+        total(closing, F.col("leg_quantity")).alias("close_quantity"),
+        total(closing, notional).alias("close_notional"),
+        F.max(size).cast("double").alias("max_size"),
+        F.coalesce(total(closing, F.col("realized_pnl")), F.lit(0)).cast("double").alias("realized_pnl"),
+        F.coalesce(total(dollars, (F.col("fee").cast("double") * share).cast("decimal(24,8)")), F.lit(0)).cast("double").alias("trading_fee"),
+        F.bool_and(dollars | (F.coalesce(F.col("fee"), F.lit(0)) == 0)).alias("complete"),
+    )
+    direction = F.when(F.col("side") == "LONG", 1).otherwise(-1)
+    inferred = ratio(F.col("close_notional").cast("double") - direction * F.col("realized_pnl"), F.col("close_quantity").cast("double"), 0.0)
+    entry = F.when(F.col("complete") & (F.col("open_quantity") > 0), ratio(F.col("open_notional"), F.col("open_quantity"))).otherwise(inferred)
+    held = grouped.filter("close_time is not null").withColumn("entry_price", entry)
+    return held.select(
+        *KEYS,
+        F.concat_ws(":", F.lit("binance"), "symbol", "side", F.col("closing_fill_id").cast("string")).alias("source_record_id"),
+        "side",
+        "open_time",
+        "close_time",
+        "entry_price",
+        ratio(F.col("close_notional"), F.col("close_quantity"), 0.0).alias("exit_price"),
+        "max_size",
+        "realized_pnl",
+        "trading_fee",
+        (F.col("realized_pnl") - F.col("trading_fee")).alias("net_pnl"),
+        (ratio(F.col("realized_pnl"), F.col("entry_price") * F.col("max_size"), 0.0) * 100).alias("return_percent"),
+        "complete",
+        F.lit("PARTIAL").alias("data_completeness"),
+    )
+
+
 def with_funding(cycles: DataFrame, funding: DataFrame, keys: list[str]) -> DataFrame:
     """Cycles with the funding paid within them (bounds included), 0 without any, and net of it.
 

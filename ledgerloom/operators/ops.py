@@ -68,7 +68,8 @@ def panel(jobs: DataFrame, now: Column, hours: int = 24) -> DataFrame:
 
 def thinned(jobs: DataFrame, keep_seconds: int = 60, job_type: str = "POSITIONS") -> DataFrame:
     """Successful runs; of those of `job_type` (all, if jobs have no such column) none that starts less than so many
-    seconds after a kept one of its account."""
+    seconds after a kept one of its account. Runs of other types, and those whose type is null, all stay; runs of
+    `job_type` without a start are left out."""
     typed = jobs if "job_type" in jobs.columns else jobs.withColumn("job_type", F.lit(job_type))
     done = typed.filter("status = 'SUCCESS'")
     kept = spaced(done.filter(F.col("job_type") == job_type), ["account_id"], "started_at", ["job_id"], keep_seconds * 1_000_000 - 1)

@@ -577,4 +577,4 @@ UNION ALL SELECT account_id, symbol, position_side, time, time, q, NULL, price,
 }
 ORACLES |= _PAYLOAD_ORACLES
 ORACLES |= upkeep_oracles(_sql, _FILLED, ORACLES)
-ORACLES |= records_oracles(_sql, _RECONCILED.rstrip(), VIEWS)
+ORACLES |= records_oracles(_sql, _RECONCILED.rstrip(), VIEWS, _CYCLES)

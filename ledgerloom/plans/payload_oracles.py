@@ -59,7 +59,7 @@ SELECT asset, price_source, count(*) AS n, {_SUMS} FROM (
          CASE WHEN coin IN ('USDT', 'BNB') THEN 'STABLECOIN_PARITY' ELSE 'SPOT_MARK' END AS price_source FROM e WHERE event_id % 6 <> 0 AND size <> 0) GROUP BY 1, 2""",
     "venue_wallet_balances": _E + f"""
 SELECT account_id, CASE WHEN event_id % 8 = 1 THEN 'UNKNOWN' ELSE coin END AS asset, 'UNIFIED' AS account_type, greatest({_S} - 1.5, 0) AS available, 1.5 AS locked, CASE WHEN event_id % 3 = 0 THEN 0 ELSE {_S} END AS value_usd FROM e""",
-    "venue_wallet_summary": _E + "SELECT account_id, 12.5 AS total_equity_usd, 3.0 AS available_balance_usd, 0.0 AS margin_balance_usd, -1.0 AS unrealized_pnl_usd, count(*) FILTER (event_id % 3 = 0) AS unvalued_asset_count FROM e GROUP BY 1",
+    "venue_wallet_summary": _E + "SELECT account_id, 12.5 AS total_equity_usd, 3.0 AS available_balance_usd, 0.0 AS margin_balance_usd, -1.0 AS unrealized_pnl_usd, count(*) FILTER (event_id % 3 = 0) AS unvalued_asset_count FROM e GROUP BY account_id, CAST(t AS DATE)",
     "venue_detail_balances": _E + f"SELECT account_id, coin AS asset, 'UNIFIED' AS account_type, {_S} AS available, 0.25 AS locked, {_S} AS value_usd FROM e",
     "venue_spot_holdings": _E + f"""
 SELECT asset, price_source, count(*) AS n, count(price_usd) AS priced, {_SUMS} FROM (

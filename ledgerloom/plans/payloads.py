@@ -33,6 +33,11 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _day() -> Column:
+    """What a payload is sent for: no row holds more than an account's events of one day."""
+    return (F.col("ms") / 86_400_000).cast("long").alias("day")
+
+
 def _prices(spark: SparkSession, symbol: str, price: str) -> DataFrame:
     return spark.createDataFrame(list(TICKERS), f"{symbol} string, {price} string")
 
@@ -205,7 +210,7 @@ def venue_wallet_updates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def venue_perp_positions(spark: SparkSession, d: str) -> DataFrame:
-    """One state of each account, its events as positions in a nested list."""
+    """One state of each account and day, as a venue sends it, its events as positions in a nested list."""
     position = F.struct(
         F.concat(F.when(F.col("event_id") % 2 == 0, "xyz:").otherwise(""), "coin").alias("coin"),
         F.when(F.col("event_id") % 9 == 0, "0").otherwise(F.col("amount")).alias("szi"),
@@ -216,7 +221,7 @@ def venue_perp_positions(spark: SparkSession, d: str) -> DataFrame:
         F.col("amount").alias("unrealizedPnl"),
         F.struct(F.when(F.col("event_id") % 4 == 0, "cross").otherwise("isolated").alias("type"), F.lit("5").alias("value")).alias("leverage"),
     )
-    states = _events(spark, d).groupBy("account_id").agg(F.collect_list(F.struct(position.alias("position"))).alias("positions"))
+    states = _events(spark, d).groupBy("account_id", _day()).agg(F.collect_list(F.struct(position.alias("position"))).alias("positions"))
     return venue_states.perp_positions(states)
 
 
@@ -238,7 +243,7 @@ def venue_token_balances(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _coins(spark: SparkSession, d: str) -> DataFrame:
-    """One wallet of each account with its events as a list of coins."""
+    """One wallet of each account and day with its events as a list of coins."""
     c = F.struct(
         F.when(F.col("event_id") % 8 == 1, "").otherwise(F.lower("coin")).alias("coin"),
         F.col("size").alias("walletBalance"),
@@ -247,7 +252,7 @@ def _coins(spark: SparkSession, d: str) -> DataFrame:
         F.lit("").alias("totalPositionIM"),
         F.when(F.col("event_id") % 3 == 0, " ").otherwise(F.col("size")).alias("usdValue"),
     )
-    return _events(spark, d).groupBy("account_id").agg(F.collect_list(c).alias("coins")).withColumns({"totalEquity": F.lit("12.5"), "totalAvailableBalance": F.lit("3"), "totalInitialMargin": F.lit(""), "totalPerpUPL": F.lit("-1")})
+    return _events(spark, d).groupBy("account_id", _day()).agg(F.collect_list(c).alias("coins")).withColumns({"totalEquity": F.lit("12.5"), "totalAvailableBalance": F.lit("3"), "totalInitialMargin": F.lit(""), "totalPerpUPL": F.lit("-1")})
 
 
 @query
@@ -270,7 +275,7 @@ def venue_detail_balances(spark: SparkSession, d: str) -> DataFrame:
         F.col("amount").alias("upl"),
         F.col("size").alias("eqUsd"),
     )
-    wallets = _events(spark, d).groupBy("account_id").agg(F.collect_list(detail).alias("details"))
+    wallets = _events(spark, d).groupBy("account_id", _day()).agg(F.collect_list(detail).alias("details"))
     return venue_states.detail_balances(wallets)
 
 

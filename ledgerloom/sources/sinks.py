@@ -7,22 +7,18 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import csv_cell
 from ..operators.incremental import upserted
-from .shared import fresh_path, staged
+from .shared import exists, fresh_path, staged
 
 #: Rows of an export at most, and seconds that a read model is served at least.
 EXPORT_ROWS, LEAST_TTL = 10_000, 120
 
 
 def stored(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The table at path, empty if there is none yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    """The table at path, empty if there is none yet. One that is there and cannot be read is an error, not empty."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def upsert(incoming: DataFrame, path: str, keys: list[str], version: list[str], partition: str, latest: bool = False) -> None:
@@ -30,8 +26,10 @@ def upsert(incoming: DataFrame, path: str, keys: list[str], version: list[str],
 
     An incoming row replaces the stored one; with `latest` the greater version of the two stays.
 
-    The new partitions are written aside first: a job that is lost half way leaves the table as it was, and the
-    same batch again gives the same table.
+    The new partitions are written aside first, and then moved into this plain folder one by one: a job that is lost
+    before that leaves the table as it was, one that is lost during it leaves some partitions new and some old, and
+    the same batch again gives the whole new table. Where readers must see all or nothing, or ask what has changed, use
+    commits.VersionedTable.
     """
     spark = incoming.sparkSession
     touched = staged(incoming, fresh_path(spark, "incoming"))
@@ -55,13 +53,11 @@ def export_csv(rows: DataFrame, path: str, order: list, columns: list[str], most
 def read_model(spark: SparkSession, path: str, now: datetime, every_seconds: int, compute: Callable[[], DataFrame]) -> DataFrame:
     """The stored result while it is young enough (twice the interval, LEAST_TTL at least), else computed and stored."""
     ttl = timedelta(seconds=max(2 * every_seconds, LEAST_TTL))
-    try:
+    if exists(spark, path):
         kept = spark.read.parquet(path)
         at = kept.agg(F.max("calculated_at")).first()[0]
         if at is not None and now - at <= ttl:
             return kept.drop("calculated_at")
-    except AnalysisException:
-        pass
     fresh = staged(compute().withColumn("calculated_at", F.lit(now).cast("timestamp_ntz")), fresh_path(spark, "model"))
     fresh.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).drop("calculated_at")

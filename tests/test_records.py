@@ -1,12 +1,13 @@
 """Raw payloads, closed positions by product, rates, pages, calendar: what their queries do not reach."""
 
 from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.calendar import reporting_day, try_moment
-from ledgerloom.operators import balances, pages, positions, rates, running
+from ledgerloom.operators import balances, cycles, pages, positions, rates, running
 from ledgerloom.sources import sinks, venues
 from ledgerloom.sources.commits import VersionedTable
 from ledgerloom.sources.migrations import rebuild_calendar
@@ -113,6 +114,23 @@ def test_the_calendar_is_rebuilt_once(spark, tmp_path):
     assert rebuild_calendar(table, reporting_day(F.col("updated_at")), ["funding_fee"], compute) is None and len(asked) == 1
 
 
+def test_cycles_of_stated_fills(spark):
+    columns = "fill_id int, order_id int, account_id int, symbol string, side string, quantity decimal(18,0), price decimal(18,2), fee decimal(18,4), realized_pnl decimal(18,2), fee_asset string, time timestamp_ntz"
+    make = lambda i, side, q, p, fee, pnl, asset, symbol: (i, i, 1, symbol, side, Decimal(q), Decimal(p), Decimal(fee), Decimal(pnl), asset, T + timedelta(minutes=i))
+    fills = [make(1, "BUY", 4, 10, "0.1", 0, "USDT", "A"), make(2, "SELL", 4, 12, "0.1", 8, "usdc", "A")]
+    # Opened at 10, but a fee in BNB: the entry is what the stated PnL of 6 on 4 at 12 tells.
+    fills += [make(3, "BUY", 4, 10, "0.1", 0, "BNB", "B"), make(4, "SELL", 4, 12, "0.2", 6, None, "B")]
+    # A short, closed by a fill that opens a long with what is left: half of its fee, all of its PnL.
+    fills += [make(5, "SELL", 3, 20, "0.1", 0, "USDT", "C"), make(6, "BUY", 6, 18, "0.2", 6, "USDT", "C"), make(7, "SELL", 3, 17, "0", 1, "BNB", "C")]
+    got = {(r.symbol, r.side): (r.entry_price, r.exit_price, r.realized_pnl, round(r.trading_fee, 6), r.complete, r.source_record_id) for r in cycles.stated_cycles(spark.createDataFrame(fills, columns)).collect()}
+    assert got == {
+        ("A", "LONG"): (10, 12, 8, 0.2, True, "binance:A:LONG:2"),
+        ("B", "LONG"): (10.5, 12, 6, 0.2, False, "binance:B:LONG:4"),
+        ("C", "SHORT"): (20, 18, 6, 0.2, True, "binance:C:SHORT:6"),
+        ("C", "LONG"): (18, 17, 1, 0.1, True, "binance:C:LONG:7"),
+    }
+
+
 def test_unrealized_ends(spark):
     snapshots = spark.createDataFrame([(1, T - timedelta(days=1), 99.0), (1, T, -20.0), (1, T, 5.0), (1, T + timedelta(days=1), 4.0), (1, T + timedelta(days=9), 50.0), (2, T, None)], "account_id int, recorded_at timestamp_ntz, unrealized_pnl double")
     accounts = spark.createDataFrame([(1, T), (2, T), (3, T)], "account_id int, tracking_started_at timestamp_ntz")

@@ -105,6 +105,16 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 1
 
 
+def test_a_table_that_cannot_be_read_is_not_empty(spark, tmp_path):
+    assert sinks.stored(spark, str(tmp_path / "none"), "k int").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("no table")
+    rows = spark.createDataFrame([(1, 1, T.date())], "k int, at int, day date")
+    with pytest.raises(Exception, match="(?i)parquet|footer|file"):
+        sinks.upsert(rows, str(tmp_path / "bad"), ["k", "day"], ["at"], "day")
+    assert (tmp_path / "bad" / "part-0.parquet").read_text() == "no table"
+
+
 def test_stream_equals_batch(spark):
     want = {tuple(r) for r in QUERIES["equity_points_5m"](spark, SF).select("bucket_time", "total_equity", "account_count").collect()}
     got = replayed_points(spark, SF).select("bucket_time", F.col("total_equity").cast("double"), "account_count")
