@@ -99,6 +99,31 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(spread(table(spark, sf_dir, "embeddings")).withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def base_pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op2 the counts of the base kinds, which SQL can express."""
+    return op2_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def base_token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op4 the bytes of every text."""
+    return op4_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+def base_shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op6 the size of every document's set."""
+    return op6_near_duplicates(spark, sf_dir).select("doc_id", "n_shingles")
+
+
+def base_mix_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7 the words of every document and of its source."""
+    return op7_mixing(spark, sf_dir).select("doc_id", "size", "source_size")
+
+
+def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op8 the counts and the verdict of the fixed rules."""
+    return op8_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
@@ -113,4 +138,9 @@ QUERIES: dict[str, Query] = {
     "op11_whitening": op11_whitening,
     "op12_order_minhash": op12_order_minhash,
     "op13_hard_negatives": op13_hard_negatives,
+    "base_pii_counts": base_pii_counts,
+    "base_token_bytes": base_token_bytes,
+    "base_shingle_counts": base_shingle_counts,
+    "base_mix_sizes": base_mix_sizes,
+    "base_quality_rules": base_quality_rules,
 }
