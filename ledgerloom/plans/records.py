@@ -82,9 +82,9 @@ def venue_closed_products(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def venue_combos(spark: SparkSession, d: str) -> DataFrame:
-    """Combined bets still held: an order's lines as the legs of one."""
+    """Combined bets still held: an order's lines as the legs of one, at quarters, whose products are exact in any order."""
     status = F.when(F.col("l_linestatus") == "F", "RESOLVED_WIN").otherwise("OPEN")
-    leg = F.struct(F.col("l_linenumber").alias("n"), status.alias("status"), F.col("l_discount").alias("leg_current_price"), F.struct(F.concat(F.lit("M"), "l_partkey").alias("title"), F.lit("x").alias("outcome")).alias("market"))
+    leg = F.struct(F.col("l_linenumber").alias("n"), status.alias("status"), (F.col("l_partkey") % 4 / 4).alias("leg_current_price"), F.struct(F.concat(F.lit("M"), "l_partkey").alias("title"), F.lit("x").alias("outcome")).alias("market"))
     legs = views.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(leg)).alias("legs"))  # an order has a few lines
     raw = legs.select(
         (F.col("l_orderkey") % 100).alias("account_id"),
@@ -100,7 +100,7 @@ def venue_combos(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("string").alias("resolved_at"),
         F.transform("legs", lambda x: F.struct(x["status"].alias("status"), x["leg_current_price"].alias("leg_current_price"), x["market"].alias("market"))).alias("legs"),
     )
-    return venue_states.combo_positions(raw).select("account_id", "source_record_id", "side", F.round("position_value_usd", 6).alias("position_value_usd"), F.round("mark_price", 6).alias("mark_price"))
+    return venue_states.combo_positions(raw).select("account_id", "source_record_id", "side", "position_value_usd", "mark_price")
 
 
 @query

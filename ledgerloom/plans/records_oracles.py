@@ -53,11 +53,11 @@ SELECT account_id, id AS source_record_id, symbol, CASE WHEN coin = 'USDT' THEN
        round(CASE WHEN 10 * n / leverage > 0 THEN net / (10 * n / leverage) * 100 WHEN n > 0 THEN CAST(amount AS DOUBLE) / (10 * n) * 100 ELSE 0 END, 6) AS return_percent, CASE WHEN whole THEN 'COMPLETE' ELSE 'PARTIAL' END AS data_completeness
 FROM parts""",
         "venue_combos": """
-SELECT account_id, source_record_id, 'LONG' AS side, round(shares * mark, 6) AS position_value_usd, round(mark, 6) AS mark_price
+SELECT account_id, source_record_id, 'LONG' AS side, shares * mark AS position_value_usd, mark AS mark_price
 FROM (
   SELECT l_orderkey % 100 AS account_id, 'c' || l_orderkey AS source_record_id, CAST(l_orderkey % 5 AS DOUBLE) AS shares,
-         CASE WHEN bool_or(l_linestatus <> 'F' AND l_discount <= 0) THEN 0.5 WHEN l_orderkey % 3 = 0 THEN 1 - product(p) ELSE product(p) END AS mark
-  FROM (SELECT *, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE least(greatest(l_discount, 0), 1) END AS p FROM lineitem) GROUP BY l_orderkey)
+         CASE WHEN bool_or(l_linestatus <> 'F' AND l_partkey % 4 = 0) THEN 0.5 WHEN l_orderkey % 3 = 0 THEN 1 - product(p) ELSE product(p) END AS mark
+  FROM (SELECT *, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE (l_partkey % 4) / 4.0::DOUBLE END AS p FROM lineitem) GROUP BY l_orderkey)
 WHERE shares > 0""",
         "venue_futures_holdings": _E + f"""
 SELECT asset, price_source, count(*) AS n, {_SUMS} FROM (
