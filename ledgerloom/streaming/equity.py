@@ -67,12 +67,3 @@ def replayed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated_errors(errors: DataFrame, within: str = "1 hour") -> DataFrame:
     """A stream of errors (account_id, error_type, message, occurred_at) without repeats within a while of the first."""
     return errors.withWatermark("occurred_at", within).dropDuplicatesWithinWatermark(["account_id", "error_type", "message"])
-
-
-def windowed_last(points: DataFrame, minutes: int, lag: str) -> DataFrame:
-    """A stream of points (bucket_time, total_equity, account_count) as wider buckets, refreshed one bucket late."""
-    held = points.withWatermark("bucket_time", lag).groupBy(F.window("bucket_time", f"{minutes} minutes").alias("w"))
-    return held.agg(
-        F.max_by("total_equity", "bucket_time").alias("total_equity"),
-        F.max_by("account_count", "bucket_time").alias("account_count"),
-    ).select(F.col("w.start").alias("bucket_time"), "total_equity", "account_count")

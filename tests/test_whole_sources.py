@@ -83,6 +83,17 @@ def test_leverage_is_that_of_opening_orders_of_the_side(spark):
     assert {r.source_record_id: r.leverage for r in venues.inferred_leverage(positions, placed.filter("leverage != 4")).collect()} == {"p0": 5, "p1": 3}
 
 
+def test_what_is_needed_in_between_is_deleted(spark, monkeypatch):
+    app = spark.sparkContext.applicationId
+    monkeypatch.setattr(shared, "_TAKEN", {app: []})
+    path = shared.fresh_path(spark, "between")
+    assert shared.staged(spark.range(3), path).count() == 3 and shared.exists(spark, path)
+    shared.drop_taken("another")
+    assert shared.exists(spark, path)
+    shared.drop_taken(app)
+    assert not shared.exists(spark, path) and shared._TAKEN == {}
+
+
 def test_leverage_against_brute_force(spark):
     rng = random.Random(3)
     minute = timedelta(minutes=1)
