@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import reporting_day
-from ..operators import balances, cycles, ledger, pages, quality, rates, reconcile, trades
+from ..operators import balances, cycles, ledger, pages, quality, rates, reconcile
 from ..sources import venue_states, venues, views
 from ..sources.commits import VersionedTable
 from ..sources.migrations import rebuild_calendar
@@ -196,7 +196,7 @@ def reconciliation_unrealized(spark: SparkSession, d: str) -> DataFrame:
     accounts = views.accounts(spark, d)
     ends = balances.unrealized_ends(snapshots, accounts, _at(NOW))
     latest = balances.latest(views.balance_snapshots(spark, d), ["account_id"], ["recorded_at", "snapshot_id"])
-    closed = trades.active_only(views.closed_positions(spark, d), accounts)
+    closed = views.active_positions(spark, d)
     out = reconcile.reconcile(accounts, latest, closed, ledger.union(**views.ledger_parts(spark, d)), ends)
     return out.select("account_id", *[F.round(c, 4).alias(c) for c in ("equity_return", "component_return", "variance")])
 

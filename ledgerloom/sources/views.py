@@ -50,10 +50,14 @@ def in_order(accounts: DataFrame) -> DataFrame:
     return placed.drop("__demo")
 
 
-def closed_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their order and part: one closed position each."""
+def closed_positions(spark: SparkSession, sf_dir: str, active: DataFrame | None = None) -> DataFrame:
+    """Line items with their order and part: one closed position each. With `active` (account_id, ...) only those of its
+    accounts, and its other columns: orders meet accounts before lines meet orders, so lines move once for both."""
     line = read(spark, sf_dir, "lineitem")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    more = [] if active is None else [c for c in active.columns if c != "account_id"]
+    if active is not None:
+        orders = orders.join(active, F.col("o_custkey") == F.col("account_id")).drop("account_id")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
     price, discount, tax = money("l_extendedprice"), F.col("l_discount").cast("decimal(4,2)"), F.col("l_tax").cast("decimal(4,2)")
     joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -75,9 +79,16 @@ def closed_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber",
         "l_partkey",
         "l_suppkey",
+        *more,
     )
 
 
+def active_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed positions of active accounts, as trades.active_only gives them."""
+    held = accounts(spark, sf_dir).filter("is_active").select("account_id", "exchange", "connection_name", "tracking_started_at")
+    return closed_positions(spark, sf_dir, held)
+
+
 def ledger_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The four record frames of the ledger: income, funding, fees and cash flows."""
     events = read(spark, sf_dir, "events").filter(F.col("event_type").isin(*LEDGER_TYPES))
