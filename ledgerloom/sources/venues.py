@@ -32,11 +32,9 @@ BUSINESS_COINS = ("USD", "USDT", "USDC")
 
 def number(column: str | Column) -> Column:
     """Text as double, 0 for NULL or what is no number."""
-    return F.coalesce(
-        F.try_to_number((F.col(column) if isinstance(column, str) else column), F.lit("S99999999999999999999.999999999999")).cast("double"),
-        (F.col(column) if isinstance(column, str) else column).try_cast("double"),
-        F.lit(0.0),
-    )
+    text = F.col(column) if isinstance(column, str) else column
+    # A cast reads nearly all of it, many times faster than a format; 0.0 is added so that -0 is 0.
+    return F.coalesce(text.try_cast("double") + 0.0, F.try_to_number(text, F.lit("S99999999999999999999.999999999999")).cast("double"), F.lit(0.0))
 
 
 def moment(ms: str | Column) -> Column:

@@ -24,3 +24,20 @@ def test_orders_meet_accounts_before_lines(spark):
     got = views.active_positions(spark, SF)
     assert got.columns == want.columns
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
+
+
+def test_columns_of_positions_that_nobody_asks_for_are_not_reckoned(spark):
+    fields = ["category", "symbol", "positionIdx", "side", "size", "markPrice", "avgPrice", "positionValue", "leverage", "positionIMByMp", "positionIM", "unrealisedPnl", "liqPrice", "marginMode", "createdTime"]
+    make = lambda value, made: (1, "linear", "P", "0", "Buy", "1", "1", "1", value, "1", "", "0", "1", "7", "", made)
+    got = venue_states.category_positions(spark.createDataFrame([make("2", "1"), make("9", "1"), make("50", "0")], "account_id int, " + ", ".join(f"{f} string" for f in fields)))
+    assert "liqPrice" not in plan(got.select("side")).split("LogicalRDD")[0]
+    assert [(r.position_value_usd, r.liquidation_price) for r in got.collect()] == [(9.0, 7.0)]
+
+
+def test_numbers(spark):
+    given = {"1": 1.0, " 2.5 ": 2.5, "-0": 0.0, "+3": 3.0, "1e3": 1000.0, "": 0.0, None: 0.0, "x": 0.0, "12345678901234567890123": 12345678901234567890123.0, ".5": 0.5, "0.1234567890123": 0.1234567890123}
+    rows = spark.createDataFrame([(k, v) for k, v in given.items()], "t string, v double").select("v", venues.number("t").alias("n")).collect()
+    assert [r.n for r in rows] == [r.v for r in rows] and str(rows[2].n) == "0.0"
+    # The format is asked only for what a cast does not read.
+    text = plan(spark.createDataFrame([("1",)], "t string").select(venues.number("t").alias("n")))
+    assert text.index("cast(t") < text.index("try_to_number")
