@@ -16,8 +16,12 @@ from .common import cut
 from .learning import fold
 
 BUCKETS = 1 << 16
-#: Trusted rows at most; those with the least hash of doc_id. One fold in HELD_OUT sets the threshold.
-TRUSTED, HELD_OUT = 200_000, 5
+#: All good rows are trusted. One fold in HELD_OUT of them sets the threshold, the others make the multinomial.
+HELD_OUT = 5
+#: Ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 2_000_000
+#: Parts of the range of scores, of which the one that holds a quantile is sorted.
+BINS = 1 << 16
 #: Added to each bucket, on the scale of the trusted rows' counts.
 SMOOTHING = 0.5
 #: The threshold lies where so many of the held-out trusted rows score lower, less a part of the way from there
@@ -42,24 +46,33 @@ def _buckets() -> Column:
     return F.concat(single, pairs)
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", most: int = TRUSTED) -> DataFrame:
-    """(__id, held): ids of good rows, at most `most`, and whether they are kept out of the multinomial.
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", most: int | None = None) -> DataFrame:
+    """(__id, held): ids of all good rows, and whether they are kept out of the multinomial.
 
-    Only ids of a low hash are sorted: by their number, a tenth more than `most` and a thousand lie below that, which
-    for hashes is dozens of standard deviations from too few.
+    With `most`, only so many of the least hash. Then only ids of a low hash are sorted: by their number, a tenth more
+    than `most` and a thousand lie below that, which for hashes is dozens of standard deviations from too few.
     """
-    good = cut(labels.filter(F.col(quality_col) == 1).select(F.col(id_col).alias("__id")).filter("__id is not null").distinct(), "good-ids")
-    n = good.count()
-    low = good if n <= most else good.filter(F.xxhash64("__id") / F.lit(2.0**64) + 0.5 <= (1.1 * most + 1000) / n)
-    chosen = low.orderBy(F.xxhash64("__id"), "__id").limit(most)
-    return cut(chosen.withColumn("held", fold(F.col("__id"), HELD_OUT) == 0), "trusted")
-
-
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, ratio) for every bucket of the corpus: at most BUCKETS rows. trusted is (__id, ...), bounded."""
-    rows = docs.select(F.col(id_col).alias("__id"), _word_hashes(F.coalesce(F.col(text_col), F.lit(""))).alias("hashes"))
-    rows = rows.join(F.broadcast(trusted.select("__id", F.lit(1).alias("good"))), "__id", "left")
-    grams = rows.select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(_buckets()).alias("bucket"))
+    good = labels.filter(F.col(quality_col) == 1).select(F.col(id_col).alias("__id")).filter("__id is not null").distinct()
+    if most is not None:
+        good = cut(good, "good-ids")
+        n = good.count()
+        low = good if n <= most else good.filter(F.xxhash64("__id") / F.lit(2.0**64) + 0.5 <= (1.1 * most + 1000) / n)
+        good = low.orderBy(F.xxhash64("__id"), "__id").limit(most)
+    return cut(good.withColumn("held", fold(F.col("__id"), HELD_OUT) == 0), "trusted")
+
+
+def _beside(ids: DataFrame, broadcast: int) -> DataFrame:
+    """ids as the smaller side of a join: sent to all tasks while they are few, else hashed by partitions, so that the
+    texts are moved once and not sorted."""
+    return F.broadcast(ids) if ids.count() <= broadcast else ids.hint("shuffle_hash")
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast: int = BROADCAST) -> DataFrame:
+    """(bucket, ratio) for every bucket of the corpus: at most BUCKETS rows. trusted is (__id, ...), distinct."""
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    rows = rows.join(_beside(trusted.select("__id", F.lit(1).alias("good")), broadcast), "__id", "left")
+    hashed = rows.select(F.coalesce("good", F.lit(0)).alias("good"), _word_hashes(F.coalesce("__text", F.lit(""))).alias("hashes"))
+    grams = hashed.select("good", F.explode(_buckets()).alias("bucket"))
     counts = cut(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target")), "bucket-counts", 1)
     totals = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     raw, target = totals["raw"] or 0, totals["target"] or 0
@@ -112,11 +125,38 @@ def scored(docs: DataFrame, ratios: DataFrame, id_col: str = "doc_id", text_col:
     return counted.withColumn("base_failed", failed)
 
 
-def threshold_of(scores: DataFrame, trusted: DataFrame) -> float | None:
-    """Where the held-out trusted rows end; None if there is none. One row comes to the driver."""
-    held = scores.filter("not base_failed").join(F.broadcast(trusted.filter("held").select(F.col("__id").alias("doc_id"))), "doc_id", "left_semi")
-    low, middle = held.agg(F.percentile("score", GOOD_LOSS).alias("low"), F.percentile("score", 0.5).alias("middle")).first()
-    return None if low is None else low - MARGIN * (middle - low)
+def _quantiles(rows: DataFrame, column: str, wanted: list[float], bins: int = BINS) -> list[float] | None:
+    """Exact quantiles, between two values by their distance; None without rows. The driver gets the number of rows
+    in each part of the range; only the parts that hold a wanted place are sorted."""
+    n, low, high = rows.agg(F.count(column), F.min(column), F.max(column)).first()
+    if not n:
+        return None
+    # All of one value are one part.
+    part = F.lit(0) if low == high else F.least(F.floor((F.col(column) - low) / F.lit((high - low) / bins)), F.lit(bins - 1))
+    held = rows.filter(F.col(column).isNotNull()).select(column, part.cast("int").alias("part"))
+    sizes = sorted(map(tuple, held.groupBy("part").count().collect()))
+
+    def at(place: int) -> float:
+        for of, size in sizes:
+            if place < size:
+                return low if low == high else held.filter(F.col("part") == of).orderBy(column).offset(place).limit(1).first()[0]
+            place -= size
+        return high
+
+    out = []
+    for q in wanted:
+        place = q * (n - 1)
+        below = at(int(place))
+        out.append(below if place == int(place) else below + (place - int(place)) * (at(int(place) + 1) - below))
+    return out
+
+
+def threshold_of(scores: DataFrame, trusted: DataFrame, broadcast: int = BROADCAST) -> float | None:
+    """Where the held-out trusted rows end; None if there is none. A few numbers come to the driver."""
+    ids = trusted.filter("held").select(F.col("__id").alias("doc_id"))
+    held = cut(scores.filter("not base_failed").select("doc_id", "score").join(_beside(ids, broadcast), "doc_id", "left_semi").select("score"), "held-scores")
+    ends = _quantiles(held, "score", [GOOD_LOSS, 0.5])
+    return None if ends is None else ends[0] - MARGIN * (ends[1] - ends[0])
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None) -> DataFrame:

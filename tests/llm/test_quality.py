@@ -115,3 +115,30 @@ def test_trusted_ids_are_those_of_the_least_hash(spark):
     order = [r.doc_id for r in hashed.orderBy("h", "doc_id").collect()]
     for most in (10, 3000, 50_000):
         assert {r["__id"] for r in trusted_ids(labels, most=most).collect()} == set(order[:most])
+
+
+def test_all_good_rows_are_trusted(spark):
+    labels = spark.range(200_300).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert trusted_ids(labels).count() == 200_300
+
+
+def test_few_and_many_trusted_ids_give_the_same(spark):
+    from ledgerloom.llm.quality import log_ratios, threshold_of
+
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in rng.integers(0, 50, 15))) for i in range(80)] + [(None, "w1 w2")], "doc_id long, text string")
+    trusted = trusted_ids(spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int"))
+    few, many = (sorted(map(tuple, log_ratios(docs, trusted, broadcast=n).collect())) for n in (1000, 0))
+    assert few == many and len(few) > 50
+    scores = docs.select("doc_id", F.lit(False).alias("base_failed"), (F.hash("doc_id") / 7).alias("score"))
+    assert threshold_of(scores, trusted) == threshold_of(scores, trusted, broadcast=0)
+
+
+def test_quantiles_are_exact(spark):
+    from ledgerloom.llm.quality import _quantiles
+
+    rng = np.random.default_rng(6)
+    for values in (rng.normal(size=501).round(1), rng.normal(size=500) ** 5, np.full(9, 2.5), np.array([3.0])):
+        rows = spark.createDataFrame([(float(v),) for v in values], "score double")
+        assert _quantiles(rows, "score", [0.005, 0.5], bins=7) == pytest.approx(list(np.quantile(values, [0.005, 0.5])), abs=1e-12)
+    assert _quantiles(spark.createDataFrame([], "score double"), "score", [0.5]) is None
