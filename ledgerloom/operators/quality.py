@@ -25,8 +25,10 @@ def open_position_issues(positions: DataFrame) -> DataFrame:
         (margin <= 0, "NON_POSITIVE_MARGIN", "WARNING"),
         ((margin > 0) & wrong, "RETURN_MISMATCH", "ERROR"),
     )
-    out = [_issues(positions, *rule, key) for rule in rules]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    # One pass: positions are read once for all rules.
+    entity = F.concat_ws(" ", *[F.col(k).cast("string") for k in key])
+    found = F.filter(F.array(*[F.when(test, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for test, code, severity in rules]), lambda x: x.isNotNull())
+    return positions.select("account_id", entity.alias("entity"), F.explode(found).alias("x")).select("account_id", "x.code", "x.severity", "entity")
 
 
 def closed_position_issues(positions: DataFrame, key: list[str]) -> DataFrame:

@@ -26,6 +26,13 @@ def test_orders_meet_accounts_before_lines(spark):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
 
 
+def test_rules_read_positions_once(spark):
+    rows = spark.createDataFrame([(1, "A", "LONG", 0, 5.0, 1.0, 50.0), (2, "A", "LONG", 300, -1.0, 1.0, 0.0), (3, "B", "SHORT", None, 10.0, 1.0, 10.0), (4, "B", "SHORT", 5, None, 1.0, 1.0)], "account_id int, symbol string, side string, leverage int, margin_used double, unrealized_pnl double, unrealized_percent double")
+    found = quality.open_position_issues(rows)
+    assert plan(found).count("LogicalRDD") == 1
+    assert sorted((r.account_id, r.code) for r in found.collect()) == [(1, "INVALID_LEVERAGE"), (1, "RETURN_MISMATCH"), (2, "INVALID_LEVERAGE"), (2, "NON_POSITIVE_MARGIN"), (3, "INVALID_LEVERAGE")]
+
+
 def test_columns_of_positions_that_nobody_asks_for_are_not_reckoned(spark):
     fields = ["category", "symbol", "positionIdx", "side", "size", "markPrice", "avgPrice", "positionValue", "leverage", "positionIMByMp", "positionIM", "unrealisedPnl", "liqPrice", "marginMode", "createdTime"]
     make = lambda value, made: (1, "linear", "P", "0", "Buy", "1", "1", "1", value, "1", "", "0", "1", "7", "", made)
