@@ -5,11 +5,9 @@ Every repair gives its plan as DataFrames, so a preview is the plan and applying
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .trades import keepers
-
 
 def realized_by_day(income: DataFrame, closed: DataFrame, days: DataFrame, income_day: Column, close_day: Column) -> DataFrame:
     """Realized PnL of the given (account_id, snapshot_date): the sum of income if there is any income record of
@@ -27,9 +25,9 @@ def realized_by_day(income: DataFrame, closed: DataFrame, days: DataFrame, incom
 
 def duplicate_plan(rows: DataFrame, group: list[str], order: list[Column], key: list[str]) -> DataFrame:
     """Rows to delete: all of a group but the first in the given order (the greatest close, update, creation)."""
-    kept = keepers(rows, group, order).select(*key)
-    many = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1").select(*group)
-    return rows.join(many, group, "left_semi").join(kept, key, "left_anti")
+    # Rows meet the one that stays in one pass: rows of its key stay with it, a null in a key being a value like others.
+    kept = F.first(F.struct(*key)).over(Window.partitionBy(*group).orderBy(*order))
+    return rows.withColumn("__kept", kept).filter(~F.struct(*key).eqNullSafe(F.col("__kept"))).drop("__kept")
 
 
 def fragment_plan(stored: DataFrame, trade_orders: DataFrame, normalized: DataFrame) -> DataFrame:

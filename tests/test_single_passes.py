@@ -33,6 +33,14 @@ def test_rules_read_positions_once(spark):
     assert sorted((r.account_id, r.code) for r in found.collect()) == [(1, "INVALID_LEVERAGE"), (1, "RETURN_MISMATCH"), (2, "INVALID_LEVERAGE"), (2, "NON_POSITIVE_MARGIN"), (3, "INVALID_LEVERAGE")]
 
 
+def test_duplicates_meet_the_one_that_stays_in_one_pass(spark):
+    rows = spark.createDataFrame([(1, 1, 5, None), (1, 2, 4, None), (1, 3, 3, "x"), (2, 4, 1, "x"), (None, 5, 2, "x"), (None, 6, 1, "x")], "g int, id int, at int, note string")
+    gone = maintenance.duplicate_plan(rows, ["g"], [F.desc("at")], ["id", "note"])
+    assert "Join" not in plan(gone)
+    # The one that stays has a null in its key, and so has a group.
+    assert sorted(r.id for r in gone.collect()) == [2, 3, 6]
+
+
 def test_columns_of_positions_that_nobody_asks_for_are_not_reckoned(spark):
     fields = ["category", "symbol", "positionIdx", "side", "size", "markPrice", "avgPrice", "positionValue", "leverage", "positionIMByMp", "positionIM", "unrealisedPnl", "liqPrice", "marginMode", "createdTime"]
     make = lambda value, made: (1, "linear", "P", "0", "Buy", "1", "1", "1", value, "1", "", "0", "1", "7", "", made)
