@@ -12,7 +12,7 @@ from ..functions.calendar import reporting_day
 from ..operators import balances, equity
 from ..sources import views
 from ..sources.commits import Commit, VersionedTable
-from ..sources.shared import fresh_path
+from ..sources.shared import fresh_path, staged
 from ..streaming.folds import Reductions, Spaced, Sticky, flush, keyed, replayed
 from ..streaming.records import keep_records, written_upstream
 from ..streaming.rollups import LEVELS, POINT, Rollups
@@ -122,7 +122,7 @@ def equity_rollups(spark: SparkSession, d: str) -> DataFrame:
 
 def _folded(spark: SparkSession, rows: DataFrame, fold) -> DataFrame:
     """rows through the stream, in files by a hash of their moments, so out of order; all within the lag."""
-    path = fresh_path(spark, "fold-rows")
+    path, rows = fresh_path(spark, "fold-rows"), staged(rows, fresh_path(spark, "fold-given"))
     for n in (0, 1):
         rows.filter(F.pmod(F.xxhash64("at_us", "tie"), F.lit(2)) == n).write.mode("append").parquet(path)
     flush(spark).write.mode("append").parquet(path)
@@ -150,11 +150,14 @@ def status_sticky_stream(spark: SparkSession, d: str) -> DataFrame:
 @query
 def position_reductions_stream(spark: SparkSession, d: str) -> DataFrame:
     """As position_reductions, by a stream of two snapshots of each account."""
-    rows = views.closed_positions(spark, d).select("account_id", F.to_json(F.struct("symbol", "side")).alias("position"), F.col("size").cast("string").alias("size"), F.when(F.col("l_linenumber") <= 3, 0).otherwise(1).alias("turn"))
-    # A snapshot may hold nothing.
-    every = rows.select("account_id").distinct().select("account_id", F.lit(None).cast("string").alias("position"), F.lit(None).cast("string").alias("size"), F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
-    both = rows.unionByName(every).withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("turn")))
-    got = _folded(spark, keyed(both, ["account_id"], "at", [], F.to_json(F.struct("position", "size"))), Reductions())
+    rows = views.closed_positions(spark, d).select("account_id", "symbol", "side", F.abs("size").alias("size"), F.when(F.col("l_linenumber") <= 3, 0).otherwise(1).alias("turn"))
+    sizes = rows.groupBy("account_id", "symbol", "side", "turn").agg(F.sum("size").cast("string").alias("size"))
+    held = F.struct(F.to_json(F.struct("symbol", "side")).alias("position"), "size")
+    # A snapshot is one row of the stream, with one size for each position as the state has; it may hold nothing.
+    turns = [F.collect_list(F.when((F.col("turn") == n) & F.col("size").isNotNull(), held)).alias(f"turn{n}") for n in (0, 1)]
+    both = sizes.groupBy("account_id").agg(*turns).select("account_id", F.posexplode(F.array("turn0", "turn1")).alias("turn", "held"))
+    both = both.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("turn")))
+    got = _folded(spark, keyed(both, ["account_id"], "at", [], F.to_json("held")), Reductions())
     fields = got.select(F.get_json_object("key", "$.account_id").cast("long").alias("account_id"), F.from_json("value", "position string, before string, after string").alias("x"))
     held = fields.select("account_id", F.from_json("x.position", "symbol string, side string").alias("p"), "x.before", "x.after")
     return held.select("account_id", "p.symbol", "p.side", F.col("before").cast("double").alias("before"), F.col("after").cast("double").alias("after"))

@@ -71,13 +71,15 @@ class Sticky:
 @dataclass(frozen=True)
 class Reductions:
     """Positions whose size is less than in the moment before, or that are gone. The values of a moment are one
-    snapshot: JSON with `position` and `size`; one without a position tells that there is a snapshot."""
+    snapshot: JSON with `position` and `size`, or a list of such; one without a position, or a list of none, tells that
+    there is a snapshot."""
 
     expires: None = None
 
     def take(self, state: str | None, at_us: int, values: list[str]) -> tuple[str, list[str]]:
         sizes: dict[str, Decimal] = {}
-        for held in map(json.loads, values):
+        given = map(json.loads, values)
+        for held in (one for some in given for one in (some if isinstance(some, list) else [some])):
             if held.get("position") is not None:
                 sizes[held["position"]] = sizes.get(held["position"], Decimal(0)) + abs(Decimal(held["size"]))
         before = {k: Decimal(v) for k, v in json.loads(state).items()} if state else {}

@@ -56,3 +56,13 @@ def test_numbers(spark):
     # The format is asked only for what a cast does not read.
     text = plan(spark.createDataFrame([("1",)], "t string").select(venues.number("t").alias("n")))
     assert text.index("cast(t") < text.index("try_to_number")
+
+
+def test_a_snapshot_is_one_value():
+    show = lambda *held: [json.dumps([{"position": p, "size": s} for p, s in held])]
+    fold = Reductions()
+    state, out = fold.take(None, 1, show(("A", "2"), ("B", "1")))
+    state, out = fold.take(state, 2, show(("A", "1.5")))
+    assert [(x["position"], Decimal(x["after"])) for x in map(json.loads, out)] == [("A", Decimal("1.5")), ("B", Decimal(0))]
+    state, out = fold.take(state, 3, show())
+    assert [json.loads(x)["position"] for x in out] == ["A"] and state == "{}"
