@@ -282,44 +282,83 @@ def closed_products(raw: DataFrame, orders: DataFrame, start: Column, end: Colum
     )
 
 
-def inferred_leverage(positions: DataFrame, orders: DataFrame, before_seconds: int = 300) -> DataFrame:
+def inferred_leverage(positions: DataFrame, orders: DataFrame, before_seconds: int = 300, whole: int = 100_000) -> DataFrame:
     """Positions (side LONG or SHORT) with the leverage of the orders that opened them: placed from shortly before
     opening to closing, on the same side, opening and not only reducing, with a leverage above 0; if all have one.
 
     Orders (symbol, leverage, ordered_at, trade_side, reduce_only, pos_side, side): an order of pos_side "net" is on
     the side that its buying or selling opens.
 
-    No order meets a position: both are swept along the time of their account, symbol and side, with running counts of
-    orders and of changes of leverage. The orders of a position have one leverage if none of them but the first is a
-    change, which the counts at its two ends and that first order tell. Rows of one account and id are one position.
+    No order meets a position: both are swept along the time of their account, symbol and side. Accounts of up to `whole`
+    orders and positions are swept in one window; larger ones day by day. Rows of one account and id are one position.
     """
     low = lambda name: F.lower(F.coalesce(F.col(name), F.lit("")))
     opening = low("trade_side").contains("open") | (low("reduce_only") == "no")
     side = F.when(low("pos_side") == "net", F.when(low("side") == "buy", "LONG").when(low("side") == "sell", "SHORT")).otherwise(F.upper("pos_side"))
-    keys, micros = ["account_id", "__symbol", "__side"], lambda at: F.unix_micros(at.cast("timestamp"))
-    day = F.floor(F.col("__t") / 86_400_000_000)
-    placed = orders.filter(opening & (F.col("leverage") > 0)).select("account_id", F.upper("symbol").alias("__symbol"), side.alias("__side"), micros(F.col("ordered_at")).alias("__t"), F.col("leverage").cast("long").alias("__lev"))
-    placed = placed.filter("__t is not null").groupBy(*keys, "__t", "__lev").agg(F.count(F.lit(1)).alias("__n")).withColumn("__day", day)
+    placed = orders.filter(opening & (F.col("leverage") > 0)).select("account_id", F.upper("symbol").alias("__symbol"), side.alias("__side"), _micros(F.col("ordered_at")).alias("__t"), F.col("leverage").cast("long").alias("__lev")).dropna()
+    counts = placed.select("account_id").unionByName(positions.select("account_id")).groupBy("account_id").agg(F.count(F.lit(1)).alias("n"))
+    # One row at most for each `whole` rows.
+    large = staged(counts.filter(F.col("n") > whole).select("account_id"), fresh_path(positions.sparkSession, "large-accounts"))
+    first = F.col("open_time") - F.expr(f"INTERVAL {before_seconds} SECONDS")
+    if large.isEmpty():
+        swept = _swept_whole(positions, placed, first)
+    else:
+        part = lambda rows, how: rows.join(F.broadcast(large), "account_id", how)
+        swept = _swept_whole(part(positions, "left_anti"), part(placed, "left_anti"), first).unionByName(_swept_by_day(part(positions, "left_semi"), part(placed, "left_semi"), first))
+    return swept.withColumn("leverage", F.col("leverage").cast(orders.schema["leverage"].dataType))
+
+
+_SWEPT = ["account_id", "__symbol", "__side"]
+
+
+def _micros(at: Column) -> Column:
+    return F.unix_micros(at.cast("timestamp"))
+
+
+def _swept_whole(positions: DataFrame, placed: DataFrame, first: Column) -> DataFrame:
+    """Backwards in time each position sees the first order from `first` on, and when the leverage first changes after
+    that order; both move once."""
+    held = positions.withColumns({"__symbol": F.upper("symbol"), "__side": F.col("side"), "__t": _micros(first), "__hi": _micros(F.col("close_time")), "__kind": F.lit(0)})
+    marks = held.unionByName(placed.distinct().withColumn("__kind", F.lit(1)), allowMissingColumns=True)
+    # At one moment a position begins before an order.
+    back = Window.partitionBy(*_SWEPT).orderBy(F.desc("__t"), F.desc("__kind"), F.desc("__lev"))
+    order = F.col("__kind") == 1
+    met = marks.withColumn("__next", F.last(F.when(order, F.struct("__t", "__lev")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    turn = F.when(order & (F.col("__next.__lev") != F.col("__lev")), F.col("__next.__t"))
+    met = met.withColumn("__turn", F.last(turn, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("__kind = 0")
+    found = F.col("__t").isNotNull() & (F.col("__next.__t") <= F.col("__hi"))
+    seen = met.select(*positions.columns, F.when(found, F.col("__next.__lev")).alias("__lev"), F.when(found, F.coalesce(F.col("__turn") > F.col("__hi"), F.lit(True))).alias("__same"))
+    own = Window.partitionBy("account_id", "source_record_id")
+    seen = seen.withColumns({"__lo": F.min("__lev").over(own), "__hi": F.max("__lev").over(own), "__same": F.bool_and("__same").over(own)})
+    told = F.col("account_id").isNotNull() & F.col("source_record_id").isNotNull() & F.col("__same") & (F.col("__lo") == F.col("__hi"))
+    return seen.withColumn("leverage", F.when(told, F.col("__lo"))).drop("__lev", "__same", "__lo", "__hi")
+
+
+def _swept_by_day(positions: DataFrame, placed: DataFrame, first: Column) -> DataFrame:
+    """With running counts of orders and of changes of leverage, no task holds more than a day of a key: the orders of a
+    position have one leverage if none of them but the first is a change, which the counts at its two ends and that
+    first order tell."""
+    keys, day = _SWEPT, F.floor(F.col("__t") / 86_400_000_000)
+    placed = placed.groupBy(*keys, "__t", "__lev").agg(F.count(F.lit(1)).alias("__n")).withColumn("__day", day)
     # A change is an order of another leverage than the one before: within its day, or the last of the last day that has any.
     within = Window.partitionBy(*keys, "__day").orderBy("__t", "__lev")
     lasts = placed.groupBy(*keys, "__day").agg(F.max_by("__lev", F.struct("__t", "__lev")).alias("__last"))
     before = lasts.withColumn("__last", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__day")))
     previous = F.coalesce(F.lag("__lev").over(within), "__last")
     changed = placed.join(before, [*keys, "__day"]).withColumn("__changed", F.when(previous.eqNullSafe(F.col("__lev")), 0).otherwise(1).cast("long"))
-    first = F.col("open_time") - F.expr(f"INTERVAL {before_seconds} SECONDS")
-    held = positions.filter(F.col("close_time") >= first).select("account_id", F.upper("symbol").alias("__symbol"), F.col("side").alias("__side"), "source_record_id", micros(first).alias("__lo"), micros(F.col("close_time")).alias("__hi"))
+    held = positions.filter(F.col("close_time") >= first).select("account_id", F.upper("symbol").alias("__symbol"), F.col("side").alias("__side"), "source_record_id", _micros(first).alias("__lo"), _micros(F.col("close_time")).alias("__hi"))
     # Three kinds of marks at a moment, in this order: a position begins, an order, a position ends.
     none, zero = lambda kind: F.lit(None).cast(kind), F.lit(0).cast("long")
     end = lambda at, kind: held.select(*keys, "source_record_id", "__lo", "__hi", F.col(at).alias("__t"), F.lit(kind).alias("__kind"), none("long").alias("__lev"), zero.alias("__one"), zero.alias("__changed"))
-    marks = changed.select(*keys, none("string").alias("source_record_id"), none("long").alias("__lo"), none("long").alias("__hi"), "__t", F.lit(1).alias("__kind"), "__lev", F.lit(1).cast("long").alias("__one"), "__changed")
+    marks = changed.select(*keys, none(positions.schema["source_record_id"].dataType).alias("source_record_id"), none("long").alias("__lo"), none("long").alias("__hi"), "__t", F.lit(1).alias("__kind"), "__lev", F.lit(1).cast("long").alias("__one"), "__changed")
     swept = running_sums(marks.unionByName(end("__lo", 0)).unionByName(end("__hi", 2)), keys, day, ["__t", "__kind", "__lev"], {"__orders": F.col("__one"), "__changes": F.col("__changed")})
     own = [*keys, "source_record_id", "__lo", "__hi"]
     ends = swept.filter("__kind != 1").groupBy(*own).agg(*[F.max(F.when(F.col("__kind") == kind, F.col(of))).alias(f"{of}{kind}") for of in ("__orders", "__changes") for kind in (0, 2)])
     opened = swept.filter("__kind = 1").select(*keys, F.col("__orders").alias("__rank"), "__lev", F.col("__changed").alias("__first"))
     some = ends.filter("__orders2 > __orders0").withColumn("__rank", F.col("__orders0") + 1).join(opened, [*keys, "__rank"])
     one = some.groupBy("account_id", "source_record_id").agg(F.min("__lev").alias("lo"), F.max("__lev").alias("hi"), F.bool_and(F.expr("__changes2 - __changes0 = __first")).alias("same"))
-    leverage = F.when(F.col("same") & (F.col("lo") == F.col("hi")), F.col("lo")).cast(orders.schema["leverage"].dataType)
-    return positions.join(one, ["account_id", "source_record_id"], "left").withColumn("leverage", leverage).drop("lo", "hi", "same")
+    told = positions.join(one, ["account_id", "source_record_id"], "left")
+    return told.withColumn("leverage", F.when(F.col("same") & (F.col("lo") == F.col("hi")), F.col("lo"))).drop("lo", "hi", "same")
 
 
 def transaction_records(raw: DataFrame) -> DataFrame:

@@ -66,3 +66,27 @@ def test_a_snapshot_is_one_value():
     assert [(x["position"], Decimal(x["after"])) for x in map(json.loads, out)] == [("A", Decimal("1.5")), ("B", Decimal(0))]
     state, out = fold.take(state, 3, show())
     assert [json.loads(x)["position"] for x in out] == ["A"] and state == "{}"
+
+
+def test_leverage_is_swept_without_a_join(spark):
+    orders = spark.sql("""select id % 3 as account_id, if(id % 2 = 0, 'a', 'A') as symbol, timestamp_micros(id * 7919 % 4000 * 60000000) as ordered_at, cast(1 + id div 150 % 3 as int) as leverage,
+        if(id % 5 = 0, null, 'open_long') as trade_side, 'yes' as reduce_only, if(id % 7 = 0, null, if(id % 3 = 1, 'net', 'long')) as pos_side, if(id % 11 = 0, 'sell', 'buy') as side from range(600)""")
+    positions = spark.sql("""select if(id % 31 = 0, null, id % 4) as account_id, if(id % 29 = 0, null, 'A') as symbol, if(id % 37 = 0, null, concat('p', id div 2)) as source_record_id, if(id % 6 = 0, 'SHORT', 'LONG') as side,
+        if(id % 23 = 0, null, timestamp_micros(id * 104729 % 4000 * 60000000)) as open_time, if(id % 19 = 0, null, timestamp_micros((id * 104729 % 4000 + id % 40 - 2) * 60000000)) as close_time from range(400)""")
+    got = venues.inferred_leverage(positions, orders)
+    assert "Join" not in plan(got)
+    by_day = venues.inferred_leverage(positions, orders, whole=0)
+    mixed = venues.inferred_leverage(positions, orders, whole=230)
+    assert got.exceptAll(by_day).isEmpty() and by_day.exceptAll(got).isEmpty() and got.exceptAll(mixed).isEmpty() and mixed.exceptAll(got).isEmpty()
+    positions.createOrReplaceTempView("held_positions")
+    orders.createOrReplaceTempView("placed_orders")
+    want = spark.sql("""with o as (select account_id, upper(symbol) as symbol, if(pos_side = 'net', if(side = 'buy', 'LONG', 'SHORT'), upper(pos_side)) as side, ordered_at, leverage from placed_orders where trade_side is not null),
+        one as (select p.account_id, p.source_record_id, if(min(o.leverage) = max(o.leverage), min(o.leverage), null) as leverage from held_positions p join o on o.account_id = p.account_id and o.symbol = p.symbol and o.side = p.side
+            and o.ordered_at between p.open_time - interval 300 seconds and p.close_time group by all)
+        select p.*, one.leverage from held_positions p left join one using (account_id, source_record_id)""").select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert 30 < got.filter("leverage is not null").count() < 350
+
+
+def test_lines_meet_orders_once_for_leverage(spark):
+    assert "l_shipdate" not in plan(QUERIES["leverage_inference"](spark, SF))
