@@ -24,17 +24,20 @@ def read_payloads(raw: DataFrame, text: str, fields: dict[str, tuple[str, str]],
     at = lambda path, kind: F.try_variant_get("__v", path, kind)
     # A nested object or list has no text, so its JSON stands for it; JSON's null is none.
     nested = lambda path: F.when(~F.is_variant_null(at(path, "variant")), F.to_json(at(path, "variant")))
-    stated = {name: F.nullif(F.trim(F.coalesce(at(path, "string"), nested(path))), F.lit("")) for name, (path, _) in fields.items()}
-    values = {name: at(path, kind) for name, (path, kind) in fields.items()}
+    # Each field is read once, into columns of its own that the checks and the result share.
+    held = held.withColumns({f"__t_{name}": at(path, "string") for name, (path, _) in fields.items()} | {f"__x_{name}": at(path, kind) for name, (path, kind) in fields.items() if kind != "string"})
+    held = held.withColumns({f"__s_{name}": F.nullif(F.trim(F.coalesce(F.col(f"__t_{name}"), nested(path))), F.lit("")).isNotNull() for name, (path, _) in fields.items()})
+    stated = {name: F.col(f"__s_{name}") for name in fields}
+    values = {name: F.col(f"__t_{name}" if kind == "string" else f"__x_{name}") for name, (_, kind) in fields.items()}
     faults: list[tuple[Column, Column]] = [
         (F.col(text).isNull() | (F.trim(F.col(text)) == ""), F.lit("NO_TEXT")),
         (F.col("__v").isNull(), F.lit("NOT_JSON")),
-        (~F.schema_of_variant("__v").startswith("OBJECT"), F.lit("NOT_AN_OBJECT")),
-        *[(stated[name].isNull(), F.lit(f"MISSING {name}")) for name in fields if name in required],
-        *[(stated[name].isNotNull() & values[name].isNull(), F.lit(f"TYPE {name}")) for name in fields],
+        (~F.ltrim(F.col(text), F.lit(" \t\r\n")).startswith("{"), F.lit("NOT_AN_OBJECT")),
+        *[(~stated[name], F.lit(f"MISSING {name}")) for name in fields if name in required],
+        *[(stated[name] & values[name].isNull(), F.lit(f"TYPE {name}")) for name in fields],
     ]
     held = held.withColumn("reject", reduce(lambda rest, fault: F.when(*fault).otherwise(rest), reversed(faults), F.lit(None).cast("string")))
-    return held.withColumns({name: F.when(F.col("reject").isNull() & stated[name].isNotNull(), value) for name, value in values.items()}).drop("__v")
+    return held.withColumns({name: F.when(F.col("reject").isNull() & stated[name], value) for name, value in values.items()}).drop("__v", *[f"__{x}_{name}" for x in "tsx" for name in fields])
 
 
 def accepted(read: DataFrame, text: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import maintenance, quality, trades
 from ledgerloom.plans.queries import QUERIES
 from ledgerloom.sources import venue_states, venues, views
+from ledgerloom.sources.payload_json import read_payloads
 from ledgerloom.streaming.folds import Reductions
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +102,13 @@ def test_duplicates_are_told_by_lines_alone(spark, tmp_path):
     assert "Join" not in plan(got)
     # Their order is not there.
     assert [(r.l_orderkey, r.row_count) for r in got.collect()] == [(-1, 3)]
+
+
+def test_a_field_of_a_payload_is_read_once(spark):
+    rows = spark.createDataFrame([(1, ' {"a": " x ", "b": "7"}'), (2, '{"a": {"c": 1}, "b": 1}'), (3, '{"a": null, "b": 1}'), (4, '[{"a": "x"}]'), (5, '{"a": "x", "b": "soon"}'), (6, "\n\t{}"), (7, '"a"'), (8, '{"a": "x", "b": ""}'), (9, " "), (10, "{")], "id int, text string")
+    got = read_payloads(rows, "text", {"a": ("$.a", "string"), "b": ("$.b", "bigint")}, required=["a"])
+    assert max(plan(got).count("$.b, LongType"), plan(got).count("$.b, bigint")) == 1
+    assert {r.id: (r.reject, r.a, r.b) for r in got.collect()} == {
+        1: (None, " x ", 7), 2: (None, '{"c":1}', 1), 3: ("MISSING a", None, None), 4: ("NOT_AN_OBJECT", None, None), 5: ("TYPE b", None, None),
+        6: ("MISSING a", None, None), 7: ("NOT_AN_OBJECT", None, None), 8: (None, "x", None), 9: ("NO_TEXT", None, None), 10: ("NOT_JSON", None, None),
+    }
